@@ -10,7 +10,6 @@ more, that stretch is removed and its offsets in the original text are reported.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,59 +19,48 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import Scratch, limit_batches, release_shuffles
-from .encoders import opened
-from .words import WordHashes, mixed, windows
+from .words import mixed, sums, word_hashes
 
 #: A cut follows one word of so many on average.
 CUT = 4
 #: Stretches of repeated units are removed from so many words on.
 MIN_WORDS = 25
 
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
-_ASCII_LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
-
 
 class Units:
-    """Word spans of a text, and the units into which its lines are cut."""
+    """Words of a text, lower-cased in A-Z and split at ASCII white space, and the units into which its lines are cut."""
 
-    def __init__(self, text: str, hashes: WordHashes):
-        words = text.encode().lower().split()  # A-Z only, split at ASCII white space
-        h = hashes.of(words)
+    def __init__(self, text: str):
+        self.raw = text.encode()
+        h, self.first, self.end = word_hashes(self.raw.lower())
         n = self.n_words = len(h)
-        self.text = text
-        breaks = np.zeros(n, dtype=bool)
-        at = -1
-        for line in text.split("\n"):  # the last word of each line
-            at += len(line.encode().split())
-            if at >= 0 and n:
-                breaks[at] = True
-        first = np.ones(n, dtype=bool)
-        first[1:] = breaks[:-1]
-        before = np.where(first, np.uint64(0), np.concatenate([h[:1], h[:-1]])) if n else h
+        breaks = np.zeros(n + 1, dtype=bool)
+        feeds = np.flatnonzero(np.frombuffer(self.raw, dtype=np.uint8) == 10)
+        breaks[np.searchsorted(self.first, feeds) - 1] = True  # the last word before each line feed
+        breaks[-1:] = False
+        breaks = breaks[:n]
+        breaks[n - 1 :] = True
+        before = np.zeros(n, dtype=np.uint64)
+        before[1:] = np.where(breaks[:-1], np.uint64(0), h[:-1])
         cut = breaks | ((mixed(h + before * np.uint64(31)) >> np.uint64(40)) % np.uint64(CUT) == 0)
-        # Runs of one word would be cut after each word or nowhere; either way they are the same everywhere.
+        # A run of one word has no place of its own inside: it is cut after every eighth.
+        place = np.arange(n)
+        run = np.maximum.accumulate(np.where(np.append(True, h[1:] != h[:-1])[:n], place, 0)) if n else place
+        cut |= (place - run) % 8 == 7
         self.ends = np.flatnonzero(cut)
-        self.starts = np.concatenate([[0], self.ends[:-1] + 1]).astype(np.int64) if n else self.ends
-        digest = np.zeros(len(self.ends), dtype=np.uint64)
-        length = self.ends - self.starts + 1
-        for k in range(int(length.max(initial=0))):  # the k-th word of all units that have one
-            own = length > k
-            digest[own] = mixed(digest[own] * np.uint64(0x9E3779B97F4A7C15) + h[self.starts[own] + k])
-        self.digests = mixed(digest ^ length.astype(np.uint64)).astype(np.int64)
-        self.length = length
-
-    def spans(self) -> list[tuple[int, int]]:
-        return [m.span() for m in _WORD.finditer(self.text)]
-
-    def repeated(self, elsewhere: set[int]) -> list[tuple[int, int]]:
+        self.starts = np.zeros(len(self.ends), dtype=np.int64)
+        self.starts[1:] = self.ends[:-1] + 1
+        self.digests = sums(h, self.starts, self.ends - self.starts + 1).astype(np.int64)
+
+    def repeated(self, elsewhere: np.ndarray) -> list[tuple[int, int]]:
         """Word ranges [from, to) of stretches whose units stand in an earlier document or earlier in this one."""
         if not len(self.digests):
             return []
         _, first = np.unique(self.digests, return_index=True)
         again = np.ones(len(self.digests), dtype=bool)
         again[first] = False
-        if elsewhere:
-            again |= np.isin(self.digests, np.fromiter(elsewhere, dtype=np.int64, count=len(elsewhere)))
+        if len(elsewhere):
+            again |= np.isin(self.digests, elsewhere)
         edge = np.flatnonzero(np.diff(np.concatenate([[0], again.view(np.int8), [0]])))
         out = []
         for a, b in zip(edge[::2], edge[1::2]):
@@ -81,33 +69,31 @@ class Units:
                 out.append((start, end))
         return out
 
+    def without(self, ranges: list[tuple[int, int]]) -> tuple[str, list[tuple[int, int]]]:
+        """The text without the word ranges and the white space before them (after them at its start), and the offsets
+        of what is gone, in code points."""
+        kept, gone, at = [], [], 0
+        for a, b in ranges:
+            start = int(self.end[a - 1]) if a else 0
+            end = int(self.end[b - 1]) if a else int(self.first[b]) if b < self.n_words else len(self.raw)
+            kept.append(self.raw[at:start])
+            gone.append((start, end))
+            at = end
+        leads = np.concatenate([[0], np.cumsum(np.frombuffer(self.raw, dtype=np.uint8) & 0xC0 != 0x80)])  # code points before each byte
+        return b"".join([*kept, self.raw[at:]]).decode(), [(int(leads[a]), int(leads[b])) for a, b in gone]
+
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes = opened(WordHashes)
     for batch in batches:
         docs, digests = [], []
         for doc_id, text in zip(*(c.to_pylist() for c in batch.columns)):
-            own = np.unique(Units(text or "", hashes).digests)
+            own = np.unique(Units(text or "").digests)
             docs.append(np.full(len(own), doc_id, dtype=np.int64))
             digests.append(own)
         if docs:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(digests)), pa.array(np.concatenate(docs))], names=["digest", "doc_id"])
 
 
-def _cut(text: str, ranges: list[tuple[int, int]], spans: list[tuple[int, int]]) -> tuple[str, list[tuple[int, int]]]:
-    """The text without the word ranges and the white space before them (or after, at the start); their offsets."""
-    removed, kept, at = [], [], 0
-    for a, b in ranges:
-        start = spans[a - 1][1] if a else 0
-        end = spans[b - 1][1] if a or b == len(spans) else spans[b][0]
-        if b == len(spans) and a == 0:
-            start, end = 0, len(text)
-        kept.append(text[at:start])
-        removed.append((start, end))
-        at = end
-    return "".join([*kept, text[at:]]), removed
-
-
 def remove_repeats(docs: DataFrame, prefix: str = "_dedup_") -> DataFrame:
     """All rows and columns of ``docs(doc_id, text, ...)``, the text without what stands in an earlier document.
 
@@ -135,17 +121,18 @@ def remove_repeats(docs: DataFrame, prefix: str = "_dedup_") -> DataFrame:
     at, arrow_span = docs.columns.index("text"), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = opened(WordHashes)
         for batch in batches:
             texts, words, gone, spans = [], [], [], []
-            for text, elsewhere in zip(batch.column(at).to_pylist(), batch.column(len(schema) - 3).to_pylist()):
-                own = Units(text or "", hashes)
-                ranges = own.repeated(set(elsewhere or ()))
-                new, removed = _cut(text, ranges, own.spans()) if ranges else (text, [])
+            lists = batch.column(len(schema) - 3)
+            offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+            for text, a, b in zip(batch.column(at).to_pylist(), offsets[:-1], offsets[1:]):
+                own = Units(text or "")
+                ranges = own.repeated(values[a:b])
+                new, removed = own.without(ranges) if ranges else (text, [])
                 texts.append(new)
                 words.append(own.n_words)
-                gone.append(sum(b - a for a, b in ranges))
-                spans.append([{"start": a, "end": b} for a, b in removed])
+                gone.append(sum(d - c for c, d in ranges))
+                spans.append([{"start": c, "end": d} for c, d in removed])
             columns = list(batch.columns[: len(schema) - 3])
             columns[at] = pa.array(texts, type=pa.string())
             more = [pa.array(words, type=pa.int64()), pa.array(gone, type=pa.int64()), pa.array(spans, type=arrow_span)]

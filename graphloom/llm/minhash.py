@@ -19,8 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, limit_batches, release_shuffles
 from .components import components
-from .encoders import opened
-from .words import WordHashes, mixed, windows
+from .words import mixed, windows, word_hashes
 
 WORDS = 5
 #: A pair at the similarity limit of 0.75 shares no bucket with probability (1 - 0.75^5)^48, about 2e-6.
@@ -30,9 +29,9 @@ BINS = BANDS * ROWS
 LEAST = 75
 
 
-def shingle_set(text: str, hashes: WordHashes, words: int = WORDS) -> np.ndarray:
+def shingle_set(text: str, words: int = WORDS) -> np.ndarray:
     """Sorted distinct shingle hashes; a text with fewer words has its whole sequence as one."""
-    found = hashes.of(text.encode().lower().split())
+    found = word_hashes(text.encode().lower())[0]  # lower-cases A-Z only
     if not len(found):
         return found
     if len(found) < words:
@@ -64,12 +63,12 @@ class OneHash:
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes, one = opened(WordHashes), OneHash()
+    one = OneHash()
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64()))])
     for batch in batches:
         sizes, digests, bands = [], [], []
         for text in batch.column(1).to_pylist():
-            found = shingle_set(text or "", hashes)
+            found = shingle_set(text or "")
             sizes.append(len(found))
             digests.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None)
             bands.append(one.bands(found) if len(found) else None)
@@ -78,11 +77,10 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The set of each document, once for each hub that it is compared with (its own id: as a hub)."""
-    hashes = opened(WordHashes)
     schema = pa.schema([("hub", pa.int64()), ("doc_id", pa.int64()), ("shingles", pa.binary())])
     for batch in batches:
         for doc_id, text, hubs in zip(*(c.to_pylist() for c in batch.columns)):
-            found = shingle_set(text or "", hashes).tobytes()
+            found = shingle_set(text or "").tobytes()
             yield pa.RecordBatch.from_arrays([pa.array(hubs, type=pa.int64()), pa.array([doc_id] * len(hubs), type=pa.int64()), pa.array([found] * len(hubs), type=pa.binary())], schema=schema)
 
 

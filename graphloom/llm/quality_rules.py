@@ -11,8 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import Scratch, limit_batches
-from .encoders import opened
-from .words import WordHashes, windows
+from .words import windows, word_hashes
 
 SYMBOLS, BLANKS, WINDOW = "#*$%&|<>", " \t\n\r\x0b\x0c", 5
 #: A document fails with fewer words, or with more than this percentage of its words in repeated windows.
@@ -25,10 +24,10 @@ PRIOR = (1.0, 1000.0)
 FEATURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
-def text_features(text: str, hashes: WordHashes) -> tuple[int, int, int, int, int]:
-    words = text.encode().split()
+def text_features(text: str) -> tuple[int, int, int, int, int]:
+    words = word_hashes(text.encode())[0]
     lines = [x for x in text.split("\n") if x.strip(BLANKS)]
-    seen = windows(hashes.of(words), WINDOW)
+    seen = windows(words, WINDOW)
     repeated = 0
     if len(seen) > 1:
         order = np.sort(seen)
@@ -48,9 +47,8 @@ def with_features(docs: DataFrame, text: str = "text", prefix: str = "_rule_") -
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = opened(WordHashes)
         for batch in batches:
-            found = [text_features(x or "", hashes) for x in batch.column(at).to_pylist()]
+            found = [text_features(x or "") for x in batch.column(at).to_pylist()]
             more = [pa.array([f[k] for f in found], type=pa.int64()) for k in range(len(FEATURES))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=schema.names)
 

@@ -1,11 +1,12 @@
-"""Words and shingles of a text as 64-bit hashes, by numpy."""
+"""Words and shingles of a text as 64-bit hashes, without an object for each word."""
 
 from __future__ import annotations
 
 import numpy as np
-import xxhash
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_BLANK = np.zeros(256, dtype=bool)
+_BLANK[list(b" \t\n\r\x0b\x0c")] = True
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -15,20 +16,35 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-class WordHashes(dict):
-    """Hash of each word's bytes; emptied when full."""
+#: A random number for each byte value, and powers of a random odd base.
+_BYTE = mixed(mixed(np.arange(1, 257, dtype=np.uint64) * _M1))
+_POWERS = np.multiply.accumulate(np.full(1 << 12, _M2 | np.uint64(1), dtype=np.uint64))
 
-    def __init__(self, limit: int = 300_000):
-        self.limit = limit
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        out = self[word] = xxhash.xxh3_64_intdigest(word)
-        return out
+def powers(n: int) -> np.ndarray:
+    global _POWERS
+    if n > len(_POWERS):
+        _POWERS = np.multiply.accumulate(np.full(2 * n, _M2 | np.uint64(1), dtype=np.uint64))
+    return _POWERS
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.array([self[w] for w in words], dtype=np.uint64)
+
+def sums(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """A hash of each stretch of values; starts are ascending and stretches follow each other without gaps."""
+    if not len(lengths):
+        return np.zeros(0, dtype=np.uint64)
+    place = np.arange(len(values)) - np.repeat(starts, lengths)
+    return mixed(np.add.reduceat(values * powers(int(lengths.max()))[place], starts) ^ lengths.astype(np.uint64))
+
+
+def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, first byte and end of each word of a UTF-8 text; words end at ASCII white space."""
+    b = np.frombuffer(raw, dtype=np.uint8)
+    inside = np.zeros(len(b) + 2, dtype=np.int8)
+    inside[1:-1] = ~_BLANK[b]
+    edges = np.diff(inside)
+    starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+    lengths = ends - starts
+    return sums(_BYTE[b[inside[1:-1].view(bool)]], np.cumsum(lengths) - lengths, lengths), starts, ends
 
 
 def windows(hashes: np.ndarray, size: int) -> np.ndarray:

@@ -468,11 +468,9 @@ def test_components(spark):
 
 def brute_repeats(rows):
     """Digests of units by their words, kept where the first rank has them; stretches as the operator defines them."""
-    from graphloom.llm.words import WordHashes
-
     units = {}
     for k, (i, text) in enumerate(rows):
-        own = line_dedup.Units(text or "", WordHashes())
+        own = line_dedup.Units(text or "")
         words = [w.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")) for w in re.findall(r"[^\x20\x09-\x0D]+", text or "")]
         units[k] = [(int(s), int(e) + 1, tuple(words[s : e + 1])) for s, e in zip(own.starts, own.ends)]
         assert [w for _, _, u in units[k] for w in u] == words
