@@ -80,13 +80,13 @@ def architecture_health(graph: Graph, imports: str | None = None) -> DataFrame:
     apis = graph.nodes.agg(F.sum((F.col("node_type") == "api_route").cast("int")).alias("apis"))
     edges = graph.edges.agg(F.count("*").alias("m"))
     n, m = F.col("n"), F.col("m")
-    d, density = m / n, F.when(n > 1, m / (n * (n - 1))).otherwise(0.0)
+    d, density = F.try_divide(m, n), F.when(n > 1, F.try_divide(m, n * (n - 1))).otherwise(0.0)
     to_score = lambda raw: F.coalesce(S.clamp(F.floor(100 - raw + 1e-9), 0, 100), F.lit(100)).cast("long")
     out = agg.crossJoin(apis).crossJoin(edges).select(
-        to_score(10 * d + 20 * F.col("apis") / n).alias("complexity_score"),
+        to_score(10 * d + F.try_divide(20 * F.col("apis"), n)).alias("complexity_score"),
         to_score(5 * F.col("imports") + 5 * d).alias("coupling_score"),
-        to_score(1000 * density + 500 * F.col("wide") / n).alias("maintainability_score"),
-        to_score(2 * F.col("between") + 200 * F.col("tight") / n).alias("risk_score"),
+        to_score(1000 * density + F.try_divide(500 * F.col("wide"), n)).alias("maintainability_score"),
+        to_score(2 * F.col("between") + F.try_divide(200 * F.col("tight"), n)).alias("risk_score"),
     )
     overall = F.floor((F.col("complexity_score") + F.col("coupling_score") + F.col("maintainability_score") + F.col("risk_score")) / 4).cast("long")
     return out.withColumn("overall_score", overall).withColumn("health", S.health_band(F.col("overall_score")))

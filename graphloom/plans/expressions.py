@@ -246,4 +246,4 @@ class Reference:
             if c in df.columns:
                 named = named | (F.col(c) == F.lit(self.value))
         wanted = self.NODE_TYPES.get(self.kind)
-        return named if wanted is None else named & (F.col("node_type") == wanted)
+        return named if wanted is None else named & (F.lower("node_type") == wanted)
