@@ -13,18 +13,42 @@ import re
 from array import array
 
 #: White space by any of the libraries' definitions; a cut never follows one of these.
-_WIDE_SPACE = r"\s\x1c-\x1f\x85" + "᠎​-‍⁠﻿"
-_NO_FAST_CUT = re.compile(f"[{_WIDE_SPACE}][ \n]|\x00")
+_WIDE_SPACE = r"\s\x1c-\x1f\x85\u180e\u200b-\u200d\u2060\ufeff"
 _SAFE_CUT = re.compile(f"(?<=[^{_WIDE_SPACE}])(?=[ \n])")
+#: What may stand before or be a blank that is no plain one; a text with any of these is cut by the pattern.
+_ODD_SPACES = "\x01\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u180e\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u200b\u200c\u200d\u2028\u2029\u202f\u205f\u2060\u3000\ufeff"
 #: Letters of the first Unicode blocks, on whose class all regex libraries agree.
-_PLAIN_WORD = re.compile("[ \n]?[A-Za-zÀ-ÖØ-öø-ɏ]+")
+_PLAIN_WORD = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
+
+#: A comma or full stop at the end of a word that doesn't follow a letter. One that does is a pre-token of its own.
+_ODD_STOP = re.compile("[,.](?<![A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f][,.])(?=[ \n]|\\Z)")
+
+
+def _plain_spaces(text: str) -> bool:
+    """Whether all white space of a text is single blanks and line feeds."""
+    return not ("  " in text or " \n" in text or "\n\n" in text or "\n " in text or any(c in text for c in _ODD_SPACES))
 
 
 def safe_units(text: str) -> list[str]:
     """Cut before each blank or line feed that follows a non-space character; the units join to the text."""
-    if _NO_FAST_CUT.search(text):
-        return _SAFE_CUT.split(text)
-    return text.replace("\n", "\x00\n").replace(" ", "\x00 ").split("\x00")
+    if _plain_spaces(text) and "\x00" not in text:
+        return text.replace("\n", "\x00\n").replace(" ", "\x00 ").split("\x00")
+    return _SAFE_CUT.split(text)
+
+
+def counted_units(text: str) -> tuple[list[str], list[str]]:
+    """The same units in two lists: those that begin with a blank, without it, and the others; in no order."""
+    if not _plain_spaces(text):
+        units = _SAFE_CUT.split(text)
+        return [x[1:] for x in units if x[:1] == " "], [x for x in units if x and x[0] != " "]
+    after_blank, others, lead = [], [], ""
+    for line in text.split("\n"):
+        words = line.split(" ")
+        others.append(lead + words[0])
+        del words[0]
+        after_blank += words
+        lead = "\n"
+    return after_blank, [x for x in others if x]
 
 
 def safe_pieces(text: str, size: int = 1 << 15) -> list[str]:
@@ -48,22 +72,26 @@ def byte_alphabet() -> list[str]:
 
 
 class _Units(dict):
-    """Ids of each unit as little-endian 32-bit bytes; emptied when full."""
+    """Ids of each unit as little-endian 32-bit bytes. When full, what was used since the last time is kept apart."""
 
     def __init__(self, encode, limit: int):
-        self.encode, self.limit = encode, limit
+        self.encode, self.limit, self.before = encode, limit, {}
 
     def __missing__(self, unit: str) -> bytes:
         if len(self) >= self.limit:
+            self.before = dict(self)
             self.clear()
-        out = self[unit] = self.encode(unit)
+        out = self.before.get(unit)
+        if out is None:
+            out = self.encode(unit)
+        self[unit] = out
         return out
 
 
 class JsonEncoder:
     """A tokenizers file. Byte-level ones without a normalizer are encoded by units, others as whole texts."""
 
-    def __init__(self, content: bytes, cache: int = 300_000):
+    def __init__(self, content: bytes, cache: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(content.decode())
@@ -75,19 +103,36 @@ class JsonEncoder:
         self.added = [x["content"] for x in spec.get("added_tokens", [])]
         if any(" " in x or "\n" in x for x in self.added) or any(x.get("lstrip") or x.get("rstrip") or x.get("single_word") for x in spec.get("added_tokens", [])):
             self.by_units = False
-        self.alphabet = str.maketrans(dict(enumerate(byte_alphabet())))
-        self.units = _Units(self._unit, cache)
+        self.alphabet, self.blank = str.maketrans(dict(enumerate(byte_alphabet()))), byte_alphabet()[32]
+        # Keys lack the blank that the unit begins with; units without one have a cache of their own.
+        self.after_blank = _Units(self._after_blank, cache)
+        self.others = _Units(self._whole, cache // 8)
+        self.comma, self.stop = self._whole(","), self._whole(".")
+        if any(_PLAIN_WORD.fullmatch(x.strip()) or set(x) & set(",.") for x in self.added):
+            self.by_units = False
 
     def _whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _unit(self, unit: str) -> bytes:
-        if unit[:1] != "\n" and _PLAIN_WORD.fullmatch(unit) and not self.added_in(unit):
-            mapped = unit.encode().decode("latin-1").translate(self.alphabet)
-            return array("I", [x.id for x in self.tokenizer.model.tokenize(mapped)]).tobytes()
-        if unit[-1:] in (",", ".") and unit[:1] != "\n" and _PLAIN_WORD.fullmatch(unit, 0, len(unit) - 1) and not self.added_in(unit):
-            return self.units[unit[:-1]] + self.units[unit[-1]]
-        return self._whole(unit)
+    def plain(self, word: str) -> str | None:
+        """A blank and a word of plain letters in the byte alphabet, which is one pre-token; None for other words."""
+        if not (word.isalpha() and (word.isascii() or _PLAIN_WORD.fullmatch(word))):
+            return None
+        return self.blank + (word if word.isascii() else word.encode().decode("latin-1").translate(self.alphabet))
+
+    def _after_blank(self, word: str) -> bytes:
+        """One pre-token of plain letters goes to the model itself, a comma or full stop after it is one more.
+
+        A word that begins with \\x01 is a comma or full stop that was cut off before.
+        """
+        if word in ("\x01,", "\x01."):
+            return self.comma if word[1] == "," else self.stop
+        if plain := self.plain(word):
+            return array("I", [x.id for x in self.tokenizer.model.tokenize(plain)]).tobytes()
+        last = word[-1:]
+        if last in (",", ".") and word[:-1].isalpha() and _PLAIN_WORD.fullmatch(word, 0, len(word) - 1):
+            return self.after_blank[word[:-1]] + (self.comma if last == "," else self.stop)
+        return self._whole(" " + word)
 
     def added_in(self, text: str) -> bool:
         return any(x in text for x in self.added)
@@ -95,8 +140,21 @@ class JsonEncoder:
     def __call__(self, text: str) -> bytes:
         if not self.by_units:
             return self._whole(text)
-        units = self.units
-        return b"".join([units[x] for x in safe_units(text)]) if text else b""
+        after_blank, others, out = self.after_blank, self.others, []
+        if not _plain_spaces(text):
+            return b"".join([after_blank[x[1:]] if x[0] == " " and x[1:2] != "\x01" else others[x] for x in safe_units(text)]) if text else b""
+        if not _ODD_STOP.search(text):
+            for stop in ",.":
+                text = text.replace(stop + " ", f" \x01{stop} ").replace(stop + "\n", f" \x01{stop}\n")
+            if text[-1:] in (",", "."):
+                text = f"{text[:-1]} \x01{text[-1]}"
+        lead = ""
+        for line in text.split("\n"):
+            words = line.split(" ")
+            out.append(others[lead + words[0]])
+            out += [after_blank[x] for x in words[1:]]
+            lead = "\n"
+        return b"".join(out)
 
 
 class RankEncoder:

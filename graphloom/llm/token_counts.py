@@ -8,6 +8,7 @@ joined in place, so that neither they nor their many rows are shuffled; all othe
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -16,38 +17,44 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, limit_batches, whole_text
-from .encoders import JsonEncoder, PieceEncoder, opened, read_vocabulary, safe_units
+from .encoders import JsonEncoder, PieceEncoder, counted_units, opened, read_vocabulary
 
 #: Bounds of the list that is sent to all executors: entries, and bytes of an entry.
 COMMON, COMMON_BYTES = 150_000, 48
-#: Distinct pre-tokens that a task holds before it hands them on.
-HELD = 150_000
+#: Distinct units that a task holds before it hands them on, and units whose pre-tokens it remembers.
+HELD = 300_000
 
 
 class JsonCounter:
-    """Pre-tokens as the file's own pre-tokenizer gives them, or texts whole where cutting first isn't safe."""
+    """Pre-tokens as the file's own pre-tokenizer gives them, or texts whole where cutting first isn't safe.
+
+    Texts are cut into units, safe to pre-tokenize on their own. A unit's key is its text after a letter: ``b`` if the
+    blank that it begins with is left out, ``u`` if not. A pre-token's key is ``p`` and the pre-token in the byte
+    alphabet, or ``t`` and a text for the whole tokenizer.
+    """
 
     def __init__(self, content: bytes):
         self.encoder = JsonEncoder(content)
-        self.memo: dict[str, tuple[str, ...]] = {}
 
-    def pieces(self, text: str) -> list[str]:
-        """Keys ``p...`` are pre-tokens in the byte alphabet, keys ``t...`` are texts for the whole tokenizer."""
+    def units(self, text: str) -> tuple[list[str], list[str]]:
+        """Units after a blank, and others."""
         if not self.encoder.by_units:
-            return ["t" + text] if text else []
-        memo, out = self.memo, []
-        for unit in safe_units(text) if text else ():
-            found = memo.get(unit)
-            if found is None:
-                if len(memo) >= HELD:
-                    memo.clear()
-                if self.encoder.added_in(unit):
-                    found = ("t" + unit,)
-                else:
-                    found = tuple("p" + piece for piece, _ in self.encoder.tokenizer.pre_tokenizer.pre_tokenize_str(unit))
-                memo[unit] = found
-            out += found
-        return out
+            return [], [text] if text else []
+        return counted_units(text)
+
+    def pretokens(self, word: str, blank: bool) -> tuple[str, ...]:
+        e = self.encoder
+        if not e.by_units:
+            return ("t" + word,)
+        if blank:
+            if plain := e.plain(word):
+                return ("p" + plain,)
+            if word[-1:] in (",", ".") and (plain := e.plain(word[:-1])):
+                return ("p" + plain, "p" + word[-1])
+            word = " " + word
+        if e.added_in(word):
+            return ("t" + word,)
+        return tuple("p" + piece for piece, _ in e.tokenizer.pre_tokenizer.pre_tokenize_str(word))
 
     def count(self, key: str) -> int:
         if key[0] == "p":
@@ -61,8 +68,11 @@ class PieceCounter:
     def __init__(self, content: bytes):
         self.encoder = PieceEncoder(content)
 
-    def pieces(self, text: str) -> list[str]:
-        return ["t" + text] if text else []
+    def units(self, text: str) -> tuple[list[str], list[str]]:
+        return [], [text] if text else []
+
+    def pretokens(self, word: str, blank: bool) -> tuple[str, ...]:
+        return ("t" + word,)
 
     def count(self, key: str) -> int:
         return len(self.encoder(key[1:])) // 4
@@ -83,14 +93,24 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 512) -> DataFram
     seen_schema = pa.schema([("pretoken", pa.string()), ("n", pa.int64())])
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter, held = opened(kind, content), Counter()
+        counter, held = opened(kind, content), (Counter(), Counter())
+
+        def flush():
+            found = Counter()
+            for blank, units in zip((True, False), held):
+                for unit, n in units.items():
+                    for key in counter.pretokens(unit, blank):
+                        found[key] += n
+                units.clear()
+            return pa.RecordBatch.from_arrays([pa.array(list(found), type=pa.string()), pa.array(list(found.values()), type=pa.int64())], schema=seen_schema)
+
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                held.update(counter.pieces(text))
-                if len(held) >= HELD:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(held)), pa.array(list(held.values()), type=pa.int64())], schema=seen_schema)
-                    held.clear()
-        yield pa.RecordBatch.from_arrays([pa.array(list(held), type=pa.string()), pa.array(list(held.values()), type=pa.int64())], schema=seen_schema)
+                for units, more in zip(held, counter.units(text)):
+                    units.update(more)
+                if len(held[0]) + len(held[1]) >= HELD:
+                    yield flush()
+        yield flush()
 
     counted_schema = pa.schema([("pretoken", pa.string()), ("n", pa.int64()), ("n_pieces", pa.int32())])
 
@@ -102,24 +122,41 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 512) -> DataFram
 
     seen = slim.select("text").mapInArrow(distinct, "pretoken string, n long").groupBy("pretoken").agg(F.sum("n").alias("n"))
     pieces = scratch.save(seen.mapInArrow(count, "pretoken string, n long, n_pieces int"), "pieces")
-    top = pieces.where((F.octet_length("pretoken") <= COMMON_BYTES) & (F.col("n") > 1)).orderBy(F.desc("n"), "pretoken").limit(COMMON).select("pretoken", "n_pieces").toArrow()
+    # The most frequent ones: bins of a sixteenth of a doubling tell from which frequency on they fit the list.
+    short = pieces.where(F.octet_length("pretoken") <= COMMON_BYTES)
+    least, total = 2.0, 0
+    for r in short.where("n > 1").groupBy(F.floor(F.log2("n") * 16).alias("bin")).agg(F.count("*").alias("m")).orderBy(F.desc("bin")).collect():
+        total += r.m
+        if total > COMMON:
+            least = 2.0 ** ((r.bin + 1) / 16)
+            break
+    top = short.where(F.floor(F.log2("n") * 16) >= round(16 * math.log2(least))).select("pretoken", "n_pieces").toArrow()
     sent = spark.sparkContext.broadcast((top.column(0).to_pylist(), top.column(1).to_pylist()))
     part_schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("pretoken", pa.string()), ("times", pa.int64())])
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """For each document one row with what the common list answers, then one for each other pre-token."""
-        counter, known = opened(kind, content), dict(zip(*sent.value))
+        counter, known, memo = opened(kind, content), dict(zip(*sent.value)), ({}, {})
         for batch in batches:
             out = [[] for _ in part_schema]
             for row, doc_id, text in zip(*(c.to_pylist() for c in batch.columns)):
-                done, rest = 0, []
-                for key, times in Counter(counter.pieces(text)).items():
-                    n = known.get(key)
-                    if n is None:
-                        rest.append((row, doc_id, None, 0, key, times))
-                    else:
-                        done += n * times
-                for values in ((row, doc_id, len(text.encode()), done, None, 0), *rest):
+                done, rest = 0, {}
+                for blank, found, units in zip((True, False), memo, counter.units(text)):
+                    if len(found) >= HELD:
+                        found.clear()
+                    for unit, times in Counter(units).items():
+                        answer = found.get(unit)
+                        if answer is None:
+                            keys = counter.pretokens(unit, blank)
+                            n = sum(known.get(k, 0) for k in keys)
+                            answer = found[unit] = n if (open_ := tuple(k for k in keys if k not in known)) == () else (n, open_)
+                        if type(answer) is int:
+                            done += answer * times
+                        else:
+                            done += answer[0] * times
+                            for key in answer[1]:
+                                rest[key] = rest.get(key, 0) + times
+                for values in ((row, doc_id, len(text.encode()), done, None, 0), *((row, None, None, 0, key, times) for key, times in rest.items())):
                     for column, value in zip(out, values):
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(v, type=f.type) for v, f in zip(out, part_schema)], schema=part_schema)
