@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, embedding_join, html_extract, line_dedup, minhash, mixing, nbsvm, quality_rules, token_counts, token_store
-from .common import Scratch, documents, limit_batches
+from .common import Scratch, documents
+from .sql import ORACLES  # noqa: F401
 
 
 def _tokenizer(name: str) -> str:
