@@ -31,6 +31,6 @@ def query(name: str, sql: str | None = None):
 
 
 def load() -> tuple[dict, dict]:
-    from . import analytics, building, graphs, relational  # noqa: F401
+    from . import analytics, building, graphs, relational, reports  # noqa: F401
 
     return QUERIES, ORACLES
