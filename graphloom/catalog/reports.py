@@ -8,6 +8,7 @@ from ..operators import analytics, indexes, quality, reports, search
 from ..sources.derived import part_graph, part_nodes, table
 from ..sources.store import from_payload
 from . import GRAPH, NODES, PAIRS, query
+from .building import GRAMS
 
 C = F.col
 URLS = "u AS (SELECT page_id, trim(regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', ''), '/') AS path FROM pages)"
@@ -94,6 +95,6 @@ def search_names(spark, d):
     return part_nodes(spark, d).where(C("name").ilike("%Widget%") & C("node_type").isin("class", "function")).select("id", "name")
 
 
-@query("fuzzy_35", None)
+@query("fuzzy_35", f"WITH t AS (SELECT p_partkey, {GRAMS.format('p_name')} AS a, {GRAMS.format(chr(39) + 'smal rings' + chr(39))} AS b FROM part), s AS (SELECT p_partkey, len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) AS x FROM t) SELECT p_partkey AS id, ROUND(x, 6) AS similarity FROM s WHERE x >= 0.35")
 def fuzzy_35(spark, d):
     return search.fuzzy(part_nodes(spark, d), "smal rings", 0.35).select("id", F.round("similarity", 6).alias("similarity"))
