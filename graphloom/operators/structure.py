@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,17 +14,45 @@ from ..graph import Graph
 from ..scratch import Scratch
 from .traversal import walk
 
+#: Graphs of up to so many steps are labelled by one task, larger ones in rounds of joins.
+ONE_TASK = 200_000
+
+
+def _label_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Smallest node of each group, over all edges at once."""
+    table = pa.Table.from_batches(list(batches))
+    if not len(table):
+        return
+    ends = pa.concat_arrays([table.column(k).combine_chunks() for k in (0, 1)])
+    known = ends.unique().sort()
+    place = pa.compute.index_in(ends, known).to_numpy()
+    a, b = place[: len(table)], place[len(table) :]
+    label = np.arange(len(known))
+    while True:
+        low, new = np.minimum(label[a], label[b]), label.copy()
+        for at in (a, b, label[a], label[b]):
+            np.minimum.at(new, at, low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    yield pa.RecordBatch.from_arrays([known, known.take(pa.array(label))], names=["node", "component"])
+
 
 def weak_components(graph: Graph) -> DataFrame:
     """(node, component) for every node: the smallest id that edges connect it with, in either direction.
 
-    Labels are lowered to the smallest one among the neighbours and then to their label's own label, so that their
+    A graph of up to ONE_TASK steps is labelled in one task. Beyond that, labels are lowered to the smallest one among the neighbours and then to their label's own label, so that their
     reach doubles; a round is two joins.
     """
     scratch = Scratch(graph.edges.sparkSession, "components")
     ends = graph.edges.select("src", "dst").where("src <> dst")
     steps = scratch.save(ends.union(ends.select("dst", "src")).distinct(), "steps")
     ids = graph.nodes.select(F.col("id").alias("node")).union(steps.select("src")).distinct()
+    if steps.count() <= ONE_TASK:
+        kind = steps.schema["src"].dataType.simpleString()
+        found = steps.where("src < dst").coalesce(1).mapInArrow(_label_all, f"node {kind}, component {kind}")
+        return ids.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
     label, n = scratch.save(ids.select("node", F.col("node").alias("component")), "0"), 0
     while True:
         low = steps.join(label, steps["dst"] == label["node"]).groupBy(F.col("src").alias("node")).agg(F.min("component").alias("near"))

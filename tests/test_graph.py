@@ -75,13 +75,15 @@ def test_pipeline_of_steps(spark):
     assert pairs(traversal.path_expand(g, one, 2), "id") == {("1",), ("2",), ("3",)}
 
 
-def test_long_graph(spark):
+def test_long_graph(spark, monkeypatch):
     n = 300
     e = spark.range(n - 1).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"), F.lit("IMPORTS").alias("type")).union(spark.range(n - 5).select("id", F.col("id") + 5, F.lit("CALLS")))
     g = Graph(spark.range(n), e)
     got = {r.node: r.depth for r in traversal.bfs(g, 0, max_depth=12).collect()}
     assert all(d == k // 5 + k % 5 for k, d in got.items()) and len(got) == sum(k // 5 + k % 5 <= 12 for k in range(n))
     assert structure.weak_components(g).select("component").distinct().count() == 1
+    monkeypatch.setattr(structure, "ONE_TASK", 0)
+    assert structure.weak_components(g).select("component").distinct().count() == 1
 
 
 def test_indexes(spark):
