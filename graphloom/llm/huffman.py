@@ -6,6 +6,8 @@ import numpy as np
 
 #: A bit offset is kept for every so many ids of a block.
 STRIDE = 256
+#: Ids that are coded at a time; a multiple of STRIDE.
+CHUNK = 1 << 14
 
 
 def code_lengths(counts: np.ndarray, limit: int = 16) -> np.ndarray:
@@ -52,24 +54,31 @@ class Codebook:
         self.codes[order] = (starts >> (self.bits - self.lengths[order].astype(np.int64))).astype(np.uint64)
         self.symbol = np.zeros(1 << self.bits, dtype=np.uint32)
         self.symbol[: int(spans.sum())] = np.repeat(order, spans)
-        self.taken = np.zeros(1 << self.bits, dtype=np.int64)
-        self.taken[: int(spans.sum())] = np.repeat(self.lengths[order].astype(np.int64), spans)
+        self.taken = np.zeros(1 << self.bits, dtype=np.uint8)
+        self.taken[: int(spans.sum())] = np.repeat(self.lengths[order], spans)
 
     def encode(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
         """The bit stream, and the bit offset of every STRIDE-th id."""
         if not len(ids):
             return b"", np.zeros(0, dtype=np.int64)
-        lengths = self.lengths[ids].astype(np.int64)
-        if not lengths.all():
-            raise ValueError("an id without a code")
-        ends = np.cumsum(lengths)
-        at = ends - lengths
-        word, shift = at >> 5, at & 31
-        value = self.codes[ids] << (64 - lengths - shift).astype(np.uint64)
-        size = int(ends[-1] + 31 >> 5) + 1
-        words = np.bincount(word, (value >> np.uint64(32)).astype(np.float64), size)
-        words += np.bincount(word + 1, (value & np.uint64(0xFFFFFFFF)).astype(np.float64), size)
-        return words.astype(np.uint64).astype(">u4").tobytes(), at[::STRIDE]
+        checkpoints = np.zeros(-(-len(ids) // STRIDE), dtype=np.int64)
+        words = np.zeros((len(ids) * self.bits >> 5) + 3, dtype=np.float64)
+        bit = 0
+        for at in range(0, len(ids), CHUNK):  # chunks keep the working arrays in the processor's cache
+            part = ids[at : at + CHUNK]
+            lengths = self.lengths[part].astype(np.int64)
+            if not lengths.all():
+                raise ValueError("an id without a code")
+            ends = np.cumsum(lengths)
+            start = ends - lengths + (bit & 31)
+            value = self.codes[part] << (64 - lengths - (start & 31)).astype(np.uint64)
+            word, first = start >> 5, bit >> 5
+            size = int(word[-1]) + 2
+            words[first : first + size] += np.bincount(word, (value >> np.uint64(32)).astype(np.float64), size)
+            words[first + 1 : first + 1 + size] += np.bincount(word, (value & np.uint64(0xFFFFFFFF)).astype(np.float64), size)
+            checkpoints[at // STRIDE : at // STRIDE + -(-len(part) // STRIDE)] = start[::STRIDE] - (bit & 31) + bit
+            bit += int(ends[-1])
+        return words[: (bit + 31 >> 5) + 1].astype(np.uint64).astype(">u4").tobytes(), checkpoints
 
     def decode(self, payload: bytes, n: int, checkpoints: np.ndarray) -> np.ndarray:
         """All stretches between checkpoints advance together, one id each a step."""

@@ -36,7 +36,7 @@ def _raw_blocks(vocabulary: bytes, end_id: int, block_ids: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = opened(JsonEncoder, vocabulary)
-        shard, end = TaskContext.get().partitionId(), np.array([end_id], dtype="<u4").tobytes()
+        shard, end = TaskContext.get().partitionId(), np.array([end_id], dtype="<u4")
         size = max(encode.tokenizer.get_vocab_size(with_added_tokens=True), end_id + 1)
         kind = "<u2" if size <= 1 << 16 else "<u4"
         counts = np.zeros(size, dtype=np.int64)
@@ -44,21 +44,21 @@ def _raw_blocks(vocabulary: bytes, end_id: int, block_ids: int):
 
         def close():
             nonlocal held, docs, n, block, first
-            ids = np.frombuffer(b"".join(held), dtype="<u4")
+            ids = np.concatenate(held)
             counts[:] += np.bincount(ids, minlength=size)
             row = [shard, block, first, n, ids.astype(kind).tobytes(), *([d[k] for d in docs] for k in range(4)), None, None]
             held, docs, n, block, first = [], [], 0, block + 1, first + n
             return pa.RecordBatch.from_arrays([pa.array([v], type=f.type) for v, f in zip(row, schema)], schema=schema)
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = encode(text) + end
-                of = -(-len(ids) // (4 * block_ids))
+            for doc_id, own in zip(batch.column(0).to_pylist(), map(encode, batch.column(1).to_pylist())):
+                ids = np.append(np.frombuffer(own, dtype="<u4"), end)
+                of = -(-len(ids) // block_ids)
                 for k in range(of):
-                    piece = ids[4 * block_ids * k : 4 * block_ids * (k + 1)]
+                    piece = ids[block_ids * k : block_ids * (k + 1)]
                     held.append(piece)
-                    docs.append((doc_id, len(piece) // 4, k, of))
-                    n += len(piece) // 4
+                    docs.append((doc_id, len(piece), k, of))
+                    n += len(piece)
                     if n >= block_ids:
                         yield close()
         if docs:
@@ -142,10 +142,12 @@ def read_token_store(spark: SparkSession, path: str) -> DataFrame:
         bases.append((r.shard, base))
         base += r.n_ids
     blocks = spark.read.parquet(f"{path}/blocks")
-    parts = blocks.mapInArrow(_unpack(bytes(book.lengths)), _DOC)
     starts = spark.createDataFrame(bases, "shard int, base long")
-    whole = parts.where("of = 1").select("doc_id", "shard", "at", "n_tokens", "ids_crc32", "ids")
-    return whole.unionByName(_joined(parts.where("of > 1"), book.block_ids)).join(F.broadcast(starts), "shard").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", "ids")
+    whole = blocks.mapInArrow(_unpack(bytes(book.lengths)), _DOC).where("of = 1").select("doc_id", "shard", "at", "n_tokens", "ids_crc32", "ids")
+    # Only blocks that hold pieces of a longer document are read for those.
+    pieces = blocks.where(F.array_max("of") > 1).mapInArrow(_unpack(bytes(book.lengths)), _DOC).where("of > 1")
+    both = whole.unionByName(_joined(pieces, book.block_ids)).join(F.broadcast(starts), "shard")
+    return both.select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", "ids")
 
 
 def _joined(parts: DataFrame, block_ids: int) -> DataFrame:
