@@ -64,8 +64,10 @@ def _is_side(tag: str, attributes: str, in_article: bool) -> bool:
         name = name.lower()
         if hidden or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
             return True
-        if name in ("class", "id", "role") and any(x.lower() in SIDE_NAMES for x in _NAME.findall(value)):
-            return True
+        if name in ("class", "id", "role"):
+            found = {x.lower() for x in _NAME.findall(value)} & SIDE_NAMES
+            if found - {"header"} or found and not in_article:  # an article may have a header of its own
+                return True
     return False
 
 

@@ -10,15 +10,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import limit_batches
+from .words import word_hashes
 
 #: Labelled rows that the model is fitted on at most: those with the smallest hash of their doc_id.
 SAMPLE = 10_000
 BUCKETS_LOG2 = 18
 THRESHOLD = 0.3
+#: The bucket of a word that follows itself twice; no byte trigram counts there.
+SAME_WORD = np.int32((1 << BUCKETS_LOG2) - 1)
 
 
 class Grams:
-    """Distinct byte trigrams of a whole text, hashed to 2^18 buckets."""
+    """Distinct byte trigrams of a whole text, hashed to 2^18 buckets, and one word trigram: the same word three times."""
 
     def __init__(self):
         self.last = np.zeros(1 << BUCKETS_LOG2, dtype=np.int32)
@@ -31,7 +34,11 @@ class Grams:
         code = (code * np.uint32(2654435761) >> np.uint32(32 - BUCKETS_LOG2)).astype(np.int32)
         place = np.arange(len(code), dtype=np.int32)
         self.last[code] = place  # the last place of each code stays
-        return code[self.last[code] == place]
+        code = code[self.last[code] == place]
+        words = word_hashes(text.encode())[0]
+        if ((words[2:] == words[1:-1]) & (words[1:-1] == words[:-2])).any():
+            return np.append(code[code != SAME_WORD], SAME_WORD)
+        return code[code != SAME_WORD]
 
 
 def log_count_ratio(rows: list[np.ndarray], labels: np.ndarray, smooth: float = 1.0) -> np.ndarray:
