@@ -274,6 +274,7 @@ def test_html():
     assert html_extract.main_text(page) == "A title & more\nFirst bold text\nShort.\nThe last paragraph of the text is long enough to be one that the rules keep by their own. ©"
     for broken in ("", "<", "<p", "<p>&am", "<div class='ad", "<!-- x", "<script>", "a < b", "</p></div>", "<article><p>x", "<a href=\"x>y</a>"):
         assert isinstance(html_extract.main_text(broken), str)
+    assert html_extract.main_text("<div class='site-header'>x</div><article><div class='post-header'><h1>Title</h1></div><p>Text</p></article>") == "Title\nText"
     assert html_extract.main_text("<div class=ad>x<article><p>Text after an element left open</p></article>") == "Text after an element left open"
 
 
@@ -297,9 +298,13 @@ def test_pages(spark):
 
 def test_grams():
     g = nbsvm.Grams()
-    for text in ("", "ab", "abc", "abcabcabd", "ééé\U0001f642 x" * 50):
+    for text in ("", "ab", "abc", "abcabcabd", "ééé\U0001f642 x" * 50, "no no no", "no no yes no"):
         raw = text.encode()
         want = {((raw[k] | raw[k + 1] << 8 | raw[k + 2] << 16) * 2654435761 % 2**32) >> (32 - nbsvm.BUCKETS_LOG2) for k in range(len(raw) - 2)}
+        want.discard(int(nbsvm.SAME_WORD))
+        words = text.split()
+        if any(words[k] == words[k + 1] == words[k + 2] for k in range(len(words) - 2)):
+            want.add(int(nbsvm.SAME_WORD))
         got = g.of(text).tolist()
         assert len(got) == len(set(got)) and set(got) == want
 
