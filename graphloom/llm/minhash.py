@@ -2,9 +2,14 @@
 
 Every distinct set of word shingles is hashed once into bins; empty bins borrow from a bin that their own probe
 order finds first (optimal densification). Bands of bins are bucket keys. In each bucket one document, the hub, is
-paired with all others, a star, and the pairs are confirmed on the full sets. Where a bucket still holds several
-components, further hubs are paired with those members that aren't connected to them, four times as many in each round,
-until every pair of a bucket is connected or has been compared: no link between bucket members is lost.
+paired with all others, a star, and the pairs are confirmed on the full sets.
+
+A star may leave several components in a bucket: copies of copies, or texts that merely share a passage. Of such buckets
+those documents are set aside that have so many shingles which no other one has that none can reach the limit with
+them. The rest is resolved in two rounds: first two further hubs for each bucket, then all members outside its largest
+component are compared with all those that they aren't connected to. No link between bucket members is lost: pairs are
+left out only where a bound shows that they cannot reach the limit, or where sketches of 8,192 bits differ in more
+places than those of a pair at the limit do, by more than five standard deviations.
 """
 
 from __future__ import annotations
@@ -22,9 +27,16 @@ from .components import components
 from .words import mixed, windows, word_hashes
 
 WORDS = 5
-#: A pair at the similarity limit of 0.75 shares no bucket with probability (1 - 0.75^5)^48, about 2e-6.
-BANDS, ROWS = 48, 5
-BINS = BANDS * ROWS
+#: Bands, and bins in a band. A pair at the similarity limit of 0.75 shares no bucket with probability
+#: (1 - 0.75^5)^48, about 2e-6.
+LAYOUT = (48, 5)
+#: Bits of a sketch, each of one bin's smallest hash, and the most in which the sketches of a pair may differ. A pair at
+#: the limit differs in 1,024 on average, with a standard deviation of 30.
+BITS, MOST = 8192, 1190
+#: Further hubs of a bucket in the first round.
+HUBS = 2
+#: Probes of an empty bin before its order over all filled bins decides.
+PROBES = 48
 #: Percent of the union that the intersection must reach.
 LEAST = 75
 
@@ -42,29 +54,49 @@ def shingle_set(text: str, words: int = WORDS) -> np.ndarray:
 class OneHash:
     """Bins by the leading part of the hash, so that the sorted set has each bin's smallest hash first."""
 
-    def __init__(self):
-        self.bounds = np.array([(k << 64) // BINS for k in range(BINS)], dtype=np.uint64)
-        k = np.arange(BINS * BINS, dtype=np.uint64).reshape(BINS, BINS)
-        self.probe = mixed(k + np.uint64(0xD1B54A32D192ED03))  # the probe order of each bin over all bins
-        self.salt = mixed(np.arange(BANDS, dtype=np.uint64) + np.uint64(0x8CB92BA72F3D8DD7))
-
-    def bands(self, shingles: np.ndarray) -> np.ndarray:
+    def __init__(self, bands: int, rows: int):
+        self.shape, n = (bands, rows), bands * rows
+        seed = mixed(np.array([n], dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))[0]
+        self.seed, self.bounds = seed, np.array([(k << 64) // n for k in range(n)], dtype=np.uint64)
+        each = mixed(np.arange(PROBES * n, dtype=np.uint64) ^ seed).reshape(PROBES, n)
+        self.probes = (each % np.uint64(n)).astype(np.int64)
+        self.rank = mixed(np.arange(n, dtype=np.uint64) + seed)
+        self.salt = mixed(np.arange(bands, dtype=np.uint64) + mixed(seed[None])[0])
+
+    def smallest(self, shingles: np.ndarray) -> np.ndarray:
+        """The smallest hash of each bin, borrowed for empty ones."""
+        shingles = np.sort(mixed(shingles ^ self.seed))
         first = np.searchsorted(shingles, self.bounds)
         full = np.append(first[1:], len(shingles)) > first
-        filled, empty = np.flatnonzero(full), np.flatnonzero(~full)
-        source = np.arange(BINS)
+        source, empty = np.arange(len(full)), np.flatnonzero(~full)
+        for probe in self.probes:
+            if not len(empty):
+                break
+            to = probe[empty]
+            hit = full[to]
+            source[empty[hit]] = to[hit]
+            empty = empty[~hit]
         if len(empty):
-            source[empty] = filled[np.argmin(self.probe[np.ix_(empty, filled)], axis=1)]
-        values = mixed(shingles[first[source]]).reshape(BANDS, ROWS)
+            filled = np.flatnonzero(full)
+            source[empty] = filled[np.argmin(mixed(self.rank[empty][:, None] ^ self.rank[filled][None, :]), axis=1)]
+        return shingles[first[source]]
+
+    def sketch(self, shingles: np.ndarray) -> np.ndarray:
+        """One bit of each bin, which depends on the bin and its smallest hash."""
+        bits = (mixed(self.smallest(shingles) ^ self.rank) >> np.uint64(63)).astype(np.uint8)
+        return np.packbits(bits).view("<i8")
+
+    def bands(self, shingles: np.ndarray) -> np.ndarray:
+        values = mixed(self.smallest(shingles)).reshape(self.shape)
         out = self.salt.copy()
-        for k in range(ROWS):
+        for k in range(self.shape[1]):
             out = mixed(out ^ values[:, k]) * np.uint64(0x9E3779B97F4A7C15)
         return out.astype(np.int64)
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    one = OneHash()
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64()))])
+    one = OneHash(*LAYOUT)
     for batch in batches:
         sizes, digests, bands = [], [], []
         for text in batch.column(1).to_pylist():
@@ -75,6 +107,22 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, type=pa.int64()), pa.array(digests, type=pa.binary()), pa.array(bands, type=pa.list_(pa.int64()))], schema=schema)
 
 
+_SIGNATURE = "doc_id long, n_shingles long, digest binary, bands array<long>"
+
+
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [shingle_set(x or "").view(np.int64) for x in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in found], type=pa.int64()), pa.array(found, type=pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "shingles"])
+
+
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    bits = OneHash(1, BITS)
+    for batch in batches:
+        sketches = [bits.sketch(np.array(x, dtype=np.int64).view(np.uint64)) for x in batch.column("shingles").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("shared"), pa.array(sketches, type=pa.list_(pa.int64()))], names=["rep", "shared", "sketch"])
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The set of each document, once for each hub that it is compared with (its own id: as a hub)."""
     schema = pa.schema([("hub", pa.int64()), ("doc_id", pa.int64()), ("shingles", pa.binary())])
@@ -112,6 +160,25 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, scratch: Scratch, name: str) -
     return out
 
 
+def _members(signatures: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """(bucket, rep, n, hub) of the buckets that more than one document is in; the hub is the smallest."""
+    rows = scratch.save(signatures.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket")), f"{name}-bands")
+    shared = rows.groupBy("bucket").agg(F.min("rep").alias("hub"), F.max("rep").alias("top")).where("hub < top").select("bucket", "hub")
+    members = scratch.save(rows.join(shared, "bucket").select("bucket", "rep", "n", "hub"), f"{name}-members")
+    del rows, shared
+    scratch.drop(f"{name}-bands")
+    release_shuffles(scratch.spark)
+    return members
+
+
+def _open_buckets(members: DataFrame, found: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """(bucket, rep, n, c) of the buckets whose members are in several components."""
+    labelled = members.select("bucket", "rep", "n").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", "n", F.coalesce("component", "rep").alias("c"))
+    labelled = scratch.save(labelled, f"{name}-labelled")
+    several = labelled.groupBy("bucket").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("bucket")
+    return labelled.join(several, "bucket")
+
+
 def near_documents(docs: DataFrame) -> DataFrame:
     """``docs(doc_id, text)`` to doc_id, n_shingles, component_id, kept; one row for each input row.
 
@@ -124,38 +191,44 @@ def near_documents(docs: DataFrame) -> DataFrame:
     limit_batches(spark)
     scratch = Scratch(spark, "near-documents")
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = scratch.save(slim.mapInArrow(_signatures, "doc_id long, n_shingles long, digest binary, bands array<long>"), "rows")
+    rows = scratch.save(slim.mapInArrow(_signatures, _SIGNATURE), "rows")
     usable = rows.where("doc_id is not null and n_shingles > 0")
-    classes = usable.groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    classes = scratch.save(classes, "classes")
-    reps = usable.join(classes.select(F.col("digest"), F.col("rep").alias("doc_id")), ["digest", "doc_id"], "left_semi").select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
-    reps = scratch.save(reps, "reps")
-    shared = reps.groupBy("bucket").agg(F.min("rep").alias("hub"), F.max("rep").alias("top")).where("hub < top").select("bucket", "hub")
-    members = scratch.save(reps.join(shared, "bucket").select("bucket", "rep", "n", "hub"), "members")
-    scratch.drop("reps")
-    del shared, reps
-    release_shuffles(spark)
+    classes = scratch.save(usable.groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
+    members = _members(usable.join(classes.select("digest", F.col("rep").alias("doc_id")), ["digest", "doc_id"], "left_semi"), scratch, "first")
     edges = _confirmed(slim, members.where("rep > hub").select("hub", F.col("rep").alias("doc_id")).distinct(), scratch, "star")
-    low, high, found = 0, 1, scratch.save(components(edges, scratch, "cc"), "components")
-    while True:
-        labelled = members.select("bucket", "rep", "n").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", "n", F.coalesce("component", "rep").alias("c"))
-        labelled = scratch.save(labelled, f"labelled-{low}")
-        mixed_up = labelled.groupBy("bucket").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("size")).where("c0 < c1").where(F.col("size") > low).select("bucket")
-        order = Window.partitionBy("bucket").orderBy(F.xxhash64("rep"), "rep")
-        ranked = scratch.save(labelled.join(mixed_up, "bucket").withColumn("rank", F.row_number().over(order)), f"ranked-{low}")
-        largest = ranked.agg(F.max("rank")).first()[0]
-        if largest is None or low >= largest:
-            break
-        hubs = ranked.where((F.col("rank") > low) & (F.col("rank") <= high)).select("bucket", F.col("rep").alias("hub"), F.col("n").alias("hub_n"), F.col("c").alias("hub_c"), F.col("rank").alias("hub_rank"))
-        near = (100 * F.least("n", "hub_n") >= LEAST * F.greatest("n", "hub_n")) & (F.col("rank") > F.col("hub_rank")) & (F.col("c") != F.col("hub_c"))
-        pairs = scratch.save(ranked.join(hubs, "bucket").where(near).select(F.least("hub", "rep").alias("hub"), F.greatest("hub", "rep").alias("doc_id")).distinct(), f"pairs-{low}")
-        if not pairs.isEmpty():
-            more = _confirmed(slim, pairs, scratch, f"round-{low}")
-            if not more.isEmpty():
-                edges = scratch.save(edges.union(more), f"edges-{low}")
-                found = scratch.save(components(edges, scratch, f"cc-{low}"), f"components-{low}")
-        scratch.drop(f"labelled-{low}", f"ranked-{low}", f"pairs-{low}")
-        low, high = high, 4 * high + 1
+    found = scratch.save(components(edges, scratch, "cc"), "components")
+    # What the stars have left in several components.
+    again = scratch.save(_open_buckets(members, found, scratch, "first").select(F.col("rep").alias("doc_id")).distinct(), "again")
+    sets = scratch.save(slim.join(again, "doc_id", "left_semi").mapInArrow(_shingles, "doc_id long, n_shingles long, shingles array<long>").dropDuplicates(["doc_id"]), "sets", codec="none")
+    alone = sets.select("doc_id", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("m"), F.min("doc_id").alias("doc_id")).where("m = 1").groupBy("doc_id").agg(F.count("*").alias("alone"))
+    shared = F.col("n_shingles") - F.coalesce("alone", F.lit(0))
+    able = sets.join(alone, "doc_id", "left").withColumn("shared", shared).where(100 * F.col("shared") >= LEAST * F.col("n_shingles"))
+    known = scratch.save(able.select(F.col("doc_id").alias("rep"), "shared", "shingles").mapInArrow(_sketches, "rep long, shared long, sketch array<long>"), "known")
+    members = scratch.save(members.join(known.select("rep"), "rep", "left_semi"), "able")
+    scratch.drop("first-labelled", "first-members", "sets")
+    release_shuffles(spark)
+    # At most so many shingles of a pair are common.
+    common = F.least("shared", "hub_shared")
+    apart = F.aggregate(F.zip_with("sketch", "hub_sketch", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, x: s + x)
+    near = (F.col("c") != F.col("hub_c")) & (100 * common >= LEAST * (F.col("n") + F.col("hub_n") - common)) & (apart <= MOST)
+    for last in (False, True):
+        here = scratch.save(_open_buckets(members, found, scratch, f"open-{last}").join(known, "rep"), f"rows-{last}")
+        hubs = here.select("bucket", F.col("rep").alias("hub"), *(F.col(c).alias(f"hub_{c}") for c in ("n", "c", "shared", "sketch")))
+        if last:
+            # The largest component of each bucket has no hubs; a pair of hubs counts once.
+            largest = here.groupBy("bucket", "c").agg(F.count("*").alias("m")).groupBy("bucket").agg(F.max(F.struct("m", F.col("c").alias("top")))["top"].alias("top"))
+            hubs = hubs.join(largest, "bucket").where("hub_c <> top")
+            once = (F.col("c") == F.col("top")) | (F.col("rep") > F.col("hub"))
+        else:
+            order = Window.partitionBy("bucket").orderBy(F.xxhash64("hub"), "hub")
+            hubs = hubs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= HUBS)
+            once = F.col("rep") != F.col("hub")
+        pairs = scratch.save(here.join(hubs, "bucket").where(once & near).select(F.least("hub", "rep").alias("hub"), F.greatest("hub", "rep").alias("doc_id")).distinct(), f"pairs-{last}")
+        more = _confirmed(slim, pairs, scratch, f"round-{last}")
+        if not more.isEmpty():
+            edges = scratch.save(edges.union(more), f"edges-{last}")
+            found = scratch.save(components(edges, scratch, f"cc-{last}"), f"components-{last}")
+        scratch.drop(f"open-{last}-labelled", f"rows-{last}", f"pairs-{last}")
     by_doc = found.withColumnRenamed("node", "rep")
     own = classes.join(by_doc, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
     own = scratch.save(own, "own")
