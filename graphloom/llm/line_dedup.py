@@ -3,32 +3,56 @@
 A digest of whole lines finds passages that fill a line, but not those set into one. So each line is cut further, at
 places that its own words fix (a cut follows a word when the hash of the word and the one before it falls into one
 residue class): equal passages have equal units inside, wherever they stand, and an equal line has equal units
-throughout. Unit digests are grouped over the whole corpus; the occurrence in the smallest doc_id (in a document: the
-first) is the one that stays. Where units of a document that occur earlier follow each other for MIN_WORDS words or
-more, that stretch is removed and its offsets in the original text are reported.
+throughout. Digests of units, and of windows (the units from each one on that reach CONFIRM_WORDS words, and shorter whole
+lines of LINE_WORDS words or more), are grouped over the whole corpus; the occurrence in the smallest doc_id (in a document: the first) is the one that stays. Where
+units of a document that occur earlier follow each other for MIN_WORDS words or more, that stretch is a candidate. As
+short units are seen everywhere in a large corpus, it is removed only where windows that stand as a whole in one earlier
+place confirm half of it at least; what lies between or beside them stays from KEPT_WORDS words on. Offsets of what is removed in the
+original text are reported.
 """
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import Scratch, limit_batches, release_shuffles
-from .words import mixed, sums, word_hashes
+from .words import mixed, stretches, sums, word_hashes
 
 #: A cut follows one word of so many on average.
 CUT = 4
 #: Stretches of repeated units are removed from so many words on.
 MIN_WORDS = 25
+#: Windows that confirm a stretch have so many words at least.
+CONFIRM_WORDS = 12
+#: What they don't confirm stays from so many words on; less is what an edited word leaves of a passage.
+KEPT_WORDS = 16
+#: Whole lines confirm, too, of so many words at least.
+LINE_WORDS = 5
+
+
+def _runs(flags: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges [from, to) of set flags."""
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], flags.view(np.int8), [0]]))).tolist()
+    return zip(edge[::2], edge[1::2])
+
+
+def _again(digests: np.ndarray, elsewhere: np.ndarray) -> np.ndarray:
+    """Whether each digest is among those elsewhere or stands before in the same array."""
+    out = np.ones(len(digests), dtype=bool)
+    out[np.unique(digests, return_index=True)[1]] = False
+    return out | np.isin(digests, elsewhere) if len(elsewhere) else out
 
 
 class Units:
-    """Words of a text, lower-cased in A-Z and split at ASCII white space, and the units into which its lines are cut."""
+    """Words of a text, lower-cased in A-Z and split at ASCII white space, the units into which its lines are cut, and
+    the digests of both units and windows."""
 
     def __init__(self, text: str):
         self.raw = text.encode()
@@ -51,24 +75,48 @@ class Units:
         self.starts = np.zeros(len(self.ends), dtype=np.int64)
         self.starts[1:] = self.ends[:-1] + 1
         self.digests = sums(h, self.starts, self.ends - self.starts + 1).astype(np.int64)
+        last = np.searchsorted(self.ends, self.starts + CONFIRM_WORDS - 1)
+        last = last[last < len(self.ends)]
+        windows = stretches(h, self.starts[: len(last)], self.ends[last] + 1)
+        # Whole lines too short for a window.
+        to = np.flatnonzero(breaks) + 1
+        since = np.append(0, to[:-1])[: len(to)]
+        short = (to - since >= LINE_WORDS) & (to - since < CONFIRM_WORDS)
+        since, to = since[short], to[short]
+        lines = mixed(stretches(h, since, to) ^ np.uint64(1))
+        self.a = np.concatenate([np.arange(len(last)), np.searchsorted(self.starts, since)])
+        self.b = np.concatenate([last, np.searchsorted(self.ends, to - 1)]) + 1
+        self.windows = np.concatenate([windows, lines]).astype(np.int64)
 
     def repeated(self, elsewhere: np.ndarray) -> list[tuple[int, int]]:
-        """Word ranges [from, to) of stretches whose units stand in an earlier document or earlier in this one."""
+        """Word ranges [from, to) of confirmed stretches whose units stand in an earlier document or earlier in this one."""
         if not len(self.digests):
             return []
-        _, first = np.unique(self.digests, return_index=True)
-        again = np.ones(len(self.digests), dtype=bool)
-        again[first] = False
-        if len(elsewhere):
-            again |= np.isin(self.digests, elsewhere)
-        edge = np.flatnonzero(np.diff(np.concatenate([[0], again.view(np.int8), [0]])))
+        long = [(a, b) for a, b in _runs(_again(self.digests, elsewhere)) if self._words(a, b) >= MIN_WORDS]
+        if not long:
+            return []
+        held = _again(self.windows, elsewhere)
+        depth = np.zeros(len(self.ends) + 1, dtype=np.int64)
+        np.add.at(depth, self.a[held], 1)
+        np.add.at(depth, self.b[held], -1)
+        confirmed = np.cumsum(depth)[:-1] > 0
         out = []
-        for a, b in zip(edge[::2], edge[1::2]):
-            start, end = int(self.starts[a]), int(self.ends[b - 1]) + 1
-            if end - start >= MIN_WORDS:
-                out.append((start, end))
+        for a, b in long:
+            gone = confirmed[a:b].copy()
+            if gone.any():
+                for c, d in list(_runs(~gone)):
+                    gone[c:d] = self._words(a + c, a + d) < KEPT_WORDS
+            for c, d in _runs(gone):
+                c, d = a + c, a + d
+                held_words = int((self.ends - self.starts + 1)[c:d] @ confirmed[c:d])
+                if self._words(c, d) >= MIN_WORDS and 2 * held_words >= self._words(c, d):
+                    out.append((int(self.starts[c]), int(self.ends[d - 1]) + 1))
         return out
 
+    def _words(self, a: int, b: int) -> int:
+        """Words of the units [a, b)."""
+        return int(self.ends[b - 1]) + 1 - int(self.starts[a])
+
     def without(self, ranges: list[tuple[int, int]]) -> tuple[str, list[tuple[int, int]]]:
         """The text without the word ranges and the white space before them (after them at its start), and the offsets
         of what is gone, in code points."""
@@ -87,13 +135,21 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         docs, digests = [], []
         for doc_id, text in zip(*(c.to_pylist() for c in batch.columns)):
-            own = np.unique(Units(text or "").digests)
+            units = Units(text or "")
+            own = np.unique(np.concatenate([units.digests, units.windows]))
             docs.append(np.full(len(own), doc_id, dtype=np.int64))
             digests.append(own)
         if docs:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(digests)), pa.array(np.concatenate(docs))], names=["digest", "doc_id"])
 
 
+def _release(spark: SparkSession) -> None:
+    """Frees shuffle files before more are written: Python hands its references back in the background, so a second call follows."""
+    release_shuffles(spark)
+    time.sleep(1)
+    release_shuffles(spark)
+
+
 def remove_repeats(docs: DataFrame, prefix: str = "_dedup_") -> DataFrame:
     """All rows and columns of ``docs(doc_id, text, ...)``, the text without what stands in an earlier document.
 
@@ -110,10 +166,10 @@ def remove_repeats(docs: DataFrame, prefix: str = "_dedup_") -> DataFrame:
     units = lambda: slim.mapInArrow(_digests, "digest long, doc_id long")
     firsts = units().groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("digest", "first")
     firsts = scratch.save(firsts, "firsts")
-    release_shuffles(spark)
+    _release(spark)
     again = units().join(firsts, "digest").where("first < doc_id").groupBy("doc_id").agg(F.collect_set("digest").alias("again"))
     again = scratch.save(again.select(F.col("doc_id").alias(prefix + "rank"), F.col("again").alias(prefix + "again")), "again", codec="none")
-    release_shuffles(spark)
+    _release(spark)
     joined = docs.withColumn(prefix + "key", rank).join(again, F.col(prefix + "key") == F.col(prefix + "rank"), "left").drop(prefix + "key", prefix + "rank")
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
     fields = [T.StructField(f.name, T.StringType() if f.name == "text" else f.dataType) for f in docs.schema.fields]

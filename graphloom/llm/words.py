@@ -28,6 +28,19 @@ def powers(n: int) -> np.ndarray:
     return _POWERS
 
 
+_INVERSES = np.zeros(0, dtype=np.uint64)
+
+
+def inverse_powers(n: int) -> np.ndarray:
+    """Powers, from 0 on, of the inverse of the base modulo 2^64."""
+    global _INVERSES
+    if n > len(_INVERSES):
+        base = np.full(max(2 * n, 1 << 12), pow(int(_M2 | np.uint64(1)), -1, 1 << 64), dtype=np.uint64)
+        base[0] = 1
+        _INVERSES = np.multiply.accumulate(base)
+    return _INVERSES
+
+
 def sums(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """A hash of each stretch of values; starts are ascending and stretches follow each other without gaps."""
     if not len(lengths):
@@ -36,6 +49,14 @@ def sums(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndar
     return mixed(np.add.reduceat(values * powers(int(lengths.max()))[place], starts) ^ lengths.astype(np.uint64))
 
 
+def stretches(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each stretch [start, end) of values; stretches may overlap."""
+    n = len(values)
+    sums_to = np.zeros(n + 1, dtype=np.uint64)
+    np.cumsum(values * powers(n)[:n], out=sums_to[1:])
+    return mixed((sums_to[ends] - sums_to[starts]) * inverse_powers(n + 1)[starts] ^ (ends - starts).astype(np.uint64))
+
+
 def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash, first byte and end of each word of a UTF-8 text; words end at ASCII white space."""
     b = np.frombuffer(raw, dtype=np.uint8)

@@ -523,3 +523,22 @@ def test_passage_in_lines(spark):
     for r in line_dedup.remove_repeats(table(spark, rows)).collect():
         gone = r._dedup_removed_words
         assert 60 <= gone <= 90 if r.doc_id % 3 == 0 and r.doc_id > 0 else gone == 0
+
+
+def test_common_units_stay(spark):
+    """Every unit of the last text stands in an earlier one, but no 25 words of it stand together."""
+    rng = np.random.default_rng(5)
+    words = []
+    while len(words) < 200:  # no unit is longer than six words
+        more = [*words, "".join(rng.choice(list("abcdefghij"), 6))]
+        own = line_dedup.Units(" ".join(more))
+        words = more if max(own.ends - own.starts) < 6 else words[:-1]
+    clean = " ".join(words)
+    own = line_dedup.Units(clean)
+    lines = [" ".join(words[s : e + 1]) for s, e in zip(own.starts, own.ends)]
+    # Each unit in a document of its own, behind the two words before it, as they decide where it begins.
+    rows = [(k, f"{' '.join(words[max(s - 2, 0) : s])} {line}\nend {k}", "s") for k, (s, line) in enumerate(zip(own.starts.tolist(), lines))]
+    rows.append((1000, clean, "s"))
+    assert dict(brute_repeats([(i, t) for i, t, _ in rows]))[1000] > 150  # by single units nearly all would go
+    found = {r.doc_id: r for r in line_dedup.remove_repeats(table(spark, rows)).collect()}
+    assert found[1000].text == clean and found[1000]._dedup_removed_words == 0
