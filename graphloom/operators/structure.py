@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -97,12 +98,63 @@ def _trimmed(edges: DataFrame, scratch: Scratch) -> DataFrame:
         left = scratch.save(left.join(has_in, "src", "left_semi").join(has_out, "dst", "left_semi"), f"trim-{n}")
 
 
+def _in_cycles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Nodes of the strongly connected components of more than one node and nodes with a loop, over all edges at once."""
+    batches = list(batches)
+    if not batches:
+        return
+    table = pa.Table.from_batches(batches)
+    ends = pa.concat_arrays([table.column(k).combine_chunks() for k in (0, 1)])
+    known = ends.unique()
+    place = pa.compute.index_in(ends, known).to_numpy()
+    a, b = place[: len(table)], place[len(table) :]
+    order = np.argsort(a, kind="stable")
+    to = b[order].tolist()
+    begin = np.searchsorted(a[order], np.arange(len(known) + 1)).tolist()
+    found = np.zeros(len(known), dtype=bool)
+    found[a[a == b]] = True
+    # Tarjan's algorithm with a stack of its own: number is 0 for new nodes, -1 for nodes of finished components.
+    number, low, at, count, open_nodes = [0] * len(known), [0] * len(known), begin[:-1], 0, []
+    for root in range(len(known)):
+        path = [] if number[root] else [root]
+        while path:
+            v = path[-1]
+            if not number[v]:
+                count += 1
+                number[v] = low[v] = count
+                open_nodes.append(v)
+            if at[v] < begin[v + 1]:
+                w = to[at[v]]
+                at[v] += 1
+                if not number[w]:
+                    path.append(w)
+                elif number[w] > 0:
+                    low[v] = min(low[v], number[w])
+                continue
+            path.pop()
+            if path:
+                low[path[-1]] = min(low[path[-1]], low[v])
+            if low[v] == number[v]:
+                members = []
+                while not members or members[-1] != v:
+                    members.append(open_nodes.pop())
+                    number[members[-1]] = -1
+                if len(members) > 1:
+                    found[members] = True
+    yield pa.RecordBatch.from_arrays([known.filter(pa.array(found))], names=["node"])
+
+
 def cycle_nodes(edges: DataFrame) -> DataFrame:
-    """(node) of every node that reaches itself: among what trimming leaves, nodes on no cycle lie between cycles."""
+    """(node) of every node that reaches itself: among what trimming leaves, nodes on no cycle lie between cycles.
+
+    Up to ONE_TASK edges left are judged in one task. Beyond that every node walks until it reaches nothing new, however long its cycle is.
+    """
     scratch = Scratch(edges.sparkSession, "cycles")
     left = _trimmed(edges, scratch)
+    if left.count() <= ONE_TASK:
+        return left.coalesce(1).mapInArrow(_in_cycles, f"node {left.schema['src'].dataType.simpleString()}")
     steps = left.select(F.col("src").alias("at"), F.col("dst").alias("to"), F.lit(0).alias("ordinal"))
-    found = walk(steps, left.select(F.col("src").alias("source"), F.col("dst").alias("node")).distinct())
+    found = walk(steps, left.select(F.col("src").alias("source"), F.col("dst").alias("node")).distinct(), max_depth=sys.maxsize - 1)
     return found.where("source = node").select("node").distinct()
 
 

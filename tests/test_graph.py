@@ -212,3 +212,13 @@ def test_search(spark):
     found = {r.id: r.score for r in search.resolve(g, "login").collect()}
     assert found["1"] == 100.0 and found["3"] == 20.0
     assert search.graded(nodes, "pay").first().grade == 100
+
+
+@pytest.mark.parametrize("limit", [structure.ONE_TASK, 0])
+def test_long_cycle(spark, monkeypatch, limit):
+    """A ring with a loop behind it and a bridge between: short where walks are by joins, else longer than any default depth."""
+    monkeypatch.setattr(structure, "ONE_TASK", limit)
+    n = 200 if limit else 6
+    links = [(k, (k + 1) % n) for k in range(n)] + [(3, 1000), (1000, 1001), (1001, 1001), (1001, 1002)]
+    found = structure.cycle_nodes(spark.createDataFrame(links, "src long, dst long"))
+    assert sorted(r.node for r in found.collect()) == [*range(n), 1001]
