@@ -1,14 +1,15 @@
-"""Removal of repeated passages by hashed line units (operator 10).
-
-A digest of whole lines finds passages that fill a line, but not those set into one. So each line is cut further, at
-places that its own words fix (a cut follows a word when the hash of the word and the one before it falls into one
-residue class): equal passages have equal units inside, wherever they stand, and an equal line has equal units
-throughout. Digests of units, and of windows (the units from each one on that reach CONFIRM_WORDS words, and shorter whole
-lines of LINE_WORDS words or more), are grouped over the whole corpus; the occurrence in the smallest doc_id (in a document: the first) is the one that stays. Where
-units of a document that occur earlier follow each other for MIN_WORDS words or more, that stretch is a candidate. As
-short units are seen everywhere in a large corpus, it is removed only where windows that stand as a whole in one earlier
-place confirm half of it at least; what lies between or beside them stays from KEPT_WORDS words on. Offsets of what is removed in the
-original text are reported.
+"""Removal of repeated lines and passages by global digests (operator 10).
+
+The unit is the line: its words, lower-cased in A-Z and joined by one blank. Digests of lines of LINE_WORDS words or more
+are grouped over the whole corpus; the occurrence in the document of the smallest rank (there: the first) stays, all
+others go with their words' offsets on record. Shorter lines always stay.
+
+Passages set into a line share no line digest, so windows are units too: from places that the words themselves fix (a cut
+follows a word when the hash of it and the one before falls into one residue class) to the first such place that is
+PASSAGE_WORDS words away or more. Equal passages have equal windows wherever they stand. A window is removed only where
+it stands as a whole, word for word, in one earlier document or earlier in the same one without overlap; so every removed
+word lies in an earlier line, or in a stretch of PASSAGE_WORDS words or more of one earlier place. At both ends of
+a passage up to one cut's distance (four words on average) stays.
 """
 
 from __future__ import annotations
@@ -23,105 +24,68 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import Scratch, limit_batches, release_shuffles
-from .words import mixed, stretches, sums, word_hashes
+from .words import mixed, stretches, word_hashes
 
 #: A cut follows one word of so many on average.
 CUT = 4
-#: Stretches of repeated units are removed from so many words on.
-MIN_WORDS = 25
-#: Windows that confirm a stretch have so many words at least.
-CONFIRM_WORDS = 12
-#: What they don't confirm stays from so many words on; less is what an edited word leaves of a passage.
-KEPT_WORDS = 16
-#: Whole lines confirm, too, of so many words at least.
-LINE_WORDS = 5
-
-
-def _runs(flags: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Ranges [from, to) of set flags."""
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], flags.view(np.int8), [0]]))).tolist()
-    return zip(edge[::2], edge[1::2])
-
-
-def _again(digests: np.ndarray, elsewhere: np.ndarray) -> np.ndarray:
-    """Whether each digest is among those elsewhere or stands before in the same array."""
-    out = np.ones(len(digests), dtype=bool)
-    out[np.unique(digests, return_index=True)[1]] = False
-    return out | np.isin(digests, elsewhere) if len(elsewhere) else out
+#: Least words of a window, and of a line that counts as a unit.
+PASSAGE_WORDS, LINE_WORDS = 25, 10
+#: A digest is hot when it has more than one in so many of all occurrences of repeated digests, so there are fewer hot ones
+#: than that, whatever the data. They are sent to all tasks; each of the others has few enough rows for one task. Digests
+#: with LEAST_HOT occurrences or fewer never count as hot.
+HOT, LEAST_HOT = 20_000, 1000
+#: Documents without an id rank behind all others, by a hash of their text.
+LAST = 1 << 62
 
 
 class Units:
-    """Words of a text, lower-cased in A-Z and split at ASCII white space, the units into which its lines are cut, and
-    the digests of both units and windows."""
+    """The units of a text: word ranges [a, b) in order of their places, windows first, and their digests."""
 
     def __init__(self, text: str):
         self.raw = text.encode()
         h, self.first, self.end = word_hashes(self.raw.lower())
         n = self.n_words = len(h)
-        breaks = np.zeros(n + 1, dtype=bool)
-        feeds = np.flatnonzero(np.frombuffer(self.raw, dtype=np.uint8) == 10)
-        breaks[np.searchsorted(self.first, feeds) - 1] = True  # the last word before each line feed
-        breaks[-1:] = False
-        breaks = breaks[:n]
-        breaks[n - 1 :] = True
-        before = np.zeros(n, dtype=np.uint64)
-        before[1:] = np.where(breaks[:-1], np.uint64(0), h[:-1])
-        cut = breaks | ((mixed(h + before * np.uint64(31)) >> np.uint64(40)) % np.uint64(CUT) == 0)
+        before = np.append(np.uint64(0), h[:-1])[:n]
+        cut = (mixed(h + before * np.uint64(31)) >> np.uint64(40)) % np.uint64(CUT) == 0
         # A run of one word has no place of its own inside: it is cut after every eighth.
         place = np.arange(n)
         run = np.maximum.accumulate(np.where(np.append(True, h[1:] != h[:-1])[:n], place, 0)) if n else place
         cut |= (place - run) % 8 == 7
-        self.ends = np.flatnonzero(cut)
-        self.starts = np.zeros(len(self.ends), dtype=np.int64)
-        self.starts[1:] = self.ends[:-1] + 1
-        self.digests = sums(h, self.starts, self.ends - self.starts + 1).astype(np.int64)
-        last = np.searchsorted(self.ends, self.starts + CONFIRM_WORDS - 1)
-        last = last[last < len(self.ends)]
-        windows = stretches(h, self.starts[: len(last)], self.ends[last] + 1)
-        # Whole lines too short for a window.
-        to = np.flatnonzero(breaks) + 1
-        since = np.append(0, to[:-1])[: len(to)]
-        short = (to - since >= LINE_WORDS) & (to - since < CONFIRM_WORDS)
-        since, to = since[short], to[short]
-        lines = mixed(stretches(h, since, to) ^ np.uint64(1))
-        self.a = np.concatenate([np.arange(len(last)), np.searchsorted(self.starts, since)])
-        self.b = np.concatenate([last, np.searchsorted(self.ends, to - 1)]) + 1
-        self.windows = np.concatenate([windows, lines]).astype(np.int64)
-
-    def repeated(self, elsewhere: np.ndarray) -> list[tuple[int, int]]:
-        """Word ranges [from, to) of confirmed stretches whose units stand in an earlier document or earlier in this one."""
+        cuts = np.concatenate([[0], np.flatnonzero(cut) + 1]) if n else np.zeros(0, dtype=np.int64)
+        if n and cuts[-1] != n:
+            cuts = np.append(cuts, n)
+        to = np.searchsorted(cuts, cuts + PASSAGE_WORDS)
+        to = to[to < len(cuts)]
+        a, b = cuts[: len(to)], cuts[to]
+        feeds = np.flatnonzero(np.frombuffer(self.raw, dtype=np.uint8) == 10)
+        line = np.searchsorted(feeds, self.first)
+        since = np.flatnonzero(np.append(True, line[1:] != line[:-1])[:n])
+        until = np.append(since[1:], n)[: len(since)]
+        whole = until - since >= LINE_WORDS
+        since, until = since[whole], until[whole]
+        self.a, self.b = np.concatenate([a, since]), np.concatenate([b, until])
+        self.digests = np.concatenate([stretches(h, a, b), mixed(stretches(h, since, until) ^ np.uint64(1))]).astype(np.int64)
+
+    def repeated(self, elsewhere: np.ndarray) -> np.ndarray:
+        """Flags of the words in units that stand in an earlier document, or end earlier in this one than they begin."""
+        flags = np.zeros(self.n_words, dtype=bool)
         if not len(self.digests):
-            return []
-        long = [(a, b) for a, b in _runs(_again(self.digests, elsewhere)) if self._words(a, b) >= MIN_WORDS]
-        if not long:
-            return []
-        held = _again(self.windows, elsewhere)
-        depth = np.zeros(len(self.ends) + 1, dtype=np.int64)
-        np.add.at(depth, self.a[held], 1)
-        np.add.at(depth, self.b[held], -1)
-        confirmed = np.cumsum(depth)[:-1] > 0
-        out = []
-        for a, b in long:
-            gone = confirmed[a:b].copy()
-            if gone.any():
-                for c, d in list(_runs(~gone)):
-                    gone[c:d] = self._words(a + c, a + d) < KEPT_WORDS
-            for c, d in _runs(gone):
-                c, d = a + c, a + d
-                held_words = int((self.ends - self.starts + 1)[c:d] @ confirmed[c:d])
-                if self._words(c, d) >= MIN_WORDS and 2 * held_words >= self._words(c, d):
-                    out.append((int(self.starts[c]), int(self.ends[d - 1]) + 1))
-        return out
-
-    def _words(self, a: int, b: int) -> int:
-        """Words of the units [a, b)."""
-        return int(self.ends[b - 1]) + 1 - int(self.starts[a])
-
-    def without(self, ranges: list[tuple[int, int]]) -> tuple[str, list[tuple[int, int]]]:
-        """The text without the word ranges and the white space before them (after them at its start), and the offsets
-        of what is gone, in code points."""
+            return flags
+        _, first, place = np.unique(self.digests, return_index=True, return_inverse=True)
+        again = self.a >= self.b[first[place]]
+        if len(elsewhere):
+            again |= np.isin(self.digests, elsewhere)
+        depth = np.zeros(self.n_words + 1, dtype=np.int64)
+        np.add.at(depth, self.a[again], 1)
+        np.add.at(depth, self.b[again], -1)
+        return np.cumsum(depth)[:-1] > 0
+
+    def without(self, flags: np.ndarray) -> tuple[str, list[tuple[int, int]]]:
+        """The text without the flagged words and the white space before them (after them at its start), and the
+        offsets of what is gone, in code points."""
+        edge = np.flatnonzero(np.diff(np.concatenate([[0], flags.view(np.int8), [0]]))).tolist()
         kept, gone, at = [], [], 0
-        for a, b in ranges:
+        for a, b in zip(edge[::2], edge[1::2]):
             start = int(self.end[a - 1]) if a else 0
             end = int(self.end[b - 1]) if a else int(self.first[b]) if b < self.n_words else len(self.raw)
             kept.append(self.raw[at:start])
@@ -131,16 +95,23 @@ class Units:
         return b"".join([*kept, self.raw[at:]]).decode(), [(int(leads[a]), int(leads[b])) for a, b in gone]
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        docs, digests = [], []
-        for doc_id, text in zip(*(c.to_pylist() for c in batch.columns)):
-            units = Units(text or "")
-            own = np.unique(np.concatenate([units.digests, units.windows]))
-            docs.append(np.full(len(own), doc_id, dtype=np.int64))
-            digests.append(own)
-        if docs:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(digests)), pa.array(np.concatenate(docs))], names=["digest", "doc_id"])
+def _digests(hot: np.ndarray):
+    """Distinct digests of each row with its rank and text hash, without the hot ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ranks, hashes, digests = [], [], []
+            for rank, h, text in zip(*(c.to_pylist() for c in batch.columns)):
+                own = np.unique(Units(text or "").digests)
+                if len(hot):
+                    own = own[~np.isin(own, hot)]
+                ranks.append(np.full(len(own), rank, dtype=np.int64))
+                hashes.append(np.full(len(own), h, dtype=np.int64))
+                digests.append(own)
+            if ranks:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (digests, ranks, hashes)], names=["digest", "rank", "hash"])
+
+    return run
 
 
 def _release(spark: SparkSession) -> None:
@@ -151,45 +122,56 @@ def _release(spark: SparkSession) -> None:
 
 
 def remove_repeats(docs: DataFrame, prefix: str = "_dedup_") -> DataFrame:
-    """All rows and columns of ``docs(doc_id, text, ...)``, the text without what stands in an earlier document.
+    """All rows and columns of ``docs(doc_id, text, ...)``, the text without lines and passages that stand earlier.
 
     Adds ``_dedup_words``, ``_dedup_removed_words`` and ``_dedup_spans``, an array of (start, end) offsets in code
-    points of the original text. Documents rank by doc_id; rows of one doc_id rank alike, so they don't empty each
-    other, and a null doc_id ranks last: such rows lose what any other document has, and keep it among themselves.
-    Null texts stay null and count as empty. Names that begin with the prefix are reserved.
+    points of the original text. Documents rank by doc_id, those with a null doc_id behind all others by a hash of their
+    text. Rows of one doc_id, and null ids of one text, rank alike, so they don't empty each other, whether their texts
+    are equal or not. Null texts stay null and count as empty. Names that begin with the prefix are reserved.
     """
     spark = docs.sparkSession
     limit_batches(spark)
     scratch = Scratch(spark, "line-dedup")
-    rank = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
-    slim = docs.select(rank.alias("doc_id"), "text")
-    units = lambda: slim.mapInArrow(_digests, "digest long, doc_id long")
-    firsts = units().groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("digest", "first")
-    firsts = scratch.save(firsts, "firsts")
+    text_hash = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    rank = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST).bitwiseOR(text_hash.bitwiseAND(LAST - 1)))
+    slim = docs.select(rank.alias("rank"), text_hash.alias("hash"), "text")
+    units = lambda hot: slim.mapInArrow(_digests(hot), "digest long, rank long, hash long")
+    none = np.zeros(0, dtype=np.int64)
+    firsts = units(none).groupBy("digest").agg(F.min("rank").alias("first"), F.max("rank").alias("last"), F.count("*").alias("n"))
+    firsts = scratch.save(firsts.where("first < last").select("digest", "first", "n"), "firsts")
     _release(spark)
-    again = units().join(firsts, "digest").where("first < doc_id").groupBy("doc_id").agg(F.collect_set("digest").alias("again"))
-    again = scratch.save(again.select(F.col("doc_id").alias(prefix + "rank"), F.col("again").alias(prefix + "again")), "again", codec="none")
+    limit = max(LEAST_HOT, (firsts.agg(F.sum("n")).first()[0] or 0) // HOT)
+    hot = firsts.where(F.col("n") > limit).select("digest", "first").toArrow().sort_by("digest")  # HOT rows at most
+    hot_digests, hot_firsts = (hot.column(k).to_numpy() for k in (0, 1))
+    again = units(hot_digests).join(firsts.where(F.col("n") <= limit).select("digest", "first"), "digest").where("first < rank")
+    again = again.groupBy("rank", "hash").agg(F.collect_set("digest").alias("again"))
+    again = scratch.save(again.select(F.col("rank").alias(prefix + "rank"), F.col("hash").alias(prefix + "hash"), F.col("again").alias(prefix + "again")), "again", codec="none")
     _release(spark)
-    joined = docs.withColumn(prefix + "key", rank).join(again, F.col(prefix + "key") == F.col(prefix + "rank"), "left").drop(prefix + "key", prefix + "rank")
+    keyed = docs.withColumn(prefix + "key", rank).withColumn(prefix + "text", text_hash)
+    joined = keyed.join(again, (F.col(prefix + "key") == F.col(prefix + "rank")) & (F.col(prefix + "text") == F.col(prefix + "hash")), "left")
+    joined = joined.select(*docs.columns, prefix + "key", prefix + "again")
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
     fields = [T.StructField(f.name, T.StringType() if f.name == "text" else f.dataType) for f in docs.schema.fields]
     schema = T.StructType([*fields, T.StructField(prefix + "words", T.LongType()), T.StructField(prefix + "removed_words", T.LongType()), T.StructField(prefix + "spans", span)])
-    at, arrow_span = docs.columns.index("text"), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    at, n_own, arrow_span = docs.columns.index("text"), len(docs.columns), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, words, gone, spans = [], [], [], []
-            lists = batch.column(len(schema) - 3)
+            lists = batch.column(n_own + 1)
             offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy()
-            for text, a, b in zip(batch.column(at).to_pylist(), offsets[:-1], offsets[1:]):
+            for text, own_rank, a, b in zip(batch.column(at).to_pylist(), batch.column(n_own).to_pylist(), offsets[:-1], offsets[1:]):
                 own = Units(text or "")
-                ranges = own.repeated(values[a:b])
-                new, removed = own.without(ranges) if ranges else (text, [])
+                known = own.digests[np.isin(own.digests, hot_digests)] if len(hot_digests) else none
+                known = known[hot_firsts[np.searchsorted(hot_digests, known)] < own_rank] if len(known) else none
+                flags = own.repeated(np.concatenate([values[a:b], known]))
+                n = int(flags.sum())
+                new, removed = own.without(flags) if n else (text, [])
                 texts.append(new)
                 words.append(own.n_words)
-                gone.append(sum(d - c for c, d in ranges))
+                gone.append(n)
                 spans.append([{"start": c, "end": d} for c, d in removed])
-            columns = list(batch.columns[: len(schema) - 3])
+            columns = list(batch.columns[:n_own])
             columns[at] = pa.array(texts, type=pa.string())
             more = [pa.array(words, type=pa.int64()), pa.array(gone, type=pa.int64()), pa.array(spans, type=arrow_span)]
             yield pa.RecordBatch.from_arrays([*columns, *more], names=schema.names)
