@@ -1,11 +1,13 @@
 """Main text of web pages by two-pass block rules (operator 6).
 
-The page is cut into blocks at block-level tags. In the first pass each block is decided on its own: by the element
-that holds it (navigation, footers, adverts, forms, comments), by link density, length and stop-word density.
-Short blocks without a sign of their own stay open. In the second pass these inherit the label of the nearest
-decided neighbours: kept between two kept ones, dropped between two dropped ones, and with unlike neighbours as the
-nearer one, or dropped at equal distance. Inside an article they look at the article's own blocks only, and are kept
-unless all those next to them are dropped.
+The page is cut into blocks at block-level tags. The first pass decides each block by its own link density, length and
+stop-word density; short blocks stay open. Tags, class names and ids are no verdict on a container, only a lean: what
+looks like text inside one that is named for a side matter (navigation, advert, comments) is dropped where the page has
+its text elsewhere, and kept where that container holds most of it. In the second pass open blocks inherit the label
+of the nearest decided neighbours: kept between two kept ones, dropped between two dropped ones, and with unlike
+neighbours as the nearer one, or dropped at equal distance; headings go with what follows. The ends of a page count as
+dropped. Open blocks of an article look at the article's own blocks only, and are kept unless all those next to
+them are dropped; open blocks outside look at blocks outside.
 """
 
 from __future__ import annotations
@@ -34,172 +36,315 @@ STOP_WORDS = frozenset(
 )
 BLOCK_TAGS = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead title tr ul".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW_TAGS = frozenset("script style textarea template iframe noscript noembed noframes object svg math canvas audio video title xmp".split())
-#: Elements that never belong to the main text.
-SIDE_TAGS = frozenset("aside button dialog fieldset footer form head menu nav optgroup option select".split())
+#: Elements whose inside is no markup; what doesn't end is skipped only where it is a program.
+RAW_TAGS = frozenset("script style textarea template iframe noscript noembed noframes title xmp".split())
+#: Elements whose inside is no text. A block-level tag ends them, closed or not.
+MUTE_TAGS = frozenset("svg math canvas audio video object map".split())
 ARTICLE_TAGS = frozenset(["article", "main"])
-#: Parts of class names, ids and roles of such elements.
-SIDE_NAMES = frozenset(
-    "ad ads adv advert adverts advertisement alert alertdialog banner breadcrumb breadcrumbs captcha comment commentlist comments complementary consent contentinfo "
-    "cookie cookies copyright dialog disclaimer discussion disqus feedback footer form gdpr header hidden legal login masthead menu menubar modal nav navbar "
-    "navigation newsletter notice notification overlay pager pagination popup popular promo promoted promotion recommended related replies reply respond "
-    "responses search share sharing sidebar signup skip social sponsor sponsored subscribe subscription teaser toolbar tracking warning widget".split()
+HEADINGS = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
+#: Elements that lean to a side matter; a header does outside an article.
+SIDE_TAGS = frozenset("aside button dialog fieldset footer form head menu nav optgroup option select".split())
+#: Words of class names, ids and roles that lean to a side matter, and those of readers' comments.
+COMMENT_NAMES = frozenset("comment comments commentlist discussion disqus replies reply respond responses".split())
+SIDE_NAMES = COMMENT_NAMES | frozenset(
+    "ad ads adv advert adverts advertisement alert alertdialog banner breadcrumb breadcrumbs captcha complementary consent contentinfo cookie "
+    "cookies copyright dialog disclaimer feedback footer form gdpr header legal login masthead menu menubar modal nav navbar navigation newsletter "
+    "notice notification overlay pager pagination popup popular promo promoted promotion recommended related search share sharing sidebar signup "
+    "skip social sponsor sponsored subscribe subscription teaser toolbar tracking warning widget".split()
 )
+#: Words beside these that take the lean away: the container of a page's text, or one that only has a side matter.
+MAIN_NAMES = frozenset("article body container content entry has main no page post story text with without wrap wrapper".split())
 MAX_LINK_DENSITY, SHORT, LONG = 0.5, 70, 200
 STOP_HIGH, STOP_LOW = 0.2, 0.1
+#: A page whose long blocks have a smaller share of stop words is in a language that the list doesn't know.
+KNOWN_LANGUAGE = 0.15
+#: A character of a script without blanks between words counts as so many.
+WIDE = 3
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z/][^<>]*\Z", re.S)
-_ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|\b(hidden)\b")
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _WORD = re.compile(r"\w+")
+_WIDE_SCRIPT = re.compile("[฀-໿က-႟ក-៿぀-ヿ㐀-鿿豈-﫿]")
+_TAG_NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
+_ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|\b(hidden)\b")
+
+
+class _Markup:
+    """Tags of a page, one after the other; every step goes on from where the last one ended."""
+
+    def __init__(self, page: str):
+        self.page, self.quotes, self.endless = page, True, set()
+        self.last = {c: page.rfind(c) for c in ">\"'"}
+
+    def tag_end(self, at: int) -> int:
+        """Place of the > that ends the tag which ``at`` lies in; -1 if there is none."""
+        if at > self.last[">"]:
+            return -1
+        start = at
+        while self.quotes:
+            end = self.page.find(">", at)
+            equal = self.page.find("=", at, end if end >= 0 else len(self.page))
+            if end >= 0 and equal < 0:
+                return end
+            if end < 0:
+                self.quotes = False  # all later > lie in quotes that are never closed: from here on quotes don't count
+                break
+            at = equal + 1
+            while at < end and self.page[at].isspace():
+                at += 1
+            quote = self.page[at]
+            if quote in "\"'" and at < self.last[quote]:
+                at = self.page.find(quote, at + 1) + 1
+        return self.page.find(">", start)
+
+    def raw_end(self, tag: str, at: int) -> int | None:
+        """Place behind the end tag of a raw element; None if it doesn't end."""
+        if tag in self.endless:
+            return None
+        found = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(self.page, at)
+        if found is None:
+            self.endless.add(tag)
+        return found.end() if found else None
 
 
-def _is_side(tag: str, attributes: str, in_article: bool) -> bool:
-    if tag in SIDE_TAGS or tag == "header" and not in_article:
-        return True
-    if tag in ("html", "body", "article", "main") or not attributes.strip():
-        return False
+def _lean(tag: str, attributes: str, in_article: bool) -> int:
+    """0 none, 1 side matter, 2 readers' comments or hidden."""
+    out = int(tag in SIDE_TAGS or tag == "header" and not in_article)
+    if tag in ("html", "body") or not attributes.strip():
+        return out
     for name, *values, hidden in _ATTRIBUTE.findall(attributes):
-        value = "".join(values)
-        name = name.lower()
+        value, name = "".join(values), name.lower()
         if hidden or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
-            return True
-        if name in ("class", "id", "role"):
-            found = {x.lower() for x in _NAME.findall(value)} & SIDE_NAMES
-            if found - {"header"} or found and not in_article:  # an article may have a header of its own
-                return True
-    return False
+            return 2
+        if name not in ("class", "id", "role"):
+            continue
+        for whole in value.split():
+            words = {x.lower() for x in _NAME.findall(whole)}
+            if words & MAIN_NAMES or words == {"header"} and in_article:
+                continue
+            if words & COMMENT_NAMES or words == {"hidden"}:
+                return 2
+            if words & SIDE_NAMES and tag not in ARTICLE_TAGS and not (in_article and "header" in words):
+                out = 1
+    return out
 
 
-class _Block:
-    __slots__ = ("parts", "linked", "side", "article")
+class Block:
+    """Text between two block-level tags, its share in links, its containers that lean to a side, whether in an article."""
+
+    __slots__ = ("parts", "linked", "side", "article", "heading", "text", "links", "size", "stops", "label")
 
     def __init__(self):
-        self.parts, self.linked, self.side, self.article = [], 0, False, False
+        self.parts, self.linked, self.side, self.article, self.heading = [], 0, -1, False, False
+
 
+def blocks(page: str) -> tuple[list[Block], list[tuple[int, int]]]:
+    """The blocks with text; and of each container with a lean the lean and the number of the next one around it.
 
-def blocks(page: str) -> list[tuple[str, float, bool, bool]]:
-    """Text, share of its characters in links, whether beside the main text, whether in an article; for each block."""
-    out, stack, at, block = [], [], 0, _Block()
-    side = article = link = 0
+    A block names the innermost of its containers with a lean, or -1.
+    """
+    out, leans, stack, open_at, block = [], [], [], {}, Block()
+    # Numbers of the stack's entries: articles, those that end a paragraph's inline elements, mute ones.
+    articles, outer, mute, side, link, at = [], [], [], -1, 0, 0
+    markup, length = _Markup(page), len(page)
 
     def flush():
         nonlocal block
-        text = " ".join("".join(block.parts).split())
-        if text:
-            out.append((text, min(1.0, block.linked / len(text)), block.side, block.article))
-        block = _Block()
+        block.text = " ".join("".join(block.parts).split())
+        if block.text:
+            block.links = min(1.0, block.linked / len(block.text))
+            block.size = len(block.text) + (WIDE - 1) * len(_WIDE_SCRIPT.findall(block.text))
+            words = _WORD.findall(block.text.lower())
+            block.stops = (sum(w in STOP_WORDS for w in words), len(words))
+            out.append(block)
+        block = Block()
 
     def add(raw: str):
+        if mute:
+            return
         text = html.unescape(raw)
         block.parts.append(text)
         if text.strip():
-            block.side, block.article = block.side or side > 0, block.article or article > 0
+            block.side, block.article = side if side >= 0 else block.side, block.article or bool(articles)
+            block.heading = block.heading or bool(outer) and stack[outer[-1]][0] in HEADINGS
             if link:
                 block.linked += len(" ".join(text.split()))
 
     def pop(to: int):
-        nonlocal side, article, link
+        nonlocal side, link
         while len(stack) > to:
-            _, was_side, was_article, was_link = stack.pop()
-            side, article, link = side - was_side, article - was_article, link - was_link
-
-    while found := _TOKEN.search(page, at):
-        if found.start() > at:
-            add(page[at : found.start()])
-        at = found.end()
-        closing, tag, attributes = (found[1], found[2], found[3]) if found[2] else (found[4], found[5], found[6])
-        if not tag:
+            tag, before = stack.pop()
+            side = before
+            open_at[tag].pop()
+            link -= tag == "a"
+            for numbers in (articles, outer, mute):
+                if numbers and numbers[-1] == len(stack):
+                    numbers.pop()
+
+    def innermost(tag: str) -> int:
+        return open_at[tag][-1] if open_at.get(tag) else -1
+
+    while at < length:
+        start = page.find("<", at)
+        if start < 0:
+            break
+        if start > at:
+            add(page[at:start])
+        at = start
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 2)
+            at = end + 3 if end >= 0 else length
+            continue
+        found = _TAG_NAME.match(page, at + 1)
+        if found is None:
+            if page[at + 1 : at + 2] in ("!", "?", "/"):
+                end = page.find(">", at)
+                at = end + 1 if end >= 0 else length
+            else:
+                add("<")
+                at += 1
             continue
-        tag = tag.lower()
+        end = markup.tag_end(found.end())
+        if end < 0:
+            at = length
+            break
+        tag, attributes, closing, at = found[1].lower(), page[found.end() : end], page[at + 1] == "/", end + 1
         if tag in BLOCK_TAGS:
+            if mute:
+                pop(mute[0])
             flush()
         if tag == "br":
             block.parts.append(" ")
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    pop(k)
-                    break
-                if stack[k][0] in ARTICLE_TAGS and tag not in ("body", "html", "article", "main"):
-                    break
+            k = innermost(tag)
+            if k >= 0 and (not articles or k >= articles[-1] or tag in ("body", "html", "article", "main")):
+                pop(k)
             continue
-        if tag in RAW_TAGS:
-            if not attributes.rstrip().endswith("/"):
-                end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-                at = end.end() if end else len(page)
+        if tag in RAW_TAGS and not attributes.rstrip().endswith("/"):
+            end = markup.raw_end(tag, at)
+            if end is not None or tag in ("script", "style"):
+                at = end if end is not None else length
             block.parts.append(" ")
             continue
         if tag in VOID_TAGS:
             continue
-        if tag in BLOCK_TAGS:
-            while stack and stack[-1][0] in ("p", "a", "b", "i", "em", "strong", "span", "u", "font", "h1", "h2", "h3", "h4", "h5", "h6") and any(x[0] == "p" for x in stack[-8:]):
-                pop(len(stack) - 1)
+        if tag in BLOCK_TAGS and outer and (stack[outer[-1]][0] == "p" or stack[outer[-1]][0] in HEADINGS and (tag == "p" or tag in HEADINGS)):
+            pop(outer[-1])
         if tag in ("li", "dt", "dd", "option", "tr", "td", "th"):
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in ("ul", "ol", "dl", "menu", "select", "table"):
-                    break
-                if stack[k][0] == tag:
-                    pop(k)
-                    break
-        if tag in ARTICLE_TAGS and side and not article:
-            pop(next((k for k, x in enumerate(stack) if x[1]), len(stack)))  # an unclosed element before the article
-        own_side = int(_is_side(tag, attributes, article > 0))
-        own_article = int(tag in ARTICLE_TAGS and not side)
-        stack.append((tag, own_side, own_article, int(tag == "a")))
-        side, article, link = side + own_side, article + own_article, link + int(tag == "a")
-    if at < len(page):
+            k = innermost(tag)
+            if k > max(map(innermost, ("ul", "ol", "dl", "menu", "select", "table"))):
+                pop(k)
+        if tag == "a" and innermost("a") >= 0 and (not outer or innermost("a") > outer[-1]):
+            pop(innermost("a"))
+        own = _lean(tag, attributes, bool(articles))
+        open_at.setdefault(tag, []).append(len(stack))
+        if tag in ARTICLE_TAGS:
+            articles.append(len(stack))
+        if tag in BLOCK_TAGS:
+            outer.append(len(stack))
+        if tag in MUTE_TAGS and not attributes.rstrip().endswith("/"):
+            mute.append(len(stack))
+        stack.append((tag, side))
+        link += tag == "a"
+        if own:
+            leans.append((own, side))
+            side = len(leans) - 1
+    if at < length:
         add(page[at:])
     flush()
-    return out
+    return out, leans
 
 
-def _stop_density(text: str) -> float:
-    words = _WORD.findall(text.lower())
-    return sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
+def _looks_like_text(b: Block, known: bool) -> int:
+    """1 text, 0 none, -1 open, by link density, length and stop-word density alone."""
+    if b.links > MAX_LINK_DENSITY or b.size < SHORT and 3 * b.links > 1:
+        return 0
+    if b.size < SHORT:
+        return -1
+    stops = b.stops[0] / max(1, b.stops[1])
+    least = STOP_LOW if b.article or b.size >= LONG else STOP_HIGH
+    return 1 if not known or stops >= least else -1
 
 
-def _first_pass(text: str, links: float, side: bool, article: bool, has_article: bool) -> int:
-    """1 kept, 0 dropped, -1 open."""
-    if side or links > MAX_LINK_DENSITY or has_article and not article:
-        return 0
-    if article:
-        return 1 if len(text) >= SHORT and links < MAX_LINK_DENSITY else -1
-    if len(text) < SHORT:
-        return 0 if links > 0 or "©" in text else -1
-    stops = _stop_density(text)
-    if stops >= STOP_HIGH:
-        return 1
-    return -1 if stops >= STOP_LOW or len(text) < LONG else 0
+def _main_containers(found: list[Block], leans: list[tuple[int, int]]) -> list[bool]:
+    """For each container with a lean whether it and those around it count as the page's main ones.
 
+    One is when it holds more than twice as much text as stands outside all such containers; for comments and hidden
+    parts: when there is nothing else. Where an article has anything of its own, only containers inside it can be.
+    """
+    clear = [False] * len(leans)
+    if any(b.article and b.side < 0 and b.label for b in found):
+        found = [b for b in found if b.article]
+    bare = not any(b.side < 0 and b.label for b in found)
+    text = [b for b in found if b.label == 1 or b.article and b.label]
+    plain, own = sum(b.size for b in text if b.side < 0), [0] * len(leans)
+    for b in text:
+        if b.side >= 0:
+            own[b.side] += b.size
+    held = list(own)
+    for k in range(len(leans) - 1, -1, -1):
+        if leans[k][1] >= 0:
+            held[leans[k][1]] += held[k]
+    for k in sorted(range(len(leans)), key=lambda k: -held[k]):  # outer ones come before those inside
+        lean, around = leans[k]
+        if held[k] and (around < 0 or clear[around]) and held[k] > 2 * plain and (lean == 1 or bare and not plain):
+            clear[k] = True
+            plain += own[k]
+    return clear
 
-def main_text(page: str) -> str:
-    """Kept blocks in page order, joined by a line feed; empty if there are none."""
-    found = blocks(page)
-    has_article = any(a and not s for _, _, s, a in found)
-    labels = [_first_pass(*b, has_article) for b in found]
+
+def first_pass(found: list[Block], leans: list[tuple[int, int]]) -> None:
+    """Labels of all blocks: 1 kept, 0 dropped, -1 open."""
+    prose = [b.stops for b in found if b.size >= LONG and b.links <= MAX_LINK_DENSITY]
+    known = not prose or sum(s for s, _ in prose) >= KNOWN_LANGUAGE * sum(n for _, n in prose)
+    for b in found:
+        b.label = _looks_like_text(b, known)
+    clear = _main_containers(found, leans)
+    for b in found:
+        if b.side >= 0 and not clear[b.side]:
+            b.label = 0
+
+
+def _nearest(labels: list[int], k: int, near: list[int], ends: tuple[int, int]) -> int:
+    place = bisect_left(near, k)
+    around = [(k - near[place - 1], labels[near[place - 1]])] if place else [(k - ends[0], 0)]
+    around.append((near[place] - k, labels[near[place]]) if place < len(near) else (ends[1] - k, 0))
+    least = min(d for d, _ in around)
+    return min(x for d, x in around if d == least)
+
+
+def second_pass(found: list[Block]) -> list[int]:
+    """Final labels: open blocks inherit."""
+    labels = [b.label for b in found]
     final = list(labels)
-    decided = [k for k, x in enumerate(labels) if x >= 0]
-    inside = [k for k in decided if found[k][3] and not found[k][2]]  # what an article's own blocks look at
-    for k, x in enumerate(labels):
-        if x >= 0:
+    inside = [k for k, b in enumerate(found) if b.label >= 0 and b.article and b.side < 0]
+    outside = [k for k, b in enumerate(found) if b.label >= 0 and not (b.article and b.side < 0)]
+    for k, b in enumerate(found):
+        if b.label >= 0:
             continue
-        near = inside if found[k][3] else decided
-        place = bisect_left(near, k)
-        around = near[max(0, place - 1) : place + 1]
-        if found[k][3]:
-            final[k] = max((labels[y] for y in around), default=1)
+        if b.article:
+            place = bisect_left(inside, k)
+            final[k] = max((labels[y] for y in inside[max(0, place - 1) : place + 1]), default=1)
+        elif b.heading:
+            place = bisect_left(outside, k)
+            final[k] = labels[outside[place]] if place < len(outside) else 0
         else:
-            distance = min((abs(y - k) for y in around), default=0)
-            final[k] = min((labels[y] for y in around if abs(y - k) == distance), default=0)
-    return "\n".join(b[0] for b, x in zip(found, final) if x == 1)
+            final[k] = _nearest(labels, k, outside, (-1, len(found)))
+    return final
+
+
+def main_text(page: str) -> str:
+    """Kept blocks in page order, joined by a line feed; empty if there are none."""
+    found, leans = blocks(page)
+    first_pass(found, leans)
+    return "\n".join(b.text for b, x in zip(found, second_pass(found)) if x == 1)
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
     """``pages(page_id, url, html)`` to page_id, url, text, n_chars (code points), one row for each input row.
 
     Null and empty pages, and pages without a kept block, give an empty text. Null ids and urls stay null; other
-    columns are left out. Nothing is cut off: pages of any length are read whole, broken markup included.
+    columns are left out. Nothing is cut off: pages of any length are read whole, broken markup included, in time
+    that grows with their length.
     """
     limit_batches(pages.sparkSession)
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
