@@ -157,23 +157,47 @@ class JsonEncoder:
         return b"".join(out)
 
 
+#: White space as the split patterns have it, and alternatives of a pattern that match nothing else.
+_SPACES = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+_SPACE_RULES = {r"\s+(?!\S)", r"\s+", r"\s", r"\s++$", r"\s+$"}
+#: Characters that are handed to the library at once, where a text can be cut; longer runs of white space are no match for it.
+_AT_ONCE = 1 << 16
+
+
 class RankEncoder:
-    """tiktoken with a local rank file and the given split pattern; no special tokens."""
+    """tiktoken with a local rank file and the given split pattern; no special tokens.
+
+    Longer texts are cut at safe places. In a run of white space there is none, and the library's pattern matcher runs
+    out of stack on a very long one. Where the pattern has the rule that a run leaves its last character to what
+    follows, such a run is cut there and its first part, one match of the pattern, is encoded as one piece.
+    """
 
     def __init__(self, content: bytes, pattern: str):
         import tiktoken
 
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, content.splitlines()) if a}
         self.encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        rules = [x for x in pattern.split("|") if re.search(r"(?<!\[\^)\\s|\\[rnt]", x)]
+        self.leaves_last = r"\s+(?!\S)" in rules and set(rules) <= _SPACE_RULES
         self.table = [b""] * (max(ranks.values()) + 1)
         for piece, k in ranks.items():
             self.table[k] = piece
 
     def __call__(self, text: str) -> list[int]:
-        encode = self.encoding.encode_ordinary
-        if len(text) <= 1 << 16:
-            return encode(text)
-        return [k for piece in safe_pieces(text) for k in encode(piece)]
+        if len(text) <= _AT_ONCE:
+            return self.encoding.encode_ordinary(text)
+        return [k for piece in safe_pieces(text) for k in self._piece(piece)]
+
+    def _piece(self, text: str) -> list[int]:
+        encode, out, at = self.encoding.encode_ordinary, [], 0
+        if len(text) > _AT_ONCE and self.leaves_last:
+            for run in _SPACES.finditer(text):
+                if run.end() - run.start() > _AT_ONCE // 16:
+                    end = run.end() - (run.end() < len(text))
+                    out += encode(text[at : run.start()])
+                    out += self.encoding._encode_single_piece(text[run.start() : end])
+                    at = end
+        return out + encode(text[at:])
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.table.__getitem__, ids))
