@@ -9,36 +9,37 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import limit_batches
-from .words import word_hashes
-
-#: Labelled rows that the model is fitted on at most: those with the smallest hash of their doc_id.
-SAMPLE = 10_000
-BUCKETS_LOG2 = 18
+from .common import Scratch, limit_batches
+from .words import mixed
+
+#: Labelled rows that the model is fitted on at most, those with the smallest hash of their doc_id; and the bytes of
+#: their features at most, which end the sample earlier where texts are very long.
+SAMPLE, SAMPLE_BYTES = 10_000, 256 << 20
+#: Bytes of an n-gram, and places that n-grams are hashed to.
+GRAM, BUCKETS_LOG2 = 5, 18
 THRESHOLD = 0.3
-#: The bucket of a word that follows itself twice; no byte trigram counts there.
-SAME_WORD = np.int32((1 << BUCKETS_LOG2) - 1)
+#: The fit ends when no coordinate's projected gradient differs by more than this over a round, or after so many rounds.
+TOLERANCE, ROUNDS = 0.1, 100
 
 
 class Grams:
-    """Distinct byte trigrams of a whole text, hashed to 2^18 buckets, and one word trigram: the same word three times."""
+    """Distinct n-grams of the bytes of a whole text, hashed to 2^18 places."""
 
     def __init__(self):
         self.last = np.zeros(1 << BUCKETS_LOG2, dtype=np.int32)
 
     def of(self, text: str) -> np.ndarray:
-        raw = np.frombuffer(text.encode(), dtype=np.uint8).astype(np.uint32)
-        if len(raw) < 3:
+        raw = np.frombuffer(text.encode(), dtype=np.uint8).astype(np.uint64)
+        n = len(raw) - GRAM + 1
+        if n <= 0:
             return np.zeros(0, dtype=np.int32)
-        code = raw[:-2] | raw[1:-1] << np.uint32(8) | raw[2:] << np.uint32(16)
-        code = (code * np.uint32(2654435761) >> np.uint32(32 - BUCKETS_LOG2)).astype(np.int32)
-        place = np.arange(len(code), dtype=np.int32)
+        code = raw[:n].copy()
+        for k in range(1, GRAM):
+            code |= raw[k : k + n] << np.uint64(8 * k)
+        code = (mixed(code) >> np.uint64(64 - BUCKETS_LOG2)).astype(np.int32)
+        place = np.arange(n, dtype=np.int32)
         self.last[code] = place  # the last place of each code stays
-        code = code[self.last[code] == place]
-        words = word_hashes(text.encode())[0]
-        if ((words[2:] == words[1:-1]) & (words[1:-1] == words[:-2])).any():
-            return np.append(code[code != SAME_WORD], SAME_WORD)
-        return code[code != SAME_WORD]
+        return code[self.last[code] == place]
 
 
 def log_count_ratio(rows: list[np.ndarray], labels: np.ndarray, smooth: float = 1.0) -> np.ndarray:
@@ -49,10 +50,11 @@ def log_count_ratio(rows: list[np.ndarray], labels: np.ndarray, smooth: float =
     return np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
 
 
-def dual_descent(rows: list[np.ndarray], labels: np.ndarray, ratio: np.ndarray, c: float = 1.0, rounds: int = 10, seed: int = 7) -> tuple[np.ndarray, float]:
+def dual_descent(rows: list[np.ndarray], labels: np.ndarray, ratio: np.ndarray, c: float = 1.0, rounds: int = ROUNDS, tolerance: float = TOLERANCE, seed: int = 7) -> tuple[np.ndarray, float]:
     """Weights and bias of the hinge-loss model by dual coordinate descent over unit-length rows.
 
-    Both classes carry the same total cost. The last coordinate, always 1, is the bias.
+    Both classes carry the same total cost. The last coordinate, always 1, is the bias. The fit ends when the largest and
+    the smallest projected gradient of a round are ``tolerance`` apart at most.
     """
     rng, n = np.random.default_rng(seed), len(rows)
     weight, bias, alpha = np.zeros(1 << BUCKETS_LOG2), 0.0, np.zeros(n)
@@ -62,14 +64,19 @@ def dual_descent(rows: list[np.ndarray], labels: np.ndarray, ratio: np.ndarray,
         x = ratio[codes]
         values.append(x / (np.linalg.norm(x) or 1.0))
     for _ in range(rounds):
+        low, high = 0.0, 0.0
         for i in rng.permutation(n):
             y, codes, x = 2 * labels[i] - 1, rows[i], values[i]
             slack = y * (weight[codes] @ x + bias) - 1
+            moves = min(slack, 0.0) if alpha[i] <= 0 else max(slack, 0.0) if alpha[i] >= c * share[labels[i]] else slack
+            low, high = min(low, moves), max(high, moves)
             new = min(max(alpha[i] - slack / (2.0 if len(codes) else 1.0), 0.0), c * share[labels[i]])
             if step := (new - alpha[i]) * y:
                 weight[codes] += step * x
                 bias += step
             alpha[i] = new
+        if high - low <= tolerance:
+            break
     return weight, bias
 
 
@@ -130,11 +137,13 @@ def held_out():
     return F.crc32(F.col("doc_id").cast("string")) % 5 == 0
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
+def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model:
     """Fit on at most ``sample`` documents that have a label and are not held out.
 
     Rows of ``labels(doc_id, quality)`` with nulls or labels other than 0 and 1 are left out; a document with
-    several labels has the more frequent one, 1 at equal numbers. Without labels every score is 0.5.
+    several labels has the more frequent one, 1 at equal numbers; of several texts of one doc_id the one with the smallest
+    hash counts. Documents are taken in the order of a hash of their doc_id, as long as their features take
+    ``sample_bytes`` at most. Without labels every score is 0.5.
     """
     limit_batches(docs.sparkSession)
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality").where("doc_id is not null and quality in (0, 1)").where(~held_out())
@@ -149,8 +158,17 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Mod
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(codes, type=pa.binary())], schema=schema)
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    # At most ``sample`` rows of two numbers are broadcast, and their features come to the driver.
-    found = slim.join(F.broadcast(chosen), "doc_id").select("label", "doc_id", "text").mapInArrow(run, "label int, doc_id long, codes binary").toArrow().sort_by("doc_id")
+    # At most ``sample`` rows of two numbers are broadcast.
+    chosen = Scratch(docs.sparkSession, "quality-sample").save(chosen, "chosen")
+    one = slim.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text"), "text"))["text"].alias("text"))
+    found = Scratch(docs.sparkSession, "quality-sample").save(one.select("label", "doc_id", "text").mapInArrow(run, "label int, doc_id long, codes binary"), "features")
+    order = F.xxhash64("doc_id")
+    sizes = found.select(order.alias("order"), "doc_id", F.octet_length("codes").alias("size")).toArrow().sort_by([("order", "ascending"), ("doc_id", "ascending")])
+    fits = int((np.cumsum(sizes.column("size").to_numpy().astype(np.int64)) <= sample_bytes).sum())
+    if fits < len(sizes):
+        last = sizes.column("order")[max(fits, 1) - 1].as_py()
+        found = found.where(order <= last)
+    found = found.toArrow().sort_by("doc_id")
     rows = [np.frombuffer(x, dtype=np.int32) for x in found.column("codes").to_pylist()]
     return Model.fit(rows, np.array(found.column("label").to_pylist(), dtype=np.int64))
 
