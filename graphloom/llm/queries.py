@@ -53,7 +53,7 @@ def classifier_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mixing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir).select("doc_id", "source", mixing.token_estimate().alias("n_tokens"))
+    docs = documents(spark, sf_dir).select("doc_id", "source", "text", mixing.token_estimate().alias("n_tokens"))
     return mixing.plan_mix(docs).select("doc_id", "source", "n_tokens", "block", "place", "copies")
 
 

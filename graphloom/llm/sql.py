@@ -31,14 +31,15 @@ reach(x, y) AS (SELECT x, y FROM links UNION SELECT r.x, l.y FROM reach r JOIN l
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(low.y, d.doc_id)) AS component_id, d.doc_id = least(d.doc_id, coalesce(low.y, d.doc_id)) AS kept
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN low ON low.x = d.doc_id"""
 
-MIXING = f"""WITH RECURSIVE d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_WORDS}'))::BIGINT AS n_tokens FROM documents),
-s AS (SELECT source, sum(n_tokens)::BIGINT AS tokens FROM d GROUP BY 1 HAVING sum(n_tokens) > 0), p AS (SELECT source, tokens, tokens / sum(tokens) OVER () AS p FROM s), r AS (SELECT max(p) / min(p) AS ratio FROM p),
+MIXING = f"""WITH RECURSIVE n AS (SELECT doc_id, source, text, ceil(strlen(coalesce(text, '')) / {mixing.TOKEN_BYTES}.0)::BIGINT AS n_tokens FROM documents),
+d AS (SELECT doc_id, source, n_tokens, md5('17:' || coalesce(doc_id::VARCHAR, 'null') || ':' || n_tokens || ':' || md5(coalesce(text, ''))) AS key FROM n), g AS (SELECT source, key, max(n_tokens) AS n, count(*) AS m FROM d GROUP BY 1, 2),
+s AS (SELECT source, sum(n * m)::BIGINT AS tokens, sum(m)::BIGINT AS n_rows FROM g GROUP BY 1 HAVING sum(n * m) > 0), r AS (SELECT max(tokens) / min(tokens) AS ratio, sum(tokens) AS total FROM s),
 steps(k, low, high) AS (SELECT 0, 0.0::DOUBLE, 1.0::DOUBLE UNION ALL SELECT k + 1, CASE WHEN ratio ^ (1 - (low + high) / 2) > 4 THEN (low + high) / 2 ELSE low END, CASE WHEN ratio ^ (1 - (low + high) / 2) > 4 THEN high ELSE (low + high) / 2 END FROM steps, r WHERE k < {mixing.STEPS}),
 e AS (SELECT CASE WHEN (SELECT ratio FROM r) > 4 THEN (SELECT round(high, 6) FROM steps WHERE k = {mixing.STEPS}) ELSE 0.0 END AS exponent),
-w AS (SELECT source, tokens, p ^ exponent / sum(p ^ exponent) OVER () AS weight FROM p, e), t AS (SELECT source, tokens, floor(weight * max(tokens / weight) OVER () + 1e-6)::BIGINT AS target FROM w),
-sized AS (SELECT source, target // tokens AS passes, target % tokens AS rest, greatest(1, ceil(tokens / {mixing.BLOCK_TOKENS}))::BIGINT AS n_blocks FROM t),
-b AS (SELECT d.*, passes, rest, ('0x' || substr(md5('block:17:' || doc_id), 1, 8))::BIGINT % coalesce(n_blocks, 1) AS block FROM d LEFT JOIN sized USING (source)),
-o AS (SELECT *, (sum(n_tokens) OVER (PARTITION BY source ORDER BY block, md5('row:17:' || doc_id), doc_id ROWS UNBOUNDED PRECEDING) - n_tokens)::BIGINT AS place FROM b)
-SELECT doc_id, source, n_tokens, block, place, coalesce(passes + (place + n_tokens <= rest)::BIGINT, 1) AS copies FROM o"""
+w AS (SELECT source, tokens, n_rows, (tokens / total) ^ exponent AS raised FROM s, r, e), t AS (SELECT source, tokens, n_rows, floor(raised * max(tokens / raised) OVER () + 1e-6)::BIGINT AS target FROM w),
+sized AS (SELECT source, target // tokens AS passes, target % tokens AS rest, least({mixing.MAX_BLOCKS}, greatest(1, ceil(tokens / {mixing.BLOCK_TOKENS}), ceil(n_rows / {mixing.BLOCK_ROWS})))::BIGINT AS n_blocks FROM t),
+b AS (SELECT g.*, passes, rest, ('0x' || substr(key, 1, 8))::BIGINT % coalesce(n_blocks, 1) AS block FROM g LEFT JOIN sized ON sized.source IS NOT DISTINCT FROM g.source),
+o AS (SELECT *, sum(n * m) OVER (PARTITION BY source ORDER BY block, key ROWS UNBOUNDED PRECEDING)::BIGINT AS stop FROM b)
+SELECT doc_id, d.source, n_tokens, block, (stop - n * m)::BIGINT AS place, coalesce(passes + (stop <= rest)::BIGINT, 1) AS copies FROM d JOIN o ON o.key = d.key AND o.source IS NOT DISTINCT FROM d.source"""
 
 ORACLES = {"op3_embedding_near_dedup": EMBEDDINGS, "op5_quality_rules": RULES, "op8_source_mixing": MIXING, "op9_minhash_near_dedup": NEAR}

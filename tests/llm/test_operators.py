@@ -440,8 +440,8 @@ def test_classifier_odd_rows(spark, awkward):
 
 
 def test_mixing(spark, real):
-    docs = real.selectExpr("doc_id", "source", "text").withColumn("n_tokens", mixing.token_estimate()).withColumn("block", mixing.token_estimate() * 0).drop("block")
-    n = {r.doc_id: len(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")) for r in real.collect()}
+    docs = real.selectExpr("doc_id", "source", "text").withColumn("n_tokens", mixing.token_estimate())
+    n = {r.doc_id: math.ceil(len((r.text or "").encode()) / 4) for r in real.collect()}
     rows = mixing.plan_mix(docs, block_tokens=2000).collect()
     assert {r.doc_id: r.n_tokens for r in rows} == n
     tokens = collections.Counter()
@@ -481,6 +481,30 @@ def test_mixing_entropy_and_odd_rows(spark, awkward):
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
 
 
+def test_mixing_of_clashing_columns(spark, awkward):
+    from pyspark.sql import functions as F
+
+    names = ("n_tokens", "_n_tokens", "passes", "rest", "block", "place", "copies", "weight", "rows", "tokens", "target")
+    docs = awkward.select("doc_id", "text", "source", *(F.lit(k).alias(c) for k, c in enumerate(names)))
+    dealt = mixing.deal(docs)
+    assert dealt.columns == docs.columns
+    assert all(tuple(r)[3:] == tuple(range(len(names))) for r in dealt.collect())
+    planned = mixing.plan_mix(docs, tokens=mixing.token_estimate())
+    assert planned.columns == [c for c in docs.columns if c not in ("block", "place", "copies")] + ["block", "place", "copies"]
+    assert planned.count() == len(AWKWARD)
+
+
+def test_mixing_of_null_and_repeated_ids(spark):
+    rows = [(None, f"text number {k} " * 5, "a") for k in range(300)] + [(7, f"other {k} " * 5, "a") for k in range(300)] + [(8, "same", "a")] * 50 + [(9, "x", None)]
+    docs = table(spark, rows).withColumn("n_tokens", mixing.token_estimate())
+    runs = [mixing.plan_mix(docs.repartition(k), block_tokens=100) for k in (1, 5)]
+    a, b = (sorted(str(tuple(r)) for r in x.select("doc_id", "text", "block", "place", "copies").collect()) for x in runs)
+    assert a == b and len(a) == len(rows)  # whatever the order in which rows come
+    placed = [r for r in runs[0].collect() if r.source == "a" and r.text != "same"]
+    sizes = collections.Counter(r.block for r in placed)
+    assert len(sizes) > 20 and max(sizes.values()) < 60 and len({r.place for r in placed}) == 600
+
+
 # 9: near documents
 
 
