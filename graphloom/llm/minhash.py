@@ -7,9 +7,14 @@ paired with all others, a star, and the pairs are confirmed on the full sets.
 A star may leave several components in a bucket: copies of copies, or texts that merely share a passage. Of such buckets
 those documents are set aside that have so many shingles which no other one has that none can reach the limit with
 them. The rest is resolved in two rounds: first two further hubs for each bucket, then all members outside its largest
-component are compared with all those that they aren't connected to. No link between bucket members is lost: pairs are
-left out only where a bound shows that they cannot reach the limit, or where sketches of 8,192 bits differ in more
-places than those of a pair at the limit do, by more than five standard deviations.
+component are compared with all those that they aren't connected to, in chunks of hubs, so that no task has a bucket of
+its own. No link between bucket members is lost: pairs are left out only where a bound shows that they cannot reach
+the limit, or where sketches of 8,192 bits differ in more places than those of a pair at the limit do, by more than five
+standard deviations. Only pairs that pass both are confirmed on the full sets. The number of sketch comparisons of the
+last round is at most, for each open bucket, its members times those outside its largest component.
+
+Texts with the same set are one class, which is compared once. Classes have numbers of their own, so rows that share a
+doc_id but not their text are different ones.
 """
 
 from __future__ import annotations
@@ -21,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import Scratch, limit_batches, release_shuffles
 from .components import components
@@ -35,6 +41,8 @@ LAYOUT = (48, 5)
 BITS, MOST = 8192, 1190
 #: Further hubs of a bucket in the first round.
 HUBS = 2
+#: Hubs of a bucket that one task compares in the last round, and bytes of sets that leave a task at once.
+CHUNK, SET_BYTES = 2048, 16 << 20
 #: Probes of an empty bin before its order over all filled bins decides.
 PROBES = 48
 #: Percent of the union that the intersection must reach.
@@ -95,25 +103,25 @@ class OneHash:
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("hash", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64()))])
     one = OneHash(*LAYOUT)
     for batch in batches:
         sizes, digests, bands = [], [], []
-        for text in batch.column(1).to_pylist():
+        for text in batch.column(2).to_pylist():
             found = shingle_set(text or "")
             sizes.append(len(found))
             digests.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None)
             bands.append(one.bands(found) if len(found) else None)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, type=pa.int64()), pa.array(digests, type=pa.binary()), pa.array(bands, type=pa.list_(pa.int64()))], schema=schema)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, type=pa.int64()), pa.array(digests, type=pa.binary()), pa.array(bands, type=pa.list_(pa.int64()))], schema=schema)
 
 
-_SIGNATURE = "doc_id long, n_shingles long, digest binary, bands array<long>"
+_SIGNATURE = "doc_id long, hash long, n_shingles long, digest binary, bands array<long>"
 
 
 def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [shingle_set(x or "").view(np.int64) for x in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in found], type=pa.int64()), pa.array(found, type=pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "shingles"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in found], type=pa.int64()), pa.array(found, type=pa.list_(pa.int64()))], names=["node", "n_shingles", "shingles"])
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,12 +132,15 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The set of each document, once for each hub that it is compared with (its own id: as a hub)."""
-    schema = pa.schema([("hub", pa.int64()), ("doc_id", pa.int64()), ("shingles", pa.binary())])
+    """The set of each class, once for each hub that it is compared with (its own number: as a hub)."""
+    schema = pa.schema([("hub", pa.int64()), ("node", pa.int64()), ("shingles", pa.binary())])
     for batch in batches:
-        for doc_id, text, hubs in zip(*(c.to_pylist() for c in batch.columns)):
+        for node, text, hubs in zip(*(c.to_pylist() for c in batch.columns)):
             found = shingle_set(text or "").tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array(hubs, type=pa.int64()), pa.array([doc_id] * len(hubs), type=pa.int64()), pa.array([found] * len(hubs), type=pa.binary())], schema=schema)
+            step = max(1, SET_BYTES // max(1, len(found)))
+            for k in range(0, len(hubs), step):
+                some = hubs[k : k + step]
+                yield pa.RecordBatch.from_arrays([pa.array(some, type=pa.int64()), pa.array([node] * len(some), type=pa.int64()), pa.array([found] * len(some), type=pa.binary())], schema=schema)
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,28 +152,32 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             other = np.frombuffer(b, dtype=np.uint64)
             both = len(np.intersect1d(known, other, assume_unique=True))
             keep.append(100 * both >= LEAST * (len(known) + len(other) - both))
-        yield pa.RecordBatch.from_arrays([batch.column("hub"), batch.column("doc_id")], names=["a", "b"]).filter(pa.array(keep, type=pa.bool_()))
+        yield pa.RecordBatch.from_arrays([batch.column("hub"), batch.column("node")], names=["a", "b"]).filter(pa.array(keep, type=pa.bool_()))
 
 
-def _confirmed(docs: DataFrame, pairs: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """Of ``pairs(hub, doc_id)`` those that reach the limit on their full sets, as edges (a, b)."""
-    wanted = pairs.union(pairs.select("hub", F.col("hub").alias("doc_id"))).groupBy("doc_id").agg(F.collect_set("hub").alias("hubs"))
+def _texts(docs: DataFrame, classes: DataFrame, wanted: DataFrame, repeated: bool) -> DataFrame:
+    """``wanted(node, ...)`` with the text of each class: that of its first row, found by doc_id and text hash."""
+    named = wanted.join(classes.select("node", F.col("rep").alias("doc_id"), "hash"), "node")
+    out = docs.join(named, ["doc_id", "hash"]).select("node", "text", *(c for c in wanted.columns if c != "node"))
+    return out.dropDuplicates(["node"]) if repeated else out  # rows that repeat a document have the same text
+
+
+def _confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, repeated: bool, scratch: Scratch, name: str) -> DataFrame:
+    """Of ``pairs(hub, node)`` those that reach the limit on their full sets, as edges (a, b)."""
+    wanted = pairs.union(pairs.select("hub", F.col("hub").alias("node"))).groupBy("node").agg(F.collect_set("hub").alias("hubs"))
     wanted = scratch.save(wanted, f"{name}-wanted")
-    texts = docs.join(wanted, "doc_id").select("doc_id", "text", "hubs")
-    sets = scratch.save(texts.mapInArrow(_sets, "hub long, doc_id long, shingles binary"), f"{name}-sets", codec="none")
-    del texts
+    sets = scratch.save(_texts(docs, classes, wanted, repeated).mapInArrow(_sets, "hub long, node long, shingles binary"), f"{name}-sets", codec="none")
     release_shuffles(scratch.spark)
-    hubs = sets.where("hub = doc_id").select("hub", F.col("shingles").alias("hub_set"))
-    # With rows that repeat a doc_id, all combinations are compared.
-    both = sets.where("hub <> doc_id").join(hubs, "hub").select("hub", "hub_set", "doc_id", "shingles")
+    hubs = sets.where("hub = node").select("hub", F.col("shingles").alias("hub_set"))
+    both = sets.where("hub <> node").join(hubs, "hub").select("hub", "hub_set", "node", "shingles")
     out = scratch.save(both.mapInArrow(_confirm, "a long, b long").distinct(), f"{name}-edges")
     scratch.drop(f"{name}-wanted", f"{name}-sets")
     return out
 
 
 def _members(signatures: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """(bucket, rep, n, hub) of the buckets that more than one document is in; the hub is the smallest."""
-    rows = scratch.save(signatures.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket")), f"{name}-bands")
+    """(bucket, rep, n, hub) of the buckets that more than one class is in; the hub is the smallest."""
+    rows = scratch.save(signatures.select(F.col("node").alias("rep"), F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket")), f"{name}-bands")
     shared = rows.groupBy("bucket").agg(F.min("rep").alias("hub"), F.max("rep").alias("top")).where("hub < top").select("bucket", "hub")
     members = scratch.save(rows.join(shared, "bucket").select("bucket", "rep", "n", "hub"), f"{name}-members")
     del rows, shared
@@ -179,31 +194,32 @@ def _open_buckets(members: DataFrame, found: DataFrame, scratch: Scratch, name:
     return labelled.join(several, "bucket")
 
 
-def near_documents(docs: DataFrame) -> DataFrame:
-    """``docs(doc_id, text)`` to doc_id, n_shingles, component_id, kept; one row for each input row.
+def _classified(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """(doc_id, hash, n_shingles, group, component_id) of each row of ``docs(doc_id, hash, text)``.
 
-    Texts are lower-cased in A-Z and split at ASCII white space. Null and empty texts have empty sets and link with
-    nothing. A null doc_id links with nothing either: its component is null and the row is kept. Repeated rows get a
-    row each; rows that share a doc_id but not their text may count as one document. Other columns are left out.
-    Equal sets are linked without being compared.
+    ``component_id`` is the smallest doc_id of the row's group, or its own where it has no words or no id; such rows have
+    no group.
     """
     spark = docs.sparkSession
-    limit_batches(spark)
-    scratch = Scratch(spark, "near-documents")
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = scratch.save(slim.mapInArrow(_signatures, _SIGNATURE), "rows")
+    rows = scratch.save(docs.mapInArrow(_signatures, _SIGNATURE), "rows")
     usable = rows.where("doc_id is not null and n_shingles > 0")
-    classes = scratch.save(usable.groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
-    members = _members(usable.join(classes.select("digest", F.col("rep").alias("doc_id")), ["digest", "doc_id"], "left_semi"), scratch, "first")
-    edges = _confirmed(slim, members.where("rep > hub").select("hub", F.col("rep").alias("doc_id")).distinct(), scratch, "star")
+    classes = usable.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min_by("hash", "doc_id").alias("hash")).withColumn("node", F.monotonically_increasing_id())
+    classes = scratch.save(classes, "classes")  # numbers are fixed once written
+    firsts = usable.join(classes.select("digest", F.col("rep").alias("doc_id"), "hash", "node"), ["digest", "doc_id", "hash"])
+    repeated = firsts.select("node").count() > classes.count()
+    if repeated:  # a first row that occurs again would fill its buckets
+        firsts = firsts.dropDuplicates(["node"])
+    members = _members(firsts, scratch, "first")
+    edges = _confirmed(docs, classes, members.where("rep > hub").select("hub", F.col("rep").alias("node")).distinct(), repeated, scratch, "star")
     found = scratch.save(components(edges, scratch, "cc"), "components")
     # What the stars have left in several components.
-    again = scratch.save(_open_buckets(members, found, scratch, "first").select(F.col("rep").alias("doc_id")).distinct(), "again")
-    sets = scratch.save(slim.join(again, "doc_id", "left_semi").mapInArrow(_shingles, "doc_id long, n_shingles long, shingles array<long>").dropDuplicates(["doc_id"]), "sets", codec="none")
-    alone = sets.select("doc_id", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("m"), F.min("doc_id").alias("doc_id")).where("m = 1").groupBy("doc_id").agg(F.count("*").alias("alone"))
+    again = scratch.save(_open_buckets(members, found, scratch, "first").select(F.col("rep").alias("node")).distinct(), "again")
+    sets = _texts(docs, classes, again, repeated).mapInArrow(_shingles, "node long, n_shingles long, shingles array<long>")
+    sets = scratch.save(sets, "sets", codec="none")
+    alone = sets.select("node", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("m"), F.min("node").alias("node")).where("m = 1").groupBy("node").agg(F.count("*").alias("alone"))
     shared = F.col("n_shingles") - F.coalesce("alone", F.lit(0))
-    able = sets.join(alone, "doc_id", "left").withColumn("shared", shared).where(100 * F.col("shared") >= LEAST * F.col("n_shingles"))
-    known = scratch.save(able.select(F.col("doc_id").alias("rep"), "shared", "shingles").mapInArrow(_sketches, "rep long, shared long, sketch array<long>"), "known")
+    able = sets.join(alone, "node", "left").withColumn("shared", shared).where(100 * F.col("shared") >= LEAST * F.col("n_shingles"))
+    known = scratch.save(able.select(F.col("node").alias("rep"), "shared", "shingles").mapInArrow(_sketches, "rep long, shared long, sketch array<long>"), "known")
     members = scratch.save(members.join(known.select("rep"), "rep", "left_semi"), "able")
     scratch.drop("first-labelled", "first-members", "sets")
     release_shuffles(spark)
@@ -216,29 +232,69 @@ def near_documents(docs: DataFrame) -> DataFrame:
         hubs = here.select("bucket", F.col("rep").alias("hub"), *(F.col(c).alias(f"hub_{c}") for c in ("n", "c", "shared", "sketch")))
         if last:
             # The largest component of each bucket has no hubs; a pair of hubs counts once.
-            largest = here.groupBy("bucket", "c").agg(F.count("*").alias("m")).groupBy("bucket").agg(F.max(F.struct("m", F.col("c").alias("top")))["top"].alias("top"))
-            hubs = hubs.join(largest, "bucket").where("hub_c <> top")
-            once = (F.col("c") == F.col("top")) | (F.col("rep") > F.col("hub"))
+            counts = here.groupBy("bucket", "c").agg(F.count("*").alias("m"))
+            largest = counts.groupBy("bucket").agg(F.max_by("c", F.col("m")).alias("top"), (F.sum("m") - F.max("m")).alias("hubs"))
+            sized = largest.withColumn("chunks", F.ceil(F.col("hubs") / CHUNK).cast("int"))
+            # A bucket with many hubs is cut into chunks of them, each a key of its own that meets all members.
+            hubs = hubs.join(sized, "bucket").where("hub_c <> top").withColumn("chunk", F.pmod(F.xxhash64("hub"), F.col("chunks")).cast("int"))
+            here = here.join(sized.select("bucket", "chunks"), "bucket").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
+            once, keys = (F.col("c") == F.col("top")) | (F.col("rep") > F.col("hub")), ["bucket", "chunk"]
         else:
             order = Window.partitionBy("bucket").orderBy(F.xxhash64("hub"), "hub")
             hubs = hubs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= HUBS)
-            once = F.col("rep") != F.col("hub")
-        pairs = scratch.save(here.join(hubs, "bucket").where(once & near).select(F.least("hub", "rep").alias("hub"), F.greatest("hub", "rep").alias("doc_id")).distinct(), f"pairs-{last}")
-        more = _confirmed(slim, pairs, scratch, f"round-{last}")
+            once, keys = F.col("rep") != F.col("hub"), ["bucket"]
+        pairs = scratch.save(here.join(hubs, keys).where(once & near).select(F.least("hub", "rep").alias("hub"), F.greatest("hub", "rep").alias("node")).distinct(), f"pairs-{last}")
+        more = _confirmed(docs, classes, pairs, repeated, scratch, f"round-{last}")
         if not more.isEmpty():
             edges = scratch.save(edges.union(more), f"edges-{last}")
             found = scratch.save(components(edges, scratch, f"cc-{last}"), f"components-{last}")
         scratch.drop(f"open-{last}-labelled", f"rows-{last}", f"pairs-{last}")
-    by_doc = found.withColumnRenamed("node", "rep")
-    own = classes.join(by_doc, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
+    # The smallest doc_id of each component.
+    linked = classes.join(found, "node")
+    least = linked.groupBy("component").agg(F.min("rep").alias("least"))
+    grouped = linked.select("node", "component").join(least, "component")
+    own = classes.join(grouped, "node", "left").select("digest", F.coalesce("component", "node").alias("group"), F.coalesce("least", "rep").alias("component_id"))
     own = scratch.save(own, "own")
-    out = rows.select("doc_id", "n_shingles", "digest").join(own, "digest", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    plain = rows.select("doc_id", "hash", "n_shingles", "digest")
+    out = plain.where("doc_id is not null and n_shingles > 0").join(own, "digest").select("doc_id", "hash", "n_shingles", "group", "component_id")
+    # Rows without words have no digest; in the join they would all be one key.
+    return out.unionByName(plain.where("doc_id is null or n_shingles = 0").select("doc_id", "hash", "n_shingles", F.lit(None).cast("long").alias("group"), F.col("doc_id").alias("component_id")))
+
+
+def _hashed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("hash"), "text")
+
+
+def near_documents(docs: DataFrame) -> DataFrame:
+    """``docs(doc_id, text)`` to doc_id, n_shingles, component_id, kept; one row for each input row.
+
+    Texts are lower-cased in A-Z and split at ASCII white space. Null and empty texts have empty sets and link with
+    nothing. A null doc_id links with nothing either: its component is null and the row is kept. Repeated rows get a
+    row each. Rows that share a doc_id but not their text are documents of their own, linked by their texts only. Other
+    columns are left out. Equal sets are linked without being compared.
+    """
+    limit_batches(docs.sparkSession)
+    out = _classified(_hashed(docs), Scratch(docs.sparkSession, "near-documents"))
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are the first of their group, with the same columns; repeated rows of it stay once."""
-    kept = near_documents(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept_id")).distinct()
-    first = docs.join(kept, F.col("doc_id") == F.col("_kept_id"), "left_semi").dropDuplicates(["doc_id"])
-    return first.unionByName(docs.where("doc_id is null"))
+    """One row of each group of near copies, with the same columns: the first by doc_id, then by a hash of the text.
+
+    Rows without an id and rows without words link with nothing and stay, all of them. Of rows that repeat a kept one in
+    doc_id and text, one stays, the smallest by a hash of all its columns.
+    """
+    limit_batches(docs.sparkSession)
+    scratch = Scratch(docs.sparkSession, "near-documents")
+    found = scratch.save(_classified(_hashed(docs), scratch), "classified").where("group is not null")
+    first = found.where("doc_id = component_id").groupBy("group", "component_id").agg(F.min("hash").alias("_keep_hash"))
+    first = first.select(F.col("component_id").alias("_keep_id"), "_keep_hash")
+    keyed = docs.withColumns({"_keep_key": F.col("doc_id").cast("long"), "_keep_text": F.xxhash64(F.coalesce(F.col("text"), F.lit("")))})
+    kept = keyed.join(first, (F.col("_keep_key") == F.col("_keep_id")) & (F.col("_keep_text") == F.col("_keep_hash")), "left_semi")
+    twice = found.groupBy("doc_id", "hash").agg(F.count("*").alias("m")).where("m > 1").limit(1)
+    if not twice.isEmpty():
+        kept = kept.withColumn("_keep_row", F.xxhash64(*(f.name for f in docs.schema if not isinstance(f.dataType, T.MapType))))
+        least = kept.groupBy("_keep_key", "_keep_text").agg(F.min("_keep_row").alias("_keep_row"))
+        kept = kept.join(least, ["_keep_key", "_keep_text", "_keep_row"], "left_semi").dropDuplicates(["_keep_key", "_keep_text"])
+    has_words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    return kept.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull() | ~has_words))
