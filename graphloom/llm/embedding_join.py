@@ -17,6 +17,11 @@ from .components import components, smallest_labels
 
 #: Leading principal dimensions that make the grid cells, vectors of a sequence interval, intervals of a superinterval.
 GRID_DIMS, UNIT, GROUP = 4, 1024, 32
+#: Principal axes are found for vectors of up to so many components and for so many different lengths (the most frequent
+#: ones); others are sorted by their own first components. Results don't depend on the axes.
+AXES_DIMS, AXES_LENGTHS = 1024, 8
+#: Superintervals of a label that one task compares with all others of it.
+CHUNK = 64
 #: Intervals up to this size are compared by a matrix product.
 LEAF = 256
 
@@ -46,34 +51,50 @@ def _unit_rows(raw: list[bytes]) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of products of the unit vectors, for each dimension count that occurs."""
-    sums: dict[int, np.ndarray] = {}
-    for batch in batches:
-        by: dict[int, list[bytes]] = {}
-        for x in batch.column(0).to_pylist():
-            by.setdefault(len(x) // 8, []).append(x)
-        for d, raw in by.items():
-            u = _unit_rows(raw)
-            sums[d] = sums.get(d, 0) + u.T @ u
-    for d, s in sums.items():
-        at = np.arange(d * d)
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(d * d, d)), pa.array(at), pa.array(s.reshape(-1))], names=["d", "at", "value"])
-
-
-def _axes(raws: DataFrame) -> dict[int, np.ndarray]:
-    """Principal axes by falling spread for each dimension count, from sums over all vectors (d x d numbers)."""
-    found = raws.mapInArrow(_moments, "d long, at long, value double").groupBy("d", "at").agg(F.sum("value").alias("value")).toArrow().to_pydict()
+def _moments(lengths: list[int]):
+    """Sums of the unit vectors (first row) and of their products, for each of the given lengths."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            by: dict[int, list[bytes]] = {}
+            for x in batch.column(0).to_pylist():
+                by.setdefault(len(x) // 8, []).append(x)
+            for d in set(by) & set(lengths):
+                u = _unit_rows(by[d])
+                sums[d] = sums.get(d, 0) + np.vstack([u.sum(axis=0), u.T @ u])
+        for d, s in sums.items():
+            at = np.arange(s.size)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(s.size, d)), pa.array(at), pa.array(s.reshape(-1))], names=["d", "at", "value"])
+
+    return run
+
+
+class Axes(dict):
+    """An orthonormal basis for each length: the principal axes by falling spread, or the vectors' own."""
+
+    def __missing__(self, d: int) -> np.ndarray:
+        self[d] = np.eye(d)
+        return self[d]
+
+
+def _axes(raws: DataFrame) -> Axes:
+    """Axes of the covariance over all vectors of a length: AXES_LENGTHS times AXES_DIMS squared numbers at most."""
+    counts = raws.groupBy((F.octet_length("raw") / 8).cast("int").alias("d")).agg(F.count("*").alias("n"))
+    counts = {r.d: r.n for r in counts.where(F.col("d") <= AXES_DIMS).orderBy(F.desc("n"), "d").limit(AXES_LENGTHS).collect()}
+    found = raws.mapInArrow(_moments(list(counts)), "d long, at long, value double").groupBy("d", "at").agg(F.sum("value").alias("value")).toArrow().to_pydict()
     d_all, at, value = (np.array(found[k]) for k in ("d", "at", "value"))
-    out = {}
-    for d in set(d_all.tolist()):
-        s = np.zeros(d * d)
+    out = Axes()
+    for d, n in counts.items():
+        s = np.zeros((d + 1) * d)
         s[at[d_all == d]] = value[d_all == d]
-        out[d] = np.linalg.eigh(s.reshape(d, d))[1][:, ::-1].copy()
+        s = s.reshape(d + 1, d)
+        mean = s[0] / n
+        out[d] = np.linalg.eigh(s[1:] / n - np.outer(mean, mean))[1][:, ::-1].copy()
     return out
 
 
-def _cells(axes: dict[int, np.ndarray], epsilon: float):
+def _cells(axes: Axes, epsilon: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cells = []
@@ -86,7 +107,7 @@ def _cells(axes: dict[int, np.ndarray], epsilon: float):
     return run
 
 
-def _units(axes: dict[int, np.ndarray]):
+def _units(axes: Axes):
     schema = pa.schema([("unit", pa.int64()), ("label", pa.int64()), ("d", pa.int32()), ("ids", pa.binary()), ("weights", pa.binary()), ("raw", pa.binary()), ("low", pa.list_(pa.float64())), ("high", pa.list_(pa.float64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,11 +121,11 @@ def _units(axes: dict[int, np.ndarray]):
             return pa.RecordBatch.from_arrays([pa.array([v], type=f.type) for v, f in zip(row, schema)], schema=schema)
 
         for batch in batches:
-            for label, rep, weight, raw in zip(*(batch.column(c).to_pylist() for c in ("label", "rep", "weight", "raw"))):
+            for label, node, weight, raw in zip(*(batch.column(c).to_pylist() for c in ("label", "node", "weight", "raw"))):
                 if held and (len(held) >= UNIT or key != (label, len(raw) // 8)):
                     yield close()
                 key = (label, len(raw) // 8)
-                held.append((rep, weight, raw))
+                held.append((node, weight, raw))
         if held:
             yield close()
 
@@ -148,8 +169,8 @@ def _pair_links(a: np.ndarray, b: np.ndarray, same: bool, ya: np.ndarray, yb: np
     return (np.concatenate(out_a), np.concatenate(out_b)) if out_a else (np.zeros(0, dtype=int), np.zeros(0, dtype=int))
 
 
-def _joined(axes: dict[int, np.ndarray], least: float, reach: float):
-    schema = pa.schema([("rep", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
+def _joined(axes: Axes, least: float, reach: float):
+    schema = pa.schema([("node", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -183,7 +204,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.93) -> DataFrame:
     Vectors of equal, non-null labels (and equal length) link at a cosine of at least ``least``, in double
     precision. Null, zero or empty vectors, those with null or non-finite components, and rows with a null vec_id
     link with nothing; the component of a null vec_id is null, and the row is kept. Rows that share a vec_id but not
-    their vector may count as one vector. Other columns are left out.
+    their vector or label are vectors of their own. Other columns are left out.
 
     Equal vectors of a label are one class, which is compared once and counts as often as it occurs. The classes are
     put in the order of their grid cells and cut into intervals; pairs of intervals whose boxes are further apart
@@ -197,35 +218,47 @@ def near_vectors(vectors: DataFrame, least: float = 0.93) -> DataFrame:
     slim = vectors.select(F.col("vec_id").cast("long"), F.col("label").cast("long"), F.col("embedding").cast("array<double>"))
     rows = scratch.save(slim.mapInArrow(_read_vectors, "vec_id long, label long, digest binary, raw binary"), "rows")
     usable = rows.where("raw is not null")
-    classes = scratch.save(usable.groupBy("label", "digest").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"), F.first("raw").alias("raw")), "classes")
+    classes = usable.groupBy("label", "digest").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"), F.first("raw").alias("raw"))
+    classes = scratch.save(classes.withColumn("node", F.monotonically_increasing_id()), "classes")  # numbers are fixed once written
     axes = _axes(classes.select("raw"))
-    cells = classes.select("label", "rep", "weight", "raw").mapInArrow(_cells(axes, math.sqrt(reach)), "label long, rep long, weight long, raw binary, cells array<int>")
+    cells = classes.select("label", "node", "weight", "raw").mapInArrow(_cells(axes, math.sqrt(reach)), "label long, node long, weight long, raw binary, cells array<int>")
     cells = scratch.save(cells, "cells")
-    key = ["label", *(F.get("cells", F.lit(k)) for k in range(GRID_DIMS + 1)), "rep"]
+    key = ["label", *(F.get("cells", F.lit(k)) for k in range(GRID_DIMS + 1)), "node"]
     units = cells.repartitionByRange(*key).sortWithinPartitions(*key).mapInArrow(_units(axes), "unit long, label long, d int, ids binary, weights binary, raw binary, low array<double>, high array<double>")
     units = scratch.save(units, "units")
     # Superintervals: boxes around runs of intervals of one label.
     boxes = units.select("unit", "label", "d", "low", "high").withColumn("super", F.floor(F.col("unit") / (1 << 32)) * (1 << 32) + F.floor(F.col("unit") % (1 << 32) / GROUP))
-    supers = boxes.groupBy("label", "d", "super").agg(F.array_agg(F.struct("unit", "low", "high")).alias("units"))
+    grouped = boxes.groupBy("label", "d", "super").agg(F.array_agg(F.struct("unit", "low", "high")).alias("units"))
     dims = F.sequence(F.lit(0), F.col("d") - 1)
-    supers = supers.withColumn("low", F.transform(dims, lambda k: F.array_min(F.transform("units", lambda u: F.get(u["low"], k)))))
-    supers = supers.withColumn("high", F.transform(dims, lambda k: F.array_max(F.transform("units", lambda u: F.get(u["high"], k)))))
-    supers = scratch.save(supers, "supers")
-    side = lambda k: supers.select("label", "d", *(F.col(c).alias(f"{k}_{c}") for c in ("super", "units", "low", "high")))
-    upper = side("a").join(side("b"), ["label", "d"]).where("a_super <= b_super").where(_gap("a", "b") <= reach)
-    lower = upper.select(F.explode("a_units").alias("a"), "b_units").select("a", F.explode("b_units").alias("b"))
+    grouped = grouped.withColumn("low", F.transform(dims, lambda k: F.array_min(F.transform("units", lambda u: F.get(u["low"], k)))))
+    grouped = grouped.withColumn("high", F.transform(dims, lambda k: F.array_max(F.transform("units", lambda u: F.get(u["high"], k)))))
+    supers = scratch.save(grouped, "supers")
+    # The pairs of a label's superintervals are dealt out by chunks of one side; their intervals' boxes follow only where
+    # the outer boxes are near.
+    chunks = supers.groupBy("label", "d").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
+    side = lambda k, *more: supers.select("label", "d", *(F.col(c).alias(f"{k}_{c}") for c in ("super", "low", "high", *more)))
+    left = side("a").join(chunks, ["label", "d"]).withColumn("chunk", F.pmod(F.xxhash64("a_super"), F.col("chunks")).cast("int")).drop("chunks")
+    right = side("b").join(chunks, ["label", "d"]).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
+    upper = left.join(right, ["label", "d", "chunk"]).where("a_super <= b_super").where(_gap("a", "b") <= reach)
+    upper = upper.select("label", "d", "a_super", "b_super")
+    lower = upper.join(side("a", "units"), ["label", "d", "a_super"]).join(side("b", "units"), ["label", "d", "b_super"])
+    lower = lower.select(F.explode("a_units").alias("a"), "b_units").select("a", F.explode("b_units").alias("b"))
     lower = lower.select(*(F.col(f"{k}.{c}").alias(f"{k}_{c}") for k in "ab" for c in ("unit", "low", "high"))).where("a_unit <= b_unit").where(_gap("a", "b") <= reach)
     pairs = scratch.save(lower.select("a_unit", "b_unit"), "pairs")
     data = lambda k: units.select(*(F.col(c).alias(f"{k}_{c}") for c in ("unit", "ids", "weights", "raw")))
     limit_batches(spark, 4)
     full = pairs.join(data("a"), "a_unit").join(data("b"), "b_unit")
-    links = scratch.save(full.mapInArrow(_joined(axes, least, reach), "rep long, links long, root long"), "links")
+    links = scratch.save(full.mapInArrow(_joined(axes, least, reach), "node long, links long, root long"), "links")
     limit_batches(spark)
-    degrees = links.groupBy("rep").agg(F.sum("links").alias("links"))
-    found = components(links.select(F.col("rep").alias("a"), F.col("root").alias("b")), scratch)
-    own = classes.select("label", "digest", "rep", "weight").join(degrees, "rep", "left").join(found.withColumnRenamed("node", "rep"), "rep", "left")
-    own = own.select("label", "digest", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"), F.coalesce("component", "rep").alias("component"))
+    degrees = links.groupBy("node").agg(F.sum("links").alias("links"))
+    found = scratch.save(components(links.select(F.col("node").alias("a"), F.col("root").alias("b")), scratch), "components")
+    slim = classes.select("label", "digest", "node", "rep", "weight")
+    lowest = slim.join(found, "node").groupBy("component").agg(F.min("rep").alias("least"))
+    named = found.join(lowest, "component").select("node", "least")
+    own = slim.join(degrees, "node", "left").join(named, "node", "left")
+    own = own.select("label", "digest", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"), F.coalesce("least", "rep").alias("component_id"))
     own = scratch.save(own, "own")
-    out = rows.select("vec_id", "label", "digest").join(own, ["label", "digest"], "left")
-    component = F.coalesce("component", "vec_id")
-    return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
+    out = usable.select("vec_id", "label", "digest").join(own, ["label", "digest"]).select("vec_id", F.col("links").cast("long").alias("n_links"), "component_id")
+    # Unusable rows have no digest; in the join they would all be one key.
+    out = out.unionByName(rows.where("raw is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")))
+    return out.select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"))
