@@ -74,6 +74,31 @@ def host_verdicts(rows: DataFrame) -> DataFrame:
     return hosts.crossJoin(F.broadcast(prior.withColumn("weight", weight))).select("host", "n_docs", "n_failed", shrunk.alias("rate"), (shrunk <= MAX_HOST_RATE).alias("host_ok"))
 
 
+#: Failing hosts that are sent to all tasks at most; more are joined by a shuffle.
+SENT_HOSTS = 100_000
+
+
+def _with_verdicts(rows: DataFrame, host: str, hosts: DataFrame) -> DataFrame:
+    """``rows`` with ``_rule_failed`` and the host's verdict applied as ``_rule_kept``. Only hosts that fail are looked up."""
+    bad = hosts.where("not host_ok").select(F.col("host").alias("_rule_host"), F.lit(True).alias("_rule_host_bad"))
+    bad = F.broadcast(bad) if bad.limit(SENT_HOSTS + 1).count() <= SENT_HOSTS else bad
+    joined = rows.withColumn("_rule_failed", failed()).join(bad, rows[host].eqNullSafe(bad["_rule_host"]), "left")
+    return joined.withColumn("_rule_kept", ~F.col("_rule_failed") & F.col("_rule_host_bad").isNull()).drop("_rule_host", "_rule_host_bad")
+
+
+def judge_counts(docs: DataFrame, host: str = "source") -> DataFrame:
+    """doc_id, host, the ``_rule_*`` counts, ``_rule_failed`` and ``_rule_kept`` of every row, without the texts.
+
+    The texts are read once: their counts are written and the verdicts joined to them. Otherwise as ``judge``.
+    """
+    limit_batches(docs.sparkSession)
+    scratch = Scratch(docs.sparkSession, "quality-rules")
+    slim = with_features(docs.select("doc_id", F.col(host).alias("host"), "text")).drop("text")
+    slim = scratch.save(slim, "counts")
+    hosts = scratch.save(host_verdicts(slim.select("host", failed().alias("failed"))), "hosts")
+    return _with_verdicts(slim, "host", hosts)
+
+
 def judge(docs: DataFrame, host: str = "source") -> DataFrame:
     """All rows and columns of ``docs`` with ``_rule_*`` counts, ``_rule_failed`` and ``_rule_kept``.
 
@@ -84,10 +109,8 @@ def judge(docs: DataFrame, host: str = "source") -> DataFrame:
     limit_batches(spark)
     scratch = Scratch(spark, "quality-rules")
     first = with_features(docs.select("text", F.col(host).alias("host"))).select("host", failed().alias("failed"))
-    hosts = scratch.save(host_verdicts(first).select(F.col("host").alias("_rule_host"), F.col("host_ok").alias("_rule_host_ok")), "hosts")
-    both = with_features(docs).withColumn("_rule_failed", failed())
-    joined = both.join(hosts, both[host].eqNullSafe(hosts["_rule_host"]), "left")
-    return joined.withColumn("_rule_kept", ~F.col("_rule_failed") & F.coalesce(F.col("_rule_host_ok"), F.lit(True))).drop("_rule_host", "_rule_host_ok")
+    hosts = scratch.save(host_verdicts(first), "hosts")
+    return _with_verdicts(with_features(docs), host, hosts)
 
 
 def apply_rules(docs: DataFrame, host: str = "source") -> DataFrame:

@@ -39,7 +39,7 @@ def token_count_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality_rules_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = quality_rules.judge(documents(spark, sf_dir).select("doc_id", "text", "source"))
+    judged = quality_rules.judge_counts(documents(spark, sf_dir))
     return judged.select("doc_id", *(F.col(f"_rule_{n}").alias(n) for n in quality_rules.FEATURES), F.col("_rule_failed").alias("base_failed"), F.col("_rule_kept").alias("kept"))
 
 
