@@ -19,9 +19,11 @@ def limit_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder that the session names; only where it names none, a folder of this machine."""
+    """The shared folder that the session names. Where it names none, a folder of this machine, in local mode only."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="graphloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -30,12 +32,17 @@ def scratch_root(spark: SparkSession) -> str:
 class Scratch:
     """Intermediate tables written to the shared folder and read back.
 
-    A table cuts the lineage as a checkpoint does, is computed once, and outlives a lost executor.
+    A table cuts the lineage as a checkpoint does, is computed once, and outlives a lost executor. The folder goes with
+    the session, as results may be read from it until then.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
+        files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"

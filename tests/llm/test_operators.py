@@ -211,6 +211,7 @@ def test_embedding_join(spark, monkeypatch):
     monkeypatch.setattr(embedding_join, "UNIT", 16)
     monkeypatch.setattr(embedding_join, "GROUP", 2)
     monkeypatch.setattr(embedding_join, "LEAF", 5)
+    monkeypatch.setattr(embedding_join, "CHUNK", 2)
     rng = np.random.default_rng(5)
     rows = []
     for k in range(150):
@@ -219,7 +220,7 @@ def test_embedding_join(spark, monkeypatch):
             rows.append((len(rows), (base + 0.2 * rng.normal(size=6)).tolist(), int(k % 3)))
     rows += [(len(rows) + k, [1.0, 2.0, 3.0, 4.0, 5.0, 6.0], 1) for k in range(40)]
     n = len(rows)
-    rows += [(n, None, 1), (n + 1, [0.0] * 6, 1), (n + 2, [1.0, None, 0.0, 0.0, 0.0, 0.0], 1), (n + 3, [float("nan")] * 6, 1), (n + 4, [1.0] * 6, None), (None, [1.0] * 6, 1), (n + 5, [], 1), (n + 6, [float("inf"), 1.0, 1.0, 1.0, 1.0, 1.0], 2), (n + 7, [2.0, 4.0, 6.0, 8.0, 10.0, 12.0], 1), (n + 8, [1.0, 2.0], 1), (n + 9, [1.0, 2.0], 1)]
+    rows += [(n - 1, [1.0, 2.0, 3.0, 4.0, 5.0, 6.5], 2), (0, [-1.0, 2.0, -3.0, 4.0, -5.0, 6.0], 0), (n, None, 1), (n + 1, [0.0] * 6, 1), (n + 2, [1.0, None, 0.0, 0.0, 0.0, 0.0], 1), (n + 3, [float("nan")] * 6, 1), (n + 4, [1.0] * 6, None), (None, [1.0] * 6, 1), (n + 5, [], 1), (n + 6, [float("inf"), 1.0, 1.0, 1.0, 1.0, 1.0], 2), (n + 7, [2.0, 4.0, 6.0, 8.0, 10.0, 12.0], 1), (n + 8, [1.0, 2.0], 1), (n + 9, [1.0, 2.0], 1)]
     found = embedding_join.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
     assert sorted(map(str, (tuple(r) for r in found))) == sorted(map(str, brute_vectors(rows)))
     assert embedding_join.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<double>, label int")).count() == 0
@@ -250,7 +251,7 @@ def brute_rules(text):
 
 
 @pytest.mark.parametrize("which", ["awkward", "real"])
-def test_quality_rules(request, which):
+def test_quality_rules(request, which, monkeypatch):
     docs = request.getfixturevalue(which)
     found = quality_rules.judge(docs).collect()
     hosts = collections.defaultdict(lambda: [0, 0])
@@ -266,6 +267,11 @@ def test_quality_rules(request, which):
     for r in found:
         n, f = hosts[r.source]
         assert r._rule_kept == (not r._rule_failed and (f + mean * weight) / (n + weight) <= 0.5)
+    columns = ["doc_id", *(f"_rule_{n}" for n in quality_rules.FEATURES), "_rule_failed", "_rule_kept"]
+    for sent in (quality_rules.SENT_HOSTS, -1):
+        monkeypatch.setattr(quality_rules, "SENT_HOSTS", sent)
+        slim = quality_rules.judge_counts(docs).collect()
+        assert sorted(str([r[c] for c in columns]) for r in slim) == sorted(str([r[c] for c in columns]) for r in found)
     kept = quality_rules.apply_rules(docs)
     assert kept.columns == docs.columns and kept.count() == sum(r._rule_kept for r in found)
     assert quality_rules.judge(docs.limit(0)).count() == 0
@@ -555,7 +561,7 @@ def test_near_documents(spark, awkward):
     assert sorted(map(str, (tuple(r) for r in found))) == sorted(map(str, brute_documents(rows)))
     assert minhash.near_documents(awkward.limit(0)).count() == 0
     kept = minhash.keep_one(awkward)
-    assert kept.columns == awkward.columns
+    assert kept.columns == awkward.columns and minhash.keep_one(awkward.limit(0)).count() == 0
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(map(str, [0, 1, 2, 3, 4, 5, 6, 7, 9, 10, 11, None]))
 
 
@@ -564,6 +570,36 @@ def test_near_documents_on_table(real):
     assert sorted(tuple(r) for r in minhash.near_documents(real).collect()) == sorted(brute_documents(rows))
 
 
+def test_one_id_with_unlike_texts(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(30)) for x in "abc")
+    rows = [(1, a), (1, b), (2, a + " end"), (3, b), (3, c), (1, a), (None, a), (4, None), (4, ""), (5, c)]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, hash int")
+    found = minhash.near_documents(docs).collect()
+    assert sorted(map(str, (tuple(r) for r in found))) == sorted(map(str, brute_documents(rows)))
+    kept = minhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted(map(str, ((r.doc_id, r.text) for r in kept.collect()))) == sorted(map(str, [(1, a), (1, b), (3, c), (None, a), (4, None), (4, "")]))
+
+
+@pytest.mark.parametrize("chunk,most", [(2048, None), (7, None), (7, minhash.BITS)])
+def test_documents_that_share_most_of_a_passage(spark, monkeypatch, chunk, most):
+    """One bucket of many documents at 60 to 74 percent, and some above the limit among them; with sketches and without."""
+    monkeypatch.setattr(minhash, "CHUNK", chunk)
+    if most is not None:
+        monkeypatch.setattr(minhash, "MOST", most)
+    rng = np.random.default_rng(8)
+    passage = [f"p{k}" for k in range(100)]
+    rows = []
+    for k in range(150):
+        own = [f"o{k}_{j}" for j in range(int(rng.integers(14, 24)))]
+        rows.append((2 * k, " ".join(passage + own)))
+        if k % 10 == 0:
+            rows.append((2 * k + 1, " ".join(passage + own[:-2] + ["x", "y"])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = minhash.near_documents(docs).collect()
+    assert sorted(map(str, (tuple(r) for r in found))) == sorted(map(str, brute_documents(rows)))
+
+
 def test_components(spark):
     rng = np.random.default_rng(2)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 400, (260, 2))] + [(k, k + 1) for k in range(1000, 1100)] + [(2000, 2000 + k) for k in range(50)] + [(5, None), (7, 7)]
