@@ -4,20 +4,20 @@ from pyspark.sql import functions as F
 
 from ..functions import scores as S
 from ..operators import analytics
-from ..sources.derived import node_metrics, part_graph, table
-from . import DEGREES, EDGES, GRAPH, METRICS, NODES, PAIRS, query
+from ..sources.derived import node_metrics, order_graph, part_graph, table
+from . import DEGREES, EDGES, GRAPH, METRICS, NODES, PAIRS, WHOLE, query
 
 C = F.col
 
 
 @query("fan_in_out", f"WITH {DEGREES} SELECT id, fan_in, fan_out FROM degrees")
 def fan_in_out(spark, d):
-    return analytics.degrees(part_graph(spark, d))
+    return analytics.degrees(order_graph(spark, d))
 
 
 @query("coupling", f"WITH {DEGREES} SELECT id, ROUND(CASE WHEN fan_in + fan_out = 0 THEN 0 ELSE fan_in * fan_out / ((fan_in + fan_out) * (fan_in + fan_out))::DOUBLE END, 6) AS coupling FROM degrees")
 def coupling(spark, d):
-    return analytics.coupling(part_graph(spark, d)).select("id", F.round("coupling", 6).alias("coupling"))
+    return analytics.coupling(order_graph(spark, d)).select("id", F.round("coupling", 6).alias("coupling"))
 
 
 @query("blast_radius", f"WITH RECURSIVE {PAIRS} SELECT n.id, count(p.affected) AS blast_radius FROM nodes n LEFT JOIN pairs p ON p.target = n.id GROUP BY 1")
@@ -109,7 +109,7 @@ def top_centrality(spark, d):
 
 @query("subgraph_centrality", f"WITH {DEGREES} SELECT id, ROUND((fan_in + fan_out) / greatest((SELECT max(fan_in + fan_out) FROM degrees), 1), 3) AS centrality FROM degrees")
 def subgraph_centrality(spark, d):
-    return analytics.subgraph_centrality(part_graph(spark, d))
+    return analytics.subgraph_centrality(order_graph(spark, d))
 
 
 BLAST = "floor(30 * least(1.0, (fan_in * 7) / 50) + 1e-9)::BIGINT + floor(20 * least(1.0, wf / 5) + 1e-9)::BIGINT + floor(20 * least(1.0, svc / 4) + 1e-9)::BIGINT + floor(10 * least(1.0, api / 8) + 1e-9)::BIGINT + floor(20 * least(1.0, cp / 3) + 1e-9)::BIGINT"
@@ -239,19 +239,19 @@ _metric(
 _metric(
     "discovery_confidence",
     """ROUND(greatest(0.55, least(0.98, 0.95 * (0.30 * least(1.0, tbl * 3 / 20.0) + 0.30 * least(1.0, fan_in / greatest(tbl * 3, 1)::DOUBLE) + 0.20 * least(1.0, api / 3.0) + 0.10 * CASE WHEN wf + svc <= 3 THEN 1.0 ELSE greatest(0.4, 3.0 / (wf + svc)) END
-    + 0.10 * least(1.0, cp / greatest(1.0, tbl * 3 * 0.5))) + 0.05))::DOUBLE, 3) AS confidence""",
-    lambda: dict(confidence=F.round(S.discovery_confidence(C("tbl") * 3, C("fan_in"), C("api"), C("wf") + C("svc"), C("cp")), 3)),
+    + 0.10 * least(1.0, cp / greatest(1.0, tbl * 3 * 0.5))) + 0.05))::DOUBLE + 1e-9, 4) AS confidence""",
+    lambda: dict(confidence=S.discovery_confidence(C("tbl") * 3, C("fan_in"), C("api"), C("wf") + C("svc"), C("cp"))),
 )
 
 
-@query("graph_health", f"WITH {GRAPH}, s AS (SELECT (SELECT count(DISTINCT type) FROM edges) AS types, (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM edges) AS edges) SELECT types, nodes, edges, ROUND(edges / nodes, 2) AS density, ROUND(40 * least(1.0, types / 15.0) + 40 * least(1.0, ROUND(edges / nodes, 2) / 5) + 20 * least(1.0, edges / 800.0), 2) AS score FROM s")
+@query("graph_health", f"WITH {WHOLE}, s AS (SELECT (SELECT count(DISTINCT type) FROM edges) AS types, (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM edges) AS edges) SELECT types, nodes, edges, ROUND(edges / nodes, 2) AS density, ROUND(40 * least(1.0, types / 15.0) + 40 * least(1.0, ROUND(edges / nodes, 2) / 5) + 20 * least(1.0, edges / 800.0), 2) AS score FROM s")
 def graph_health(spark, d):
-    return analytics.graph_health(part_graph(spark, d))
+    return analytics.graph_health(order_graph(spark, d))
 
 
-@query("density", f"WITH {GRAPH}, s AS (SELECT (SELECT count(*) FROM nodes) AS n, (SELECT count(*) FROM edges) AS m) SELECT n AS node_count, m AS edge_count, ROUND(m / (n * (n - 1)), 8) AS density FROM s")
+@query("density", f"WITH {WHOLE}, s AS (SELECT (SELECT count(*) FROM nodes) AS n, (SELECT count(*) FROM edges) AS m) SELECT n AS node_count, m AS edge_count, ROUND(m / (n * (n - 1)), 8) AS density FROM s")
 def density(spark, d):
-    return part_graph(spark, d).statistics().withColumn("density", F.round("density", 8))
+    return order_graph(spark, d).statistics().withColumn("density", F.round("density", 8))
 
 
 @query(
@@ -263,20 +263,20 @@ def density(spark, d):
     SELECT *, CASE WHEN overall_score >= 90 THEN 'Excellent' WHEN overall_score >= 75 THEN 'Healthy' WHEN overall_score >= 60 THEN 'Moderate Risk' WHEN overall_score >= 40 THEN 'High Risk' ELSE 'Critical' END AS health FROM v""",
 )
 def architecture_health(spark, d):
-    return analytics.architecture_health(part_graph(spark, d))
+    return analytics.architecture_health(order_graph(spark, d))
 
 
 @query("hotspots", f"WITH {DEGREES} SELECT id, level FROM (SELECT id, CASE WHEN fan_out * 6 > 15 THEN 'High Risk' WHEN fan_in * 6 > 25 THEN 'Moderate Risk' WHEN fan_in * fan_out * 36 > 100 THEN 'Critical' END AS level FROM degrees) WHERE level IS NOT NULL ORDER BY CASE level WHEN 'Critical' THEN 4 WHEN 'High Risk' THEN 3 ELSE 2 END DESC, id LIMIT 15")
 def hotspots(spark, d):
-    g = part_graph(spark, d)
+    g = order_graph(spark, d)
     six = g.edges.crossJoin(spark.range(6).select(F.lit(1).alias("k"))).drop("k")  # six parallel edges for each
     return analytics.hotspots(type(g)(g.nodes, six))
 
 
-@query("dependency_risk", f"""WITH {GRAPH}, b AS (SELECT src, count(*) FILTER (node_type = 'function') AS f, count(*) FILTER (node_type = 'api_route') AS a, count(*) FILTER (node_type = 'database_table') AS t FROM edges JOIN nodes ON dst = id GROUP BY 1)
+@query("dependency_risk", f"""WITH {WHOLE}, b AS (SELECT src, count(*) FILTER (node_type = 'function') AS f, count(*) FILTER (node_type = 'api_route') AS a, count(*) FILTER (node_type = 'database_table') AS t FROM edges JOIN nodes ON dst = id GROUP BY 1)
  SELECT src, f AS functions, a AS apis, t AS tables, CASE WHEN 5*f + 10*a + 2*t > 50 THEN 'critical' WHEN 5*f + 10*a + 2*t > 20 THEN 'high' WHEN 5*f + 10*a + 2*t > 5 THEN 'medium' ELSE 'low' END AS risk FROM b""")
 def dependency_risk(spark, d):
-    g = part_graph(spark, d)
+    g = order_graph(spark, d)
     n = lambda k: F.sum((C("node_type") == k).cast("long"))
     b = g.edges.join(g.nodes.select(C("id").alias("dst"), "node_type"), "dst").groupBy("src").agg(n("function").alias("functions"), n("api_route").alias("apis"), n("database_table").alias("tables"))
     return b.withColumn("risk", S.bucket_risk(C("functions"), C("apis"), C("tables")))
@@ -289,15 +289,15 @@ def risk_history(spark, d):
     return analytics.risk_history(old, p.select(C("p_partkey").alias("id"), (C("p_size") + C("p_partkey") % 2).cast("long").alias("risk_score")))
 
 
-@query("critical_paths_hit", "WITH steps AS (SELECT DISTINCT l_orderkey AS path_id, l_partkey AS id FROM lineitem WHERE l_orderkey % 20 = 0) SELECT path_id, count(*) AS n_hit FROM steps WHERE id IN (SELECT p_partkey FROM part WHERE p_size = 5) GROUP BY 1")
+@query("critical_paths_hit", "WITH steps AS (SELECT DISTINCT l_orderkey AS path_id, l_partkey AS id FROM lineitem) SELECT path_id, count(*) AS n_hit FROM steps WHERE id IN (SELECT p_partkey FROM part WHERE p_size = 5) GROUP BY 1")
 def critical_paths_hit(spark, d):
-    paths = table(spark, d, "lineitem").where("l_orderkey % 20 = 0").groupBy(C("l_orderkey").alias("path_id")).agg(F.collect_list("l_partkey").alias("nodes"))
+    paths = table(spark, d, "lineitem").groupBy(C("l_orderkey").alias("path_id")).agg(F.collect_list("l_partkey").alias("nodes"))
     return analytics.critical_paths_hit(paths, table(spark, d, "part").where("p_size = 5").select(C("p_partkey").alias("id")))
 
 
-@query("related_workflows", f"WITH {GRAPH}, own AS (SELECT id FROM nodes WHERE file = 'Brand#1'), near AS (SELECT id FROM own UNION SELECT dst FROM edges WHERE src IN (FROM own) UNION SELECT src FROM edges WHERE dst IN (FROM own)) SELECT DISTINCT file AS workflow FROM nodes WHERE id IN (FROM near) AND file <> 'Brand#1' ORDER BY 1 LIMIT 8")
+@query("related_workflows", f"WITH {WHOLE}, own AS (SELECT id FROM nodes WHERE file = 'Brand#1'), near AS (SELECT id FROM own UNION SELECT dst FROM edges WHERE src IN (FROM own) UNION SELECT src FROM edges WHERE dst IN (FROM own)) SELECT DISTINCT file AS workflow FROM nodes WHERE id IN (FROM near) AND file <> 'Brand#1' ORDER BY 1 LIMIT 8")
 def related_workflows(spark, d):
-    g = part_graph(spark, d)
+    g = order_graph(spark, d)
     return analytics.related_workflows(g.nodes.select("id", C("file").alias("workflow")), g.edges, "Brand#1")
 
 

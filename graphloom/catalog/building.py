@@ -5,11 +5,12 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..graph import Graph
 from ..operators import edges, flows, incremental, search, traversal
-from ..sources.derived import page_links, part_graph, part_nodes, table
+from ..sources.derived import page_links, order_graph, part_graph, part_nodes, table
 from ..streaming.edges import windowed_weights
-from . import EDGES, GRAPH, NODES, query
+from . import ALL_EDGES, EDGES, GRAPH, NODES, query
 
 C = F.col
+STOPS = ", ".join(f"'{w}'" for w in X.STOP_WORDS)
 
 
 @query(
@@ -33,9 +34,9 @@ def resolve_names(spark, d):
     return found.select("caller", "name", target.alias("target"), "confidence")
 
 
-@query("merge_edges", f"WITH {EDGES}, a AS (SELECT src || '-' || dst AS edge_id, src, dst, 'first' AS origin FROM edges WHERE src % 2 = 0), b AS (SELECT src || '-' || dst, src, dst, 'second' FROM edges) SELECT * FROM a UNION ALL SELECT * FROM b WHERE src % 2 = 1")
+@query("merge_edges", f"WITH {ALL_EDGES}, a AS (SELECT src || '-' || dst AS edge_id, src, dst, 'first' AS origin FROM edges WHERE src % 2 = 0), b AS (SELECT src || '-' || dst, src, dst, 'second' FROM edges) SELECT * FROM a UNION ALL SELECT * FROM b WHERE src % 2 = 1")
 def merge_edges(spark, d):
-    e = part_graph(spark, d).edges.select(F.concat_ws("-", C("src").cast("string"), C("dst").cast("string")).alias("edge_id"), "src", "dst")
+    e = order_graph(spark, d).edges.select(F.concat_ws("-", C("src").cast("string"), C("dst").cast("string")).alias("edge_id"), "src", "dst")
     return edges.merge_edges(e.where("src % 2 = 0").withColumn("origin", F.lit("first")), e.withColumn("origin", F.lit("second")))
 
 
@@ -44,9 +45,9 @@ def node_dedup_last(spark, d):
     return edges.keep_last(table(spark, d, "part").select("p_name", "p_partkey", "p_brand"), "p_name", "p_partkey")
 
 
-@query("edge_ids", f"WITH {EDGES} SELECT src, dst, 'edge_' || substr(sha256(src || '|' || dst || '|' || type), 1, 24) AS edge_id FROM edges")
+@query("edge_ids", f"WITH {ALL_EDGES} SELECT src, dst, 'edge_' || substr(sha256(src || '|' || dst || '|' || type), 1, 24) AS edge_id FROM edges")
 def edge_ids(spark, d):
-    return edges.edge_ids(part_graph(spark, d).edges).select("src", "dst", "edge_id")
+    return edges.edge_ids(order_graph(spark, d).edges).select("src", "dst", "edge_id")
 
 
 @query("external_links", "WITH links AS (SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1)) AS target FROM pages) SELECT 'external:' || target AS dst, page_id::VARCHAR AS src, count(*) AS weight FROM links GROUP BY 1, 2")
@@ -75,18 +76,26 @@ def upsert(spark, d):
     return incremental.upsert(s, new, ["s_suppkey"])
 
 
-@query("conflicts", "WITH w AS (SELECT DISTINCT l_suppkey AS key, l_orderkey AS tx FROM lineitem WHERE l_orderkey % 200 = 0) SELECT a.key, a.tx AS tx_a, b.tx AS tx_b, 'write-write' AS kind FROM w a JOIN w b USING (key) WHERE a.tx < b.tx")
+@query(
+    "conflicts",
+    """WITH t AS (SELECT DISTINCT l_partkey || '/' || l_suppkey AS key, l_orderkey AS tx, l_returnflag = 'R' AS reads FROM lineitem)
+    SELECT a.key, a.tx AS tx_a, b.tx AS tx_b, 'write-write' AS kind FROM t a JOIN t b USING (key) WHERE a.tx < b.tx AND NOT a.reads AND NOT b.reads
+    UNION ALL SELECT a.key, a.tx, b.tx, 'read-write' FROM t a JOIN t b USING (key) WHERE a.tx <> b.tx AND a.reads AND NOT b.reads""",
+)
 def conflicts(spark, d):
-    w = table(spark, d, "lineitem").where("l_orderkey % 200 = 0").select(C("l_orderkey").alias("tx_id"), C("l_suppkey").alias("key"))
-    return incremental.conflicts(w.limit(0), w)
+    l = table(spark, d, "lineitem")
+    t = l.select(C("l_orderkey").alias("tx_id"), F.concat_ws("/", C("l_partkey").cast("string"), C("l_suppkey").cast("string")).alias("key"), "l_returnflag")
+    return incremental.conflicts(t.where("l_returnflag = 'R'").drop("l_returnflag"), t.where("l_returnflag <> 'R'").drop("l_returnflag"))
 
 
 @query(
     "tokenize",
-    "WITH w AS (SELECT p_partkey, list_distinct(list_filter(regexp_extract_all(lower(p_name || ' of the ' || p_type), '([a-z0-9_]{2,})', 1), lambda x: x NOT IN ('of', 'the', 'a', 'an', 'and', 'in', 'on', 'to', 'is', 'it'))) AS t FROM part) SELECT p_partkey, array_to_string(list_sort(t), ',') AS tokens FROM w",
+    f"""WITH raw AS (SELECT p_partkey, list_filter(regexp_extract_all(lower(p_name || ' depends on the login of ' || p_type || ' repository'), '([a-z0-9_./-]+)', 1), lambda x: length(x) > 1 AND x NOT IN ({STOPS})) AS t FROM part),
+    w AS (SELECT p_partkey, flatten(list_transform(t, lambda x: CASE x WHEN 'login' THEN ['login', 'github', 'oauth', 'auth', 'callback', 'session', 'sign'] WHEN 'repository' THEN ['repository', 'repo', 'connect', 'analyze'] ELSE [x] END)) AS t FROM raw)
+    SELECT p_partkey, array_to_string(list_sort(list_distinct(t)), ',') AS tokens FROM w""",
 )
 def tokenize(spark, d):
-    words = X.tokens(F.concat("p_name", F.lit(" of the "), "p_type"), synonyms={})
+    words = X.tokens(F.concat("p_name", F.lit(" depends on the login of "), "p_type", F.lit(" repository")))
     return table(spark, d, "part").select("p_partkey", F.array_join(F.sort_array(words), ",").alias("tokens"))
 
 
@@ -123,9 +132,26 @@ def seed_aliases(spark, d):
     return search.seed_aliases(part_nodes(spark, d))
 
 
-@query("ranked_search")
+@query(
+    "ranked_search",
+    f"""WITH {GRAPH}, e AS (SELECT id, unnest(regexp_extract_all(lower(name || ' ' || file), '([a-z0-9]+)', 1)) AS w FROM nodes), p AS (SELECT id, ('0x' || right(md5(w), 8))::BIGINT % 128 AS place, count(*) AS n FROM e GROUP BY 1, 2),
+    v AS (SELECT id, place, round(n / sqrt(sum(n * n) OVER (PARTITION BY id)), 6) AS x FROM p), q AS (SELECT ('0x' || right(md5(w), 8))::BIGINT % 128 AS place, round(1 / sqrt(2), 6) AS x FROM (VALUES ('red'), ('ring')) t(w)),
+    cosines AS (SELECT id, round(sum(v.x * coalesce(q.x, 0)) / (sqrt(sum(v.x * v.x)) * (SELECT sqrt(sum(x * x)) FROM q)), 9) AS c FROM v LEFT JOIN q USING (place) GROUP BY 1),
+    near AS (SELECT id, greatest(8.0, floor(20 * least(1.0, c / 0.5))) AS score FROM cosines WHERE c > 0.25 ORDER BY c DESC, id LIMIT 15),
+    grams AS (SELECT id, {GRAMS.format('name')} AS a, {GRAMS.format(chr(39) + 'red ring' + chr(39))} AS b FROM nodes), alike AS (SELECT id, round(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 9) AS s FROM grams),
+    fuzzy AS (SELECT id FROM alike WHERE s > 0.35 ORDER BY s DESC, id LIMIT 20),
+    base AS (SELECT id, 100.0 AS score, 'exact' AS source FROM nodes WHERE lower(name) = 'red ring' UNION ALL SELECT id, 10, 'node' FROM nodes WHERE contains(lower(name), 'red') OR contains(lower(name), 'ring')
+     UNION ALL SELECT id, 10, 'file' FROM nodes WHERE contains(lower(file), 'red') OR contains(lower(file), 'ring') UNION ALL SELECT id, 15, 'trigram' FROM fuzzy
+     UNION ALL SELECT DISTINCT id, 25, 'alias' FROM (SELECT id, unnest(regexp_split_to_array(lower(name), '[^a-z0-9]+')) AS w FROM nodes) WHERE w IN ('red', 'ring') UNION ALL SELECT id, 15, 'workflow' FROM nodes WHERE contains(lower(package), 'red') OR contains(lower(package), 'ring')
+     UNION ALL SELECT id, score, 'embedding' FROM near),
+    seeds AS (SELECT id FROM base GROUP BY 1 ORDER BY sum(score) DESC, id LIMIT 8), grown AS (SELECT dst AS id FROM edges WHERE src IN (FROM seeds) UNION SELECT src FROM edges WHERE dst IN (FROM seeds)),
+    total AS (SELECT id, least(100.0, sum(score))::DOUBLE AS score, array_to_string(list_sort(list_distinct(list(source))), ',') AS sources FROM (SELECT * FROM base UNION ALL SELECT id, 20, 'graph' FROM grown) GROUP BY 1)
+    SELECT id, score, sources FROM total ORDER BY score DESC, id LIMIT 25""",
+)
 def ranked_search(spark, d):
-    return search.resolve(part_graph(spark, d), "red ring")
+    g = part_graph(spark, d)
+    found = search.resolve(g, "red ring", search.seed_aliases(g.nodes), g.nodes.select("id", C("package").alias("workflow")))
+    return found.withColumn("sources", F.array_join("sources", ","))
 
 
 @query(

@@ -5,8 +5,8 @@ from pyspark.sql import functions as F
 from ..graph import BOTH, INCOMING, OUTGOING, Graph
 from ..operators import indexes, quality, structure, traversal
 from ..plans.verbs import GraphEngine
-from ..sources.derived import event_steps, page_links, part_dag, part_graph, star_graph, table
-from . import EDGES, GRAPH, query
+from ..sources.derived import event_steps, page_links, part_dag, order_graph, part_graph, star_graph, table
+from . import ALL_EDGES, EDGES, GRAPH, WHOLE, query
 
 #: The node that traversals start at: the smallest one with an edge out of it.
 START = "(SELECT min(src) FROM edges)"
@@ -22,15 +22,15 @@ def _reach(direction, depth, where="", edges="edges"):
     return f"walk(node, depth) AS (SELECT {START}, 0 UNION SELECT s.b, w.depth + 1 FROM walk w JOIN {steps} s ON s.a = w.node WHERE w.depth < {depth})"
 
 
-@query("neighbors_out", f"WITH {EDGES} SELECT dst AS id FROM edges WHERE src = {START}")
+@query("neighbors_out", f"WITH {ALL_EDGES} SELECT dst AS id FROM edges WHERE src = {START}")
 def neighbors_out(spark, d):
-    g = part_graph(spark, d)
+    g = order_graph(spark, d)
     return traversal.expand(g, spark.createDataFrame([(start(g),)], "id long"))
 
 
-@query("neighbors_in", f"WITH {EDGES} SELECT src AS id FROM edges WHERE dst IN (SELECT id FROM (SELECT dst AS id FROM edges GROUP BY 1 HAVING count(*) > 2))")
+@query("neighbors_in", f"WITH {ALL_EDGES} SELECT src AS id FROM edges WHERE dst IN (SELECT id FROM (SELECT dst AS id FROM edges GROUP BY 1 HAVING count(*) > 2))")
 def neighbors_in(spark, d):
-    g = part_graph(spark, d)
+    g = order_graph(spark, d)
     ids = g.edges.groupBy(F.col("dst").alias("id")).count().where("count > 2").select("id")
     return traversal.expand(g, ids, INCOMING)
 
@@ -41,9 +41,9 @@ def neighbors_both(spark, d):
     return GraphEngine(g).find_neighbors(start(g))
 
 
-@query("edge_filter", f"WITH {GRAPH} SELECT dst AS id FROM edges WHERE type = 'CALLS' AND src IN (SELECT id FROM nodes WHERE node_type = 'class')")
+@query("edge_filter", f"WITH {WHOLE} SELECT dst AS id FROM edges WHERE type = 'CALLS' AND src IN (SELECT id FROM nodes WHERE node_type = 'class')")
 def edge_filter(spark, d):
-    g = part_graph(spark, d)
+    g = order_graph(spark, d)
     return traversal.edge_filter(g, g.nodes.where("node_type = 'class'").select("id"), "CALLS")
 
 
@@ -65,10 +65,18 @@ def reachability(spark, d):
     return traversal.bfs(g, start(g), max_depth=8).where("node % 2 = 0").select("node", "depth")
 
 
-@query("ancestors", f"WITH RECURSIVE {EDGES}, {_reach(INCOMING, 8)} SELECT node, min(depth)::INT AS depth FROM walk GROUP BY 1 HAVING min(depth) > 0")
+def hub(g):
+    """The node with the most edges into it, the smallest one of several."""
+    return g.edges.groupBy("dst").count().orderBy(F.desc("count"), "dst").first().dst
+
+
+HUB = "hub AS (SELECT dst AS node FROM edges GROUP BY 1 ORDER BY count(*) DESC, dst LIMIT 1)"
+
+
+@query("ancestors", f"WITH RECURSIVE {EDGES}, {HUB}, walk(node, depth) AS (SELECT node, 0 FROM hub UNION SELECT e.src, w.depth + 1 FROM walk w JOIN edges e ON e.dst = w.node WHERE w.depth < 8) SELECT node, min(depth)::INT AS depth FROM walk GROUP BY 1 HAVING min(depth) > 0")
 def ancestors(spark, d):
     g = part_graph(spark, d)
-    return traversal.ancestors(g, start(g), 8)
+    return traversal.ancestors(g, hub(g), 8)
 
 
 @query("descendants", f"WITH RECURSIVE {EDGES}, {_reach(OUTGOING, 8)} SELECT node, min(depth)::INT AS depth FROM walk GROUP BY 1 HAVING min(depth) > 0")
@@ -83,17 +91,36 @@ def khop(spark, d):
     return traversal.neighborhood(g, start(g), 3)
 
 
-@query("multi_source_depth", f"""WITH RECURSIVE {GRAPH}, starts AS (SELECT id FROM nodes WHERE node_type = 'api_route' AND id % 10 = 0), walk(source, node, depth) AS (SELECT id, id, 0 FROM starts UNION SELECT w.source, e.dst, w.depth + 1 FROM walk w JOIN edges e ON e.src = w.node WHERE w.depth < 4) SELECT source, node, min(depth)::INT AS depth FROM walk GROUP BY 1, 2""")
+@query("multi_source_depth", f"""WITH RECURSIVE {GRAPH}, starts AS (SELECT id FROM nodes WHERE node_type = 'api_route'), walk(source, node, depth) AS (SELECT id, id, 0 FROM starts UNION SELECT w.source, e.dst, w.depth + 1 FROM walk w JOIN edges e ON e.src = w.node WHERE w.depth < 4) SELECT source, node, min(depth)::INT AS depth FROM walk GROUP BY 1, 2""")
 def multi_source_depth(spark, d):
     g = part_graph(spark, d)
-    starts = g.nodes.where("node_type = 'api_route' and id % 10 = 0").select(F.col("id").alias("source"), F.col("id").alias("node"))
+    starts = g.nodes.where("node_type = 'api_route'").select(F.col("id").alias("source"), F.col("id").alias("node"))
     return traversal.walk(g.directed(), starts, 4).select("source", "node", "depth")
 
 
-@query("expand_filtered", f"""WITH RECURSIVE {GRAPH}, calls AS (SELECT * FROM edges WHERE type IN ('CALLS', 'USES')), {_reach(BOTH, 4, edges="calls")} SELECT w.node, min(depth)::INT AS depth FROM walk w JOIN nodes n ON n.id = w.node WHERE n.node_type IN ('class', 'service', 'function') GROUP BY 1 HAVING min(depth) >= 2""")
+@query("expand_filtered", f"""WITH RECURSIVE {GRAPH}, {HUB}, steps AS (SELECT src AS a, dst AS b FROM edges WHERE type IN ('CALLS', 'USES') UNION SELECT dst, src FROM edges WHERE type IN ('CALLS', 'USES')),
+ walk(node, depth) AS (SELECT node, 0 FROM hub UNION SELECT s.b, w.depth + 1 FROM walk w JOIN steps s ON s.a = w.node WHERE w.depth < 4) SELECT w.node, min(depth)::INT AS depth FROM walk w JOIN nodes n ON n.id = w.node WHERE n.node_type IN ('class', 'service', 'function') GROUP BY 1 HAVING min(depth) >= 1""")
 def expand_filtered(spark, d):
     g = part_graph(spark, d)
-    return traversal.expand_where(g, start(g), BOTH, ["CALLS", "USES"], ["class", "service", "function"], 2, 4)
+    return traversal.expand_where(g, hub(g), BOTH, ["CALLS", "USES"], ["class", "service", "function"], 1, 4)
+
+
+@query("expand_stopped", f"""WITH RECURSIVE {GRAPH}, hub AS (SELECT dst AS node FROM edges JOIN nodes ON id = dst WHERE node_type = 'function' AND size <= 45 GROUP BY 1 ORDER BY count(*) DESC, dst LIMIT 1), walk(node, depth) AS (SELECT node, 0 FROM hub UNION SELECT e.src, w.depth + 1 FROM walk w JOIN edges e ON e.dst = w.node JOIN nodes n ON n.id = w.node WHERE w.depth < 6 AND n.node_type <> 'database_table' AND n.size <= 45)
+ SELECT w.node, min(depth)::INT AS depth FROM walk w JOIN nodes n ON n.id = w.node WHERE n.price > 950 GROUP BY 1 HAVING min(depth) >= 1""")
+def expand_stopped(spark, d):
+    g = part_graph(spark, d)
+    ids = g.nodes.where("node_type = 'function' and size <= 45").select(F.col("id").alias("dst"))
+    first = hub(Graph(g.nodes, g.edges.join(ids, "dst", "left_semi")))
+    return traversal.expand_where(g, first, INCOMING, max_depth=6, stop_types=["database_table"], stop=F.col("size") > 45, where=F.col("price") > 950)
+
+
+@query("expand_paths", f"""WITH RECURSIVE {EDGES}, {HUB}, walk(node, depth) AS (SELECT node, 0 FROM hub UNION SELECT e.dst, w.depth + 1 FROM walk w JOIN edges e ON e.src = w.node WHERE w.depth < 4), least AS (SELECT node, min(depth) AS depth FROM walk GROUP BY 1),
+ parents AS (SELECT l.node, l.depth, min(e.src) AS parent FROM least l JOIN edges e ON e.dst = l.node JOIN least p ON p.node = e.src AND p.depth = l.depth - 1 GROUP BY 1, 2),
+ ways(node, depth, way) AS (SELECT node, 0, node::VARCHAR FROM hub UNION ALL SELECT p.node, p.depth, w.way || '>' || p.node FROM ways w JOIN parents p ON p.parent = w.node) SELECT node, depth::INT AS depth, way AS path FROM ways WHERE depth > 0""")
+def expand_paths(spark, d):
+    g = part_graph(spark, d)
+    found = traversal.expand_where(g, hub(g), max_depth=4, track_paths=True)
+    return found.select("node", "depth", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
 
 
 @query("shortest_path_length", f"WITH RECURSIVE {EDGES}, {_reach(OUTGOING, 12)}, far AS (SELECT node, min(depth) AS depth FROM walk GROUP BY 1), pick AS (SELECT node FROM far ORDER BY depth DESC, node LIMIT 1) SELECT far.node, far.depth::INT AS length FROM far JOIN pick USING (node)")
@@ -156,9 +183,9 @@ def both_ways(spark, d):
     return traversal.both_ways(g, start(g), 5)
 
 
-@query("subgraph_edges", f"WITH {GRAPH}, ids AS (SELECT id FROM nodes WHERE id % 2 = 0) SELECT src, dst, type FROM edges WHERE src IN (FROM ids) AND dst IN (FROM ids)")
+@query("subgraph_edges", f"WITH {WHOLE}, ids AS (SELECT id FROM nodes WHERE id % 2 = 0) SELECT src, dst, type FROM edges WHERE src IN (FROM ids) AND dst IN (FROM ids)")
 def subgraph_edges(spark, d):
-    g = part_graph(spark, d)
+    g = order_graph(spark, d)
     return g.subgraph(g.nodes.where("id % 2 = 0").select("id")).edges
 
 
@@ -176,34 +203,34 @@ def usage_search(spark, d):
     return GraphEngine(g).find_usages(top, True)
 
 
-@query("star_ancestors", """WITH RECURSIVE star AS (SELECT 'N:' || n_nationkey AS src, 'R:' || n_regionkey AS dst FROM nation UNION ALL SELECT 'C:' || c_custkey, 'N:' || c_nationkey FROM customer UNION ALL SELECT 'O:' || o_orderkey, 'C:' || o_custkey FROM orders UNION ALL SELECT 'S:' || s_suppkey, 'N:' || s_nationkey FROM supplier), walk(node, depth) AS (SELECT 'R:1', 0 UNION SELECT s.src, w.depth + 1 FROM walk w JOIN star s ON s.dst = w.node) SELECT node, depth::INT AS depth FROM walk WHERE depth > 0""")
+@query("star_ancestors", """WITH RECURSIVE star AS (SELECT 'N:' || n_nationkey AS src, 'R:' || n_regionkey AS dst FROM nation UNION ALL SELECT 'C:' || c_custkey, 'N:' || c_nationkey FROM customer UNION ALL SELECT 'O:' || o_orderkey, 'C:' || o_custkey FROM orders UNION ALL SELECT 'S:' || s_suppkey, 'N:' || s_nationkey FROM supplier UNION ALL SELECT DISTINCT 'P:' || l_partkey, 'O:' || l_orderkey FROM lineitem), walk(node, depth) AS (SELECT 'R:1', 0 UNION SELECT s.src, w.depth + 1 FROM walk w JOIN star s ON s.dst = w.node) SELECT node, min(depth)::INT AS depth FROM walk GROUP BY 1 HAVING min(depth) > 0""")
 def star_ancestors(spark, d):
     return traversal.ancestors(star_graph(spark, d), "R:1", 5)
 
 
-@query("adjacency_csr", f"WITH {GRAPH} SELECT n.id AS node, coalesce(array_to_string(list(e.dst ORDER BY e.dst) FILTER (e.dst IS NOT NULL), ','), '') AS neighbors, count(e.dst) AS degree FROM nodes n LEFT JOIN edges e ON e.src = n.id GROUP BY 1")
+@query("adjacency_csr", f"WITH {WHOLE} SELECT n.id AS node, coalesce(array_to_string(list(e.dst ORDER BY e.dst) FILTER (e.dst IS NOT NULL), ','), '') AS neighbors, count(e.dst) AS degree FROM nodes n LEFT JOIN edges e ON e.src = n.id GROUP BY 1")
 def adjacency_csr(spark, d):
-    return indexes.adjacency(part_graph(spark, d)).withColumn("neighbors", F.array_join(F.transform("neighbors", lambda x: x.cast("string")), ","))
+    return indexes.adjacency(order_graph(spark, d)).withColumn("neighbors", F.array_join(F.transform("neighbors", lambda x: x.cast("string")), ","))
 
 
-@query("reverse_csr", f"WITH {GRAPH} SELECT n.id AS node, count(e.src) AS degree FROM nodes n LEFT JOIN edges e ON e.dst = n.id GROUP BY 1")
+@query("reverse_csr", f"WITH {WHOLE} SELECT n.id AS node, count(e.src) AS degree FROM nodes n LEFT JOIN edges e ON e.dst = n.id GROUP BY 1")
 def reverse_csr(spark, d):
-    return indexes.adjacency(part_graph(spark, d), reverse=True).select("node", "degree")
+    return indexes.adjacency(order_graph(spark, d), reverse=True).select("node", "degree")
 
 
-@query("csr_offsets", f"WITH {GRAPH}, g AS (SELECT n.id AS node, count(e.src) AS n FROM nodes n LEFT JOIN edges e ON e.src = n.id GROUP BY 1), c AS (SELECT node, n, sum(n) OVER (ORDER BY node) AS stop FROM g) SELECT node, (stop - n)::BIGINT AS start, stop::BIGINT AS stop FROM c")
+@query("csr_offsets", f"WITH {WHOLE}, g AS (SELECT n.id AS node, count(e.src) AS n FROM nodes n LEFT JOIN edges e ON e.src = n.id GROUP BY 1), c AS (SELECT node, n, sum(n) OVER (ORDER BY node) AS stop FROM g) SELECT node, (stop - n)::BIGINT AS start, stop::BIGINT AS stop FROM c")
 def csr_offsets(spark, d):
-    return indexes.compressed_rows(part_graph(spark, d))
+    return indexes.compressed_rows(order_graph(spark, d))
 
 
-@query("incident_edges", f"WITH {GRAPH} SELECT n.id AS node, (SELECT count(*) FROM edges e WHERE e.src = n.id OR e.dst = n.id) AS n_edges FROM nodes n")
+@query("incident_edges", f"WITH {WHOLE} SELECT n.id AS node, (SELECT count(*) FROM edges e WHERE e.src = n.id OR e.dst = n.id) AS n_edges FROM nodes n")
 def incident_edges(spark, d):
-    return indexes.incident(part_graph(spark, d))
+    return indexes.incident(order_graph(spark, d))
 
 
-@query("rel_type_index", f"WITH {EDGES} SELECT type, count(*) AS n FROM edges GROUP BY 1")
+@query("rel_type_index", f"WITH {ALL_EDGES} SELECT type, count(*) AS n FROM edges GROUP BY 1")
 def rel_type_index(spark, d):
-    return indexes.by_type(part_graph(spark, d).edges)
+    return indexes.by_type(order_graph(spark, d).edges)
 
 
 STEPS = "steps AS (SELECT event_type AS src, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dst FROM events)"
@@ -233,39 +260,39 @@ def inheritance_kinds(spark, d):
     return table(spark, d, "part").groupBy("p_type", indexes.inheritance_kind(kind).alias("kind")).agg(F.count("*").alias("n"))
 
 
-@query("reference_index", f"WITH {EDGES} SELECT dst AS definition, count(DISTINCT src) AS n_referrers FROM edges WHERE type IN ('REFERENCES', 'CALLS', 'USES') GROUP BY 1")
+@query("reference_index", f"WITH {ALL_EDGES} SELECT dst AS definition, count(DISTINCT src) AS n_referrers FROM edges WHERE type IN ('REFERENCES', 'CALLS', 'USES') GROUP BY 1")
 def reference_index(spark, d):
-    return indexes.referrers(part_graph(spark, d).edges)
+    return indexes.referrers(order_graph(spark, d).edges)
 
 
-@query("import_index", f"WITH {GRAPH} SELECT DISTINCT file, dst AS imported FROM edges JOIN nodes ON src = id WHERE type = 'IMPORTS'")
+@query("import_index", f"WITH {WHOLE} SELECT DISTINCT file, dst AS imported FROM edges JOIN nodes ON src = id WHERE type = 'IMPORTS'")
 def import_index(spark, d):
-    return indexes.file_imports(part_graph(spark, d))
+    return indexes.file_imports(order_graph(spark, d))
 
 
-@query("package_importers", f"WITH {GRAPH} SELECT DISTINCT b.package, a.file FROM edges e JOIN nodes a ON a.id = e.src JOIN nodes b ON b.id = e.dst WHERE type = 'IMPORTS'")
+@query("package_importers", f"WITH {WHOLE} SELECT DISTINCT b.package, a.file FROM edges e JOIN nodes a ON a.id = e.src JOIN nodes b ON b.id = e.dst WHERE type = 'IMPORTS'")
 def package_importers(spark, d):
-    return indexes.package_importers(part_graph(spark, d))
+    return indexes.package_importers(order_graph(spark, d))
 
 
-@query("file_index", f"WITH {GRAPH} SELECT coalesce(nullif(trim(file), ''), 'unassigned') AS key, count(*) AS n, array_to_string(list(id ORDER BY id), ',') AS node_ids FROM nodes GROUP BY 1")
+@query("file_index", f"WITH {WHOLE} SELECT coalesce(nullif(trim(file), ''), 'unassigned') AS key, count(*) AS n, array_to_string(list(id ORDER BY id), ',') AS node_ids FROM nodes GROUP BY 1")
 def file_index(spark, d):
-    return indexes.grouped(part_graph(spark, d).nodes, "file", "unassigned").withColumn("node_ids", F.array_join(F.transform("node_ids", lambda x: x.cast("string")), ","))
+    return indexes.grouped(order_graph(spark, d).nodes, "file", "unassigned").withColumn("node_ids", F.array_join(F.transform("node_ids", lambda x: x.cast("string")), ","))
 
 
-@query("package_index", f"WITH {GRAPH} SELECT package AS key, count(*) AS n FROM nodes GROUP BY 1")
+@query("package_index", f"WITH {WHOLE} SELECT package AS key, count(*) AS n FROM nodes GROUP BY 1")
 def package_index(spark, d):
-    return indexes.grouped(part_graph(spark, d).nodes, "package", "default_package").select("key", "n")
+    return indexes.grouped(order_graph(spark, d).nodes, "package", "default_package").select("key", "n")
 
 
-@query("qualified_name_index", f"WITH {GRAPH} SELECT qualified_name AS key, id FROM nodes")
+@query("qualified_name_index", f"WITH {WHOLE} SELECT qualified_name AS key, id FROM nodes")
 def qualified_name_index(spark, d):
-    return indexes.unique_lookup(part_graph(spark, d).nodes, "qualified_name")
+    return indexes.unique_lookup(order_graph(spark, d).nodes, "qualified_name")
 
 
-@query("name_last_wins", f"WITH {GRAPH} SELECT name AS key, max(id) AS id FROM nodes GROUP BY 1")
+@query("name_last_wins", f"WITH {WHOLE} SELECT name AS key, max(id) AS id FROM nodes GROUP BY 1")
 def name_last_wins(spark, d):
-    return indexes.unique_lookup(part_graph(spark, d).nodes, "name", allow_duplicates=True)
+    return indexes.unique_lookup(order_graph(spark, d).nodes, "name", allow_duplicates=True)
 
 
 @query("annotation_index", "SELECT '@' || w AS annotation, count(DISTINCT p_partkey) AS n FROM (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS w FROM part) GROUP BY 1")
@@ -287,11 +314,22 @@ def dq_duplicates(spark, d):
     return quality.duplicate_ids(l, "id")
 
 
-@query("dq_orphans", f"WITH {GRAPH} SELECT id FROM nodes WHERE id NOT IN (SELECT src FROM edges) AND id NOT IN (SELECT dst FROM edges)")
+#: A damaged graph: nodes of small size are missing, and only some kinds of edges are there.
+DAMAGED = f"{WHOLE}, present AS (SELECT * FROM nodes WHERE size > 5), inherits AS (SELECT * FROM edges WHERE type = 'INHERITS' AND dst <= (SELECT max(id) / 2 FROM nodes))"
+
+
+def damaged(spark, d):
+    g = order_graph(spark, d)
+    half = g.nodes.agg((F.max("id") / 2).alias("half"))
+    return Graph(g.nodes.where("size > 5"), g.edges.where("type = 'INHERITS'").join(F.broadcast(half), F.col("dst") <= F.col("half")).drop("half"))
+
+
+@query("dq_orphans", f"WITH {DAMAGED} SELECT id FROM present WHERE id NOT IN (SELECT src FROM inherits) AND id NOT IN (SELECT dst FROM inherits)")
 def dq_orphans(spark, d):
-    return quality.orphans(part_graph(spark, d)).select("id")
+    return quality.orphans(damaged(spark, d)).select("id")
 
 
-@query("dq_health", f"WITH {GRAPH} SELECT 'ORPHAN_NODE' AS code, 'warning' AS severity, count(*) AS n FROM nodes WHERE id NOT IN (SELECT src FROM edges) AND id NOT IN (SELECT dst FROM edges)")
+@query("dq_health", f"""WITH {DAMAGED}, found AS (SELECT 'ORPHAN_NODE' AS code, 'warning' AS severity FROM present WHERE id NOT IN (SELECT src FROM inherits) AND id NOT IN (SELECT dst FROM inherits)
+ UNION ALL SELECT 'DANGLING_SOURCE', 'error' FROM inherits WHERE src NOT IN (SELECT id FROM present) UNION ALL SELECT 'UNRESOLVED_TARGET', 'warning' FROM inherits WHERE dst NOT IN (SELECT id FROM present)) SELECT code, severity, count(*) AS n FROM found GROUP BY 1, 2""")
 def dq_health(spark, d):
-    return quality.health(part_graph(spark, d))
+    return quality.health(damaged(spark, d))

@@ -5,9 +5,9 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..graph import Graph
 from ..operators import analytics, indexes, quality, reports, search
-from ..sources.derived import part_graph, part_nodes, table
+from ..sources.derived import order_graph, part_graph, part_nodes, table
 from ..sources.store import from_payload
-from . import GRAPH, NODES, PAIRS, query
+from . import GRAPH, NODES, PAIRS, WHOLE, query
 from .building import GRAMS
 
 C = F.col
@@ -25,9 +25,9 @@ def architecture_overview(spark, d):
     return reports.overview(part_nodes(spark, d).withColumn("language", language))
 
 
-@query("repository_stats", f"WITH {GRAPH} SELECT 'node_type' AS section, node_type AS key, count(*) AS n FROM nodes GROUP BY 2 UNION ALL SELECT 'edge_type', type, count(*) FROM edges GROUP BY 2 UNION ALL SELECT 'total', 'nodes', count(*) FROM nodes UNION ALL SELECT 'total', 'edges', count(*) FROM edges")
+@query("repository_stats", f"WITH {WHOLE} SELECT 'node_type' AS section, node_type AS key, count(*) AS n FROM nodes GROUP BY 2 UNION ALL SELECT 'edge_type', type, count(*) FROM edges GROUP BY 2 UNION ALL SELECT 'total', 'nodes', count(*) FROM nodes UNION ALL SELECT 'total', 'edges', count(*) FROM edges")
 def repository_stats(spark, d):
-    return reports.repository_stats(part_graph(spark, d))
+    return reports.repository_stats(order_graph(spark, d))
 
 
 @query("file_tree", f"WITH {URLS}, p AS (SELECT string_split(path, '/') AS parts FROM u), e AS (SELECT unnest(list_transform(range(1, len(parts) + 1), lambda k: array_to_string(parts[1:k], '/'))) AS path, unnest(list_transform(range(1, len(parts) + 1), lambda k: k < len(parts))) AS folder FROM p), f AS (SELECT path, max(folder) AS folder FROM e GROUP BY 1) SELECT path, CASE WHEN folder THEN 'folder' ELSE 'file' END AS kind, (len(string_split(path, '/')) - 1)::BIGINT AS depth, CASE WHEN contains(path, '/') THEN regexp_replace(path, '/[^/]*$', '') ELSE '' END AS parent FROM f")
@@ -40,9 +40,9 @@ def page_with_total(spark, d):
     return reports.page(part_nodes(spark, d).select("id", "name"), 3, 20, "name", "id")
 
 
-@query("components_detail", f"WITH {GRAPH} SELECT n.id, n.name, coalesce(array_to_string(list_sort(list_distinct((SELECT list(m.name) FROM edges e JOIN nodes m ON m.id = e.dst WHERE e.src = n.id))), ','), '') AS calls, coalesce(array_to_string(list_sort(list_distinct((SELECT list(m.name) FROM edges e JOIN nodes m ON m.id = e.src WHERE e.dst = n.id))), ','), '') AS called_by FROM nodes n WHERE node_type = 'service' ORDER BY n.id LIMIT 500")
+@query("components_detail", f"WITH {WHOLE} SELECT n.id, n.name, coalesce(array_to_string(list_sort(list_distinct((SELECT list(m.name) FROM edges e JOIN nodes m ON m.id = e.dst WHERE e.src = n.id))), ','), '') AS calls, coalesce(array_to_string(list_sort(list_distinct((SELECT list(m.name) FROM edges e JOIN nodes m ON m.id = e.src WHERE e.dst = n.id))), ','), '') AS called_by FROM nodes n WHERE node_type = 'service' ORDER BY n.id LIMIT 500")
 def components_detail(spark, d):
-    return reports.components_detail(part_graph(spark, d), "service").select("id", "name", F.array_join("calls", ",").alias("calls"), F.array_join("called_by", ",").alias("called_by"))
+    return reports.components_detail(order_graph(spark, d), "service").select("id", "name", F.array_join("calls", ",").alias("calls"), F.array_join("called_by", ",").alias("called_by"))
 
 
 @query("importance", f"WITH {URLS} SELECT path, CASE WHEN regexp_matches(lower(path), '(^|/)(main|app|index|server)\\.[a-z]+$') THEN 1.0::DOUBLE WHEN regexp_matches(lower(path), 'rout|service|model|controller') THEN 0.9 WHEN regexp_matches(lower(path), 'test|docs?/|\\.md$') THEN 0.3 ELSE 0.5 END AS importance FROM u")
@@ -75,16 +75,16 @@ def adapter_kinds(spark, d):
     return indexes.by_type(from_payload(symbols, edges).edges)
 
 
-@query("callers_detail", f"WITH {GRAPH} SELECT c.name AS caller, b.name AS callee, count(*) AS n FROM edges e JOIN nodes c ON c.id = e.src JOIN nodes b ON b.id = e.dst WHERE e.type = 'CALLS' GROUP BY 1, 2")
+@query("callers_detail", f"WITH {WHOLE} SELECT c.name AS caller, b.name AS callee, count(*) AS n FROM edges e JOIN nodes c ON c.id = e.src JOIN nodes b ON b.id = e.dst WHERE e.type = 'CALLS' GROUP BY 1, 2")
 def callers_detail(spark, d):
-    g = part_graph(spark, d)
+    g = order_graph(spark, d)
     a, b = g.nodes.select(C("id").alias("src"), C("name").alias("caller")), g.nodes.select(C("id").alias("dst"), C("name").alias("callee"))
     return g.edges.where("type = 'CALLS'").join(a, "src").join(b, "dst").groupBy("caller", "callee").agg(F.count("*").alias("n"))
 
 
-@query("violations", f"WITH {GRAPH}, n AS (SELECT id FROM nodes WHERE id % 10 > 0 UNION ALL SELECT id FROM nodes WHERE id % 100 = 1), v AS (SELECT 'DUPLICATE_NODE_ID' AS code, id::VARCHAR AS id FROM n GROUP BY 2 HAVING count(*) > 1 UNION ALL SELECT 'DANGLING_SOURCE', src::VARCHAR FROM edges WHERE src NOT IN (SELECT id FROM n) UNION ALL SELECT 'UNRESOLVED_TARGET', dst::VARCHAR FROM edges WHERE dst NOT IN (SELECT id FROM n)) SELECT code, count(*) AS n FROM v GROUP BY 1")
+@query("violations", f"WITH {WHOLE}, n AS (SELECT id FROM nodes WHERE id % 10 > 0 UNION ALL SELECT id FROM nodes WHERE id % 100 = 1), v AS (SELECT 'DUPLICATE_NODE_ID' AS code, id::VARCHAR AS id FROM n GROUP BY 2 HAVING count(*) > 1 UNION ALL SELECT 'DANGLING_SOURCE', src::VARCHAR FROM edges WHERE src NOT IN (SELECT id FROM n) UNION ALL SELECT 'UNRESOLVED_TARGET', dst::VARCHAR FROM edges WHERE dst NOT IN (SELECT id FROM n)) SELECT code, count(*) AS n FROM v GROUP BY 1")
 def violations(spark, d):
-    g = part_graph(spark, d)
+    g = order_graph(spark, d)
     ids = g.nodes.select("id")
     nodes = ids.where("id % 10 > 0").union(ids.where("id % 100 = 1"))
     return quality.violations(Graph(nodes, g.edges)).where("code <> 'ORPHAN_NODE'").groupBy("code").agg(F.count("*").alias("n"))

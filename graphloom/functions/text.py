@@ -5,18 +5,36 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Words that a search leaves out.
-STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "how", "if", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "what", "when", "where", "which", "who", "will", "with")
-#: Words that a search takes for each other.
-SYNONYMS = {"auth": ["login", "session"], "login": ["auth"], "db": ["database", "sql"], "database": ["db"], "api": ["route", "endpoint"], "repo": ["repository"], "config": ["settings"]}
+#: Words that a search leaves out, what it looks for besides a word, patterns of names.
+STOP_WORDS = (
+    "a an the what if i change modify remove delete update fix break happens depends on which features use can safely will would should my this that "
+    "when where how why who is are was were be been being have has had do does did doing could may might must shall"
+).split()
+SYNONYMS = {
+    "login": ["github", "oauth", "auth", "callback", "session", "sign"],
+    "oauth": ["github", "auth", "callback", "token"],
+    "github": ["oauth", "auth", "connect", "callback"],
+    "authentication": ["auth", "oauth", "login"],
+    "repository": ["repo", "connect", "analyze"],
+    "analysis": ["analyze", "parser", "scan"],
+    "session": ["token", "auth", "cookie"],
+    "connect": ["repo", "github", "repository"],
+}
+AUTH = "(?i)auth|oauth|login|session|token|password|credential|jwt|cookie|github"
+DATABASE = "(?i)database|db_|postgres|sqlalchemy|redis|migrate|repository|query"
+CRITICAL = r"(?i)main\.py|app\.py|router|middleware|config|settings|connect|analyze"
 MAX_TOKENS, DIMS = 16, 128
-AUTH, DATABASE, CRITICAL = "(?i)auth|login|session|token|oauth|password", "(?i)database|db|sql|postgres|model|migration", r"(?i)main\.py|app\.py|router|middleware|config|settings|connect|analyze"
+
+
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once: as the variable of a lambda over an array of one."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def tokens(text: Column, synonyms: dict[str, list[str]] | None = None, limit: int = MAX_TOKENS) -> Column:
-    """Lower-case words of two or more characters without stop words, synonyms after their word; distinct."""
-    words = F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9_]{2,})"), F.lit(1))
-    words = F.filter(words, lambda w: ~w.isin(*STOP_WORDS))
+    """Lower-case words of two or more characters without stop words, related words after their word; distinct."""
+    words = F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9_./-]+)"), F.lit(1))
+    words = F.filter(words, lambda w: (F.length(w) > 1) & ~w.isin(*STOP_WORDS))
     table = SYNONYMS if synonyms is None else synonyms
     if table:
         known = F.create_map(*[x for k, v in table.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
@@ -39,12 +57,30 @@ def similarity(a: Column, b: Column) -> Column:
     return F.when(union > 0, F.size(F.array_intersect(x, y)) / union).otherwise(F.lit(0.0))
 
 
+def embedding_words(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"), F.lit(1))
+
+
 def embedding(words: Column, dims: int = DIMS) -> Column:
     """Bag of words hashed by md5 into ``dims`` places, at unit length, rounded to six digits; zeros for no words."""
-    place = F.transform(words, lambda w: F.pmod(F.conv(F.right(F.md5(w), F.lit(8)), 16, 10).cast("long"), F.lit(dims)))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda k: F.size(F.filter(place, lambda p: p == k)).cast("double"))
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(counts, lambda x: F.when(norm > 0, F.round(x / norm, 6)).otherwise(F.lit(0.0)))
+    places = F.transform(words, lambda w: F.pmod(F.conv(F.right(F.md5(w), F.lit(8)), 16, 10).cast("long"), F.lit(dims)))
+    counts = lambda p: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda k: F.size(F.filter(p, lambda x: x == k)).cast("double"))
+    unit = lambda c, norm: F.transform(c, lambda x: F.when(norm > 0, F.round(x / norm, 6)).otherwise(F.lit(0.0)))
+    norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x * x))
+    return bound(places, lambda p: bound(counts(p), lambda c: bound(norm(c), lambda n: unit(c, n))))
+
+
+def embedding_of(text: str, dims: int = DIMS) -> list[float]:
+    """The same for one text, on the driver."""
+    import hashlib
+    import math
+    import re
+
+    out = [0.0] * dims
+    for word in re.findall("[a-z0-9]+", text.lower()):
+        out[int(hashlib.md5(word.encode()).hexdigest()[-8:], 16) % dims] += 1
+    norm = math.sqrt(sum(x * x for x in out))
+    return [round(x / norm, 6) if norm else 0.0 for x in out]
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -10,35 +10,52 @@ from ..graph import BOTH, INCOMING, OUTGOING, Graph
 from ..scratch import Scratch
 from . import analytics, traversal
 
-#: Kinds of flow: edge types that it follows, and in which direction.
+#: Edge types by what they say, and for each flow those that it follows, in which direction and order.
+CALL_EDGES = ("calls", "api_calls")
+SERVICE_EDGES = ("uses_service",)
+TABLE_EDGES = ("reads_table", "writes_table", "updates_table", "deletes_table")
+DEPENDENCY_EDGES = ("imports", "dependency_injection", "inherits")
+AUTH_EDGES = ("auth_dependency", "middleware_dependency")
+EXTERNAL_EDGES = ("external_api",)
+CRITICAL_TYPES = ("api_route", "service", "database_table", "external_api")
 FLOWS = {
-    "request": (("calls", "api_calls", "uses_service", "dependency_injection", "auth_dependency"), OUTGOING),
-    "data": (("reads_table", "writes_table", "updates_table", "deletes_table", "calls"), OUTGOING),
-    "auth": (("auth_dependency", "middleware_dependency", "calls"), BOTH),
-    "dependency": (("imports", "inherits", "class_contains"), OUTGOING),
-    "impact": (("calls", "api_calls", "imports"), INCOMING),
+    "api_request": (CALL_EDGES + SERVICE_EDGES + TABLE_EDGES + EXTERNAL_EDGES, OUTGOING, "bfs"),
+    "authentication": (AUTH_EDGES + CALL_EDGES + TABLE_EDGES, OUTGOING, "bfs"),
+    "repo_analysis": (CALL_EDGES + SERVICE_EDGES + TABLE_EDGES + EXTERNAL_EDGES, OUTGOING, "bfs"),
+    "db_interaction": (TABLE_EDGES + CALL_EDGES, INCOMING, "bfs"),
+    "service_dependency": (SERVICE_EDGES + CALL_EDGES + DEPENDENCY_EDGES, OUTGOING, "dfs"),
 }
 
 
-def flow(graph: Graph, root, types: list[str], direction: str = OUTGOING, max_depth: int = 6, max_nodes: int = 60, max_edges: int = 120) -> tuple[DataFrame, DataFrame]:
+def named_flow(graph: Graph, root, kind: str, **bounds) -> tuple[DataFrame, DataFrame]:
+    """Nodes and steps of one of FLOWS."""
+    types, direction, order = FLOWS[kind]
+    return flow(graph, root, list(types), direction, order=order, **bounds)
+
+
+def flow(graph: Graph, root, types: list[str], direction: str = OUTGOING, max_depth: int = 6, max_nodes: int = 60, max_edges: int = 120, order: str = "bfs") -> tuple[DataFrame, DataFrame]:
     """Nodes (node, depth, in_degree, out_degree, critical) and steps (src, dst, type, ordinal) of one flow.
 
-    A flow is a report: ``max_nodes`` nearest nodes and ``max_edges`` first steps. Steps are the allowed edges between
+    A flow is a report: ``max_nodes`` nearest nodes (with ``order`` dfs: the first of a depth-first search) and ``max_edges`` first steps. Steps are the allowed edges between
     its nodes, by the smaller depth, the larger depth, the ids and the type. Critical are the root, interfaces and
     services, and nodes with two steps in or three out.
     """
     scratch = Scratch(graph.edges.sparkSession, "flow")
-    near = traversal.bfs(graph, root, direction, max_depth, types).orderBy("depth", "node").limit(max_nodes)
+    if order == "dfs":
+        inner = Graph(graph.nodes, graph.edges.where(F.col("type").isin(types)))
+        near = traversal.depth_first(inner, root, direction, max_depth).orderBy("preorder").limit(max_nodes)
+    else:
+        near = traversal.bfs(graph, root, direction, max_depth, types).orderBy("depth", "node").limit(max_nodes)
     near = scratch.save(near.select(F.col("node").alias("id"), "depth"), "nodes")
     allowed = graph.edges.where(F.col("type").isin(types)).select("src", "dst", "type").distinct()
     a, b = near.select(F.col("id").alias("src"), F.col("depth").alias("da")), near.select(F.col("id").alias("dst"), F.col("depth").alias("db"))
-    order = [F.least("da", "db"), F.greatest("da", "db"), "src", "dst", "type"]
-    steps = allowed.join(a, "src").join(b, "dst").orderBy(*order).limit(max_edges)
-    steps = scratch.save(steps.withColumn("ordinal", F.row_number().over(Window.orderBy(*order))).select("src", "dst", "type", "ordinal"), "steps")
+    by_depth = [F.least("da", "db"), F.greatest("da", "db"), "src", "dst", "type"]
+    steps = allowed.join(a, "src").join(b, "dst").orderBy(*by_depth).limit(max_edges)
+    steps = scratch.save(steps.withColumn("ordinal", F.row_number().over(Window.orderBy(*by_depth))).select("src", "dst", "type", "ordinal"), "steps")
     degree = analytics.degrees(Graph(near, steps))
     kinds = graph.nodes.select("id", "node_type")
     nodes = near.join(degree, "id").join(kinds, "id", "left")
-    critical = (F.col("id") == F.lit(root)) | F.coalesce(F.col("node_type").isin("api_route", "service", "middleware", "database_table"), F.lit(False)) | (F.col("fan_in") >= 2) | (F.col("fan_out") >= 3)
+    critical = (F.col("id") == F.lit(root)) | F.coalesce(F.col("node_type").isin(*CRITICAL_TYPES), F.lit(False)) | (F.col("fan_in") >= 2) | (F.col("fan_out") >= 3)
     return nodes.select(F.col("id").alias("node"), "depth", F.col("fan_in").alias("in_degree"), F.col("fan_out").alias("out_degree"), critical.alias("critical")), steps
 
 

@@ -24,7 +24,12 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     usable = new
     for k in keys:
         usable = usable.where(F.col(k).isNotNull() & (F.trim(F.col(k).cast("string")) != ""))
-    usable = usable.dropDuplicates(keys)
+    # Of rows with equal keys the last in the order of their other columns stays.
+    others = [c for c in usable.columns if c not in keys]
+    if others:
+        usable = usable.groupBy(*keys).agg(F.max(F.struct(*others)).alias("_last")).select(*(F.col(f"_last.{c}").alias(c) if c in others else F.col(c) for c in usable.columns))
+    else:
+        usable = usable.distinct()
     return old.join(usable.select(*keys), keys, "left_anti").unionByName(usable, allowMissingColumns=True)
 
 
@@ -45,8 +50,9 @@ def placement(partitions: DataFrame) -> DataFrame:
 def rebalance(partitions: DataFrame, high: float = 0.8, low: float = 0.4) -> DataFrame:
     """(source, target): each overfull partition with each underfull one; partition lists are small."""
     used = partitions.select("partition_id", (F.col("current_size_bytes") / F.col("capacity_bytes")).alias("used"))
+    # Partitions of a store: a table of a few thousand rows.
     over, under = used.where(F.col("used") > high).select(F.col("partition_id").alias("source")), used.where(F.col("used") < low).select(F.col("partition_id").alias("target"))
-    return over.join(F.broadcast(under))
+    return over.join(under)
 
 
 def evict(entries: DataFrame, need: int, now: float) -> DataFrame:

@@ -42,12 +42,55 @@ def adjacency(graph: Graph, reverse: bool = False, check: bool = True) -> DataFr
 
 
 def compressed_rows(graph: Graph) -> DataFrame:
-    """(node, start, stop): slices of the target list that is ordered by source and target."""
+    """(node, start, stop): slices of the target list that is ordered by source and target.
+
+    Nodes are dealt out in ranges; each range sums its own degrees, and gets the sum of those before it.
+    """
     from pyspark.sql import Window
 
-    degrees = adjacency(graph, check=False).select("node", "degree")
-    stop = F.sum("degree").over(Window.orderBy("node"))
-    return degrees.select("node", (stop - F.col("degree")).alias("start"), stop.alias("stop"))
+    from ..scratch import Scratch
+
+    degrees = adjacency(graph, check=False).select("node", "degree").repartitionByRange("node").withColumn("part", F.spark_partition_id())
+    degrees = Scratch(graph.edges.sparkSession, "offsets").save(degrees, "degrees")
+    totals = degrees.groupBy("part").agg(F.sum("degree").alias("total"))  # a row for each range
+    before = totals.withColumn("before", F.coalesce(F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("total")
+    stop = F.sum("degree").over(Window.partitionBy("part").orderBy("node")) + F.col("before")
+    return degrees.join(F.broadcast(before), "part").select("node", (stop - F.col("degree")).alias("start"), stop.alias("stop"))
+
+
+def edge_by_id(edges: DataFrame, edge_id) -> DataFrame:
+    return edges.where(F.col("edge_id") == edge_id)
+
+
+def outgoing(edges: DataFrame, node) -> DataFrame:
+    """The edges out of a node, parallel ones too."""
+    return edges.where(F.col("src") == node)
+
+
+def incoming(edges: DataFrame, node) -> DataFrame:
+    return edges.where(F.col("dst") == node)
+
+
+def node_relations(edges: DataFrame, node) -> DataFrame:
+    """Every edge at a node once, a loop too."""
+    return edges.where((F.col("src") == node) | (F.col("dst") == node))
+
+
+def of_type(edges: DataFrame, kind: str) -> DataFrame:
+    return edges.where(F.upper("type") == kind.upper())
+
+
+def edge_lists(graph: Graph, reverse: bool = False) -> DataFrame:
+    """(node, edge_ids sorted, n) for every node: the ids of the edges out of it, or into it."""
+    at = "dst" if reverse else "src"
+    lists = graph.edges.groupBy(F.col(at).alias("node")).agg(F.sort_array(F.collect_list("edge_id")).alias("edge_ids"), F.count("*").alias("n"))
+    every = graph.nodes.select(F.col("id").alias("node"))
+    return every.join(lists, "node", "left").select("node", F.coalesce("edge_ids", F.array().cast("array<string>")).alias("edge_ids"), F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def reference_lists(edges: DataFrame) -> DataFrame:
+    """(definition, referrers sorted) over reference, call and use edges."""
+    return edges.where(F.col("type").isin(*REFERENCES)).groupBy(F.col("dst").alias("definition")).agg(F.sort_array(F.collect_set("src")).alias("referrers"))
 
 
 def incident(graph: Graph) -> DataFrame:

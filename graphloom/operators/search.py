@@ -7,8 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import cosine, embedding, relevance, similarity, tokens
+from ..functions.text import cosine, embedding, embedding_of, embedding_words, relevance, similarity, tokens
 from ..graph import Graph
+from ..scratch import Scratch
 
 
 def by_name(nodes: DataFrame, term: str, limit: int = 10) -> DataFrame:
@@ -39,37 +40,41 @@ def graded(nodes: DataFrame, text: str, limit: int = 25) -> DataFrame:
 
 
 def nearest(rows: DataFrame, vector: Column, column: str = "embedding", least: float = 0.25, limit: int = 15) -> DataFrame:
-    return rows.withColumn("cosine", cosine(F.col(column), vector)).where(F.col("cosine") > least).orderBy(F.desc("cosine"), rows.columns[0]).limit(limit)
+    """Rows with a cosine above ``least``, the nearest ones first (to nine digits, then by the first column); a report of ``limit`` rows."""
+    found = rows.withColumn("cosine", F.round(cosine(F.col(column), vector), 9))
+    return found.where(F.col("cosine") > least).orderBy(F.desc("cosine"), rows.columns[0]).limit(limit)
 
 
-def resolve(graph: Graph, text: str, aliases: DataFrame | None = None, limit: int = 25) -> DataFrame:
-    """(id, score) of what a question may mean: scores of several searches are added, 100 at most.
+def resolve(graph: Graph, text: str, aliases: DataFrame | None = None, workflows: DataFrame | None = None, limit: int = 25) -> DataFrame:
+    """(id, score, sources) of what a question may mean: points of several searches are added, 100 at most.
 
-    Exact name 100; alias 25; name 10; file 10; route 15; trigrams 15 from 0.35 on; embedding up to 20 (at least 8 above
-    a cosine of 0.25, best 15); neighbours of what was found 20. A report of ``limit`` rows.
+    Exact name 100; alias 25; a workflow of the node's alias or one that holds it 15; name 10; file 10; route 15;
+    trigrams above 0.35 the best 20, 15 each; embedding above a cosine of 0.25 the best 15, up to 20 and at least 8; steps
+    from the eight best of these 20. ``aliases(id, alias)``, ``workflows(id, workflow)``. ``sources`` are the names of the
+    searches that gave points. Nodes with a null name or file are found by what they have. A report of ``limit`` rows.
     """
+    scratch = Scratch(graph.edges.sparkSession, "resolve")
     nodes = graph.nodes
     words = tokens(F.lit(text))
-    name, file = F.lower("name"), F.lower("file")
-    inside = lambda c: F.exists(words, lambda w: c.contains(w))
-    point = lambda df, n: df.select("id", F.lit(n).cast("double").alias("score"))
-    parts = [
-        point(nodes.where(name == text.lower()), 100),
-        point(nodes.where(inside(name)), 10),
-        point(nodes.where(inside(file)), 10),
-        point(fuzzy(nodes, text, 0.35), 15),
-    ]
+    has = lambda c: F.coalesce(F.exists(words, lambda w: F.lower(c).contains(w)), F.lit(False))
+    point = lambda df, n, source: df.select("id", F.lit(n).cast("double").alias("score"), F.lit(source).alias("source"))
+    parts = [point(nodes.where(F.lower("name") == text.lower()), 100, "exact"), point(nodes.where(has(F.col("name"))), 10, "node"), point(nodes.where(has(F.col("file"))), 10, "file")]
+    alike = fuzzy(nodes.select("id", "name"), text.lower(), 0.35).where(F.round("similarity", 9) > 0.35)
+    parts.append(point(alike.orderBy(F.desc(F.round("similarity", 9)), "id").limit(20), 15, "trigram"))
     if "route_path" in nodes.columns:
-        parts.append(point(nodes.where(inside(F.lower("route_path"))), 15))
+        parts.append(point(nodes.where(has(F.col("route_path"))), 15, "api"))
     if aliases is not None:
-        parts.append(point(aliases.where(F.exists(words, lambda w: F.lower(F.col("alias")) == w)).select("id").distinct(), 25))
-    near = nearest(nodes.select("id", embedding(tokens(F.concat_ws(" ", "name", "file"))).alias("embedding")), embedding(words))
-    parts.append(near.select("id", F.greatest(F.lit(8.0), F.floor(20 * F.least(F.lit(1.0), F.col("cosine") / 0.5)).cast("double")).alias("score")))
-    base = reduce(DataFrame.union, parts).groupBy("id").agg(F.sum("score").alias("score"))
-    seeds = base.orderBy(F.desc("score"), "id").limit(10).select(F.col("id").alias("seed"))
-    steps = graph.directed("BOTH").select("at", "to").distinct()
-    grown = point(steps.join(F.broadcast(seeds), steps["at"] == seeds["seed"], "left_semi").select(F.col("to").alias("id")).distinct(), 20)
-    total = base.union(grown).groupBy("id").agg(F.least(F.lit(100.0), F.sum("score")).alias("score"))
+        parts.append(point(aliases.where(F.exists(words, lambda w: F.lower(F.col("alias")) == w)).select("id").distinct(), 25, "alias"))
+    if workflows is not None:
+        parts.append(point(workflows.where(has(F.col("workflow"))).select("id").distinct(), 15, "workflow"))
+    own = nodes.select("id", embedding(embedding_words(F.concat_ws(" ", "name", "file"))).alias("embedding"))
+    near = nearest(own, F.array(*map(F.lit, embedding_of(text))))
+    points = F.greatest(F.lit(8.0), F.floor(20 * F.least(F.lit(1.0), F.col("cosine") / 0.5)).cast("double"))
+    parts.append(near.select("id", points.alias("score"), F.lit("embedding").alias("source")))
+    base = scratch.save(reduce(DataFrame.union, parts), "base")
+    seeds = base.groupBy("id").agg(F.sum("score").alias("score")).orderBy(F.desc("score"), "id").limit(8).select(F.col("id").alias("at"))
+    grown = graph.directed("BOTH").select("at", "to").join(F.broadcast(seeds), "at", "left_semi").select(F.col("to").alias("id")).distinct()
+    total = base.union(point(grown, 20, "graph")).groupBy("id").agg(F.least(F.lit(100.0), F.sum("score")).alias("score"), F.sort_array(F.collect_set("source")).alias("sources"))
     return total.join(nodes.select("id"), "id", "left_semi").orderBy(F.desc("score"), "id").limit(limit)
 
 

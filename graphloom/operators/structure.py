@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,58 +12,75 @@ from pyspark.sql import functions as F
 
 from ..graph import Graph
 from ..scratch import Scratch
-from .traversal import walk
-
-#: Graphs of up to so many steps are labelled by one task, larger ones in rounds of joins.
-ONE_TASK = 200_000
-
-
-def _label_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Smallest node of each group, over all edges at once."""
-    table = pa.Table.from_batches(list(batches))
-    if not len(table):
-        return
-    ends = pa.concat_arrays([table.column(k).combine_chunks() for k in (0, 1)])
-    known = ends.unique().sort()
-    place = pa.compute.index_in(ends, known).to_numpy()
-    a, b = place[: len(table)], place[len(table) :]
-    label = np.arange(len(known))
-    while True:
-        low, new = np.minimum(label[a], label[b]), label.copy()
-        for at in (a, b, label[a], label[b]):
-            np.minimum.at(new, at, low)
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
-    yield pa.RecordBatch.from_arrays([known, known.take(pa.array(label))], names=["node", "component"])
+
+#: Edges that a task contracts or labels at once, and sweeps over them before labels go on to other tasks.
+BATCH, SWEEPS = 200_000, 500
+
+
+def _batches(batches: Iterator[pa.RecordBatch], size: int = BATCH) -> Iterator[pa.Table]:
+    """Batches joined to tables of up to about ``size`` rows."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= size:
+            yield pa.Table.from_batches(held)
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held)
+
+
+def _coded(*columns: pa.ChunkedArray) -> tuple[pa.Array, list[np.ndarray]]:
+    """The distinct values in order, and the place of each value among them."""
+    columns = [c.combine_chunks() for c in columns]
+    known = pa.concat_arrays(columns).unique().sort()
+    return known, [pa.compute.index_in(c, known).to_numpy() for c in columns]
+
+
+def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges of a batch, replaced by one from each node to the smallest of its group."""
+    for table in _batches(batches):
+        known, (a, b) = _coded(table.column(0), table.column(1))
+        label = np.arange(len(known))
+        while True:
+            low, new = np.minimum(label[a], label[b]), label.copy()
+            for at in (a, b, label[a], label[b]):
+                np.minimum.at(new, at, low)
+            new = new[new]
+            if (new == label).all():
+                break
+            label = new
+        moved = np.flatnonzero(label != np.arange(len(known)))
+        yield pa.RecordBatch.from_arrays([known.take(pa.array(moved)), known.take(pa.array(label[moved]))], names=["src", "dst"])
 
 
 def weak_components(graph: Graph) -> DataFrame:
     """(node, component) for every node: the smallest id that edges connect it with, in either direction.
 
-    A graph of up to ONE_TASK steps is labelled in one task. Beyond that, labels are lowered to the smallest one among the neighbours and then to their label's own label, so that their
-    reach doubles; a round is two joins.
+    Tasks contract their own edges first. Then every node sends its larger neighbours to its smallest one, and its smaller
+    neighbours likewise, until nothing changes: rounds grow with the logarithm of the size, and a node with very many
+    neighbours meets only its smallest.
     """
     scratch = Scratch(graph.edges.sparkSession, "components")
+    kind = graph.edges.schema["src"].dataType.simpleString()
     ends = graph.edges.select("src", "dst").where("src <> dst")
-    steps = scratch.save(ends.union(ends.select("dst", "src")).distinct(), "steps")
-    ids = graph.nodes.select(F.col("id").alias("node")).union(steps.select("src")).distinct()
-    if steps.count() <= ONE_TASK:
-        kind = steps.schema["src"].dataType.simpleString()
-        found = steps.where("src < dst").coalesce(1).mapInArrow(_label_all, f"node {kind}, component {kind}")
-        return ids.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
-    label, n = scratch.save(ids.select("node", F.col("node").alias("component")), "0"), 0
+    ids = graph.nodes.select(F.col("id").alias("node")).union(ends.select("src")).union(ends.select("dst")).distinct()
+    now = scratch.save(ends.mapInArrow(_contracted, f"src {kind}, dst {kind}").distinct(), "0")
+    seen, n = None, 0
     while True:
-        low = steps.join(label, steps["dst"] == label["node"]).groupBy(F.col("src").alias("node")).agg(F.min("component").alias("near"))
-        least = label.join(low, "node", "left").select("node", "component", F.least("component", F.coalesce("near", "component")).alias("new"))
-        jump = label.select(F.col("node").alias("new"), F.col("component").alias("far"))
-        n += 1
-        fresh = scratch.save(least.join(jump, "new", "left").select("node", F.least("new", "far").alias("component"), (F.least("new", "far") != F.col("component")).alias("moved")), str(n))
-        moved = not fresh.where("moved").isEmpty()
-        label = fresh.select("node", "component")
-        if not moved:
-            return label
+        state = now.agg(F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first()
+        # With one root for each node, and no root below another one, the stars are the components.
+        if state == seen or now.join(now.select(F.col("dst").alias("src")), "src", "left_semi").isEmpty() and now.groupBy("src").count().where("count > 1").isEmpty():
+            break
+        seen, n = state, n + 1
+        both = now.union(now.select("dst", "src")).toDF("src", "dst")
+        lows = both.groupBy("src").agg(F.least(F.min("dst"), F.first("src")).alias("low"))
+        large = scratch.save(both.where("dst > src").join(lows, "src").select(F.col("dst").alias("src"), F.col("low").alias("dst")).where("src <> dst").distinct(), f"{n}-large")
+        least = large.groupBy("src").agg(F.min("dst").alias("low"))
+        small = large.join(least, "src").select(F.col("dst").alias("src"), F.col("low").alias("dst")).where("src <> dst").union(least)
+        now = scratch.save(small.distinct(), str(n))
+    found = now.select(F.col("src").alias("node"), F.col("dst").alias("component"))
+    return ids.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
 def topological_levels(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
@@ -86,76 +102,82 @@ def topological_levels(edges: DataFrame, nodes: DataFrame | None = None) -> Data
         level += 1
 
 
-def _trimmed(edges: DataFrame, scratch: Scratch) -> DataFrame:
+def _trimmed(edges: DataFrame, scratch: Scratch, name: str = "trim") -> DataFrame:
     """Edges left when nodes without a predecessor or without a successor are taken away again and again."""
-    left, n, before = scratch.save(edges.select("src", "dst").distinct(), "trim-0"), 0, None
+    left, n, before = scratch.save(edges.select("src", "dst").distinct(), f"{name}-0"), 0, None
     while True:
         now = left.count()
         if now == before:
             return left
         before, n = now, n + 1
         has_in, has_out = left.select(F.col("dst").alias("src")).distinct(), left.select(F.col("src").alias("dst")).distinct()
-        left = scratch.save(left.join(has_in, "src", "left_semi").join(has_out, "dst", "left_semi"), f"trim-{n}")
-
-
-def _in_cycles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Nodes of the strongly connected components of more than one node and nodes with a loop, over all edges at once."""
-    batches = list(batches)
-    if not batches:
-        return
-    table = pa.Table.from_batches(batches)
-    ends = pa.concat_arrays([table.column(k).combine_chunks() for k in (0, 1)])
-    known = ends.unique()
-    place = pa.compute.index_in(ends, known).to_numpy()
-    a, b = place[: len(table)], place[len(table) :]
-    order = np.argsort(a, kind="stable")
-    to = b[order].tolist()
-    begin = np.searchsorted(a[order], np.arange(len(known) + 1)).tolist()
-    found = np.zeros(len(known), dtype=bool)
-    found[a[a == b]] = True
-    # Tarjan's algorithm with a stack of its own: number is 0 for new nodes, -1 for nodes of finished components.
-    number, low, at, count, open_nodes = [0] * len(known), [0] * len(known), begin[:-1], 0, []
-    for root in range(len(known)):
-        path = [] if number[root] else [root]
-        while path:
-            v = path[-1]
-            if not number[v]:
-                count += 1
-                number[v] = low[v] = count
-                open_nodes.append(v)
-            if at[v] < begin[v + 1]:
-                w = to[at[v]]
-                at[v] += 1
-                if not number[w]:
-                    path.append(w)
-                elif number[w] > 0:
-                    low[v] = min(low[v], number[w])
-                continue
-            path.pop()
-            if path:
-                low[path[-1]] = min(low[path[-1]], low[v])
-            if low[v] == number[v]:
-                members = []
-                while not members or members[-1] != v:
-                    members.append(open_nodes.pop())
-                    number[members[-1]] = -1
-                if len(members) > 1:
-                    found[members] = True
-    yield pa.RecordBatch.from_arrays([known.filter(pa.array(found))], names=["node"])
+        left = scratch.save(left.join(has_in, "src", "left_semi").join(has_out, "dst", "left_semi"), f"{name}-{n}")
+
+
+def _swept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(src, dst, label, own)``: the label of each edge's source goes on along the batch's edges, the largest one wins."""
+    for table in _batches(batches):
+        known, (a, b) = _coded(table.column("src"), table.column("dst"))
+        values, (of_src, of_dst) = _coded(table.column("label"), table.column("own"))
+        label = np.full(len(known), -1, dtype=np.int64)
+        label[a], before = of_src, np.full(len(known), -1, dtype=np.int64)
+        np.maximum.at(label, b, of_dst)
+        before[b] = of_dst
+        order = np.argsort(label[a], kind="stable")
+        a, b = a[order], b[order]
+        for _ in range(SWEEPS):
+            new = label.copy()
+            np.maximum.at(new, b, label[a])
+            if (new == label).all():
+                break
+            label = new
+        moved = np.unique(b[label[b] > before[b]])
+        yield pa.RecordBatch.from_arrays([known.take(pa.array(moved)), values.take(pa.array(label[moved]))], names=["node", "label"])
+
+
+def _spread(edges: DataFrame, labels: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """``labels(node, label)`` with the largest label of all nodes from which ``edges(src, dst)`` lead to a node.
+
+    A round joins labels to the edges, sweeps inside the tasks, and takes the largest label found for each node.
+    """
+    node, label = (labels.schema[c].dataType.simpleString() for c in ("node", "label"))
+    n = 0
+    while True:
+        n += 1
+        with_src = edges.join(labels.withColumnRenamed("node", "src"), "src")
+        both = with_src.join(labels.select(F.col("node").alias("dst"), F.col("label").alias("own")), "dst").select("src", "dst", "label", "own")
+        found = both.mapInArrow(_swept, f"node {node}, label {label}").groupBy("node").agg(F.max("label").alias("found"))
+        found = scratch.save(found, f"{name}-found-{n}")
+        if found.isEmpty():
+            return labels
+        labels = scratch.save(labels.join(found, "node", "left").select("node", F.greatest("label", F.coalesce("found", "label")).alias("label")), f"{name}-{n}")
 
 
 def cycle_nodes(edges: DataFrame) -> DataFrame:
-    """(node) of every node that reaches itself: among what trimming leaves, nodes on no cycle lie between cycles.
+    """(node) of every node that reaches itself, however long its cycle is.
 
-    Up to ONE_TASK edges left are judged in one task. Beyond that every node walks until it reaches nothing new, however long its cycle is.
+    By colours: the largest node that reaches a node is its colour; those of a colour that reach the node it is named
+    for are a strongly connected component. Components found are taken away with the edges between colours, what is
+    left is trimmed, and coloured again. Tables have a row for each node or edge, never for each pair.
     """
     scratch = Scratch(edges.sparkSession, "cycles")
-    left = _trimmed(edges, scratch)
-    if left.count() <= ONE_TASK:
-        return left.coalesce(1).mapInArrow(_in_cycles, f"node {left.schema['src'].dataType.simpleString()}")
-    steps = left.select(F.col("src").alias("at"), F.col("dst").alias("to"), F.lit(0).alias("ordinal"))
-    found = walk(steps, left.select(F.col("src").alias("source"), F.col("dst").alias("node")).distinct(), max_depth=sys.maxsize - 1)
-    return found.where("source = node").select("node").distinct()
+    out = edges.where("src = dst").select(F.col("src").alias("node")).distinct()
+    left, n = _trimmed(edges.where("src <> dst"), scratch, "trim-0"), 0
+    while not left.isEmpty():
+        n += 1
+        nodes = left.select(F.col("src").alias("node")).union(left.select("dst")).distinct()
+        colours = _spread(left, scratch.save(nodes.select("node", F.col("node").alias("label")), f"nodes-{n}"), scratch, f"colour-{n}")
+        of = lambda end: colours.select(F.col("node").alias(end), F.col("label").alias(f"_{end}"))
+        same = scratch.save(left.join(of("src"), "src").join(of("dst"), "dst").where("_src = _dst").select("src", "dst"), f"same-{n}")
+        roots = colours.select("node", (F.col("node") == F.col("label")).cast("int").alias("label"))
+        back = _spread(same.select(F.col("dst").alias("src"), F.col("src").alias("dst")), scratch.save(roots, f"roots-{n}"), scratch, f"back-{n}")
+        done = scratch.save(back.where("label = 1").select("node"), f"done-{n}")
+        # A root alone is no cycle: on one are the roots that an edge of their colour leads back to, and all behind them.
+        inner = same.join(done.withColumnRenamed("node", "src"), "src", "left_semi").join(done.withColumnRenamed("node", "dst"), "dst", "left_semi")
+        out = out.union(inner.select(F.col("src").alias("node")).distinct())
+        rest = same.join(done.withColumnRenamed("node", "src"), "src", "left_anti").join(done.withColumnRenamed("node", "dst"), "dst", "left_anti")
+        left = _trimmed(rest, scratch, f"trim-{n}")
+    return scratch.save(out.distinct(), "out")
 
 
 def simple_cycles(edges: DataFrame, max_length: int = 6) -> DataFrame:

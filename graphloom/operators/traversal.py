@@ -2,40 +2,48 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from itertools import count
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..graph import BOTH, INCOMING, OUTGOING, Graph
 from ..scratch import Scratch
 
-LIMIT = 100
-
 
-def walk(steps: DataFrame, starts: DataFrame, max_depth: int = LIMIT, targets: DataFrame | None = None, max_nodes: int | None = None) -> DataFrame:
+def walk(steps: DataFrame, starts: DataFrame, max_depth: int | None = None, targets: DataFrame | None = None, max_nodes: int | None = None, stop: DataFrame | None = None, until: Column | None = None) -> DataFrame:
     """Breadth-first search from many sources at once.
 
     ``steps(at, to, ordinal, ...)`` and ``starts(source, node)`` give (source, node, depth, parent): every node
-    within ``max_depth`` steps of its source, at its least depth, the source itself at 0. The parent is the first
+    within ``max_depth`` steps of its source (None: however far), at its least depth, the source itself at 0. The parent is the first
     discoverer: the one with the smallest ordinal, then the smallest id. With ``targets(source, node)`` a source goes
-    no further than the level on which all its targets have been met. ``max_nodes`` trims each source's result to so many nodes, by
-    depth and id.
+    no further than the level on which all its targets have been met. With ``max_nodes`` a source goes no further than the
+    level on which it has so many nodes, and its result is trimmed to them by depth and id. ``stop(node)`` are nodes
+    that are reached but not left. The whole search ends with the level on which a row meets ``until``.
     """
     spark = starts.sparkSession
     scratch = Scratch(spark, "walk")
+    met = F.lit(False) if until is None else F.coalesce(until, F.lit(False))
     kind = starts.schema["node"].dataType
     first = starts.distinct().select("source", "node", F.lit(0).alias("depth"), F.lit(None).cast(kind).alias("parent"))
     visited = frontier = scratch.save(first, "0")
     slim = steps.select("at", "to", "ordinal")
-    for depth in range(1, max_depth + 1):
+    for depth in count(1) if max_depth is None else range(1, max_depth + 1):
+        if stop is not None:
+            frontier = frontier.join(stop.select("node"), "node", "left_anti").select("source", "node", "depth", "parent")
+        if max_nodes is not None:
+            full = visited.groupBy("source").agg(F.count("*").alias("n")).where(F.col("n") >= max_nodes).select("source")
+            frontier = frontier.join(full, "source", "left_anti")
         if targets is not None:
             open_sources = targets.join(visited, ["source", "node"], "left_anti").select("source").distinct()
             frontier = frontier.join(open_sources, "source", "left_semi")
         found = frontier.join(slim, frontier["node"] == slim["at"]).groupBy("source", F.col("to").alias("node")).agg(F.min(F.struct("ordinal", F.col("at").alias("parent")))["parent"].alias("parent"))
         fresh = found.join(visited.select("source", "node"), ["source", "node"], "left_anti")
         frontier = scratch.save(fresh.select("source", "node", F.lit(depth).alias("depth"), "parent"), str(depth))
-        if frontier.isEmpty():
+        state = frontier.agg(F.count("*").alias("n"), F.max(met).alias("met")).first()
+        visited = scratch.together([str(k) for k in range(depth + 1)], visited)
+        if not state.n or state.met:
             break
-        visited = visited.union(frontier)
     if max_nodes is not None:
         order = Window.partitionBy("source").orderBy("depth", "node")
         visited = visited.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= max_nodes).drop("_n")
@@ -48,12 +56,19 @@ def _from(graph: Graph, ids, name: str = "node") -> DataFrame:
     return graph.edges.sparkSession.createDataFrame(rows, f"source {kind.simpleString()}, {name} {kind.simpleString()}")
 
 
-def bfs(graph: Graph, start, direction: str = OUTGOING, max_depth: int = LIMIT, types: list[str] | None = None, target=None, max_nodes: int | None = None) -> DataFrame:
-    """(node, depth, parent) of everything within reach of ``start``, itself included."""
-    targets = None
-    if target is not None:
-        targets = _from(graph, [start]).select("source", F.lit(target).cast(graph.edges.schema["src"].dataType).alias("node"))
-    return walk(graph.directed(direction, types), _from(graph, start), max_depth, targets, max_nodes).drop("source")
+def bfs(graph: Graph, start, direction: str = OUTGOING, max_depth: int | None = None, types: list[str] | None = None, target=None, max_nodes: int | None = None, max_edges: int | None = None) -> DataFrame:
+    """(node, depth, parent) of everything within reach of ``start``, itself included.
+
+    ``max_edges`` keeps what the first so many steps lead to, in the order of depth, node and step.
+    """
+    steps = graph.directed(direction, types)
+    until = None if target is None else F.col("node") == F.lit(target)
+    found = walk(steps, _from(graph, start), 0 if target is not None and target == start else max_depth, None, max_nodes, until=until).drop("source")
+    if max_edges is None:
+        return found
+    # A report of the first steps: sorted and cut, then the nodes that they lead to.
+    taken = steps.join(found.select(F.col("node").alias("at"), F.col("depth").alias("_d")), "at").orderBy("_d", "at", "ordinal", "to").limit(max_edges)
+    return found.join(taken.select(F.col("to").alias("node")).distinct(), "node", "left_semi").union(found.where("depth = 0")).distinct()
 
 
 def leaves(graph: Graph, visited: DataFrame, direction: str = OUTGOING) -> DataFrame:
@@ -79,20 +94,63 @@ def path_expand(graph: Graph, ids: DataFrame, depth: int = 2) -> DataFrame:
     return walk(graph.directed(), one, depth).select(F.col("node").alias("id")).distinct()
 
 
-def expand_where(graph: Graph, start, direction: str = OUTGOING, types: list[str] | None = None, node_types: list[str] | None = None, min_depth: int = 1, max_depth: int = 3) -> DataFrame:
-    """(node, depth) with the edge types filtered before each step, depth and node types on what is returned."""
-    found = bfs(graph, start, direction, max_depth, types).where(F.col("depth") >= min_depth).select("node", "depth")
-    if node_types is None:
-        return found
-    wanted = graph.nodes.where(F.col("node_type").isin(node_types)).select(F.col("id").alias("node"))
-    return found.join(wanted, "node", "left_semi")
+def expand_where(
+    graph: Graph,
+    start,
+    direction: str = OUTGOING,
+    types: list[str] | None = None,
+    node_types: list[str] | None = None,
+    min_depth: int = 1,
+    max_depth: int | None = 3,
+    max_nodes: int | None = None,
+    stop_types: list[str] | None = None,
+    stop: Column | None = None,
+    where: Column | None = None,
+    track_paths: bool = False,
+) -> DataFrame:
+    """(node, depth, [path]) with the edge types filtered before each step, depth, node types and ``where`` on what is returned.
+
+    Nodes of ``stop_types``, or for which ``stop`` holds, are reached but not left; ``stop`` and ``where`` are conditions on
+    the columns of the nodes. ``max_nodes`` ends the search. ``track_paths`` gives the way by first discoverers.
+    """
+    halt = F.lit(False)
+    if stop_types is not None:
+        halt = halt | F.coalesce(F.col("node_type").isin(stop_types), F.lit(False))
+    if stop is not None:
+        halt = halt | F.coalesce(stop, F.lit(False))
+    halted = graph.nodes.where(halt).select(F.col("id").alias("node")) if stop_types is not None or stop is not None else None
+    found = walk(graph.directed(direction, types), _from(graph, start), max_depth, None, max_nodes, halted).drop("source")
+    if track_paths:
+        found = with_paths(found)
+    out = found.where(F.col("depth") >= min_depth).drop("parent")
+    if node_types is None and where is None:
+        return out
+    wanted = graph.nodes
+    if node_types is not None:
+        wanted = wanted.where(F.col("node_type").isin(node_types))
+    if where is not None:
+        wanted = wanted.where(where)
+    return out.join(wanted.select(F.col("id").alias("node")), "node", "left_semi")
+
+
+def with_paths(found: DataFrame) -> DataFrame:
+    """``found(node, depth, parent)`` of one source with the array of nodes from it to each; one join for each level."""
+    scratch = Scratch(found.sparkSession, "ways")
+    found = scratch.save(found, "found")
+    level = out = found.where("depth = 0").withColumn("path", F.array("node"))
+    for depth in range(1, (found.agg(F.max("depth")).first()[0] or 0) + 1):
+        before = level.select(F.col("node").alias("parent"), F.col("path").alias("_way"))
+        nearer = found.where(F.col("depth") == depth).join(before, "parent")
+        level = scratch.save(nearer.select("node", "depth", "parent", F.array_append("_way", F.col("node")).alias("path")), str(depth))
+        out = out.union(level)
+    return out
 
 
-def ancestors(graph: Graph, start, max_depth: int = LIMIT, types: list[str] | None = None) -> DataFrame:
+def ancestors(graph: Graph, start, max_depth: int | None = None, types: list[str] | None = None) -> DataFrame:
     return bfs(graph, start, INCOMING, max_depth, types).where("depth > 0").select("node", "depth")
 
 
-def descendants(graph: Graph, start, max_depth: int = LIMIT, types: list[str] | None = None) -> DataFrame:
+def descendants(graph: Graph, start, max_depth: int | None = None, types: list[str] | None = None) -> DataFrame:
     return bfs(graph, start, OUTGOING, max_depth, types).where("depth > 0").select("node", "depth")
 
 
@@ -100,37 +158,61 @@ def neighborhood(graph: Graph, start, hops: int = 1, direction: str = BOTH) -> D
     return bfs(graph, start, direction, hops).where("depth > 0").select("node", "depth")
 
 
-def reachable(graph: Graph, start, targets: list, direction: str = OUTGOING, max_depth: int = LIMIT) -> DataFrame:
+def reachable(graph: Graph, start, targets: list, direction: str = OUTGOING, max_depth: int | None = None) -> DataFrame:
     """(node, depth) of those targets that are within reach."""
     return bfs(graph, start, direction, max_depth).where(F.col("node").isin(targets)).select("node", "depth")
 
 
-def shortest_path(graph: Graph, start, target, direction: str = OUTGOING, max_depth: int = LIMIT) -> list:
-    """Nodes of one shortest path, by first discoverers; empty if there is none, one node if start is target."""
+def shortest_path(graph: Graph, start, target, direction: str = OUTGOING, max_depth: int | None = None) -> list:
+    """Nodes of one shortest path, by first discoverers; empty if there is none, one node if start is target.
+
+    The way back is found by doubling: in each round the parents of 1, 2, 4 ... steps are joined to what is known of it.
+    """
     if start is None or target is None:
         raise ValueError("a shortest path needs two nodes")
     if start == target:
         return [start]
-    found = bfs(graph, start, direction, max_depth, target=target)
-    path = [target]
-    while path[-1] != start:  # one row for each step of the path
-        row = found.where(F.col("node") == F.lit(path[-1])).select("parent").first()
-        if row is None:
-            return []
-        path.append(row.parent)
-    return path[::-1]
-
-
-def bidirectional(graph: Graph, start, target, max_depth: int = LIMIT) -> DataFrame:
-    """(meeting, length) of a shortest path, from searches of half its depth at both ends; empty if there is none."""
-    for half in range(0, (max_depth + 1) // 2 + 1):
-        forth = bfs(graph, start, OUTGOING, half).select("node", F.col("depth").alias("a"))
-        back = bfs(graph, target, INCOMING, half).select("node", F.col("depth").alias("b"))
-        met = forth.join(back, "node").select(F.col("node").alias("meeting"), (F.col("a") + F.col("b")).alias("length"))
-        best = met.orderBy("length", "meeting").limit(1)
-        if not best.isEmpty():
+    scratch = Scratch(graph.edges.sparkSession, "path")
+    found = scratch.save(bfs(graph, start, direction, max_depth, target=target), "found")
+    end = found.where(F.col("node") == F.lit(target)).select("node", "depth").first()
+    if end is None:
+        return []
+    hops, way, reach = found.where("parent is not null").select("node", F.col("parent").alias("to")), found.where(F.col("node") == F.lit(target)).select("node"), 1
+    while reach <= end.depth:
+        way = scratch.save(way.union(way.join(hops, "node").select(F.col("to").alias("node"))), f"way-{reach}")
+        further = hops.select(F.col("node").alias("to"), F.col("to").alias("far"))
+        hops = scratch.save(hops.join(further, "to").select("node", F.col("far").alias("to")), f"hops-{reach}")
+        reach *= 2
+    return [r.node for r in found.join(way, "node", "left_semi").orderBy("depth").select("node").collect()]
+
+
+def bidirectional(graph: Graph, start, target, max_depth: int | None = None) -> DataFrame:
+    """(meeting, length) of a shortest path; empty if there is none.
+
+    Both ends search at the same time, a level of either in turn; each goes on from its last level.
+    """
+    scratch = Scratch(graph.edges.sparkSession, "meet")
+    sides, turn = [], 1
+    for node, direction in ((start, OUTGOING), (target, INCOMING)):
+        first = scratch.save(_from(graph, node).select("node", F.lit(0).alias("depth")), f"{direction}-0")
+        sides.append({"steps": graph.directed(direction).select("at", "to"), "name": direction, "depth": 0, "seen": first, "last": first})
+    last = sides[0]["last"]
+    while True:
+        # The last level against all of the other side: earlier levels have been compared with it already.
+        other = sides[turn]["seen"].select("node", F.col("depth").alias("_other"))
+        met = last.join(other, "node").select(F.col("node").alias("meeting"), (F.col("depth") + F.col("_other")).alias("length"))
+        best = scratch.save(met.orderBy("length", "meeting").limit(1), f"best-{sides[0]['depth']}-{sides[1]['depth']}")
+        if not best.isEmpty() or max_depth is not None and sides[0]["depth"] + sides[1]["depth"] >= max_depth:
+            return best
+        side = sides[turn]
+        side["depth"] += 1
+        found = side["last"].join(side["steps"], side["last"]["node"] == side["steps"]["at"]).select(F.col("to").alias("node")).distinct()
+        fresh = found.join(side["seen"], "node", "left_anti").select("node", F.lit(side["depth"]).alias("depth"))
+        last = side["last"] = scratch.save(fresh, f"{side['name']}-{side['depth']}")
+        if last.isEmpty():
             return best
-    return best
+        side["seen"] = scratch.together([f"{side['name']}-{k}" for k in range(side["depth"] + 1)], last)
+        turn = 1 - turn
 
 
 def simple_paths(graph: Graph, start, targets: list | None = None, max_depth: int = 12, types: list[str] | None = None, direction: str = OUTGOING) -> DataFrame:
@@ -148,7 +230,7 @@ def simple_paths(graph: Graph, start, targets: list | None = None, max_depth: in
     return out if targets is None else out.where(F.col("node").isin(targets))
 
 
-def depth_first(graph: Graph, start, direction: str = OUTGOING, max_depth: int = LIMIT) -> DataFrame:
+def depth_first(graph: Graph, start, direction: str = OUTGOING, max_depth: int | None = None) -> DataFrame:
     """(node, depth, preorder) of a depth-first search that takes neighbours by ordinal and id.
 
     A preorder is sequential by nature: the search runs in one task over the subgraph within reach of the start, so
@@ -165,7 +247,7 @@ def depth_first(graph: Graph, start, direction: str = OUTGOING, max_depth: int =
         order, todo, seen = [], [(start, 0)], set()
         while todo:
             node, depth = todo.pop()
-            if node in seen or depth > max_depth:
+            if node in seen or max_depth is not None and depth > max_depth:
                 continue
             seen.add(node)
             order.append((node, depth, len(order)))

@@ -10,7 +10,6 @@ from ..operators import analytics, indexes, search, structure, traversal
 from . import expressions as X
 from .query import Context, Lookup, Query
 
-MAX_DEPTH, MAX_NODES, MAX_RESULTS = 100, 10_000, 1_000
 
 
 class GraphEngine:
@@ -20,9 +19,9 @@ class GraphEngine:
         self.graph, self.context = graph, Context(graph, tables)
 
     @staticmethod
-    def _depth(depth: int) -> int:
-        if not 1 <= depth <= MAX_DEPTH:
-            raise ValueError(f"depth must be between 1 and {MAX_DEPTH}")
+    def _depth(depth: int | None) -> int | None:
+        if depth is not None and depth < 1:
+            raise ValueError("depth must be 1 or more, or None for any")
         return depth
 
     def execute(self, query: Query) -> DataFrame:
@@ -77,10 +76,10 @@ class GraphEngine:
     def find_callees(self, node_id) -> DataFrame:
         return self._step(node_id, OUTGOING, ["CALLS"])
 
-    def find_dependencies(self, node_id, depth: int = MAX_DEPTH) -> DataFrame:
+    def find_dependencies(self, node_id, depth: int | None = None) -> DataFrame:
         return traversal.descendants(self.graph, node_id, self._depth(depth))
 
-    def find_dependents(self, node_id, depth: int = MAX_DEPTH) -> DataFrame:
+    def find_dependents(self, node_id, depth: int | None = None) -> DataFrame:
         return traversal.ancestors(self.graph, node_id, self._depth(depth))
 
     def find_imports(self, node_id) -> DataFrame:
@@ -94,12 +93,12 @@ class GraphEngine:
 
     find_related_nodes = find_neighbors
 
-    def find_reachable_nodes(self, node_id, targets: list | None = None, depth: int = MAX_DEPTH) -> DataFrame:
+    def find_reachable_nodes(self, node_id, targets: list | None = None, depth: int | None = None) -> DataFrame:
         if targets is None:
             return traversal.descendants(self.graph, node_id, self._depth(depth))
         return traversal.reachable(self.graph, node_id, targets, OUTGOING, self._depth(depth))
 
-    def is_reachable(self, a, b, depth: int = MAX_DEPTH) -> bool:
+    def is_reachable(self, a, b, depth: int | None = None) -> bool:
         return a == b or not self.find_reachable_nodes(a, [b], depth).isEmpty()
 
     def find_paths(self, a, b, depth: int = 12) -> DataFrame:
@@ -115,13 +114,13 @@ class GraphEngine:
         return structure.weak_components(self.graph)
 
     def find_usages(self, node_id, indirect: bool = False) -> DataFrame:
-        depth = MAX_DEPTH if indirect else 1
+        depth = None if indirect else 1
         return traversal.ancestors(self.graph, node_id, depth, list(indexes.REFERENCES))
 
     def find_hierarchy(self, node_id, side: str = "BOTH") -> DataFrame:
         """(node, depth) over inheritance and implementation: SUBTYPES, SUPERTYPES or BOTH."""
         kinds = ["INHERITS", "IMPLEMENTS"]
-        up, down = traversal.descendants(self.graph, node_id, MAX_DEPTH, kinds), traversal.ancestors(self.graph, node_id, MAX_DEPTH, kinds)
+        up, down = traversal.descendants(self.graph, node_id, None, kinds), traversal.ancestors(self.graph, node_id, None, kinds)
         return up if side == "SUPERTYPES" else down if side == "SUBTYPES" else up.union(down)
 
     def find_impact(self, node_id, depth: int = 5) -> DataFrame:

@@ -87,7 +87,7 @@ def scan_files(spark: SparkSession, root: str, max_bytes: int = 500_000, skipped
     pattern = "(^|/)(" + "|".join(s.replace(".", r"\.") for s in skipped) + ")/"
     kept = files.where((F.col("length") <= max_bytes) & ~F.col("path").rlike(pattern))
     path = F.substring_index("path", root.rstrip("/").removeprefix("file://") + "/", -1)
-    binary = F.instr(F.hex(F.substring("content", 1, 1024)), "00") % 2 == 1
+    binary = F.instr(F.decode(F.substring("content", 1, 1024), "ISO-8859-1"), "\x00") > 0
     text = F.when(~binary, F.decode("content", "UTF-8"))
     lines = F.when(F.length(text) > 0, F.size(F.split(text, "\n")) - F.when(text.endswith("\n"), 1).otherwise(0)).otherwise(0)
     return kept.select(path.alias("path"), F.col("length").alias("size_bytes"), extension(path).alias("extension"), language(path).alias("language"), folder_depth(path).alias("depth"), lines.alias("line_count"), F.substring(text, 1, 500).alias("preview"), F.sha2("content", 256).alias("content_hash"))

@@ -75,15 +75,51 @@ def test_pipeline_of_steps(spark):
     assert pairs(traversal.path_expand(g, one, 2), "id") == {("1",), ("2",), ("3",)}
 
 
-def test_long_graph(spark, monkeypatch):
+@pytest.mark.parametrize("batch", [200_000, 40])
+def test_long_graph(spark, monkeypatch, batch):
     n = 300
     e = spark.range(n - 1).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"), F.lit("IMPORTS").alias("type")).union(spark.range(n - 5).select("id", F.col("id") + 5, F.lit("CALLS")))
     g = Graph(spark.range(n), e)
     got = {r.node: r.depth for r in traversal.bfs(g, 0, max_depth=12).collect()}
     assert all(d == k // 5 + k % 5 for k, d in got.items()) and len(got) == sum(k // 5 + k % 5 <= 12 for k in range(n))
-    assert structure.weak_components(g).select("component").distinct().count() == 1
-    monkeypatch.setattr(structure, "ONE_TASK", 0)
-    assert structure.weak_components(g).select("component").distinct().count() == 1
+    monkeypatch.setattr(structure, "BATCH", batch)
+    two = Graph(spark.range(2 * n), e.union(e.select(F.col("src") + n, F.col("dst") + n, "type")))
+    assert {(r.node, r.component) for r in structure.weak_components(two).collect()} == {(k, k // n * n) for k in range(2 * n)}
+
+
+def test_long_way(spark):
+    """A way of more than 100 steps is found whole by a search that has no depth of its own."""
+    n = 104
+    g = Graph(spark.range(n + 1), spark.range(n).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"), F.lit("CALLS").alias("type")))
+    assert traversal.shortest_path(g, 0, n) == list(range(n + 1))
+    assert traversal.shortest_path(g, 4, 4) == [4] and traversal.bidirectional(g, 5, 5).first().length == 0
+    assert traversal.bidirectional(g, 90, 97).first().length == 7 and traversal.bidirectional(g, n, n - 1).isEmpty()
+    assert GraphEngine(g).find_dependencies(95).count() == n - 95
+
+
+def test_expand_options(cyclic):
+    every = {r.node: r.depth for r in traversal.bfs(cyclic, "A").collect()}
+    assert traversal.bfs(cyclic, "A", max_nodes=3).count() == 3
+    assert {r.node for r in traversal.expand_where(cyclic, "A", max_depth=None, track_paths=True).collect()} == set(every) - {"A"}
+    for r in traversal.expand_where(cyclic, "A", max_depth=None, track_paths=True).collect():
+        assert r.path[0] == "A" and r.path[-1] == r.node and len(r.path) == r.depth + 1
+    first = traversal.bfs(cyclic, "A", max_edges=1)
+    assert first.count() == 2
+    stopped = traversal.expand_where(cyclic, "A", max_depth=None, stop=F.col("id") != "A")
+    assert {r.node for r in stopped.collect()} == {n for n, d in every.items() if d == 1}
+    assert {r.node for r in traversal.expand_where(cyclic, "A", max_depth=None, where=F.col("id") == "C").collect()} <= {"C"}
+
+
+def test_edge_lookups(spark):
+    edges = spark.createDataFrame([("e1", "a", "b", "CALLS"), ("e2", "a", "b", "USES"), ("e3", "b", "b", "CALLS"), ("e4", "c", "a", "IMPORTS")], "edge_id string, src string, dst string, type string")
+    g = Graph(spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "id string"), edges)
+    ids = lambda df: sorted(r.edge_id for r in df.collect())
+    assert ids(indexes.edge_by_id(edges, "e2")) == ["e2"] and ids(indexes.outgoing(edges, "a")) == ["e1", "e2"]
+    assert ids(indexes.incoming(edges, "b")) == ["e1", "e2", "e3"] and ids(indexes.node_relations(edges, "b")) == ["e1", "e2", "e3"]
+    assert ids(indexes.of_type(edges, "calls")) == ["e1", "e3"]
+    assert {r.node: r.edge_ids for r in indexes.edge_lists(g).collect()} == {"a": ["e1", "e2"], "b": ["e3"], "c": ["e4"], "d": []}
+    assert {r.node: r.n for r in indexes.edge_lists(g, reverse=True).collect()} == {"a": 1, "b": 3, "c": 0, "d": 0}
+    assert [(r.node, r.start, r.stop) for r in indexes.compressed_rows(g).orderBy("node").collect()] == [("a", 0, 2), ("b", 2, 3), ("c", 3, 4), ("d", 4, 4)]
 
 
 def test_indexes(spark):
@@ -214,11 +250,25 @@ def test_search(spark):
     assert search.graded(nodes, "pay").first().grade == 100
 
 
-@pytest.mark.parametrize("limit", [structure.ONE_TASK, 0])
-def test_long_cycle(spark, monkeypatch, limit):
-    """A ring with a loop behind it and a bridge between: short where walks are by joins, else longer than any default depth."""
-    monkeypatch.setattr(structure, "ONE_TASK", limit)
-    n = 200 if limit else 6
-    links = [(k, (k + 1) % n) for k in range(n)] + [(3, 1000), (1000, 1001), (1001, 1001), (1001, 1002)]
+def test_long_cycle(spark):
+    """A ring with a loop behind it and a bridge between, two rings with a way from one to the other."""
+    n = 200
+    links = [(k, (k + 1) % n) for k in range(n)] + [(3, 1000), (1000, 1001), (1001, 1001), (1001, 1002)] + [(2000, 2001), (2001, 2000), (2001, 2010), (2010, 2002), (2002, 2003), (2003, 2002)]
     found = structure.cycle_nodes(spark.createDataFrame(links, "src long, dst long"))
-    assert sorted(r.node for r in found.collect()) == [*range(n), 1001]
+    assert sorted(r.node for r in found.collect()) == [*range(n), 1001, 2000, 2001, 2002, 2003]
+
+
+def test_cycles_against_pairs(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    for m in (80,):
+        links = {(f"n{a}", f"n{b}") for a, b in rng.integers(0, 60, (m, 2)).tolist()}
+        reach = set(links)
+        while True:
+            more = reach | {(a, d) for a, b in reach for c, d in links if b == c}
+            if more == reach:
+                break
+            reach = more
+        found = structure.cycle_nodes(spark.createDataFrame(sorted(links), "src string, dst string").repartition(3))
+        assert sorted(r.node for r in found.collect()) == sorted({a for a, b in reach if a == b})
