@@ -235,7 +235,8 @@ def discovery_confidence(nodes: Column, inner_edges: Column, apis: Column, folde
     n = F.greatest(nodes, F.lit(1))
     folder = F.when(folders <= 3, 1.0).otherwise(F.greatest(F.lit(0.4), 3.0 / folders))
     raw = 0.30 * share(nodes, 20) + 0.30 * F.least(F.lit(1.0), inner_edges / n) + 0.20 * share(apis, 3) + 0.10 * folder + 0.10 * F.least(F.lit(1.0), name_hits / F.greatest(F.lit(1.0), nodes * 0.5))
-    return F.round(clamp(raw * 0.95 + 0.05, 0.55, 0.98), 4)
+    # Halves go up, whatever the last bit of the sum is.
+    return F.round(clamp(raw * 0.95 + 0.05, 0.55, 0.98) + 1e-9, 4)
 
 
 def hotspot(fan_in: Column, fan_out: Column) -> Column:

@@ -68,6 +68,7 @@ def resolve(graph: Graph, text: str, aliases: DataFrame | None = None, workflows
     if workflows is not None:
         parts.append(point(workflows.where(has(F.col("workflow"))).select("id").distinct(), 15, "workflow"))
     own = nodes.select("id", embedding(embedding_words(F.concat_ws(" ", "name", "file"))).alias("embedding"))
+    own = scratch.save(own, "embeddings")  # else the optimizer repeats the expression wherever the cosine uses it
     near = nearest(own, F.array(*map(F.lit, embedding_of(text))))
     points = F.greatest(F.lit(8.0), F.floor(20 * F.least(F.lit(1.0), F.col("cosine") / 0.5)).cast("double"))
     parts.append(near.select("id", points.alias("score"), F.lit("embedding").alias("source")))
