@@ -38,21 +38,25 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(nodes[keep]), pa.array(label[keep])], names=["a", "b"])
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether distinct edges from larger (a) to smaller nodes (b) are stars: no node has two smaller ones, or one on each side."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("b", F.lit(0), F.lit(1)))
+    sides = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return sides.where("up > 1 or up = 1 and down = 1").agg(F.count("*")).first()[0] == 0
+
+
 def components(edges: DataFrame, scratch: Scratch, name: str = "cc") -> DataFrame:
     """``edges(a, b)`` of longs to (node, component): the smallest node reachable, for nodes that have an edge.
 
     Loops, repeated edges and either direction are fine; edges with a null end are left out. Every step is written
-    to the shared folder; a node with very many neighbours meets only its smallest one.
+    to the shared folder, until all groups are stars; a node with very many neighbours meets only its smallest one.
     """
     limit_batches(edges.sparkSession, 200_000)
     clean = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a is not null and b is not null and a <> b")
     now = scratch.save(clean.mapInArrow(_forest, "a long, b long").distinct(), f"{name}-0")
-    seen, step = None, 0
-    while True:
-        sums = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if sums == seen:
-            break
-        seen, step = sums, step + 1
+    step = 0
+    while not _stars(now):
+        step += 1
         both = now.union(now.select("b", "a")).toDF("a", "b")
         lows = scratch.save(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low")), f"{name}-{step}-low")
         large = scratch.save(both.where("b > a").join(lows, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b").distinct(), f"{name}-{step}-large")

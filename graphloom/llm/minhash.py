@@ -246,8 +246,9 @@ def _classified(docs: DataFrame, scratch: Scratch) -> DataFrame:
         pairs = scratch.save(here.join(hubs, keys).where(once & near).select(F.least("hub", "rep").alias("hub"), F.greatest("hub", "rep").alias("node")).distinct(), f"pairs-{last}")
         more = _confirmed(docs, classes, pairs, repeated, scratch, f"round-{last}")
         if not more.isEmpty():
-            edges = scratch.save(edges.union(more), f"edges-{last}")
-            found = scratch.save(components(edges, scratch, f"cc-{last}"), f"components-{last}")
+            # Each node's component stands for the links found so far.
+            known_links = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
+            found = scratch.save(components(known_links.union(more), scratch, f"cc-{last}"), f"components-{last}")
         scratch.drop(f"open-{last}-labelled", f"rows-{last}", f"pairs-{last}")
     # The smallest doc_id of each component.
     linked = classes.join(found, "node")
