@@ -6,9 +6,10 @@ paired with all others, a star, and the pairs are confirmed on the full sets.
 
 A star may leave several components in a bucket: copies of copies, or texts that merely share a passage. Of such buckets
 those documents are set aside that have so many shingles which no other one has that none can reach the limit with
-them. The rest is resolved in two rounds: first two further hubs for each bucket, then all members outside its largest
-component are compared with all those that they aren't connected to, in chunks of hubs, so that no task has a bucket of
-its own. No link between bucket members is lost: pairs are left out only where a bound shows that they cannot reach
+them. The rest is resolved in two rounds: first two further hubs for each bucket, those with the fewest shingles that no
+other document has, then all members outside its largest component are compared with all those that they aren't
+connected to, in chunks of hubs, so that no task has a bucket of its own; a pair is made in one only of the buckets that
+it shares. No link between bucket members is lost: pairs are left out only where a bound shows that they cannot reach
 the limit, or where sketches of 8,192 bits differ in more places than those of a pair at the limit do, by more than five
 standard deviations. Only pairs that pass both are confirmed on the full sets. The number of sketch comparisons of the
 last round is at most, for each open bucket, its members times those outside its largest component.
@@ -125,10 +126,11 @@ def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    bits = OneHash(1, BITS)
+    bits, one = OneHash(1, BITS), OneHash(*LAYOUT)
     for batch in batches:
-        sketches = [bits.sketch(np.array(x, dtype=np.int64).view(np.uint64)) for x in batch.column("shingles").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("shared"), pa.array(sketches, type=pa.list_(pa.int64()))], names=["rep", "shared", "sketch"])
+        sets = [np.array(x, dtype=np.int64).view(np.uint64) for x in batch.column("shingles").to_pylist()]
+        sketches, bands = ([f(x) for x in sets] for f in (bits.sketch, one.bands))
+        yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("shared"), *(pa.array(x, type=pa.list_(pa.int64())) for x in (sketches, bands))], names=["rep", "shared", "sketch", "bands"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,17 +221,17 @@ def _classified(docs: DataFrame, scratch: Scratch) -> DataFrame:
     alone = sets.select("node", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("m"), F.min("node").alias("node")).where("m = 1").groupBy("node").agg(F.count("*").alias("alone"))
     shared = F.col("n_shingles") - F.coalesce("alone", F.lit(0))
     able = sets.join(alone, "node", "left").withColumn("shared", shared).where(100 * F.col("shared") >= LEAST * F.col("n_shingles"))
-    known = scratch.save(able.select(F.col("node").alias("rep"), "shared", "shingles").mapInArrow(_sketches, "rep long, shared long, sketch array<long>"), "known")
+    known = scratch.save(able.select(F.col("node").alias("rep"), "shared", "shingles").mapInArrow(_sketches, "rep long, shared long, sketch array<long>, bands array<long>"), "known")
     members = scratch.save(members.join(known.select("rep"), "rep", "left_semi"), "able")
     scratch.drop("first-labelled", "first-members", "sets")
     release_shuffles(spark)
     # At most so many shingles of a pair are common.
     common = F.least("shared", "hub_shared")
     apart = F.aggregate(F.zip_with("sketch", "hub_sketch", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, x: s + x)
-    near = (F.col("c") != F.col("hub_c")) & (100 * common >= LEAST * (F.col("n") + F.col("hub_n") - common)) & (apart <= MOST)
+    reach = (F.col("c") != F.col("hub_c")) & (100 * common >= LEAST * (F.col("n") + F.col("hub_n") - common))
     for last in (False, True):
-        here = scratch.save(_open_buckets(members, found, scratch, f"open-{last}").join(known, "rep"), f"rows-{last}")
-        hubs = here.select("bucket", F.col("rep").alias("hub"), *(F.col(c).alias(f"hub_{c}") for c in ("n", "c", "shared", "sketch")))
+        here = scratch.save(_open_buckets(members, found, scratch, f"open-{last}").join(known if last else known.drop("bands"), "rep"), f"rows-{last}")
+        hubs = here.select("bucket", F.col("rep").alias("hub"), *(F.col(c).alias(f"hub_{c}") for c in here.columns if c not in ("bucket", "rep")))
         if last:
             # The largest component of each bucket has no hubs; a pair of hubs counts once.
             counts = here.groupBy("bucket", "c").agg(F.count("*").alias("m"))
@@ -239,11 +241,15 @@ def _classified(docs: DataFrame, scratch: Scratch) -> DataFrame:
             hubs = hubs.join(sized, "bucket").where("hub_c <> top").withColumn("chunk", F.pmod(F.xxhash64("hub"), F.col("chunks")).cast("int"))
             here = here.join(sized.select("bucket", "chunks"), "bucket").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
             once, keys = (F.col("c") == F.col("top")) | (F.col("rep") > F.col("hub")), ["bucket", "chunk"]
+            # All buckets that two components share are open, so one of those that a pair shares, the smallest, makes it.
+            reach = reach & (F.array_min(F.array_intersect("bands", "hub_bands")) == F.col("bucket"))
         else:
-            order = Window.partitionBy("bucket").orderBy(F.xxhash64("hub"), "hub")
+            # Members with the fewest shingles of their own are what others are copies of, and link with the most of them.
+            order = Window.partitionBy("bucket").orderBy(F.col("hub_n") - F.col("hub_shared"), F.xxhash64("hub"), "hub")
             hubs = hubs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= HUBS)
             once, keys = F.col("rep") != F.col("hub"), ["bucket"]
-        pairs = scratch.save(here.join(hubs, keys).where(once & near).select(F.least("hub", "rep").alias("hub"), F.greatest("hub", "rep").alias("node")).distinct(), f"pairs-{last}")
+        pairs = here.join(hubs, keys).where(once & reach & (apart <= MOST)).select(F.least("hub", "rep").alias("hub"), F.greatest("hub", "rep").alias("node"))
+        pairs = scratch.save(pairs if last else pairs.distinct(), f"pairs-{last}")
         more = _confirmed(docs, classes, pairs, repeated, scratch, f"round-{last}")
         if not more.isEmpty():
             # Each node's component stands for the links found so far.

@@ -600,6 +600,39 @@ def test_documents_that_share_most_of_a_passage(spark, monkeypatch, chunk, most)
     assert sorted(map(str, (tuple(r) for r in found))) == sorted(map(str, brute_documents(rows)))
 
 
+def test_near_copies_of_one_text(spark, monkeypatch):
+    """The text that all are copies of is a hub of the first round, and the last one makes each pair in one bucket only."""
+    rng = np.random.default_rng(9)
+    base = [f"b{k}" for k in range(150)]
+    rows = []
+    for k in range(120):
+        text = list(base)
+        for j in range(int(rng.integers(0, 7))):
+            text[int(rng.integers(0, 150))] = f"o{k // 2}_{j}"
+        rows.append((k, " ".join(text)))
+    for k in range(60):  # two groups at 71 percent, no bound of which excludes its pairs: every shingle is in another text too
+        rows.append((200 + k, " ".join([f"p{k % 2}_{j}" for j in range(100)] + [f"q{k // 2}_{j}" for j in range(20)])))
+    made, confirmed, save, confirm = [], {}, Scratch.save, minhash._confirmed
+
+    def spy(self, df, name, codec="zstd"):
+        out = save(self, df, name, codec)
+        if name == "pairs-True":
+            made.append((df._jdf.queryExecution().optimizedPlan().nodeName(), out.count(), out.distinct().count()))
+        return out
+
+    def links(docs, classes, pairs, repeated, scratch, name):
+        confirmed[name] = out = confirm(docs, classes, pairs, repeated, scratch, name)
+        return out
+
+    monkeypatch.setattr(Scratch, "save", spy)
+    monkeypatch.setattr(minhash, "_confirmed", links)
+    found = minhash.near_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(map(str, (tuple(r) for r in found))) == sorted(map(str, brute_documents(rows)))
+    ((root, n, distinct),) = made
+    assert root != "Aggregate" and n == distinct > 0  # no pair is made twice, without taking repeated ones away
+    assert not confirmed["round-False"].isEmpty() and confirmed["round-True"].isEmpty()
+
+
 def test_components(spark):
     rng = np.random.default_rng(2)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 400, (260, 2))] + [(k, k + 1) for k in range(1000, 1100)] + [(2000, 2000 + k) for k in range(50)] + [(5, None), (7, 7)]
