@@ -20,6 +20,10 @@ _ODD_SPACES = "\x01\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u180e\u2000\u2001\
 #: Letters of the first Unicode blocks, on whose class all regex libraries agree.
 _PLAIN_WORD = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
 
+#: Units of printable ASCII, and their byte-level pre-tokens.
+_PLAIN_UNIT = re.compile("[\n ]?[!-~]+")
+_PRE_TOKENS = re.compile("'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[!-/:-@\\[-`{-~]+|\n")
+
 #: A comma or full stop at the end of a word that doesn't follow a letter. One that does is a pre-token of its own.
 _ODD_STOP = re.compile("[,.](?<![A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f][,.])(?=[ \n]|\\Z)")
 
@@ -103,10 +107,12 @@ class JsonEncoder:
         self.added = [x["content"] for x in spec.get("added_tokens", [])]
         if any(" " in x or "\n" in x for x in self.added) or any(x.get("lstrip") or x.get("rstrip") or x.get("single_word") for x in spec.get("added_tokens", [])):
             self.by_units = False
+        self.model = self.tokenizer.model
         self.alphabet, self.blank = str.maketrans(dict(enumerate(byte_alphabet()))), byte_alphabet()[32]
         # Keys lack the blank that the unit begins with; units without one have a cache of their own.
         self.after_blank = _Units(self._after_blank, cache)
-        self.others = _Units(self._whole, cache // 8)
+        self.others = _Units(self._unit, cache // 8)
+        self.pre_tokens, self.feed = _Units(self._pre_token, cache // 8), byte_alphabet()[10]
         self.comma, self.stop = self._whole(","), self._whole(".")
         if any(_PLAIN_WORD.fullmatch(x.strip()) or set(x) & set(",.") for x in self.added):
             self.by_units = False
@@ -114,6 +120,16 @@ class JsonEncoder:
     def _whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def _pre_token(self, text: str) -> bytes:
+        """A pre-token of printable ASCII, with or without a blank before it, or a line feed goes to the model itself."""
+        return array("I", [x.id for x in self.model.tokenize(text.replace(" ", self.blank).replace("\n", self.feed))]).tobytes()
+
+    def _unit(self, unit: str) -> bytes:
+        """A unit of printable ASCII is cut into its pre-tokens here, others by the library."""
+        if self.by_units and _PLAIN_UNIT.fullmatch(unit) and not self.added_in(unit):
+            return b"".join([self.pre_tokens[x] for x in _PRE_TOKENS.findall(unit)])
+        return self._whole(unit)
+
     def plain(self, word: str) -> str | None:
         """A blank and a word of plain letters in the byte alphabet, which is one pre-token; None for other words."""
         if not (word.isalpha() and (word.isascii() or _PLAIN_WORD.fullmatch(word))):
@@ -128,11 +144,11 @@ class JsonEncoder:
         if word in ("\x01,", "\x01."):
             return self.comma if word[1] == "," else self.stop
         if plain := self.plain(word):
-            return array("I", [x.id for x in self.tokenizer.model.tokenize(plain)]).tobytes()
+            return array("I", [x.id for x in self.model.tokenize(plain)]).tobytes()
         last = word[-1:]
         if last in (",", ".") and word[:-1].isalpha() and _PLAIN_WORD.fullmatch(word, 0, len(word) - 1):
             return self.after_blank[word[:-1]] + (self.comma if last == "," else self.stop)
-        return self._whole(" " + word)
+        return self._unit(" " + word)
 
     def added_in(self, text: str) -> bool:
         return any(x in text for x in self.added)

@@ -600,6 +600,20 @@ def test_documents_that_share_most_of_a_passage(spark, monkeypatch, chunk, most)
     assert sorted(map(str, (tuple(r) for r in found))) == sorted(map(str, brute_documents(rows)))
 
 
+def test_units_of_printable_ascii(monkeypatch):
+    """They get the library's ids without a call of its whole pipeline for each; those with special strings do call it."""
+    encode, lib = encoders.JsonEncoder(encoders.read_vocabulary(P.path("byte_bpe_50k.json"))), library()
+    whole, called = encode._whole, []
+    monkeypatch.setattr(encode, "_whole", lambda x: called.append(x) or whole(x))
+    rng, chars = np.random.default_rng(10), [chr(k) for k in range(33, 127)] + list("abcTHE019'.,-<|>s") * 3
+    units = ["".join(rng.choice(chars, int(rng.integers(1, 12)))) for _ in range(3000)] + ["don't", "I'LL", "'s", "(459)", "A.!!", "''ve", "x_1'd"]
+    text = " ".join(units[:1500]) + "\n" + "\n".join(units[1500:])
+    assert encode(text) == struct.pack(f"<{len(ids := lib.encode(text, add_special_tokens=False).ids)}I", *ids)
+    assert not called
+    text = "a<|endoftext|>. b"
+    assert encode(text) == struct.pack(f"<{len(ids := lib.encode(text, add_special_tokens=False).ids)}I", *ids) and called
+
+
 def test_near_copies_of_one_text(spark, monkeypatch):
     """The text that all are copies of is a hub of the first round, and the last one makes each pair in one bucket only."""
     rng = np.random.default_rng(9)
