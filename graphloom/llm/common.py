@@ -59,6 +59,27 @@ class Scratch:
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Keys that a lookup sends to all tasks, at most.
+HOT_KEYS = 20_000
+
+
+def lookup(rows: DataFrame, table: DataFrame, keys: list[str], weight: str) -> DataFrame:
+    """``rows`` with the columns of ``table``, in which each key stands once; nulls where it doesn't.
+
+    ``weight`` is a column of the table: how many rows hold the key. A key that at least one in HOT_KEYS of the counted
+    rows holds is joined in place, and there are HOT_KEYS of these at most, however large the table; their rows then
+    go through the shuffled join of all other keys scattered over its tasks. Keys are never null.
+    """
+    total = table.agg(F.sum(weight)).first()[0] or 0
+    hot = table.where(F.col(weight) * HOT_KEYS >= total)
+    values = [c for c in table.columns if c not in keys]
+    near = hot.select(*keys, *(F.col(c).alias(f"_hot_{c}") for c in values), F.lit(True).alias("_hot"))
+    rest = table.where(F.col(weight) * HOT_KEYS < total).withColumn("_scatter", F.lit(0).cast("long"))
+    placed = rows.join(F.broadcast(near), keys, "left").withColumn("_scatter", F.when(F.col("_hot"), 1 + F.monotonically_increasing_id()).otherwise(F.lit(0)).cast("long"))
+    joined = placed.join(rest, [*keys, "_scatter"], "left")
+    return joined.select(*rows.columns, *(F.when(F.col("_hot"), F.col(f"_hot_{c}")).otherwise(F.col(c)).alias(c) for c in values))
+
+
 def release_shuffles(spark: SparkSession) -> None:
     """Let the context cleaner remove shuffle files of plans that are no longer referenced."""
     import gc

@@ -1,4 +1,4 @@
-"""The ten operators as queries over the tables of a folder, and the SQL that says the same where there is any."""
+"""The operators as queries over the tables of a folder, and the SQL that says the same where there is any."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embedding_join, html_extract, line_dedup, minhash, mixing, nbsvm, quality_rules, token_counts, token_store
+from . import bpe, embedding_join, filter_audit, html_extract, line_dedup, minhash, mixing, nbsvm, piece_bpe, quality_rules, token_counts, token_store
 from .common import Scratch, documents
 from .sql import ORACLES  # noqa: F401
 
@@ -67,6 +67,14 @@ def line_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("_dedup_words").alias("n_words"), F.col("_dedup_removed_words").alias("n_removed_words"), F.array_join(spans, ",").alias("removed_spans"), "text")
 
 
+def piece_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_bpe.encode_documents(documents(spark, sf_dir), _tokenizer("piece_bpe_32k.model"), keep_ids=False)
+
+
+def filter_audit_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_store": token_store_query,
@@ -79,4 +87,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_source_mixing": mixing_query,
         "op9_minhash_near_dedup": minhash_query,
         "op10_substring_dedup": line_dedup_query,
+        "op11_piece_bpe": piece_query,
+        "op13_filter_audit": filter_audit_query,
     }

@@ -42,4 +42,16 @@ b AS (SELECT g.*, passes, rest, ('0x' || substr(key, 1, 8))::BIGINT % coalesce(n
 o AS (SELECT *, sum(n * m) OVER (PARTITION BY source ORDER BY block, key ROWS UNBOUNDED PRECEDING)::BIGINT AS stop FROM b)
 SELECT doc_id, d.source, n_tokens, block, (stop - n * m)::BIGINT AS place, coalesce(passes + (stop <= rest)::BIGINT, 1) AS copies FROM d JOIN o ON o.key = d.key AND o.source IS NOT DISTINCT FROM d.source"""
 
-ORACLES = {"op3_embedding_near_dedup": EMBEDDINGS, "op5_quality_rules": RULES, "op8_source_mixing": MIXING, "op9_minhash_near_dedup": NEAR}
+AUDIT = f"""WITH RECURSIVE w AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_WORDS}') AS ws FROM documents),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY 1),
+f AS (SELECT part, good, toxic, (len(ws) < 200)::INT + 2 * (100 * len(list_distinct(ws)) < 50 * len(ws))::INT + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t))::INT
+ + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * coalesce(min(doc_id) OVER (PARTITION BY t) < doc_id, false)::INT AS code FROM w LEFT JOIN l USING (doc_id)),
+g AS (SELECT part, code, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic FROM f GROUP BY 1, 2),
+o(s) AS (SELECT '' UNION ALL SELECT s || c FROM o JOIN (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) v(c) ON NOT contains(s, c)),
+k AS (SELECT s, step, 1 << (position(s[step] IN 'ABCDE') - 1) AS bit, coalesce(list_sum(list_transform(range(1, step), lambda i: 1 << (position(s[i] IN 'ABCDE') - 1))), 0)::INT AS before FROM (SELECT s, unnest(range(1, 6)) AS step FROM o WHERE length(s) = 5)),
+r AS (SELECT part, s AS filter_order, step::INT AS step, bit, coalesce(sum(n) FILTER (WHERE code & (before | bit) = 0), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (WHERE code & before = 0 AND code & bit > 0), 0)::BIGINT AS removed,
+ coalesce(sum(n) FILTER (WHERE code & before > 0 AND code & bit > 0), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (WHERE code = bit), 0)::BIGINT AS unique_fails,
+ coalesce(sum(good) FILTER (WHERE code & before = 0 AND code & bit > 0), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (WHERE code & before = 0 AND code & bit > 0), 0)::BIGINT AS toxic_lost FROM g, k GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, sum(removed) OVER (PARTITION BY part, bit)::BIGINT AS shapley FROM r"""
+
+ORACLES = {"op3_embedding_near_dedup": EMBEDDINGS, "op5_quality_rules": RULES, "op8_source_mixing": MIXING, "op9_minhash_near_dedup": NEAR, "op13_filter_audit": AUDIT}
