@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embedding_join, filter_audit, html_extract, line_dedup, minhash, mixing, nbsvm, piece_bpe, quality_rules, token_counts, token_store
+from . import bpe, embedding_join, filter_audit, html_extract, line_dedup, minhash, mixing, nbsvm, piece_bpe, prefix_trie, quality_rules, token_counts, token_store
 from .common import Scratch, documents
 from .sql import ORACLES  # noqa: F401
 
@@ -71,6 +71,10 @@ def piece_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_bpe.encode_documents(documents(spark, sf_dir), _tokenizer("piece_bpe_32k.model"), keep_ids=False)
 
 
+def trie_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.rebuilt_trie(documents(spark, sf_dir, "conversations"))
+
+
 def filter_audit_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
 
@@ -88,5 +92,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_minhash_near_dedup": minhash_query,
         "op10_substring_dedup": line_dedup_query,
         "op11_piece_bpe": piece_query,
+        "op12_prefix_trie": trie_query,
         "op13_filter_audit": filter_audit_query,
     }

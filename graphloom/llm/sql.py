@@ -54,4 +54,17 @@ r AS (SELECT part, s AS filter_order, step::INT AS step, bit, coalesce(sum(n) FI
  coalesce(sum(good) FILTER (WHERE code & before = 0 AND code & bit > 0), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (WHERE code & before = 0 AND code & bit > 0), 0)::BIGINT AS toxic_lost FROM g, k GROUP BY ALL)
 SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, sum(removed) OVER (PARTITION BY part, bit)::BIGINT AS shapley FROM r"""
 
-ORACLES = {"op3_embedding_near_dedup": EMBEDDINGS, "op5_quality_rules": RULES, "op8_source_mixing": MIXING, "op9_minhash_near_dedup": NEAR, "op13_filter_audit": AUDIT}
+_CRC_STEP = "list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda p, q: CASE WHEN p & 1 = 1 THEN xor(p >> 1, 3988292384) ELSE p >> 1 END)"
+TRIE = f"""WITH t AS (SELECT conv_id, coalesce(role, '') AS r, coalesce(text, '') AS x, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS pos FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, conv_id - conv_id % 100 AS base, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(conv_id::VARCHAR) + 1), lambda i: ascii((conv_id::VARCHAR)[i])::BIGINT)), lambda a, b: {_CRC_STEP}), 4294967295) % 6 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+b AS (SELECT c.conv_id, h, count(t.pos) AS taken FROM c LEFT JOIN t ON t.conv_id = base AND pos <= h GROUP BY 1, 2),
+u AS (SELECT c.conv_id, pos AS d, r, x FROM c JOIN t ON t.conv_id = base AND pos <= h UNION ALL SELECT conv_id, taken + pos - h, r, x FROM t JOIN b USING (conv_id) WHERE pos > h),
+k AS (SELECT conv_id, d, length(x) AS n_chars, md5(string_agg(length(r) || ':' || r || length(x) || ':' || x, '' ORDER BY d) OVER (PARTITION BY conv_id ORDER BY d ROWS UNBOUNDED PRECEDING)) AS k FROM u UNION ALL SELECT conv_id, 0, 0, '' FROM c),
+e AS (SELECT *, lag(k) OVER (PARTITION BY conv_id ORDER BY d) AS parent, lead(k) OVER (PARTITION BY conv_id ORDER BY d) IS NULL AS ends FROM k),
+n AS (SELECT d, k, parent, any_value(n_chars) AS n_chars, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256 FROM e GROUP BY 1, 2, 3),
+m AS (SELECT n.*, p.conv_id AS parent_conv_id, (SELECT count(*) FROM n ch WHERE ch.parent = n.k AND ch.d = n.d + 1) AS n_children FROM n LEFT JOIN n p ON p.k = n.parent AND p.d = n.d - 1),
+s AS (SELECT DISTINCT a.d, a.k, z.d AS zd, z.k AS zk FROM k a JOIN k z ON a.conv_id = z.conv_id AND z.d >= a.d),
+g AS (SELECT s.d, s.k, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum((n_convs - 1) * n_chars)::BIGINT AS saved_tokens FROM s JOIN m ON m.d = zd AND m.k = zk GROUP BY 1, 2)
+SELECT conv_id, d::BIGINT AS depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256 FROM m JOIN g USING (d, k)"""
+
+ORACLES = {"op3_embedding_near_dedup": EMBEDDINGS, "op5_quality_rules": RULES, "op8_source_mixing": MIXING, "op9_minhash_near_dedup": NEAR, "op12_prefix_trie": TRIE, "op13_filter_audit": AUDIT}
