@@ -4,7 +4,7 @@ A merge-type encoding joins the adjacent pair with the best score until no two a
 pieces is the encoding of a text if and only if each two adjacent ones are compatible: the merges of their joint text
 end in just these two. (Take the first merge that crosses a border: up to it, the merges on either side are those of the
 two pieces alone, so it would cross there as well.) So the encoding is found from left to right: at each place the
-longest piece that begins there, then its shorter prefixes, until one is compatible with the piece before. The
+longest piece that begins there (Aho-Corasick), then its shorter prefixes, until one is compatible with the piece before. The
 encoding of every prefix of a text is unique, so a place from which no piece goes on is never tried again; a bitfield
 holds these places, and every place is passed once.
 
@@ -18,6 +18,7 @@ import re
 from collections.abc import Iterator
 from hashlib import sha256
 from heapq import heappop, heappush
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,6 +32,25 @@ BLANK = "▁"
 UNITS, UNIT_CHARS, PAIRS = 400_000, 64, 2_000_000
 
 
+class _Known(dict):
+    """Ids of units and the same in decimal, joined by commas. When full, what was used since the last time is kept apart."""
+
+    def __init__(self, encode, lead: str):
+        self.encode, self.lead, self.before = encode, lead, {}
+
+    def __missing__(self, unit: str) -> tuple[tuple[int, ...], str]:
+        found = self.before.get(unit)
+        if found is None:
+            ids = tuple(self.encode(self.lead + unit))
+            found = (ids, ",".join(map(str, ids)))
+        if len(unit) <= UNIT_CHARS:
+            if len(self) >= UNITS:
+                self.before = dict(self)
+                self.clear()
+            self[unit] = found
+        return found
+
+
 class MergeEncoder:
     """A merge-type sentencepiece model with byte fallback.
 
@@ -55,21 +75,29 @@ class MergeEncoder:
         if None in self.bytes:
             raise ValueError("models without byte fallback are not supported")
         multi = [x for x in self.ids if len(x) > 1]
-        self.joined, self.long_pieces = {c for x in multi for c in x}, max(map(len, self.ids)) > 255
+        self.joined = {c for x in multi for c in x}
         if not self.joined <= self.ids.keys():
             raise ValueError("models with pieces of characters that are no pieces are not supported")
         self.cut_blanks = all(BLANK not in x.lstrip(BLANK) for x in multi)
         self.cut_lines = "\n" not in self.joined
         self.plain = p.normalize(" a\n  b \tÄÅﬁ") == BLANK + BLANK + "a\n" + BLANK * 2 + "b" + BLANK + "\tÄÅﬁ"
-        # Longest matches: the reversed pieces end, in the reversed text, where the pieces begin in the text.
-        self.automaton = ahocorasick.Automaton()
-        for x in self.ids:
-            self.automaton.add_word(x[::-1], len(x))
-        self.automaton.make_automaton()
-        self.shorter: dict[str, str | None] = {}
+        # The automaton walks from a place as far as pieces go on; the longest piece that ends on this way is the match.
+        self.automaton, self.match = ahocorasick.Automaton(), {}
+        for x in sorted(self.ids, key=len):
+            self.automaton.add_word(x, len(x))
+            for n in range(1, len(x)):
+                self.match.setdefault(x[:n], self.match.get(x[: n - 1], ""))
+            self.match[x] = x
+        for x in sorted(self.match, key=len):
+            if x not in self.ids:
+                self.match[x] = self.match.get(x[:-1], "")
+        self.widest = max(map(len, self.ids))
+        #: Two characters that stand side by side in no piece: a border that no merge crosses.
+        self.inside = {x[k : k + 2] for x in multi for k in range(len(x) - 1)}
+        #: The longest piece that is a proper prefix of a piece.
+        self.shorter = {x: self.match.get(x[:-1]) or None for x in self.ids}
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.after_blank: dict[str, tuple[list[int], str]] = {}
-        self.others: dict[str, tuple[list[int], str]] = {}
+        self.after_blank, self.others = _Known(self._unit, BLANK), _Known(self._unit, "")
         for sample in ("the merges of this model", BLANK * 5, "aaaaabababb 1234"):
             if self.encode(sample) != p.encode(sample):
                 raise ValueError("not a merge-type model")
@@ -98,53 +126,51 @@ class MergeEncoder:
 
     def compatible(self, left: str, right: str) -> bool:
         """Whether merging the joint text of two pieces ends in these two."""
-        known = self.pairs.get((left, right))
-        if known is None:
-            if len(self.pairs) >= PAIRS:
-                self.pairs.clear()
-            known = self.pairs[left, right] = self._merge(left + right) == [left, right]
-        return known
-
-    def _prefix(self, piece: str) -> str | None:
-        """The longest piece that is a proper prefix of a piece."""
-        found = self.shorter.get(piece, "")
-        if found == "":
-            found = self.shorter[piece] = next((piece[:n] for n in range(len(piece) - 1, 0, -1) if piece[:n] in self.ids), None)
+        if len(self.pairs) >= PAIRS:
+            self.pairs.clear()
+        found = self.pairs[left, right] = self._merge(left + right) == [left, right]
         return found
 
     def _pieces(self, text: str) -> list[str]:
         """Pieces of a text all of whose characters are pieces themselves."""
-        size = len(text)
-        longest = [0] * size if self.long_pieces else bytearray(size)
-        for end, n in self.automaton.iter(text[::-1]):
-            at = size - 1 - end
-            if n > longest[at]:
-                longest[at] = n
-        failed, out, at, last, pairs = bytearray(size // 8 + 1), [], 0, "", self.pairs
-        piece: str | None = text[: longest[0]]
-        while at < size:
+        size, widest, pairs, match, shorter, walk = len(text), self.widest, self.pairs, self.match, self.shorter, self.automaton.longest_prefix
+        failed, out, at, last = bytearray(size // 8 + 1), [], 0, ""
+        piece: str | None = match[text[: walk(text[:widest])]]
+        while True:
             while piece is not None:
                 end = at + len(piece)
-                if not failed[end >> 3] >> (end & 7) & 1 and (not last or (pairs.get((last, piece)) or self.compatible(last, piece))):
-                    break
-                piece = self._prefix(piece)
+                if not failed[end >> 3] >> (end & 7) & 1:
+                    fits = not last or pairs.get((last, piece))
+                    if fits is None:
+                        fits = self.compatible(last, piece)
+                    if fits:
+                        break
+                piece = shorter[piece]
             if piece is not None:
                 out.append(piece)
+                if end == size:
+                    return out
                 at, last = end, piece
-                piece = text[at : at + longest[at]] if at < size else None
+                window = text[at : at + widest]
+                piece = match[window[: walk(window)]]
             else:
                 failed[at >> 3] |= 1 << (at & 7)
                 piece = out.pop()
                 at -= len(piece)
                 last = out[-1] if out else ""
-                piece = self._prefix(piece)
-        return out
+                piece = shorter[piece]
 
     def _unit(self, unit: str) -> list[int]:
-        """Ids of a unit: stretches of joinable characters by backtracking, the others by themselves or as bytes."""
-        out, start = [], 0
+        """Ids of a unit: stretches of joinable characters by backtracking, the others by themselves or as bytes.
+
+        A last character that no piece joins to the one before, such as a comma, is taken off, as the rest may be known.
+        """
         if self.joined.issuperset(unit):
+            if len(unit) > 2 and unit[-2:] not in self.inside:
+                rest = self.after_blank[unit[1:-1]] if unit[0] == BLANK else self.others[unit[:-1]]
+                return [*rest[0], self.ids[unit[-1]]]
             return [self.ids[x] for x in self._pieces(unit)]
+        out, start = [], 0
         for k, c in enumerate(unit):
             if c not in self.joined:
                 if start < k:
@@ -155,49 +181,33 @@ class MergeEncoder:
             out += [self.ids[x] for x in self._pieces(unit[start:])]
         return out
 
-    def _known(self, unit: str, blank: bool) -> tuple[list[int], str]:
-        ids = self._unit(BLANK + unit if blank else unit)
-        found = (ids, ",".join(map(str, ids)))
-        if len(unit) <= UNIT_CHARS:
-            memo = self.after_blank if blank else self.others
-            if len(memo) >= UNITS:
-                memo.clear()
-            memo[unit] = found
-        return found
-
-    def units(self, text: str) -> Iterator[tuple[list[int], str]]:
-        """Ids of each unit of a text, and the same in decimal joined by commas; none for a unit without characters."""
+    def units(self, text: str) -> list[tuple[tuple[int, ...], str]]:
+        """Ids of each unit of a text, and the same in decimal joined by commas."""
         if not text:
-            return
+            return []
         if not self.plain:
             text = self.processor.normalize(text).replace(BLANK, " ")
         else:
             text = " " + text.replace(BLANK, " ")
-        after_blank, others, known = self.after_blank, self.others, self._known
+        after_blank, others, out = self.after_blank, self.others, []
         if not self.cut_blanks:
-            yield known(text.replace(" ", BLANK), False)
-            return
-        first = True
-        for line in text.split("\n") if self.cut_lines else (text,):
-            if not first:
-                yield others.get("\n") or known("\n", False)
-            first = False
+            return [others[text.replace(" ", BLANK)]]
+        for k, line in enumerate(text.split("\n") if self.cut_lines else (text,)):
+            if k:
+                out.append(others["\n"])
             if "  " in line or line[-1:] == " ":
-                for unit in re.findall(" +[^ ]*|[^ ]+", line):
-                    if unit[0] == " ":
-                        unit = unit[1:].replace(" ", BLANK)
-                        yield after_blank.get(unit) or known(unit, True)
-                    else:
-                        yield others.get(unit) or known(unit, False)
+                units = re.findall(" +[^ ]*|[^ ]+", line)
+                out += [after_blank[x[1:].replace(" ", BLANK)] if x[0] == " " else others[x] for x in units]
                 continue
             words = line.split(" ")
             if words[0]:
-                yield others.get(words[0]) or known(words[0], False)
-            for word in words[1:]:
-                yield after_blank.get(word) or known(word, True)
+                out.append(others[words[0]])
+            del words[0]
+            out += [after_blank[x] for x in words]
+        return out
 
     def encode(self, text: str) -> list[int]:
-        return [k for ids, _ in self.units(text) for k in ids]
+        return list(chain.from_iterable([x[0] for x in self.units(text)]))
 
     def decode(self, ids: list[int]) -> str:
         return self.processor.decode(ids)
@@ -222,12 +232,10 @@ def encode_documents(docs: DataFrame, model: str, keep_ids: bool = True) -> Data
         for batch in batches:
             out = [[] for _ in schema]
             for text in batch.column(1).to_pylist():
-                ids, joined = [], []
-                for found, decimal in encoder.units(text):
-                    ids += found
-                    joined.append(decimal)
+                units = encoder.units(text)
+                ids, joined = list(chain.from_iterable([x[0] for x in units])), ",".join([x[1] for x in units])
                 decoded = encoder.decode(ids)
-                for column, value in zip(out[1:], (len(ids), sha256(",".join(joined).encode()).hexdigest(), sha256(decoded.encode()).hexdigest(), ids, decoded)):
+                for column, value in zip(out[1:], (len(ids), sha256(joined.encode()).hexdigest(), sha256(decoded.encode()).hexdigest(), ids, decoded)):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, type=f.type) for v, f in zip(out[1:], list(schema)[1:]))], schema=schema)
 
