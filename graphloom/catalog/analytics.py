@@ -69,7 +69,7 @@ def DEP():
 def _ten():
     return S.risk_score_10(C("fan_in") * 3, C("fan_in"), C("api"), C("wf"))
 
-TEN = "least(fan_in * 3 / 10, 5.0) + least(fan_in / 10, 2.0) + least(api * 0.5, 2.0) + least(wf * 0.1, 1.0)"
+TEN = "round_even(round(least(fan_in * 3 / 10, 5.0) + least(fan_in / 10, 2.0) + least(api * 0.5, 2.0) + least(wf * 0.1, 1.0), 9)::DOUBLE, 1)"
 _metric(
     "risk_score_10",
     f"ROUND({TEN}, 4) AS score, CASE WHEN {TEN} >= 7.5 THEN 'critical' WHEN {TEN} >= 5 THEN 'high' WHEN {TEN} >= 2.5 THEN 'medium' ELSE 'low' END AS label",
@@ -78,10 +78,10 @@ _metric(
 def _hours():
     return S.effort_hours(C("fan_in") * 3, S.risk_label_10(_ten()))
 
-HOURS = f"greatest(fan_in * 3 * 0.5, 0.5) * CASE WHEN {TEN} >= 7.5 THEN 4.0 WHEN {TEN} >= 5 THEN 2.5 WHEN {TEN} >= 2.5 THEN 1.5 ELSE 1.0 END"
+HOURS = f"round_even((greatest(fan_in * 3 * 0.5, 0.5) * CASE WHEN {TEN} >= 7.5 THEN 4.0 WHEN {TEN} >= 5 THEN 2.5 WHEN {TEN} >= 2.5 THEN 1.5 ELSE 1.0 END)::DOUBLE, 1)"
 _metric(
     "effort_hours",
-    f"ROUND(({HOURS})::DOUBLE, 4) AS hours, CASE WHEN {HOURS} < 1 THEN 'minutes' WHEN {HOURS} < 8 THEN 'hours' WHEN {HOURS} < 40 THEN 'days' ELSE 'weeks' END AS unit",
+    f"ROUND(({HOURS})::DOUBLE, 4) AS hours, CASE WHEN {HOURS} < 2 THEN 'minutes' WHEN {HOURS} < 8 THEN 'hours' WHEN {HOURS} < 40 THEN 'days' ELSE 'weeks' END AS unit",
     lambda: dict(hours=F.round(_hours(), 4), unit=S.effort_unit(_hours())),
 )
 _metric(
@@ -135,8 +135,16 @@ _metric(
 )
 _metric(
     "older_risk",
-    "least(100, least(15, 3 * wf) + least(25, 8 * api) + least(15, 2 * fan_in) + least(10, 2 * fan_out) + least(13, floor(15 * (cp / 4) + 1e-9)::BIGINT) + CASE WHEN svc > 0 THEN least(12, 4 * svc) + 10 ELSE 0 END)::BIGINT AS risk",
-    lambda: dict(risk=S.older_risk(C("wf"), C("api"), C("fan_in"), C("fan_out"), C("cp") / 4, C("svc"))),
+    """least(100, least(15, 3 * wf) + least(25, 8 * api) + least(15, 2 * fan_in) + least(10, 2 * fan_out) + least(13, floor(15 * (cp / 4) + 1e-9)::BIGINT) + least(12, 4 * svc)
+     + CASE WHEN regexp_matches(lower(name), 'auth|oauth|login|session|token|jwt|github') THEN 20 ELSE 0 END + CASE WHEN regexp_matches(lower(node_type), 'database|db_|postgres|sqlalchemy|redis|migrate') THEN 12 ELSE 0 END
+     + CASE WHEN regexp_matches(lower(name), 'main\\.py|router|middleware|connect|analyze|oauth') THEN 15 ELSE 0 END + CASE WHEN jr = 1 THEN 8 ELSE 0 END + CASE WHEN api = 0 AND fan_in > 3 THEN 10 ELSE 0 END)::BIGINT AS risk""",
+    lambda: dict(
+        risk=S.older_risk(
+            C("wf"), C("api"), C("fan_in"), C("fan_out"), C("cp") / 4, C("svc"),
+            F.concat_ws(" ", "name", "node_type"), F.when(C("jr") == 1, F.array(F.lit("Hotfix"))).otherwise(F.array(F.lit("calm"))),
+            F.when(C("api") == 0, "delete").otherwise("modify"), C("fan_in"),
+        )
+    ),
 )
 
 
@@ -301,7 +309,7 @@ def related_workflows(spark, d):
     return analytics.related_workflows(g.nodes.select("id", C("file").alias("workflow")), g.edges, "Brand#1")
 
 
-@query("journeys_hit", "SELECT p_type AS journey, count(DISTINCT p_brand) AS n_hit, CASE WHEN count(DISTINCT p_brand) >= 2 THEN 'high' ELSE 'medium' END AS severity FROM part WHERE p_brand IN ('Brand#1', 'Brand#2', 'Brand#3') GROUP BY 1")
+@query("journeys_hit", "SELECT CASE WHEN p_size = 7 THEN 'user_login' ELSE p_type END AS journey, count(DISTINCT p_brand) AS n_hit, CASE WHEN count(DISTINCT p_brand) >= 2 OR max(p_size = 7) THEN 'high' ELSE 'medium' END AS severity FROM part WHERE p_brand IN ('Brand#1', 'Brand#2', 'Brand#3') GROUP BY 1")
 def journeys_hit(spark, d):
-    journeys = table(spark, d, "part").select(C("p_type").alias("journey"), C("p_brand").alias("workflow"))
+    journeys = table(spark, d, "part").select(F.when(C("p_size") == 7, "user_login").otherwise(C("p_type")).alias("journey"), C("p_brand").alias("workflow"))
     return analytics.journeys_hit(journeys, spark.createDataFrame([("Brand#1",), ("Brand#2",), ("Brand#3",)], "workflow string"))

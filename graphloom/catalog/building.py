@@ -15,19 +15,21 @@ STOPS = ", ".join(f"'{w}'" for w in X.STOP_WORDS)
 
 @query(
     "resolve_names",
-    """WITH s AS (SELECT p_partkey AS id, p_name AS name, p_brand || '.' || p_name AS qualified_name, p_type AS namespace, p_brand AS file FROM part WHERE p_partkey % 3 = 0),
-    c AS (SELECT p_partkey AS caller, CASE p_partkey % 4 WHEN 0 THEN p_brand || '.' || p_name WHEN 1 THEN 'self.' || p_name WHEN 2 THEN p_name ELSE 'missing' || p_partkey END AS name, p_type AS namespace, p_brand AS file FROM part),
+    """WITH s AS (SELECT p_partkey AS id, p_name AS name, p_brand || '.' || p_name AS qualified_name, p_type AS namespace, p_brand AS file, p_partkey % 6 = 0 AS able FROM part WHERE p_partkey % 3 = 0),
+    c AS (SELECT p_partkey AS caller, CASE p_partkey % 5 WHEN 0 THEN p_brand || '.' || p_name WHEN 1 THEN 'self.' || p_name WHEN 2 THEN p_name WHEN 3 THEN 'self.a.' || p_name ELSE 'missing' || p_partkey END AS name, p_type AS namespace, p_brand AS file FROM part),
     k AS (SELECT *, regexp_extract(name, '([^.]+)$', 1) AS simple FROM c), r AS (SELECT caller, name, (SELECT min(id) FROM s WHERE s.qualified_name = k.name) AS e,
-    CASE WHEN starts_with(name, 'self.') THEN (SELECT min(id) FROM s WHERE s.namespace = k.namespace AND s.name = k.simple) END AS l, (SELECT min(id) FROM s WHERE s.file = k.file AND s.name = k.simple) AS f,
-    (SELECT CASE WHEN count(*) = 1 THEN min(id) END FROM s WHERE s.name = k.simple) AS u FROM k)
+    CASE WHEN name = 'self.' || simple THEN (SELECT min(id) FROM s WHERE able AND s.namespace = k.namespace AND s.name = k.simple) END AS l, (SELECT min(id) FROM s WHERE able AND s.file = k.file AND s.name = k.simple) AS f,
+    (SELECT CASE WHEN count(*) = 1 THEN min(id) END FROM s WHERE able AND s.name = k.simple) AS u FROM k)
     SELECT caller, name, coalesce(e::VARCHAR, l::VARCHAR, f::VARCHAR, u::VARCHAR, 'external:' || name) AS target, CASE WHEN e IS NOT NULL OR l IS NOT NULL THEN 1.0::DOUBLE WHEN f IS NOT NULL THEN 0.95 WHEN u IS NOT NULL THEN 0.85 ELSE 0.5 END AS confidence FROM r""",
 )
 def resolve_names(spark, d):
     p = table(spark, d, "part")
-    symbols = p.where("p_partkey % 3 = 0").select(C("p_partkey").cast("string").alias("id"), C("p_name").alias("name"), F.concat_ws(".", "p_brand", "p_name").alias("qualified_name"), C("p_type").alias("namespace"), C("p_brand").alias("file"))
+    kind = F.when(C("p_partkey") % 6 == 0, "method").otherwise("class")
+    symbols = p.where("p_partkey % 3 = 0").select(C("p_partkey").cast("string").alias("id"), C("p_name").alias("name"), F.concat_ws(".", "p_brand", "p_name").alias("qualified_name"), C("p_type").alias("namespace"), C("p_brand").alias("file"), kind.alias("kind"))
     # The smallest id is the smallest number, so ids are padded while they are compared.
     padded = symbols.withColumn("id", F.lpad("id", 12, "0"))
-    name = F.when(C("p_partkey") % 4 == 0, F.concat_ws(".", "p_brand", "p_name")).when(C("p_partkey") % 4 == 1, F.concat(F.lit("self."), "p_name")).when(C("p_partkey") % 4 == 2, C("p_name")).otherwise(F.concat(F.lit("missing"), C("p_partkey").cast("string")))
+    way = C("p_partkey") % 5
+    name = F.when(way == 0, F.concat_ws(".", "p_brand", "p_name")).when(way == 1, F.concat(F.lit("self."), "p_name")).when(way == 2, C("p_name")).when(way == 3, F.concat(F.lit("self.a."), "p_name")).otherwise(F.concat(F.lit("missing"), C("p_partkey").cast("string")))
     calls = p.select(C("p_partkey").alias("caller"), name.alias("name"), C("p_type").alias("namespace"), C("p_brand").alias("file"))
     found = edges.resolve_calls(calls, padded)
     target = F.when(C("target").rlike("^[0-9]+$"), C("target").cast("long").cast("string")).otherwise(C("target"))
@@ -45,7 +47,7 @@ def node_dedup_last(spark, d):
     return edges.keep_last(table(spark, d, "part").select("p_name", "p_partkey", "p_brand"), "p_name", "p_partkey")
 
 
-@query("edge_ids", f"WITH {ALL_EDGES} SELECT src, dst, 'edge_' || substr(sha256(src || '|' || dst || '|' || type), 1, 24) AS edge_id FROM edges")
+@query("edge_ids", f"WITH {ALL_EDGES} SELECT src, dst, 'edge_' || substr(sha256(length(src::VARCHAR) || ':' || src || '|' || length(dst::VARCHAR) || ':' || dst || '|' || length(type) || ':' || type), 1, 24) AS edge_id FROM edges")
 def edge_ids(spark, d):
     return edges.edge_ids(order_graph(spark, d).edges).select("src", "dst", "edge_id")
 

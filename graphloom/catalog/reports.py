@@ -45,7 +45,7 @@ def components_detail(spark, d):
     return reports.components_detail(order_graph(spark, d), "service").select("id", "name", F.array_join("calls", ",").alias("calls"), F.array_join("called_by", ",").alias("called_by"))
 
 
-@query("importance", f"WITH {URLS} SELECT path, CASE WHEN regexp_matches(lower(path), '(^|/)(main|app|index|server)\\.[a-z]+$') THEN 1.0::DOUBLE WHEN regexp_matches(lower(path), 'rout|service|model|controller') THEN 0.9 WHEN regexp_matches(lower(path), 'test|docs?/|\\.md$') THEN 0.3 ELSE 0.5 END AS importance FROM u")
+@query("importance", f"WITH {URLS} SELECT path, CASE WHEN lower(regexp_extract(path, '([^/]*)/*$', 1)) IN ('main.py', 'app.py', 'index.js', 'index.ts', 'main.ts') THEN 1.0::DOUBLE WHEN contains(path, 'router') OR contains(path, 'route') OR contains(path, 'api') THEN 0.9 WHEN starts_with(path, 'test') OR contains(path, '/test') THEN 0.3 ELSE 0.5 END AS importance FROM u")
 def importance(spark, d):
     return urls(spark, d).select(F.trim("path", F.lit("/")).alias("path"), X.importance(F.trim("path", F.lit("/"))).alias("importance"))
 

@@ -43,7 +43,9 @@ def band(score: Column) -> Column:
 
 
 def risk_score_10(blast: Column, fan_in: Column, apis: Column, depth: Column) -> Column:
-    return cap(blast / 10, 5.0) + cap(fan_in / 10, 2.0) + cap(apis * 0.5, 2.0) + cap(depth * 0.1, 1.0)
+    """0 to 10 with one digit, which is what the label is of."""
+    total = cap(blast / 10, 5.0) + cap(fan_in / 10, 2.0) + cap(apis * 0.5, 2.0) + cap(depth * 0.1, 1.0)
+    return F.bround(F.round(total, 9), 1)
 
 
 def risk_label_10(score: Column) -> Column:
@@ -52,11 +54,12 @@ def risk_label_10(score: Column) -> Column:
 
 def effort_hours(blast: Column, label: Column) -> Column:
     factor = F.when(label == "critical", 4.0).when(label == "high", 2.5).when(label == "medium", 1.5).otherwise(1.0)
-    return F.greatest(blast * 0.5, F.lit(0.5)) * factor
+    return F.bround(F.greatest(blast * 0.5, F.lit(0.5)) * factor, 1)
 
 
 def effort_unit(hours: Column) -> Column:
-    return F.when(hours < 1, "minutes").when(hours < 8, "hours").when(hours < 40, "days").otherwise("weeks")
+    """Of hours with one digit, as ``effort_hours`` gives them."""
+    return F.when(hours < 2, "minutes").when(hours < 8, "hours").when(hours < 40, "days").otherwise("weeks")
 
 
 def dependency_count(fan_in: Column, fan_out: Column) -> Column:
@@ -95,10 +98,22 @@ def repository_risk(dependencies: Column, workflows: Column, services: Column, a
     return cap(sum(parts[1:], parts[0]), 100).cast("long")
 
 
-def older_risk(depth: Column, apis: Column, functions: Column, files: Column, mean_central: Column, workflows: Column) -> Column:
-    """Capped points of depth, interfaces, functions, files, centrality and workflows."""
-    flows = F.when(workflows > 0, cap(4 * workflows, 12) + 10).otherwise(0)
-    return cap(cap(3 * depth, 15) + cap(8 * apis, 25) + cap(2 * functions, 15) + cap(2 * files, 10) + cap(whole(15 * mean_central), 13) + flows, 100).cast("long")
+#: What the text about a change is searched for, and tags of nodes that had incidents.
+AUTH_WORDS = r"(?i)auth|oauth|login|session|token|jwt|github"
+DATABASE_WORDS = r"(?i)database|db_|postgres|sqlalchemy|redis|migrate"
+CRITICAL_WORDS = r"(?i)main\.py|router|middleware|connect|analyze|oauth"
+INCIDENT_TAGS = ("incident", "outage", "hotfix", "production-bug")
+
+
+def older_risk(depth: Column, apis: Column, functions: Column, files: Column, mean_central: Column, workflows: Column, text: Column, tags: Column, scenario: Column, nodes: Column) -> Column:
+    """Capped points of depth, interfaces, functions, files, centrality and workflows; for words in ``text`` and tags (an
+    array) of incidents; and 10 for a deletion of more than three nodes."""
+    points = [cap(3 * depth, 15), cap(8 * apis, 25), cap(2 * functions, 15), cap(2 * files, 10), cap(whole(15 * mean_central), 13), cap(4 * workflows, 12)]
+    for words, worth in ((AUTH_WORDS, 20), (DATABASE_WORDS, 12), (CRITICAL_WORDS, 15)):
+        points.append(F.when(text.rlike(words), worth).otherwise(0))
+    points.append(F.when(F.arrays_overlap(F.transform(tags, F.lower), F.array(*map(F.lit, INCIDENT_TAGS))), 8).otherwise(0))
+    points.append(F.when((scenario == "delete") & (nodes > 3), 10).otherwise(0))
+    return cap(sum(points[1:], points[0]), 100).cast("long")
 
 
 def scenario_risk(scenario: Column, direct: Column, indirect: Column, apis: Column, db: Column, auth: Column, imports: Column) -> Column:

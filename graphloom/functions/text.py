@@ -126,8 +126,9 @@ def _tagged(code: Column, kind: str, pattern: str) -> Column:
 
 
 def stable_id(prefix: str, *parts: Column) -> Column:
-    """The prefix and the first 24 hex digits of a SHA-256 over the parts."""
-    return F.concat(F.lit(prefix), F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 24))
+    """The prefix and the first 24 hex digits of a SHA-256 over the parts, each led by its length; a null is ``-``."""
+    said = [F.coalesce(F.concat(F.length(p).cast("string"), F.lit(":"), p), F.lit("-")) for p in parts]
+    return F.concat(F.lit(prefix), F.substring(F.sha2(F.concat_ws("|", *said), 256), 1, 24))
 
 
 def relevance(name: Column, path: Column, summary: Column, term: str) -> Column:
@@ -137,7 +138,12 @@ def relevance(name: Column, path: Column, summary: Column, term: str) -> Column:
     return F.when(n == t, 1).when(n.startswith(t), 2).when(n.contains(t), 3).when(F.lower(path).contains(t), 4).when(F.lower(summary).contains(t), 5).otherwise(6)
 
 
+#: Names of entry points.
+ENTRY_POINTS = ("main.py", "app.py", "index.js", "index.ts", "main.ts")
+
+
 def importance(path: Column) -> Column:
-    """1.0 entry points, 0.9 routers, services and models, 0.3 tests and documents, else 0.5."""
-    p = F.lower(path)
-    return F.when(p.rlike(r"(^|/)(main|app|index|server)\.[a-z]+$"), 1.0).when(p.rlike("rout|service|model|controller"), 0.9).when(p.rlike(r"test|docs?/|\.md$"), 0.3).otherwise(0.5)
+    """1.0 entry points by their file name, 0.9 paths with router, route or api in them, 0.3 tests, else 0.5."""
+    name = F.lower(F.regexp_extract(path, r"([^/]*)/*$", 1))
+    routed = path.contains("route") | path.contains("api")
+    return F.when(name.isin(*ENTRY_POINTS), 1.0).when(routed, 0.9).when(path.startswith("test") | path.contains("/test"), 0.3).otherwise(0.5)

@@ -119,7 +119,11 @@ def related_workflows(members: DataFrame, edges: DataFrame, workflow, limit: int
     return members.join(near, "id", "left_semi").where(F.col("workflow") != workflow).select("workflow").distinct().orderBy("workflow").limit(limit)
 
 
+#: Journeys that are high whenever they are hit.
+SEVERE_JOURNEYS = ("user_login", "repo_onboarding")
+
+
 def journeys_hit(journeys: DataFrame, workflows: DataFrame) -> DataFrame:
-    """(journey, n_hit, severity): journeys(journey, workflow) by the impacted workflows(workflow); high from two on."""
+    """(journey, n_hit, severity): journeys(journey, workflow) by the impacted workflows(workflow); high from two on, and for SEVERE_JOURNEYS."""
     hit = journeys.join(workflows.select("workflow").distinct(), "workflow", "left_semi").groupBy("journey").agg(F.countDistinct("workflow").alias("n_hit"))
-    return hit.withColumn("severity", F.when(F.col("n_hit") >= 2, "high").otherwise("medium"))
+    return hit.withColumn("severity", F.when((F.col("n_hit") >= 2) | F.col("journey").isin(*SEVERE_JOURNEYS), "high").otherwise("medium"))

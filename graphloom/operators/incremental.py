@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .edges import _sortable
+
 
 def plan(old: DataFrame, new: DataFrame, key: str = "path", content: str = "content_hash") -> DataFrame:
     """(key, action): parse what is new or changed, unchanged, deleted. A full join on the key; nulls differ from values."""
@@ -24,10 +26,10 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     usable = new
     for k in keys:
         usable = usable.where(F.col(k).isNotNull() & (F.trim(F.col(k).cast("string")) != ""))
-    # Of rows with equal keys the last in the order of their other columns stays.
+    # Of rows with equal keys the last in the order of their other columns stays; maps are compared as JSON.
     others = [c for c in usable.columns if c not in keys]
     if others:
-        usable = usable.groupBy(*keys).agg(F.max(F.struct(*others)).alias("_last")).select(*(F.col(f"_last.{c}").alias(c) if c in others else F.col(c) for c in usable.columns))
+        usable = usable.groupBy(*keys).agg(F.max_by(F.struct(*others), _sortable(usable, others)).alias("_last")).select(*(F.col(f"_last.{c}").alias(c) if c in others else F.col(c) for c in usable.columns))
     else:
         usable = usable.distinct()
     return old.join(usable.select(*keys), keys, "left_anti").unionByName(usable, allowMissingColumns=True)

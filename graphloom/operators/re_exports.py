@@ -21,14 +21,15 @@ def _state(package: str, name: str):
     return F.concat(F.length(package).cast("string"), F.lit(":"), F.col(package), F.lit("."), F.col(name))
 
 
-def _direct(ways: DataFrame, symbols: DataFrame) -> DataFrame:
+def _direct(ways: DataFrame, symbols: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """``ways(to_package, to_name)`` with ``direct``: the symbol of that name in that module, by its qualified name or else in the module's file."""
     own = symbols.where("kind <> 'module'")
     exact = own.groupBy(F.col("fqn").alias("_fqn")).agg(F.min("id").alias("_exact"))
     module = symbols.where("kind = 'module'").groupBy(F.col("fqn").alias("to_package")).agg(F.min(F.struct("id", "file"))["file"].alias("_file"))
     inside = own.groupBy(F.col("file").alias("_file"), F.col("name").alias("to_name")).agg(F.min("id").alias("_inside"))
-    found = lookup(ways.withColumn("_fqn", F.concat_ws(".", "to_package", "to_name")), exact, ["_fqn"])
-    found = lookup(lookup(found, module, ["to_package"]), inside, ["_file", "to_name"])
+    held = scratch.save(ways.withColumn("_fqn", F.concat_ws(".", "to_package", "to_name")), f"{name}-asked")
+    found = scratch.save(lookup(lookup(held, exact, ["_fqn"], among=held), module, ["to_package"], among=held), f"{name}-modules")
+    found = lookup(found, inside, ["_file", "to_name"], among=found)
     return found.select(*ways.columns, F.coalesce("_exact", "_inside").alias("direct"))
 
 
@@ -73,7 +74,7 @@ def re_exports(exports: DataFrame, symbols: DataFrame, asked: DataFrame | None =
     by_name = _anywhere(named, symbols).select("package", "name", F.lit(0).alias("rank"), F.col("source").alias("to_package"), F.col("original").alias("to_name"), "fallback")
     place = F.row_number().over(Window.partitionBy("package").orderBy("ordinal", "source"))
     by_star = open_states.join(stars.withColumn("rank", place), "package").select("package", "name", "rank", F.col("source").alias("to_package"), F.col("name").alias("to_name"), F.lit(None).cast(symbols.schema["id"].dataType).alias("fallback"))
-    ways = _direct(by_name.unionByName(by_star), symbols).withColumns({"id": _state("package", "name"), "to": _state("to_package", "to_name")})
+    ways = _direct(by_name.unionByName(by_star), symbols, scratch, "ways").withColumns({"id": _state("package", "name"), "to": _state("to_package", "to_name")})
     ways = scratch.save(ways, "ways")
     many = scratch.save(ways.groupBy("id").agg(F.count("*").alias("n")), "states")
     led = lookup(ways, many.select(F.col("id").alias("to"), (F.col("n") > 1).alias("to_fork")), ["to"])
@@ -94,7 +95,7 @@ def re_exports(exports: DataFrame, symbols: DataFrame, asked: DataFrame | None =
     values = scratch.save(of_chains.unionByName(forks.select("id", "symbol", "ring")), "values")
     out = wanted.withColumn("id", _state("package", "name")).join(values, "id", "left")
     # A name that nothing exports may still be the package's own.
-    own = _direct(out.select("package", "name", "symbol", "ring", F.col("package").alias("to_package"), F.col("name").alias("to_name")), symbols)
+    own = _direct(out.select("package", "name", "symbol", "ring", F.col("package").alias("to_package"), F.col("name").alias("to_name")), symbols, scratch, "own")
     found = own.select("package", "name", F.coalesce("symbol", F.when(F.col("ring").isNull(), F.col("direct"))).alias("symbol"), F.coalesce("ring", F.lit(False)).alias("ring"))
     titled = lookup(found, symbols.groupBy(F.col("id").alias("symbol")).agg(F.min("fqn").alias("fqn")), ["symbol"])
     state = F.when(F.col("symbol").isNotNull(), "resolved").when(F.col("ring"), "ring").otherwise("unresolved")
@@ -128,12 +129,12 @@ def _decide(ways: DataFrame, ends: DataFrame, scratch: Scratch) -> DataFrame:
         done, force = scratch.together([f"decided-{j}" for j in range(k)], now), False
 
 
-def export_violations(exports: DataFrame, modules: DataFrame) -> DataFrame:
-    """(severity, code, package, name): DUPLICATE_EXPORT, MISSING_SOURCE (``modules(fqn)`` lacks the source) and CYCLIC_EXPORT (a package on a ring)."""
+def export_violations(exports: DataFrame) -> DataFrame:
+    """(severity, code, package, name), all warnings: DUPLICATE_EXPORT, MISSING_SOURCE_MODULE (a named export without source) and CYCLIC_EXPORT (a package on a ring)."""
     said = exports.where("package is not null")
-    twice = said.where("name is not null").groupBy("package", "name").count().where("count > 1").select(F.lit("warning").alias("severity"), F.lit("DUPLICATE_EXPORT").alias("code"), "package", "name")
-    lost = said.where("source is not null").select("package", "name", F.col("source").alias("fqn")).distinct()
-    lost = lost.join(modules.select("fqn").distinct(), "fqn", "left_anti").select(F.lit("warning"), F.lit("MISSING_SOURCE"), "package", "name")
+    say = lambda code: (F.lit("warning").alias("severity"), F.lit(code).alias("code"))
+    twice = said.where("name is not null").groupBy("package", "name").count().where("count > 1").select(*say("DUPLICATE_EXPORT"), "package", "name")
+    lost = said.where("source is null and name is not null").select(*say("MISSING_SOURCE_MODULE"), "package", "name").distinct()
     links = said.where("source is not null and source <> package").select(F.col("package").alias("src"), F.col("source").alias("dst")).distinct()
-    rings = cycle_nodes(links).select(F.lit("warning"), F.lit("CYCLIC_EXPORT"), F.col("node"), F.lit(None).cast("string"))
+    rings = cycle_nodes(links).select(*say("CYCLIC_EXPORT"), F.col("node").alias("package"), F.lit(None).cast("string").alias("name"))
     return twice.union(lost).union(rings)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..graph import Graph
 from ..scratch import Scratch
+from .traversal import walk
 
 #: Edges that a task contracts or labels at once, and sweeps over them before labels go on to other tasks.
 BATCH, SWEEPS = 200_000, 500
@@ -83,23 +84,49 @@ def weak_components(graph: Graph) -> DataFrame:
     return ids.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
+def _peeled(edges: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, level) of the nodes that come free when those without open predecessors are taken away level by level.
+
+    Open in-degrees are counters. A level takes its own out-edges off them; counters that have been touched and are not at
+    zero yet are carried on as a small table, and neither the edges nor the other counters are written again.
+    """
+    slim = scratch.save(edges.select("src", "dst").distinct(), "edges")
+    need = scratch.save(slim.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("need")), "need")
+    level, names = 0, ["level-0"]
+    free = scratch.save(nodes.select("node").distinct().join(need, "node", "left_anti").withColumn("level", F.lit(0)), "level-0")
+    partial = None
+    while not free.isEmpty():
+        level += 1
+        given = free.join(slim, free["node"] == slim["src"]).groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("got"))
+        if partial is not None:
+            given = given.unionByName(partial).groupBy("node").agg(F.sum("got").alias("got"))
+        touched = scratch.save(given.join(need, "node"), f"touched-{level}")
+        free = scratch.save(touched.where("got = need").select("node", F.lit(level).alias("level")), f"level-{level}")
+        partial = touched.where("got < need").select("node", "got")
+        names.append(f"level-{level}")
+    return scratch.together(names, free)
+
+
 def topological_levels(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
-    """(node, level): nodes without open predecessors are peeled off round by round; nodes on or behind a cycle don't appear."""
+    """(node, level): the longest way from a node without predecessors; nodes on or behind a cycle don't appear."""
     scratch = Scratch(edges.sparkSession, "topological")
-    left = scratch.save(edges.select("src", "dst").distinct(), "edges")
-    ends = left.select(F.col("src").alias("node")).union(left.select("dst"))
-    open_nodes = scratch.save((ends if nodes is None else ends.union(nodes)).distinct(), "nodes")
-    out, level = None, 0
-    while True:
-        blocked = left.select(F.col("dst").alias("node")).distinct()
-        peeled = scratch.save(open_nodes.join(blocked, "node", "left_anti").withColumn("level", F.lit(level)), f"peeled-{level}")
-        out = peeled if out is None else out.union(peeled)
-        if peeled.isEmpty():
-            return out
-        gone = peeled.select("node")
-        left = scratch.save(left.join(gone, left["src"] == gone["node"], "left_anti"), f"edges-{level}")
-        open_nodes = scratch.save(open_nodes.join(gone, "node", "left_anti"), f"nodes-{level}")
-        level += 1
+    ends = edges.select(F.col("src").alias("node")).union(edges.select("dst"))
+    return _peeled(edges, ends if nodes is None else ends.union(nodes), scratch)
+
+
+def topological_from(graph: Graph, start, types: list[str] | None = None) -> DataFrame:
+    """(node, level, blocked) of what ``start`` (a node or a list) reaches, ordered by the edges among it.
+
+    Nodes on or behind a cycle are ``blocked`` and have no level: the order is partial if there are any.
+    """
+    scratch = Scratch(graph.edges.sparkSession, "topological-from")
+    steps = graph.directed("OUTGOING", types)
+    kind = graph.edges.schema["src"].dataType.simpleString()
+    starts = graph.edges.sparkSession.createDataFrame([(0, i) for i in (start if isinstance(start, (list, tuple, set)) else [start])], f"source int, node {kind}")
+    reach = scratch.save(walk(steps, starts).select("node").distinct(), "reach")
+    inner = steps.join(reach.withColumnRenamed("node", "at"), "at", "left_semi").select(F.col("at").alias("src"), F.col("to").alias("dst"))
+    found = _peeled(inner, reach, scratch)
+    return reach.join(found, "node", "left").select("node", "level", F.col("level").isNull().alias("blocked"))
 
 
 def _trimmed(edges: DataFrame, scratch: Scratch, name: str = "trim") -> DataFrame:

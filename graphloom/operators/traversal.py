@@ -215,14 +215,33 @@ def bidirectional(graph: Graph, start, target, max_depth: int | None = None) ->
         turn = 1 - turn
 
 
+def _opposite(direction: str) -> str:
+    return {OUTGOING: INCOMING, INCOMING: OUTGOING}.get(direction, direction)
+
+
+def _distances(steps: DataFrame, nodes: list, kind, max_depth: int | None) -> DataFrame:
+    """(node, left): least number of steps from any of the nodes."""
+    spark = steps.sparkSession
+    starts = spark.createDataFrame([(0, n) for n in nodes], f"source int, node {kind.simpleString()}")
+    return walk(steps, starts, max_depth).select("node", F.col("depth").alias("left"))
+
+
 def simple_paths(graph: Graph, start, targets: list | None = None, max_depth: int = 12, types: list[str] | None = None, direction: str = OUTGOING) -> DataFrame:
-    """(node, depth, path) of every path without a repeated node, up to ``max_depth`` steps, ending in a target."""
+    """(node, depth, path) of every path without a repeated node, up to ``max_depth`` steps, ending in a target.
+
+    With targets, the distance of every node to the nearest one is found first, and a path only grows into nodes from
+    which a target can still be met within the depth.
+    """
     scratch = Scratch(graph.edges.sparkSession, "paths")
     steps = graph.directed(direction, types).select("at", "to").distinct()
+    if targets is not None:
+        toward = _distances(graph.directed(_opposite(direction), types), targets, graph.edges.schema["src"].dataType, max_depth)
+        steps = scratch.save(steps.join(toward.withColumnRenamed("node", "to"), "to"), "steps")
     frontier = _from(graph, start).select("node", F.lit(0).alias("depth"), F.array("node").alias("path"))
     out = None
     for depth in range(1, max_depth + 1):
-        longer = frontier.join(steps, frontier["node"] == steps["at"]).where(~F.array_contains("path", F.col("to")))
+        able = steps if targets is None else steps.where(F.col("left") + depth <= max_depth)
+        longer = frontier.join(able, frontier["node"] == able["at"]).where(~F.array_contains("path", F.col("to")))
         frontier = scratch.save(longer.select(F.col("to").alias("node"), F.lit(depth).alias("depth"), F.array_append("path", F.col("to")).alias("path")), str(depth))
         out = frontier if out is None else out.union(frontier)
         if frontier.isEmpty():
@@ -230,32 +249,99 @@ def simple_paths(graph: Graph, start, targets: list | None = None, max_depth: in
     return out if targets is None else out.where(F.col("node").isin(targets))
 
 
+def shortest_ways(graph: Graph, start, target, direction: str = OUTGOING, types: list[str] | None = None, max_depth: int | None = None) -> tuple[DataFrame, int | None]:
+    """Steps (at, to, depth) that lie on some shortest path, and its length (None if there is none).
+
+    One search from the start that ends with the target's level, and one back from the target over as many levels; a step
+    is on a shortest path if both distances and the step itself add up to the length.
+    """
+    scratch = Scratch(graph.edges.sparkSession, "ways")
+    kind = graph.edges.schema["src"].dataType
+    found = scratch.save(bfs(graph, start, direction, max_depth, types, target=target).select("node", "depth"), "from")
+    end = found.where(F.col("node") == F.lit(target)).first()
+    if end is None or end.depth == 0:
+        none = graph.directed(direction, types).select("at", "to", F.lit(0).alias("depth")).limit(0)
+        return none, None if end is None else 0
+    back = _distances(graph.directed(_opposite(direction), types), [target], kind, end.depth)
+    on = scratch.save(found.join(back, "node").where(F.col("depth") + F.col("left") == end.depth).select("node", "depth"), "on")
+    a, b = on.select(F.col("node").alias("at"), "depth"), on.select(F.col("node").alias("to"), (F.col("depth") - 1).alias("_before"))
+    steps = graph.directed(direction, types).select("at", "to").distinct().join(a, "at").join(b, "to").where("depth = _before")
+    return scratch.save(steps.select("at", "to", "depth"), "steps"), end.depth
+
+
+def all_shortest_paths(graph: Graph, start, target, direction: str = OUTGOING, types: list[str] | None = None, max_depth: int | None = None) -> DataFrame:
+    """(path) of every shortest path from start to target; a path of one node if they are the same, none if there is none."""
+    if start is None or target is None:
+        raise ValueError("a shortest path needs two nodes")
+    kind = graph.edges.schema["src"].dataType.simpleString()
+    spark = graph.edges.sparkSession
+    steps, length = shortest_ways(graph, start, target, direction, types, max_depth)
+    scratch = Scratch(spark, "all-shortest")
+    if length is None:
+        return spark.createDataFrame([], f"path array<{kind}>")
+    paths = spark.createDataFrame([([start],)], f"path array<{kind}>")
+    for depth in range(length):
+        at = F.element_at("path", -1)
+        paths = scratch.save(paths.withColumn("at", at).join(steps.where(F.col("depth") == depth), "at").select(F.array_append("path", F.col("to")).alias("path")), str(depth))
+    return paths
+
+
+def count_shortest_paths(graph: Graph, start, target, direction: str = OUTGOING, types: list[str] | None = None, max_depth: int | None = None) -> DataFrame:
+    """(node, depth, n_paths) of the nodes on shortest paths: how many lead from the start to each, without listing them."""
+    spark = graph.edges.sparkSession
+    steps, length = shortest_ways(graph, start, target, direction, types, max_depth)
+    scratch = Scratch(spark, "shortest-counts")
+    kind = graph.edges.schema["src"].dataType.simpleString()
+    level = spark.createDataFrame([(start, 0, 1)] if length is not None else [], f"node {kind}, depth int, n_paths decimal(38,0)" if length is None else f"node {kind}, depth int, n_paths long")
+    level = level.withColumn("n_paths", F.col("n_paths").cast("decimal(38,0)"))
+    out = level
+    for depth in range(length or 0):
+        onward = steps.where(F.col("depth") == depth).join(level.select(F.col("node").alias("at"), "n_paths"), "at")
+        level = scratch.save(onward.groupBy(F.col("to").alias("node")).agg(F.sum("n_paths").cast("decimal(38,0)").alias("n_paths")).select("node", F.lit(depth + 1).alias("depth"), "n_paths"), str(depth))
+        out = out.union(level)
+    return out
+
+
 def depth_first(graph: Graph, start, direction: str = OUTGOING, max_depth: int | None = None) -> DataFrame:
-    """(node, depth, preorder) of a depth-first search that takes neighbours by ordinal and id.
+    """(node, depth, preorder, leaf, cycle) of a depth-first search that takes neighbours by ordinal and id.
 
-    A preorder is sequential by nature: the search runs in one task over the subgraph within reach of the start, so
-    it is meant for small results; for the visited set alone use ``bfs``.
+    ``leaf``: no step leads on from it (never the start). ``cycle``: a step leads from it to a node on its own path. A
+    preorder is sequential by nature: the search runs in one task over the subgraph within reach of the start, so it is
+    meant for small results; for the visited set alone use ``bfs``.
     """
     import pandas as pd
 
     steps = graph.directed(direction)
     near = bfs(graph, start, direction, max_depth).select("node")
     inner = steps.join(near.withColumnRenamed("node", "at"), "at", "left_semi").select(F.lit(0).alias("one"), "at", "to", "ordinal")
+    kind = graph.edges.schema["src"].dataType.simpleString()
+    alone = graph.edges.sparkSession.createDataFrame([(0, start, None, None)], f"one int, at {kind}, to {kind}, ordinal {inner.schema['ordinal'].dataType.simpleString()}")
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf[pdf["to"].notna()]
+        pdf = pdf.assign(to=pdf["to"].astype(type(start)))
         after = {k: list(g.sort_values(["ordinal", "to"])["to"]) for k, g in pdf.groupby("at")}
-        order, todo, seen = [], [(start, 0)], set()
+        rows, seen, active = [], {start}, {start}
+        todo = [(start, iter(after.get(start, ())))]
+        rows.append([start, 0, 0, False, False])
+        place = {start: 0}
         while todo:
-            node, depth = todo.pop()
-            if node in seen or max_depth is not None and depth > max_depth:
-                continue
-            seen.add(node)
-            order.append((node, depth, len(order)))
-            todo.extend((t, depth + 1) for t in reversed(after.get(node, [])))
-        return pd.DataFrame(order, columns=["node", "depth", "preorder"])
-
-    kind = graph.edges.schema["src"].dataType.simpleString()
-    return inner.groupBy("one").applyInPandas(search, f"node {kind}, depth int, preorder int")
+            node, rest = todo[-1]
+            step = next(rest, None)
+            if step is None:
+                todo.pop()
+                active.discard(node)
+            elif step in active:
+                rows[place[node]][4] = True
+            elif step not in seen and (max_depth is None or len(todo) <= max_depth):
+                seen.add(step)
+                active.add(step)
+                place[step] = len(rows)
+                rows.append([step, len(todo), len(rows), step not in after, False])
+                todo.append((step, iter(after.get(step, ()))))
+        return pd.DataFrame(rows, columns=["node", "depth", "preorder", "leaf", "cycle"])
+
+    return inner.union(alone).groupBy("one").applyInPandas(search, f"node {kind}, depth int, preorder int, leaf boolean, cycle boolean")
 
 
 def levels(depth: str = "depth"):

@@ -213,13 +213,27 @@ class Attribute(Expr):
 
 @dataclass(frozen=True)
 class Related(Expr):
-    """For nodes: an edge of a type (or any) goes out of it, comes in, or either; a semi-join that the compiler makes."""
+    """For nodes: an edge of a type (or any) goes out of it, comes in, or either. A filter makes the column that it reads."""
 
     type: str | None = None
     direction: str = "OUTGOING"
 
+    @property
+    def flag(self) -> str:
+        return f"_related_{self.type}_{self.direction}"
+
     def column(self, df):
-        raise ValueError("a relationship predicate stands alone in a filter")
+        if self.flag not in df.columns:
+            raise ValueError("a relationship predicate belongs in a filter")
+        return F.col(self.flag)
+
+
+def related_in(expr) -> set[Related]:
+    """The relationship predicates anywhere in an expression."""
+    if isinstance(expr, Related):
+        return {expr}
+    inner = expr if isinstance(expr, (list, tuple)) else vars(expr).values() if isinstance(expr, Expr) else ()
+    return set().union(*map(related_in, inner))
 
 
 @dataclass(frozen=True)

@@ -75,10 +75,14 @@ class Filter(Query):
 
     def compile(self, at):
         df, p = self.child.compile(at), self.predicate
-        if not isinstance(p, X.Related):
-            return df.where(p.column(df))
-        steps = at.graph.directed(p.direction, [p.type] if p.type else None)
-        return df.join(steps.select(F.col("at").alias("id")).distinct(), "id", "left_semi")
+        ends = lambda r: at.graph.directed(r.direction, [r.type] if r.type else None).select(F.col("at").alias("id")).distinct()
+        if isinstance(p, X.Related):
+            return df.join(ends(p), "id", "left_semi")
+        columns = df.columns
+        for r in sorted(X.related_in(p), key=lambda r: r.flag):
+            # One row for each node that has such an edge: a flag that conditions can combine.
+            df = df.join(ends(r).withColumn(r.flag, F.lit(True)), "id", "left").withColumn(r.flag, F.coalesce(r.flag, F.lit(False)))
+        return df.where(p.column(df)).select(*columns)
 
 
 @dataclass(frozen=True)

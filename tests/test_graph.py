@@ -165,17 +165,160 @@ def test_call_graph(spark):
     assert pairs(g.nodes, "id", "name", "is_external") == {("a", "fn_a", False), ("b", "b", False), ("external:print", "print", True)}
 
 
+SYMBOL_COLUMNS = "id string, name string, qualified_name string, namespace string, file string, kind string"
+
+
 def test_resolvers(spark):
-    symbols = spark.createDataFrame([("1", "run", "app.Main.run", "app.Main", "main.py"), ("2", "Base", "lib.Base", "lib", "lib.py"), ("3", "run", "lib.run", "lib", "lib.py"), ("4", "only", "x.only", "x", "x.py")], "id string, name string, qualified_name string, namespace string, file string")
-    calls = spark.createDataFrame([("c", "app.Main.run", "z", "z.py"), ("c", "self.run", "app.Main", "z.py"), ("c", "run", "z", "lib.py"), ("c", "only", "z", "z.py"), ("c", "run", "z", "z.py")], "caller string, name string, namespace string, file string")
-    got = {(r.name, r.strategy): (r.target, r.confidence) for r in edges.resolve_calls(calls, symbols).collect()}
-    assert got == {("app.Main.run", "exact"): ("1", 1.0), ("self.run", "self"): ("1", 1.0), ("run", "file"): ("3", 0.95), ("only", "name"): ("4", 0.85), ("run", "external"): ("external:run", 0.5)}
-    bases = spark.createDataFrame([("k", "Base", "other"), ("k", "Base", "lib"), ("k", "Nope", "lib")], "child string, name string, namespace string")
-    assert pairs(edges.resolve_bases(bases, symbols), "target", "confidence") == {("2", 0.9), ("2", 1.0), ("external:Nope", 0.5)}
-    types = spark.createDataFrame([("o", "Optional[List[Base]]", "z")], "owner string, type_name string, namespace string")
-    assert pairs(edges.resolve_types(types, symbols), "name", "target") == {("Base", "2"), ("List", "external:List")}
-    imports = spark.createDataFrame([("f", "lib", "Base", "p"), ("f", ".only", None, "x"), ("f", "lib.run", "zz", "p"), ("f", "os", "path", "p")], "file string, module string, name string, package string")
-    assert {(r.module, r.strategy) for r in edges.resolve_imports(imports, symbols).collect()} == {("lib", "exact"), (".only", "relative"), ("lib.run", "parent"), ("os", "external")}
+    rows = [("1", "run", "app.Main.run", "app.Main", "main.py", "METHOD"), ("2", "Base", "lib.Base", "lib", "lib.py", "class"), ("3", "run", "lib.run", "lib", "lib.py", "function"), ("4", "only", "x.only", "x", "x.py", "function"), ("5", "only", "y.only", "app.Main", "x.py", "class"), ("6", "Shape", "lib.Shape", "lib", "lib.py", "interface"), ("7", "Color", "lib.Color", "lib", "lib.py", "enum")]
+    symbols = spark.createDataFrame(rows, SYMBOL_COLUMNS)
+    calls = [("c", "app.Main.run", "z", "z.py"), ("c", "self.run", "app.Main", "z.py"), ("c", "run", "z", "lib.py"), ("c", "only", "z", "z.py"), ("c", "run", "z", "z.py"), ("c", "self.x.run", "app.Main", "z.py"), ("c", "self.only", "app.Main", "z.py"), ("4", "only", "z", "z.py"), ("c", "this.Base", "lib", "z.py")]
+    got = sorted((r.caller, r.name, r.strategy, r.target, r.confidence, r.recursive) for r in edges.resolve_calls(spark.createDataFrame(calls, "caller string, name string, namespace string, file string"), symbols).collect())
+    assert got == sorted(
+        [
+            ("c", "app.Main.run", "exact", "1", 1.0, False),
+            ("c", "self.run", "self", "1", 1.0, False),
+            ("c", "run", "file", "3", 0.95, False),
+            ("c", "only", "name", "4", 0.85, False),
+            ("c", "run", "external", "external:run", 0.5, False),
+            ("c", "self.x.run", "external", "external:self.x.run", 0.5, False),  # the receiver is not just self
+            ("c", "self.only", "name", "4", 0.85, False),  # a class is no call's target
+            ("4", "only", "name", "4", 0.85, True),
+            ("c", "this.Base", "external", "external:this.Base", 0.5, False),
+        ]
+    )
+    bases = spark.createDataFrame([("k", "Base", "other.py", None), ("k2", "Base", "lib.py", True), ("k", "Nope", "lib.py", None), ("k", "lib.Shape", "q/r.py", None), ("k", "run", "lib.py", None), ("k3", "Base", "lib/z.py", None)], "child string, name string, file string, is_interface boolean")
+    assert pairs(edges.resolve_bases(bases, symbols), "child", "target", "strategy", "confidence", "is_interface") == {("k", "2", "name", 0.9, False), ("k2", "2", "file", 1.0, True), ("k", "external:Nope", "external", 0.5, False), ("k", "6", "exact", 1.0, True), ("k", "external:run", "external", 0.5, False), ("k3", "2", "exact", 1.0, False)}
+    types = spark.createDataFrame([("o", "Optional[Base]", "z"), ("o", "&Color", "z"), ("o", "str", "z"), ("o", "Map<Unheard>", "z"), ("o", "Either[A, Base]", "z")], "owner string, type_name string, file string")
+    assert pairs(edges.resolve_types(types, symbols), "name", "target", "strategy") == {("Base", "2", "name"), ("Color", "7", "name"), ("str", "external:str", "primitive"), ("Unheard", "external:Unheard", "external"), ("Either[A, Base]", "external:Either[A, Base]", "external")}
+
+
+def test_imports(spark):
+    names = ["repo.core.app", "core.direct", "repo.src.util", "repo.pkg.sub.near", "repo.a.b.core.X", "repo.lib.tool", "a.b.here"]
+    symbols = spark.createDataFrame([(str(k), n.split(".")[-1], n, "n", "f", "module") for k, n in enumerate(names)], SYMBOL_COLUMNS)
+    rows = [("m.py", "core.app", None), ("m.py", "core", "direct"), ("m.py", "util", None), ("pkg/sub/m.py", "near", None), ("a/b/c/m.py", "..core", "X"), ("a\\b\\c\\m.py", "..core", "X"), ("m.py", "lib.tool", "Thing"), ("m.py", "os", "path"), ("m.py", "..too", "far"), ("a/b/m.py", ".", "here"), ("m.py", "..core", "X")]
+    found = edges.resolve_imports(spark.createDataFrame(rows, "file string, module string, name string"), symbols, "repo").collect()
+    got = {(r.file, r.module, r.name): (r.target, r.strategy, r.confidence) for r in found}
+    assert len(found) == len(rows) and got == {
+        rows[0]: ("0", "exact", 1.0),
+        rows[1]: ("1", "exact", 1.0),
+        rows[2]: ("2", "exact", 1.0),
+        rows[3]: ("3", "exact", 1.0),
+        rows[4]: ("4", "relative", 1.0),
+        rows[5]: ("4", "relative", 1.0),
+        rows[6]: ("5", "parent", 0.9),
+        rows[7]: ("external:os.path", "external", 0.5),
+        rows[8]: ("external:too.far", "external", 0.5),
+        rows[9]: ("external:here", "external", 0.5),
+        rows[10]: ("external:core.X", "external", 0.5),
+    }
+    alone = edges.resolve_imports(spark.createDataFrame(rows[9:10], "file string, module string, name string"), symbols)
+    assert pairs(alone, "target", "strategy") == {("6", "exact")}
+
+
+def test_maps_in_rows(spark):
+    kind = "id string, n int, attributes map<string,string>"
+    rows = [("a", 1, {"x": "1"}), ("a", 2, {"x": "2"}), ("b", 1, None)]
+    table = spark.createDataFrame(rows, kind)
+    assert sorted((r.id, r.n, r.attributes) for r in edges.keep_last(table, "id", "n").collect()) == [("a", 2, {"x": "2"}), ("b", 1, None)]
+    merged = edges.merge_edges(table.withColumnRenamed("id", "edge_id").where("n = 1"), table.withColumnRenamed("id", "edge_id"))
+    assert sorted((r.edge_id, r.n, r.attributes) for r in merged.collect()) == [("a", 1, {"x": "1"}), ("b", 1, None)]
+    new = spark.createDataFrame([("b", 5, {"y": "1"}), ("c", 6, {"z": "1"}), ("c", 7, {"z": "2"}), ("", 8, {})], kind)
+    assert sorted((r.id, r.n) for r in incremental.upsert(table.where("n = 1"), new, ["id"]).collect()) == [("a", 1), ("b", 5), ("c", 7)]
+
+
+def test_edge_ids_tell_parts_apart(spark):
+    rows = [("a", "b|c", "t"), ("a|b", "c", "t"), (None, "a", "t"), ("a", None, "t"), ("", "a", "t"), ("a", "b", "t")]
+    found = edges.edge_ids(spark.createDataFrame(rows, "src string, dst string, type string")).collect()
+    assert len({r.edge_id for r in found}) == len(rows)
+
+
+def test_depth_first_results(spark):
+    g = Graph.from_lists(spark, {"A": ["B", "C"], "B": ["D"], "C": ["A"], "D": [], "Z": ["Z"]})
+    got = {r.node: (r.depth, r.preorder, r.leaf, r.cycle) for r in traversal.depth_first(g, "A").collect()}
+    assert got == {"A": (0, 0, False, False), "B": (1, 1, False, False), "D": (2, 2, True, False), "C": (1, 3, False, True)}
+    assert [tuple(r) for r in traversal.depth_first(g, "D").collect()] == [("D", 0, 0, False, False)]
+    assert [tuple(r) for r in traversal.depth_first(g, "Z").collect()] == [("Z", 0, 0, False, True)]
+    assert {r.node for r in traversal.depth_first(g, "A", max_depth=1).collect()} == {"A", "B", "C"}
+
+
+def test_relationships_in_conditions(spark):
+    g = Graph.from_lists(spark, {"a": [("b", "CALLS")], "b": [("c", "USES")], "c": [], "d": []})
+    at = Context(g)
+    ids = lambda p: {r.id for r in Builder().table("nodes").filter(p).build().compile(at).collect()}
+    assert ids(X.Or((X.Related("USES"), X.Equals("id", "d")))) == {"b", "d"}
+    assert ids(X.And((X.Related(), X.Not(X.Related("USES"))))) == {"a"}
+    assert ids(X.Not(X.Related(None, "INCOMING"))) == {"a", "d"}
+
+
+def brute_paths(adjacency, a, b, most):
+    out, todo = [], [[a]]
+    while todo:
+        path = todo.pop()
+        if path[-1] == b and len(path) > 1:
+            out.append(path)
+        if len(path) <= most:
+            todo += [[*path, t] for t in set(adjacency.get(path[-1], ())) if t not in path]
+    return out
+
+
+def test_paths_that_arrive(spark):
+    """A graph of high out-degree: ten layers of six, all joined, and one way on from it."""
+    import random
+
+    rng = random.Random(1)
+    adjacency = {f"{k}-{n}": [f"{k + 1}-{m}" for m in range(6)] for k in range(4) for n in range(6)}
+    adjacency |= {"s": ["0-0", "0-1", "x"], "x": ["y"], "y": ["t", "s"], "4-0": ["t"], "4-1": ["s"]}
+    short = {k: list(v) for k, v in adjacency.items() if k not in ("x", "y")}
+    for _ in range(20):
+        adjacency.setdefault(f"{rng.randrange(4)}-{rng.randrange(6)}", []).append(f"{rng.randrange(4)}-{rng.randrange(6)}")
+    g = Graph.from_lists(spark, adjacency)
+    for most in (3, 5):
+        got = sorted(r.path for r in traversal.simple_paths(g, "s", ["t"], most).collect())
+        assert got == sorted(brute_paths(adjacency, "s", "t", most))
+    h = Graph.from_lists(spark, short)
+    every = brute_paths(short, "s", "t", 6)
+    least = min(map(len, every))
+    expected = sorted(p for p in every if len(p) == least)
+    assert sorted(r.path for r in traversal.all_shortest_paths(h, "s", "t").collect()) == expected and len(expected) > 100
+    counts = {r.node: int(r.n_paths) for r in traversal.count_shortest_paths(h, "s", "t").collect()}
+    assert counts["t"] == len(expected) and counts["s"] == 1
+    assert [r.path for r in traversal.all_shortest_paths(h, "s", "s").collect()] == [["s"]]
+    assert traversal.all_shortest_paths(h, "t", "s").collect() == [] and traversal.count_shortest_paths(h, "t", "s").collect() == []
+    back = sorted(r.path[::-1] for r in traversal.all_shortest_paths(h, "t", "s", "INCOMING").collect())
+    assert back == expected
+
+
+def test_topological_from(spark):
+    g = Graph.from_lists(spark, {"A": ["B", "C"], "B": ["D"], "C": ["D"], "D": ["E"], "E": [], "X": ["D", "Y"], "Y": ["X"], "P": ["Q", "R"], "Q": ["P", "S"], "R": [], "S": []})
+    assert pairs(structure.topological_from(g, "A"), "node", "level", "blocked") == {("A", 0, False), ("B", 1, False), ("C", 1, False), ("D", 2, False), ("E", 3, False)}
+    assert pairs(structure.topological_from(g, "X"), "node", "level", "blocked") == {("X", None, True), ("Y", None, True), ("D", None, True), ("E", None, True)}
+    assert pairs(structure.topological_from(g, ["P", "A"]), "node", "blocked") >= {("P", True), ("Q", True), ("R", True), ("S", True), ("A", False)}
+    assert pairs(structure.topological_from(g, "E"), "node", "level", "blocked") == {("E", 0, False)}
+
+
+def test_formulas(spark):
+    from graphloom.functions import scores as S
+    from graphloom.functions import text as text_functions
+    from graphloom.operators import analytics
+
+    rows = [(2, 14, 1, 4), (0, 0, 0, 0), (100, 40, 9, 30), (23, 3, 0, 1)]
+    df = spark.createDataFrame(rows, "b int, f int, a int, d int")
+    score = S.risk_score_10(F.col("b"), F.col("f"), F.col("a"), F.col("d"))
+    got = {r.b: (r.s, r.l) for r in df.select("b", score.alias("s"), S.risk_label_10(score).alias("l")).collect()}
+    for b, f, a, d in rows:
+        value = round(min(b / 10, 5.0) + min(f / 10, 2.0) + min(a * 0.5, 2.0) + min(d * 0.1, 1.0), 1)
+        assert got[b] == (value, "critical" if value >= 7.5 else "high" if value >= 5 else "medium" if value >= 2.5 else "low")
+    assert got[2] == (2.5, "medium")
+    units = spark.createDataFrame([(1.9,), (2.0,), (7.9,), (8.0,), (40.0,)], "h double").select(S.effort_unit(F.col("h")).alias("u")).collect()
+    assert [r.u for r in units] == ["minutes", "hours", "hours", "days", "weeks"]
+    paths = {"src/main.py": 1.0, "Main.PY": 1.0, "main.go": 0.5, "src/routes/x.py": 0.9, "lib/api.py": 0.9, "src/service.py": 0.5, "tests/x.py": 0.3, "a/test_x.py": 0.3, "docs/x.md": 0.5, "index.ts": 1.0}
+    found = spark.createDataFrame([(p,) for p in paths], "p string").select("p", text_functions.importance(F.col("p")).alias("i")).collect()
+    assert {r.p: r.i for r in found} == paths
+    risk = lambda **k: S.older_risk(*(F.lit(k.get(n, 0)) for n in ("depth", "apis", "functions", "files", "central", "workflows")), F.lit(k.get("text", "")), F.array(*map(F.lit, k.get("tags", ["none"]))), F.lit(k.get("scenario", "modify")), F.lit(k.get("nodes", 0)))
+    one = spark.range(1).select(risk().alias("a"), risk(text="Login page").alias("b"), risk(text="postgres").alias("c"), risk(text="main.py").alias("d"), risk(tags=["HotFix"]).alias("e"), risk(scenario="delete", nodes=4).alias("f"), risk(scenario="delete", nodes=3, workflows=9).alias("g"), risk(text="github oauth db_ router", depth=9, apis=9, functions=9, files=9, central=1.0).alias("h")).first()
+    assert tuple(one) == (0, 20, 12, 15, 8, 10, 12, 100)
+    journeys = spark.createDataFrame([("user_login", "w1"), ("other", "w1"), ("both", "w1"), ("both", "w2"), ("none", "w3")], "journey string, workflow string")
+    assert pairs(analytics.journeys_hit(journeys, spark.createDataFrame([("w1",), ("w2",)], "workflow string")), "journey", "severity") == {("user_login", "high"), ("other", "medium"), ("both", "high")}
 
 
 def test_name_edges(spark):
