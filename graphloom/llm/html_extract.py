@@ -2,8 +2,8 @@
 
 The page is cut into blocks at block-level tags. The first pass decides each block by its own link density, length and
 stop-word density; short blocks stay open. Tags, class names and ids are no verdict on a container, only a lean: what
-looks like text inside one that is named for a side matter (navigation, advert, comments) is dropped where the page has
-its text elsewhere, and kept where that container holds most of it. In the second pass open blocks inherit the label
+looks like text inside one that is named for a side matter is dropped where the page has its text elsewhere, and kept
+where that container holds most of it; for comments, navigation, adverts and consent: where there is nothing else. In the second pass open blocks inherit the label
 of the nearest decided neighbours: kept between two kept ones, dropped between two dropped ones, and with unlike
 neighbours as the nearer one, or dropped at equal distance; headings go with what follows. The ends of a page count as
 dropped. Open blocks of an article look at the article's own blocks only, and are kept unless all those next to
@@ -44,16 +44,18 @@ ARTICLE_TAGS = frozenset(["article", "main"])
 HEADINGS = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
 #: Elements that lean to a side matter; a header does outside an article.
 SIDE_TAGS = frozenset("aside button dialog fieldset footer form head menu nav optgroup option select".split())
-#: Words of class names, ids and roles that lean to a side matter, and those of readers' comments.
+#: Words of class names, ids and roles that lean to a side matter. Those of the first two lines name readers' comments and
+#: what never is a page's text: navigation, consent and adverts.
 COMMENT_NAMES = frozenset("comment comments commentlist discussion disqus replies reply respond responses".split())
-SIDE_NAMES = COMMENT_NAMES | frozenset(
-    "ad ads adv advert adverts advertisement alert alertdialog banner breadcrumb breadcrumbs captcha complementary consent contentinfo cookie "
-    "cookies copyright dialog disclaimer feedback footer form gdpr header legal login masthead menu menubar modal nav navbar navigation newsletter "
-    "notice notification overlay pager pagination popup popular promo promoted promotion recommended related search share sharing sidebar signup "
-    "skip social sponsor sponsored subscribe subscription teaser toolbar tracking warning widget".split()
+NEVER_NAMES = COMMENT_NAMES | frozenset("ad ads adv advert adverts advertisement breadcrumb breadcrumbs consent cookie cookies gdpr menu menubar nav navbar navigation".split())
+SIDE_NAMES = NEVER_NAMES | frozenset(
+    "alert alertdialog banner captcha complementary contentinfo copyright dialog disclaimer feedback footer form header legal "
+    "login masthead modal newsletter notice notification overlay pager pagination popup popular promo promoted promotion "
+    "recommended related search share sharing sidebar signup skip social sponsor sponsored subscribe subscription teaser "
+    "toolbar tracking warning widget".split()
 )
-#: Words beside these that take the lean away: the container of a page's text, or one that only has a side matter.
-MAIN_NAMES = frozenset("article body container content entry has main no page post story text with without wrap wrapper".split())
+#: Words beside these that take the lean away: of something that only has, or lacks, a side matter.
+HAS_NAMES = frozenset("has no with without".split())
 MAX_LINK_DENSITY, SHORT, LONG = 0.5, 70, 200
 STOP_HIGH, STOP_LOW = 0.2, 0.1
 #: A page whose long blocks have a smaller share of stop words is in a language that the list doesn't know.
@@ -107,7 +109,7 @@ class _Markup:
 
 
 def _lean(tag: str, attributes: str, in_article: bool) -> int:
-    """0 none, 1 side matter, 2 readers' comments or hidden."""
+    """0 none, 1 side matter, 2 what counts only where a page has nothing else: comments, navigation, adverts, consent, hidden parts."""
     out = int(tag in SIDE_TAGS or tag == "header" and not in_article)
     if tag in ("html", "body") or not attributes.strip():
         return out
@@ -119,9 +121,9 @@ def _lean(tag: str, attributes: str, in_article: bool) -> int:
             continue
         for whole in value.split():
             words = {x.lower() for x in _NAME.findall(whole)}
-            if words & MAIN_NAMES or words == {"header"} and in_article:
+            if words & HAS_NAMES or words == {"header"} and in_article:
                 continue
-            if words & COMMENT_NAMES or words == {"hidden"}:
+            if words & NEVER_NAMES and tag not in ARTICLE_TAGS or words & COMMENT_NAMES or words == {"hidden"}:
                 return 2
             if words & SIDE_NAMES and tag not in ARTICLE_TAGS and not (in_article and "header" in words):
                 out = 1
@@ -268,8 +270,8 @@ def _looks_like_text(b: Block, known: bool) -> int:
 def _main_containers(found: list[Block], leans: list[tuple[int, int]]) -> list[bool]:
     """For each container with a lean whether it and those around it count as the page's main ones.
 
-    One is when it holds more than twice as much text as stands outside all such containers; for comments and hidden
-    parts: when there is nothing else. Where an article has anything of its own, only containers inside it can be.
+    One is when it holds more than twice as much text as stands outside all such containers; for comments, navigation,
+    adverts, consent and hidden parts: when there is nothing else. Where an article has anything of its own, only containers inside it can be.
     """
     clear = [False] * len(leans)
     if any(b.article and b.side < 0 and b.label for b in found):
@@ -344,7 +346,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
 
     Null and empty pages, and pages without a kept block, give an empty text. Null ids and urls stay null; other
     columns are left out. Nothing is cut off: pages of any length are read whole, broken markup included, in time
-    that grows with their length.
+    that grows with their length. An empty table gives no rows.
     """
     limit_batches(pages.sparkSession)
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])

@@ -41,7 +41,7 @@ LAST = 1 << 62
 class Units:
     """The units of a text: word ranges [a, b) in order of their places, windows first, and their digests."""
 
-    def __init__(self, text: str):
+    def __init__(self, text: str, line_words: int):
         self.raw = text.encode()
         h, self.first, self.end = word_hashes(self.raw.lower())
         n = self.n_words = len(h)
@@ -61,7 +61,7 @@ class Units:
         line = np.searchsorted(feeds, self.first)
         since = np.flatnonzero(np.append(True, line[1:] != line[:-1])[:n])
         until = np.append(since[1:], n)[: len(since)]
-        whole = until - since >= LINE_WORDS
+        whole = until - since >= line_words
         since, until = since[whole], until[whole]
         self.a, self.b = np.concatenate([a, since]), np.concatenate([b, until])
         self.digests = np.concatenate([stretches(h, a, b), mixed(stretches(h, since, until) ^ np.uint64(1))]).astype(np.int64)
@@ -95,14 +95,14 @@ class Units:
         return b"".join([*kept, self.raw[at:]]).decode(), [(int(leads[a]), int(leads[b])) for a, b in gone]
 
 
-def _digests(hot: np.ndarray):
+def _digests(hot: np.ndarray, line_words: int):
     """Distinct digests of each row with its rank and text hash, without the hot ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ranks, hashes, digests = [], [], []
             for rank, h, text in zip(*(c.to_pylist() for c in batch.columns)):
-                own = np.unique(Units(text or "").digests)
+                own = np.unique(Units(text or "", line_words).digests)
                 if len(hot):
                     own = own[~np.isin(own, hot)]
                 ranks.append(np.full(len(own), rank, dtype=np.int64))
@@ -121,21 +121,26 @@ def _release(spark: SparkSession) -> None:
     release_shuffles(spark)
 
 
-def remove_repeats(docs: DataFrame, prefix: str = "_dedup_") -> DataFrame:
+def remove_repeats(docs: DataFrame, prefix: str = "_dedup_", line_words: int | None = None) -> DataFrame:
     """All rows and columns of ``docs(doc_id, text, ...)``, the text without lines and passages that stand earlier.
 
     Adds ``_dedup_words``, ``_dedup_removed_words`` and ``_dedup_spans``, an array of (start, end) offsets in code
     points of the original text. Documents rank by doc_id, those with a null doc_id behind all others by a hash of their
     text. Rows of one doc_id, and null ids of one text, rank alike, so they don't empty each other, whether their texts
-    are equal or not. Null texts stay null and count as empty. Names that begin with the prefix are reserved.
+    are equal or not. Null texts stay null and count as empty. Names that begin with the prefix are reserved. An empty
+    table gives no rows; texts of any length are read whole.
+
+    Lines of fewer than ``line_words`` words (LINE_WORDS where it isn't given) always stay, so that short lines which many
+    clean documents share are left alone; with 1 every repeated line goes. Words are compared by digests of 64 bits.
     """
+    line_words = LINE_WORDS if line_words is None else line_words
     spark = docs.sparkSession
     limit_batches(spark)
     scratch = Scratch(spark, "line-dedup")
     text_hash = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
     rank = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST).bitwiseOR(text_hash.bitwiseAND(LAST - 1)))
     slim = docs.select(rank.alias("rank"), text_hash.alias("hash"), "text")
-    units = lambda hot: slim.mapInArrow(_digests(hot), "digest long, rank long, hash long")
+    units = lambda hot: slim.mapInArrow(_digests(hot, line_words), "digest long, rank long, hash long")
     none = np.zeros(0, dtype=np.int64)
     firsts = units(none).groupBy("digest").agg(F.min("rank").alias("first"), F.max("rank").alias("last"), F.count("*").alias("n"))
     firsts = scratch.save(firsts.where("first < last").select("digest", "first", "n"), "firsts")
@@ -161,7 +166,7 @@ def remove_repeats(docs: DataFrame, prefix: str = "_dedup_") -> DataFrame:
             lists = batch.column(n_own + 1)
             offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy()
             for text, own_rank, a, b in zip(batch.column(at).to_pylist(), batch.column(n_own).to_pylist(), offsets[:-1], offsets[1:]):
-                own = Units(text or "")
+                own = Units(text or "", line_words)
                 known = own.digests[np.isin(own.digests, hot_digests)] if len(hot_digests) else none
                 known = known[hot_firsts[np.searchsorted(hot_digests, known)] < own_rank] if len(known) else none
                 flags = own.repeated(np.concatenate([values[a:b], known]))

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, limit_batches, release_shuffles
+from .common import Scratch, limit_batches, lookup, release_shuffles
 from .components import components
 from .words import mixed, windows, word_hashes
 
@@ -257,9 +257,10 @@ def _classified(docs: DataFrame, scratch: Scratch) -> DataFrame:
             found = scratch.save(components(known_links.union(more), scratch, f"cc-{last}"), f"components-{last}")
         scratch.drop(f"open-{last}-labelled", f"rows-{last}", f"pairs-{last}")
     # The smallest doc_id of each component.
-    linked = classes.join(found, "node")
-    least = linked.groupBy("component").agg(F.min("rep").alias("least"))
-    grouped = linked.select("node", "component").join(least, "component")
+    linked = scratch.save(classes.join(found, "node").select("node", "component", "rep"), "linked")
+    least = linked.groupBy("component").agg(F.min("rep").alias("least"), F.count("*").alias("members"))
+    # A component may hold a third of all classes: large ones are looked up in place.
+    grouped = lookup(linked.select("node", "component"), least, ["component"], "members").select("node", "component", "least")
     own = classes.join(grouped, "node", "left").select("digest", F.coalesce("component", "node").alias("group"), F.coalesce("least", "rep").alias("component_id"))
     own = scratch.save(own, "own")
     plain = rows.select("doc_id", "hash", "n_shingles", "digest")
@@ -289,19 +290,23 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """One row of each group of near copies, with the same columns: the first by doc_id, then by a hash of the text.
 
     Rows without an id and rows without words link with nothing and stay, all of them. Of rows that repeat a kept one in
-    doc_id and text, one stays, the smallest by a hash of all its columns.
+    doc_id and text, one stays, the smallest by a hash of all its columns. Columns may have any names; an empty table
+    gives no rows, and texts of any length are compared whole.
     """
     limit_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "near-documents")
     found = scratch.save(_classified(_hashed(docs), scratch), "classified").where("group is not null")
-    first = found.where("doc_id = component_id").groupBy("group", "component_id").agg(F.min("hash").alias("_keep_hash"))
-    first = first.select(F.col("component_id").alias("_keep_id"), "_keep_hash")
-    keyed = docs.withColumns({"_keep_key": F.col("doc_id").cast("long"), "_keep_text": F.xxhash64(F.coalesce(F.col("text"), F.lit("")))})
-    kept = keyed.join(first, (F.col("_keep_key") == F.col("_keep_id")) & (F.col("_keep_text") == F.col("_keep_hash")), "left_semi")
+    own = "_keep_"
+    while any(c.startswith(own) for c in docs.columns):
+        own = "_" + own
+    first = found.where("doc_id = component_id").groupBy("group", "component_id").agg(F.min("hash").alias(f"{own}hash"))
+    first = first.select(F.col("component_id").alias(f"{own}id"), f"{own}hash")
+    keyed = docs.withColumns({f"{own}key": F.col("doc_id").cast("long"), f"{own}text": F.xxhash64(F.coalesce(F.col("text"), F.lit("")))})
+    kept = keyed.join(first, (F.col(f"{own}key") == F.col(f"{own}id")) & (F.col(f"{own}text") == F.col(f"{own}hash")), "left_semi")
     twice = found.groupBy("doc_id", "hash").agg(F.count("*").alias("m")).where("m > 1").limit(1)
     if not twice.isEmpty():
-        kept = kept.withColumn("_keep_row", F.xxhash64(*(f.name for f in docs.schema if not isinstance(f.dataType, T.MapType))))
-        least = kept.groupBy("_keep_key", "_keep_text").agg(F.min("_keep_row").alias("_keep_row"))
-        kept = kept.join(least, ["_keep_key", "_keep_text", "_keep_row"], "left_semi").dropDuplicates(["_keep_key", "_keep_text"])
+        kept = kept.withColumn(f"{own}row", F.xxhash64(*(f.name for f in docs.schema if not isinstance(f.dataType, T.MapType))))
+        least = kept.groupBy(f"{own}key", f"{own}text").agg(F.min(f"{own}row").alias(f"{own}row"))
+        kept = kept.join(least, [f"{own}key", f"{own}text", f"{own}row"], "left_semi").dropDuplicates([f"{own}key", f"{own}text"])
     has_words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     return kept.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull() | ~has_words))

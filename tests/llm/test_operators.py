@@ -332,6 +332,29 @@ def test_html_names_only_lean(page, want):
     assert html_extract.main_text(page) == want
 
 
+SIDE_CLASSES = "post-comments entry-comments comments-main story-sidebar page-footer article-footer main-nav main-menu post-navigation page-header content-ad entry-related".split()
+
+
+@pytest.mark.parametrize("name", SIDE_CLASSES + ["-".join(reversed(x.split("-"))) for x in SIDE_CLASSES] + ["postComments", "main_nav"])
+def test_html_side_names_beside_main_words(name):
+    other = f"{PROSE} And that was the end of it for all of us."
+    for page in (f"<div class='{name}'><p>{other}</p></div><div><p>{PROSE}</p></div>", f"<div><p>{PROSE}</p></div><div id='{name}'><p>{other}</p></div>"):
+        assert html_extract.main_text(page) == PROSE
+
+
+@pytest.mark.parametrize("name", ["cookie-notice", "consent", "main-nav", "content-ad"])
+def test_html_consent_beside_a_short_text(name):
+    own = "It is the way of all of us to be in the house when the sun is up, and so on."
+    page = f"<div class='{name}'><p>{PROSE} {PROSE}</p></div><div><p>{own}</p></div>"
+    assert html_extract.main_text(page) == own and len(own) < 80
+    assert html_extract.main_text(f"<div class='{name}'><p>{PROSE}</p></div>") == PROSE  # nothing else is there
+
+
+def test_html_comments_in_every_container():
+    for page in (f"<div class=wrap><article><p>{PROSE}</p><div class='post-comments'><p>{PROSE}!</p></div></article></div>", f"<main><p>{PROSE}</p><section id=article-comments><p>{PROSE}!</p><p>{PROSE}!</p><p>{PROSE}!</p></section></main>", f"<div class=comments-main><div class=content><p>{PROSE}!</p></div></div><p>{PROSE}</p>"):
+        assert html_extract.main_text(page) == PROSE
+
+
 @pytest.mark.parametrize("unit", ["<a '", "<a x='>", "<a x='<>' ", "<div>", "<script>", "<textarea>", "<", "<!--", "&", "<p><b>", "<li>", "<svg>", "<div class=ad>"])
 def test_html_of_hostile_pages_is_linear(unit):
     import time
@@ -684,11 +707,11 @@ def flagged(text, spans):
     return out
 
 
-def line_ranges(text):
+def line_ranges(text, floor=None):
     at = 0
     for line in (text or "").split("\n"):
         words = low_words(line)
-        if len(words) >= line_dedup.LINE_WORDS:
+        if len(words) >= (floor or line_dedup.LINE_WORDS):
             yield at, at + len(words), tuple(words)
         at += len(words)
 
@@ -778,6 +801,27 @@ def test_repeated_lines_exactly(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("floor", [1, 10])
+def test_line_floor(spark, floor):
+    """With a floor of 1 every repeated line goes, by a dict of all lines; with 10 the short ones stay."""
+    rng = np.random.default_rng(3)
+    pool = [" ".join("".join(rng.choice(list("abcdefg"), 5)) for _ in range(n)) for n in (1, 2, 3, 5, 9, 10, 14) for _ in range(4)]
+    rows = [(k, "\n".join([pool[int(rng.integers(0, len(pool)))] for _ in range(6)] + ["", "  "]), "s") for k in range(50)]
+    seen, want = set(), {}
+    for k, text, _ in rows:
+        kept = []
+        for line in text.split("\n"):
+            key = tuple(low_words(line))
+            if len(key) < floor or key not in seen:
+                kept.append(line)
+            if len(key) >= floor:
+                seen.add(key)
+        want[k] = low_words(" ".join(kept))
+    got = {r.doc_id: low_words(r.text) for r in line_dedup.remove_repeats(table(spark, rows).repartition(5), line_words=floor).collect()}
+    # Runs of 25 words that recur across lines go as passages; here no two texts share one beyond their lines.
+    assert got == want if floor == 1 else all(len(got[k]) <= len(want[k]) for k in want)
+
+
 def test_repeats_with_odd_ids(spark):
     a, b = (" ".join(f"{c}{k}" for k in range(40)) for c in "ab")
     rows = [(1, a, "s"), (1, b, "s"), (1, b, "s"), (2, f"x {b} y", "s"), (None, a, "s"), (None, a, "s"), (None, f"{a}\nown", "s"), (None, None, "s"), (3, None, "s")]
