@@ -1,9 +1,11 @@
-"""Scopes, re-exports, resolution of names to symbols, orders and shortest paths."""
+"""Scopes, re-exports, resolution of names to symbols, orders and shortest paths, certificates, bucketed tables."""
 
 from pyspark.sql import functions as F
 
 from ..graph import Graph
-from ..operators import edges, re_exports, scopes, structure, traversal
+from ..operators import certificates, edges, re_exports, scopes, structure, traversal
+from ..scratch import Scratch
+from ..sources.buckets import BucketTable
 from ..sources.derived import order_graph, part_graph, table
 from . import ALL_EDGES, EDGES, query
 from .graphs import OUTGOING, START, _reach, start
@@ -215,3 +217,36 @@ def paths_to_target(spark, d):
     target = traversal.bfs(g, first, max_depth=2).where("depth = 2").agg(F.min("node")).first()[0]
     found = traversal.simple_paths(g, first, [target], 3)
     return found.select(F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"), "depth")
+
+
+# A search whose result was damaged: some depths are one too large, some nodes are gone.
+@query(
+    "walk_certificate",
+    f"""WITH RECURSIVE {FAR}, p AS (SELECT f.node, f.depth, (SELECT min(e.src) FROM edges e JOIN far g ON g.node = e.src WHERE e.dst = f.node AND g.depth = f.depth - 1) AS parent FROM far f),
+    r AS (SELECT node, depth + (node % 50 = 0 AND depth > 0)::INT AS depth, parent FROM p WHERE node % 77 <> 0 OR depth = 0), k AS (SELECT DISTINCT src, dst FROM edges)
+    SELECT 'DEPTH' AS code, r.node, r.parent AS other FROM r JOIN r a ON a.node = r.parent WHERE r.depth <> a.depth + 1 UNION ALL SELECT 'PARENT', r.node, r.parent FROM r WHERE r.depth > 0 AND r.parent NOT IN (SELECT node FROM r)
+    UNION ALL SELECT 'SHORTCUT', a.node, b.node FROM k JOIN r a ON a.node = src JOIN r b ON b.node = dst WHERE b.depth > a.depth + 1 UNION ALL SELECT 'MISSED', a.node, dst FROM k JOIN r a ON a.node = src WHERE a.depth < 5 AND dst NOT IN (SELECT node FROM r)
+    UNION ALL SELECT 'DEEP', node, NULL FROM r WHERE depth > 5""",
+)
+def walk_certificate(spark, d):
+    g = order_graph(spark, d)
+    first = start(g)
+    found = traversal.bfs(g, first, max_depth=5)
+    late = (C("node") % 50 == 0) & (C("depth") > 0)
+    damaged = found.where("node % 77 <> 0 or depth = 0").select("node", (C("depth") + late.cast("int")).alias("depth"), "parent")
+    return certificates.walk_certificate(g.directed(), damaged, first, 5)
+
+
+@query(
+    "bucketed_upsert",
+    """SELECT c_custkey, c_nationkey, CASE WHEN c_custkey % 10 = 0 THEN 0.0 ELSE c_acctbal END AS c_acctbal FROM customer WHERE c_custkey % 13 > 0
+    UNION ALL SELECT c_custkey + 1000000, c_nationkey, c_acctbal FROM customer WHERE c_custkey % 50 = 0""",
+)
+def bucketed_upsert(spark, d):
+    c = table(spark, d, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
+    held = BucketTable(spark, f"{Scratch(spark, 'buckets').root}/customers", ["c_custkey"], 16)
+    held.upsert(c)
+    held.upsert(c.where("c_custkey % 10 = 0").withColumn("c_acctbal", F.lit(0).cast(c.schema["c_acctbal"].dataType)))
+    held.upsert(c.where("c_custkey % 50 = 0").withColumn("c_custkey", C("c_custkey") + 1000000))
+    held.delete(c.where("c_custkey % 13 = 0"))
+    return held.read()

@@ -146,9 +146,8 @@ def resolve_types(rows: DataFrame, symbols: DataFrame, repository: str | None =
 
 
 def _sortable(df: DataFrame, columns: list[str]) -> Column:
-    """The columns as one value that can be compared; as JSON where one of them holds a map."""
-    packed = F.struct(*columns)
-    return F.to_json(packed) if any("map<" in df.schema[c].dataType.simpleString() for c in columns) else packed
+    """The columns as one value that can be compared; those that hold maps as JSON."""
+    return F.struct(*((F.to_json(c) if "map<" in df.schema[c].dataType.simpleString() else F.col(c)).alias(c) for c in columns))
 
 
 def merge_edges(*edges: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.incremental import upsert
+from ..sources.buckets import BucketTable
 
 
 def windowed_weights(edges: DataFrame, late: str = "10 minutes", window: str = "1 hour") -> DataFrame:
@@ -14,18 +14,13 @@ def windowed_weights(edges: DataFrame, late: str = "10 minutes", window: str = "
     return counted.select(F.col("w.start").alias("window_start"), "src", "dst", "weight")
 
 
-def upsert_sink(root: str, keys: list[str]):
-    """For ``writeStream.foreachBatch``: each batch makes the next version of a table from the one before it.
+def upsert_sink(root: str, keys: list[str], buckets: int = 64):
+    """For ``writeStream.foreachBatch``: each batch is upserted into a bucket table, of which it rewrites the buckets it touches.
 
-    A version is a folder named by the batch, so that a batch that is run again writes the same version.
+    A batch that is run again changes nothing. Read the table with ``BucketTable(spark, root, keys).read()``.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        if batch_id > 0:
-            batch = upsert(spark.read.parquet(f"{root}/v{batch_id - 1}"), batch, keys)
-        else:
-            batch = upsert(batch.limit(0), batch, keys)
-        batch.write.mode("overwrite").parquet(f"{root}/v{batch_id}")
+        BucketTable(batch.sparkSession, root, keys, buckets).upsert(batch, batch_id)
 
     return run

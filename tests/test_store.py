@@ -2,8 +2,11 @@
 
 import datetime
 
+import pytest
+
 from graphloom.graph import Graph
 from graphloom.sources.store import SnapshotStore, from_payload, read_json_graph, scan_files
+from graphloom.sources.buckets import BucketTable, Conflict
 from graphloom.streaming.edges import upsert_sink, windowed_weights
 
 
@@ -52,4 +55,44 @@ def test_streams(spark, tmp_path):
     q = stream.writeStream.foreachBatch(upsert_sink(f"{tmp_path}/out", ["src", "dst"])).option("checkpointLocation", f"{tmp_path}/cp").start()
     q.processAllAvailable()
     q.stop()
-    assert spark.read.parquet(f"{tmp_path}/out/v0").count() == 2
+    out = BucketTable(spark, f"file://{tmp_path}/out", ["src", "dst"])
+    assert out.read().count() == 2
+    upsert_sink(f"file://{tmp_path}/out", ["src", "dst"])(spark.createDataFrame([(t, "z", "z")], "ts timestamp, src string, dst string"), 0)  # the same batch again
+    assert out.read().count() == 2 and out.versions() == [0]
+
+
+def test_buckets(spark, tmp_path):
+    root = f"file://{tmp_path}/table"
+    table = BucketTable(spark, root, ["id"], 8)
+    kind = "id long, n int, attributes map<string,string>"
+    rows = [(k, k * 2, {"k": str(k)}) for k in range(200)]
+    assert table.upsert(spark.createDataFrame(rows, kind)) == 0 and len(table.manifest()["folders"]) == 8
+    before = table.manifest()["folders"]
+    # a batch of one key rewrites one bucket
+    assert table.upsert(spark.createDataFrame([(7, -1, None), (7, -2, None)], kind)) == 1
+    after = table.manifest()["folders"]
+    assert sum(before[b] != after[b] for b in before) == 1
+    assert {r.id: r.n for r in table.read().collect()} == {k: -1 if k == 7 else k * 2 for k in range(200)}
+    assert {r.id: r.attributes for r in table.read(0).collect()}[7] == {"k": "7"}  # an older version stays readable
+    # other types of keys, new columns, null keys, nothing at all
+    assert table.upsert(spark.createDataFrame([(8, "x"), (None, "y"), (500, "z")], "id int, more string")) == 2
+    got = {r.id: (r.n, r.more) for r in table.read().collect()}
+    assert got[8] == (None, "x") and got[500] == (None, "z") and got[9] == (18, None) and len(got) == 201
+    assert table.upsert(spark.createDataFrame([], kind)) == 3 and table.read().count() == 201
+    found = table.find(spark.createDataFrame([(3,), (500,), (999,)], "id int"))
+    assert sorted(r.id for r in found.collect()) == [3, 500]
+    assert len(found.inputFiles()) < len(table.read().inputFiles())
+    table.delete(spark.createDataFrame([(3,), (500,)], "id long"))
+    assert table.read().count() == 199 and table.find(spark.createDataFrame([(3,)], "id long")).count() == 0
+    again = BucketTable(spark, root, ["id"], 999)
+    assert again.buckets == 8 and again.read().count() == 199
+    with pytest.raises(ValueError):
+        BucketTable(spark, root, ["n"])
+    held = table.manifest()
+    with pytest.raises(Conflict):  # two writers on one version
+        table._commit({**held, "token": "other"})
+    assert table.manifest() == held
+    assert table.vacuum(1) > 0 and table.read().count() == 199 and table.versions() == [held["version"]]
+    assert BucketTable(spark, f"file://{tmp_path}/none", ["id"]).versions() == []
+    with pytest.raises(ValueError):
+        BucketTable(spark, f"file://{tmp_path}/none", ["id"]).read()
