@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..graph import Graph
-from ..operators import certificates, edges, re_exports, scopes, structure, traversal
+from ..operators import certificates, edges, extraction, re_exports, scopes, structure, traversal
 from ..scratch import Scratch
 from ..sources.buckets import BucketTable
 from ..sources.derived import order_graph, part_graph, table
@@ -250,3 +250,35 @@ def bucketed_upsert(spark, d):
     held.upsert(c.where("c_custkey % 50 = 0").withColumn("c_custkey", C("c_custkey") + 1000000))
     held.delete(c.where("c_custkey % 13 = 0"))
     return held.read()
+
+
+# Parts as parsed records of forty files: functions, classes, methods and interfaces that name each other.
+RECORDS = """r AS (SELECT p_partkey AS k, 'src/m' || (p_partkey % 40) || '.py' AS file, CASE p_partkey % 5 WHEN 1 THEN 'K' || (p_partkey % 60) WHEN 2 THEN 'K' || ((p_partkey - 1) % 60) || '.run' ELSE 'f' || (p_partkey % 150) END AS name,
+ ['function','class','method','api_route','variable'][p_partkey % 5 + 1] AS kind, ['redis.get(1)', 'requests.get(u)', 'add(CORSMiddleware)', 'SELECT a FROM logs WHERE 1', 'update t set x; delete from old', 'select(user) db.add(user)', NULL][p_partkey % 7 + 1] AS code FROM part),
+ n AS (SELECT *, file || ':' || name || '.' || k AS id, CASE WHEN kind = 'method' THEN 'run' ELSE name END AS short, 'f' || (k * 7 % 150) AS called, 'K' || (k * 3 % 80) AS base, CASE k % 4 WHEN 0 THEN 'verify_token' WHEN 1 THEN 'f' || (k % 200) ELSE 'make' || (k % 9) END AS dep, 'src.m' || (k % 50) || '.Thing' AS imp FROM r),
+ firsts AS (SELECT short, min(id) AS id FROM n GROUP BY 1), home AS (SELECT file, min(id) AS id FROM n GROUP BY 1)"""
+
+
+@query(
+    "typed_edges",
+    f"""WITH {RECORDS} SELECT DISTINCT * FROM (SELECT a.id AS src, b.id AS dst, CASE a.kind WHEN 'api_route' THEN 'api_calls' ELSE 'calls' END AS type FROM n a JOIN n b ON b.short = a.called WHERE a.id <> b.id
+    UNION ALL SELECT n.id, home.id, 'imports' FROM n JOIN home ON home.file = 'src/m' || (k % 50) || '.py' UNION ALL SELECT file || ':' || split_part(name, '.', 1), id, 'class_contains' FROM n WHERE kind = 'method'
+    UNION ALL SELECT a.id, coalesce(b.id, '_ext_' || a.base), 'inherits' FROM n a LEFT JOIN n b ON b.short = a.base WHERE a.kind = 'class'
+    UNION ALL SELECT n.id, coalesce(f.id, CASE WHEN dep = 'verify_token' THEN '_auth_' ELSE '_di_' END || dep), CASE WHEN dep = 'verify_token' THEN 'auth_dependency' ELSE 'dependency_injection' END FROM n LEFT JOIN firsts f ON f.short = dep
+    UNION ALL SELECT id, '__svc__Redis', 'uses_service' FROM n WHERE k % 7 = 0 UNION ALL SELECT id, '__api__External HTTP', 'external_api' FROM n WHERE k % 7 = 1 UNION ALL SELECT id, '__mw__CORSMiddleware', 'middleware_dependency' FROM n WHERE k % 7 = 2
+    UNION ALL SELECT id, '__table__logs', 'reads_table' FROM n WHERE k % 7 = 3 UNION ALL SELECT id, '__table__t', 'updates_table' FROM n WHERE k % 7 = 4 UNION ALL SELECT id, '__table__old', 'deletes_table' FROM n WHERE k % 7 = 4
+    UNION ALL SELECT id, '__table__users', unnest(['reads_table', 'writes_table']) FROM n WHERE k % 7 = 5 UNION ALL SELECT file, id, 'contains' FROM n WHERE kind <> 'variable')""",
+)
+def typed_edges(spark, d):
+    k = C("p_partkey")
+    say = lambda lead, x: F.concat(F.lit(lead), x.cast("string"))
+    pick = lambda values, by: F.element_at(F.array(*(F.lit(v).cast("string") for v in values)), (by + 1).cast("int"))
+    name = F.when(k % 5 == 1, say("K", k % 60)).when(k % 5 == 2, F.concat(say("K", (k - 1) % 60), F.lit(".run"))).otherwise(say("f", k % 150))
+    dep = F.when(k % 4 == 0, "verify_token").when(k % 4 == 1, say("f", k % 200)).otherwise(say("make", k % 9))
+    code = pick(["redis.get(1)", "requests.get(u)", "add(CORSMiddleware)", "SELECT a FROM logs WHERE 1", "update t set x; delete from old", "select(user) db.add(user)", None], k % 7)
+    file = F.concat(say("src/m", k % 40), F.lit(".py"))
+    p = table(spark, d, "part").select(
+        F.concat(file, F.lit(":"), name, F.lit("."), s("p_partkey")).alias("id"), name.alias("name"), pick(["function", "class", "method", "api_route", "variable"], k % 5).alias("node_type"), file.alias("file"),
+        F.array(say("f", k * 7 % 150), F.lit("get")).alias("calls"), F.array(F.concat(say("src.m", k % 50), F.lit(".Thing"))).alias("imports"), F.array(say("K", k * 3 % 80)).alias("bases"), F.array(dep).alias("depends_on"), code.alias("code"),
+    )
+    return extraction.typed_edges(p, p.select("file"))
