@@ -3,11 +3,11 @@
 from pyspark.sql import functions as F
 
 from ..graph import Graph
-from ..operators import certificates, edges, extraction, re_exports, scopes, structure, traversal
+from ..operators import call_rules, certificates, edges, extraction, flows, re_exports, scopes, structure, traversal
 from ..scratch import Scratch
 from ..sources.buckets import BucketTable
-from ..sources.derived import order_graph, part_graph, table
-from . import ALL_EDGES, EDGES, query
+from ..sources.derived import order_graph, part_graph, part_nodes, table
+from . import ALL_EDGES, EDGES, GRAPH, NODES, query
 from .graphs import OUTGOING, START, _reach, start
 
 C = F.col
@@ -282,3 +282,42 @@ def typed_edges(spark, d):
         F.array(say("f", k * 7 % 150), F.lit("get")).alias("calls"), F.array(F.concat(say("src.m", k % 50), F.lit(".Thing"))).alias("imports"), F.array(say("K", k * 3 % 80)).alias("bases"), F.array(dep).alias("depends_on"), code.alias("code"),
     )
     return extraction.typed_edges(p, p.select("file"))
+
+
+# The part graph with some nodes, names, files and weights spoilt, and adjacency lists that lack some edges.
+@query(
+    "call_graph_rules",
+    f"""WITH {ALL_EDGES}, {NODES}, n AS (SELECT id, CASE WHEN id % 31 = 0 THEN '' ELSE name END AS name, qualified_name, node_type, CASE WHEN id % 17 = 0 THEN NULL ELSE file END AS file, id % 34 = 0 AS is_external FROM nodes WHERE id % 200 <> 0),
+    e AS (SELECT src, dst, (src + dst) % 5 AS weight FROM edges), f AS (SELECT src AS k, dst AS v FROM e WHERE src % 100 <> 0), b AS (SELECT dst AS k, src AS v FROM e WHERE dst % 90 <> 0)
+    SELECT code, count(*) AS n FROM (SELECT 'EMPTY_NODE_NAME' AS code FROM n WHERE name = '' UNION ALL SELECT 'MISSING_FILE_PATH' FROM n WHERE file IS NULL AND NOT is_external UNION ALL SELECT 'CALLER_DOES_NOT_EXIST' FROM e WHERE src NOT IN (SELECT id FROM n)
+    UNION ALL SELECT 'CALLEE_DOES_NOT_EXIST' FROM e WHERE dst NOT IN (SELECT id FROM n) UNION ALL SELECT 'INVALID_EDGE_WEIGHT' FROM e WHERE weight < 1 UNION ALL SELECT 'NODE_COUNT_MISMATCH' FROM (SELECT count(*) AS c FROM n) WHERE c <> 1
+    UNION ALL SELECT 'DANGLING_ADJACENCY_CALLER' FROM (SELECT DISTINCT k FROM f WHERE k NOT IN (SELECT id FROM n))
+    UNION ALL SELECT 'DANGLING_ADJACENCY_CALLEE' FROM f WHERE v NOT IN (SELECT id FROM n) UNION ALL SELECT 'ADJACENCY_MISMATCH' FROM e WHERE src % 100 = 0 UNION ALL SELECT 'ASYMMETRIC_ADJACENCY' FROM f WHERE v % 90 = 0) GROUP BY 1""",
+)
+def call_graph_rules(spark, d):
+    g = order_graph(spark, d)
+    n = part_nodes(spark, d).where("id % 200 <> 0").withColumns({"name": F.when(C("id") % 31 == 0, "").otherwise(C("name")), "file": F.when(C("id") % 17 != 0, C("file")), "is_external": C("id") % 34 == 0})
+    e = g.edges.select("src", "dst", ((C("src") + C("dst")) % 5).alias("weight"))
+    forward = e.where("src % 100 <> 0").select(C("src").alias("key"), C("dst").alias("value"))
+    backward = e.where("dst % 90 <> 0").select(C("dst").alias("key"), C("src").alias("value"))
+    found = call_rules.call_graph_violations(n, e, forward=forward, backward=backward, counts={"node_count": 1})
+    return found.groupBy("code").agg(F.count("*").alias("n"))
+
+
+@query(
+    "typed_evidence",
+    f"""WITH RECURSIVE {GRAPH}, {_reach(OUTGOING, 8)}, near AS (SELECT DISTINCT node FROM walk), one AS (SELECT name AS first FROM nodes WHERE id = {START}), w AS (SELECT DISTINCT package AS workflow, file AS service, size / 100 AS sure FROM nodes WHERE id IN (FROM near) AND size % 10 = 0),
+    j AS (SELECT DISTINCT 'journey ' || (size % 6) AS journey FROM nodes WHERE package IN (SELECT workflow FROM w)), a AS (SELECT name FROM nodes WHERE node_type = 'api_route' AND id IN (FROM near) ORDER BY id LIMIT 12)
+    SELECT chain_type, summary, max(round(sure * 100, 1)) AS confidence FROM (SELECT 'service' AS chain_type, first || ' → ' || workflow || ' → ' || service AS summary, sure FROM w, one
+    UNION ALL SELECT 'journey', first || ' → ' || (SELECT string_agg(journey, ' → ' ORDER BY journey) FROM j) || ' → ' || journey, 1.0 FROM j, one UNION ALL SELECT 'api_route', first || ' → ' || name, 0.75 FROM a, one) GROUP BY 1, 2""",
+)
+def typed_evidence(spark, d):
+    g = part_graph(spark, d)
+    first = start(g)
+    near = traversal.bfs(g, first, max_depth=8).select("node")
+    inside = g.nodes.join(near.select(C("node").alias("id")), "id", "left_semi")
+    workflows = inside.where("size % 10 = 0").select(C("package").alias("workflow"), C("file").alias("service"), (C("size") / 100).alias("confidence"))
+    journeys = g.nodes.select(F.concat(F.lit("journey "), (C("size") % 6).cast("string")).alias("journey"), C("package").alias("workflow")).distinct()
+    found = flows.evidence_chains(g, first, near, workflows, journeys)
+    # The path to the nearest interface depends on which of several shortest ones is taken; tests cover it.
+    return found.where(C("confidence_percent") != 85.0).select("chain_type", "summary", C("confidence_percent").alias("confidence"))

@@ -97,6 +97,51 @@ def evidence(graph: Graph, target, max_depth: int = 5) -> DataFrame:
     return out.select("node", "depth", F.array_join("chain", " > ").alias("chain"), kind.alias("kind"))
 
 
+#: Most interfaces that chains are made for, and the confidence of such a chain, of a path to the nearest one and of a journey.
+MOST_APIS, API_SURE, PATH_SURE, JOURNEY_SURE = 12, 0.75, 0.85, 1.0
+
+
+def evidence_chains(graph: Graph, source, impacted: DataFrame, workflows: DataFrame, journeys: DataFrame, direction: str = OUTGOING) -> DataFrame:
+    """(chain_type, target, summary, confidence_percent, steps) of why a change of ``source`` matters.
+
+    ``impacted(node)`` are nodes within reach; ``workflows(workflow, service, confidence)`` the workflows hit; ``journeys(journey,
+    workflow)`` all journeys. Chains: from the source by each workflow to its service; by all journeys hit to each of them; to
+    each of the first twelve impacted interfaces by id (by route, else by name); and the path to the nearest of all of these.
+    Steps are arrays of (label, step_type). Of chains with one type and summary the surest stays.
+    """
+    spark = graph.edges.sparkSession
+    names = graph.nodes.select("id", "name")
+    label = F.coalesce(F.col("route_path"), F.col("name")) if "route_path" in graph.nodes.columns else F.col("name")
+    first = names.where(F.col("id") == F.lit(source)).agg(F.first("name").alias("name")).first().name
+    step = lambda value, kind: F.struct(value.alias("label"), F.lit(kind).alias("step_type"))
+    begin = F.array(step(F.lit(first), "node")) if first is not None else F.array().cast("array<struct<label:string,step_type:string>>")
+
+    def chains(df: DataFrame, kind: str, steps, target, sure) -> DataFrame:
+        way = F.concat(begin, steps, F.array(step(target, kind)))
+        return df.select(F.lit(kind).alias("chain_type"), target.alias("target"), way.alias("steps"), F.round(sure * 100, 1).alias("confidence_percent"))
+
+    nothing = F.array().cast("array<struct<label:string,step_type:string>>")
+    hit = workflows.where("workflow is not null")
+    out = chains(hit, "service", F.array(step(F.col("workflow"), "workflow")), F.col("service"), F.coalesce("confidence", F.lit(0.0)))
+    struck = journeys.join(hit.select("workflow").distinct(), "workflow", "left_semi").select("journey").distinct()
+    # Journeys are described by hand: a few rows, gathered into one.
+    every = struck.agg(F.sort_array(F.collect_list("journey")).alias("_all"))
+    both = struck.join(F.broadcast(every))
+    out = out.union(chains(both, "journey", F.transform("_all", lambda j: F.struct(j.alias("label"), F.lit("journey").alias("step_type"))), F.col("journey"), F.lit(JOURNEY_SURE)))
+    apis = graph.nodes.where("node_type = 'api_route'").join(impacted.select(F.col("node").alias("id")).distinct(), "id", "left_semi")
+    out = out.union(chains(apis.orderBy("id").limit(MOST_APIS), "api_route", nothing, label, F.lit(API_SURE)))
+    path = traversal.nearest_target(graph, source, apis.select(F.col("id").alias("node")), direction)
+    if path:
+        kind = graph.nodes.schema["id"].dataType.simpleString()
+        placed = spark.createDataFrame([(n, k) for k, n in enumerate(path)], f"id {kind}, place int").join(names, "id", "left")
+        said = placed.agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "name"))), lambda x: x["name"]).alias("_names"))  # a path of a few steps
+        inner = F.transform(F.slice("_names", F.lit(1), F.size("_names") - 1), lambda n: F.struct(n.alias("label"), F.lit("node").alias("step_type")))
+        out = out.union(chains(said, "api_route", inner, F.element_at("_names", -1), F.lit(PATH_SURE)))
+    told = out.withColumn("summary", F.array_join(F.transform("steps", lambda x: x["label"]), " → "))
+    best = told.groupBy("chain_type", "summary").agg(F.max(F.struct("confidence_percent", "target", "steps")).alias("b"))
+    return best.select("chain_type", "b.target", "summary", "b.confidence_percent", "b.steps")
+
+
 def outbound(graph: Graph, visited: DataFrame, types: list[str]) -> DataFrame:
     """(name, type) that visited(node) nodes lead to by the given edge types, distinct by name."""
     names = graph.nodes.select(F.col("id").alias("dst"), "name")

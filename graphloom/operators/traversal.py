@@ -175,10 +175,13 @@ def shortest_path(graph: Graph, start, target, direction: str = OUTGOING, max_de
     scratch = Scratch(graph.edges.sparkSession, "path")
     found = scratch.save(bfs(graph, start, direction, max_depth, target=target), "found")
     end = found.where(F.col("node") == F.lit(target)).select("node", "depth").first()
-    if end is None:
-        return []
-    hops, way, reach = found.where("parent is not null").select("node", F.col("parent").alias("to")), found.where(F.col("node") == F.lit(target)).select("node"), 1
-    while reach <= end.depth:
+    return [] if end is None else _trace(found, target, end.depth, scratch)
+
+
+def _trace(found: DataFrame, end, depth: int, scratch: Scratch) -> list:
+    """Nodes from depth 0 to ``end``, by the parents in ``found(node, depth, parent)``."""
+    hops, way, reach = found.where("parent is not null").select("node", F.col("parent").alias("to")), found.where(F.col("node") == F.lit(end)).select("node"), 1
+    while reach <= depth:
         way = scratch.save(way.union(way.join(hops, "node").select(F.col("to").alias("node"))), f"way-{reach}")
         further = hops.select(F.col("node").alias("to"), F.col("to").alias("far"))
         hops = scratch.save(hops.join(further, "to").select("node", F.col("far").alias("to")), f"hops-{reach}")
@@ -186,6 +189,24 @@ def shortest_path(graph: Graph, start, target, direction: str = OUTGOING, max_de
     return [r.node for r in found.join(way, "node", "left_semi").orderBy("depth").select("node").collect()]
 
 
+def nearest_target(graph: Graph, start, targets: DataFrame, direction: str = OUTGOING, types: list[str] | None = None, max_depth: int | None = None) -> list:
+    """Nodes of a shortest path from ``start`` to the nearest of ``targets(node)``, however many these are; empty if there is none.
+
+    One search from all targets at once, against the direction, that ends with the level on which it meets the start.
+    """
+    spark = graph.edges.sparkSession
+    scratch = Scratch(spark, "nearest")
+    kind = graph.edges.schema["src"].dataType
+    starts = targets.where("node is not null").select(F.lit(0).alias("source"), F.col("node").cast(kind).alias("node")).distinct()
+    steps = graph.directed(_opposite(direction), types)
+    at_once = starts.where(F.col("node") == F.lit(start)).isEmpty()
+    if not at_once:
+        return [start]
+    found = scratch.save(walk(steps, starts, max_depth, until=F.col("node") == F.lit(start)).drop("source"), "found")
+    met = found.where(F.col("node") == F.lit(start)).first()
+    return [] if met is None else _trace(found, start, met.depth, scratch)[::-1]
+
+
 def bidirectional(graph: Graph, start, target, max_depth: int | None = None) -> DataFrame:
     """(meeting, length) of a shortest path; empty if there is none.
 

@@ -415,3 +415,49 @@ def test_cycles_against_pairs(spark):
             reach = more
         found = structure.cycle_nodes(spark.createDataFrame(sorted(links), "src string, dst string").repartition(3))
         assert sorted(r.node for r in found.collect()) == sorted({a for a, b in reach if a == b})
+
+
+def test_call_graph_rules(spark):
+    from graphloom.operators.call_rules import call_graph_violations, index_differences, unequal_keys
+
+    nodes = spark.createDataFrame([("a", "a", "m.a", "function", "f.py", False), ("b", "", None, None, None, True), ("c", "c", "m.c", "class", None, False), (None, "lost", "x", "class", "f", False)], "id string, name string, qualified_name string, node_type string, file string, is_external boolean")
+    e = spark.createDataFrame([("a", "b", 1), ("a", "gone", 1), ("ghost", "a", 0), ("c", "c", 2), (None, "a", 1), ("a", "", 1)], "src string, dst string, weight int")
+    pair = lambda rows: spark.createDataFrame(rows, "key string, value string")
+    found = call_graph_violations(nodes, e, by_id=pair([("a", "a"), ("z", "z")]), by_name=pair([("m.q", "q")]), by_file=pair([("f.py", "a"), ("f.py", "y")]), forward=pair([("a", "b"), ("a", "gone"), ("ghost", "a"), ("c", "c"), ("a", "")]), backward=pair([("b", "a"), ("c", "c"), ("a", "ghost"), ("", "a")]), counts={"node_count": 4, "edge_count": 9}).collect()
+    got = sorted((r.code, r.target, r.other) for r in found)
+    assert sorted(got, key=str) == sorted(
+        [
+            ("MISSING_SYMBOL_ID", None, "lost"), ("EMPTY_NODE_NAME", "b", None), ("MISSING_FQN", "b", None), ("INVALID_NODE_TYPE", "b", None), ("MISSING_FILE_PATH", "c", None),
+            ("MISSING_CALLER_SYMBOL_ID", None, "a"), ("MISSING_CALLEE_SYMBOL_ID", "a", None), ("CALLER_DOES_NOT_EXIST", "ghost", "a"), ("CALLEE_DOES_NOT_EXIST", "a", "gone"), ("INVALID_EDGE_WEIGHT", "ghost", "a"), ("SELF_LOOP_RECURSION", "c", "c"),
+            ("INDEXED_NODE_MISSING", "z", "z"), ("INDEXED_FQN_MISSING", "m.q", "q"), ("INDEXED_FILE_NODE_MISSING", "f.py", "y"), ("EDGE_COUNT_MISMATCH", "9", "6"), ("INDEX_NODE_COUNT_MISMATCH", "2", "4"),
+            ("DANGLING_ADJACENCY_CALLER", "ghost", None), ("DANGLING_ADJACENCY_CALLEE", "a", "gone"), ("ASYMMETRIC_ADJACENCY", "a", "gone"),
+        ],
+        key=str,
+    )
+    one, two = pair([("k", "a"), ("k", "b"), ("k", "b"), ("l", "x"), ("m", None)]), pair([("k", "b"), ("k", "a"), ("k", "a"), ("l", "x"), ("n", "y"), ("m", None)])
+    assert {r.key for r in unequal_keys(one, two).collect()} == {"k", "n"} and unequal_keys(one, one).collect() == []
+    assert pairs(index_differences(one, two), "key", "value", "in_source", "in_index") == {("k", "a", 1, 2), ("k", "b", 2, 1), ("n", "y", 0, 1)}
+
+
+def test_evidence_chains(spark):
+    nodes = spark.createDataFrame([("s", "start", "function", None), ("m", "middle", "function", None), ("x", "far", "api_route", "/far"), ("y", "near", "api_route", None), ("z", "other", "api_route", "/other")], "id string, name string, node_type string, route_path string")
+    e = spark.createDataFrame([("s", "m", "CALLS"), ("m", "y", "CALLS"), ("y", "x", "CALLS")], "src string, dst string, type string")
+    g = Graph(nodes, e)
+    workflows = spark.createDataFrame([("login", "auth", 0.9), ("pay", "billing", None), (None, "q", 1.0), ("login", "auth", 0.4)], "workflow string, service string, confidence double")
+    journeys = spark.createDataFrame([("enter", "login"), ("enter", "pay"), ("buy", "pay"), ("leave", "none")], "journey string, workflow string")
+    impacted = traversal.bfs(g, "s").select("node")
+    found = flows.evidence_chains(g, "s", impacted, workflows, journeys).collect()
+    assert {(r.chain_type, r.target, r.summary, r.confidence_percent) for r in found} == {
+        ("service", "auth", "start → login → auth", 90.0),
+        ("service", "billing", "start → pay → billing", 0.0),
+        ("journey", "enter", "start → buy → enter → enter", 100.0),
+        ("journey", "buy", "start → buy → enter → buy", 100.0),
+        ("api_route", "/far", "start → /far", 75.0),
+        ("api_route", "near", "start → near", 75.0),
+        ("api_route", "near", "start → start → middle → near", 85.0),
+    }
+    assert next(r for r in found if r.confidence_percent == 90.0).steps[1].step_type == "workflow"
+    targets = lambda *ids: spark.createDataFrame([(i,) for i in ids], "node string")
+    assert traversal.nearest_target(g, "s", targets("x", "y", "z")) == ["s", "m", "y"]
+    assert traversal.nearest_target(g, "s", targets("z")) == [] and traversal.nearest_target(g, "s", targets("s", "x")) == ["s"]
+    assert traversal.nearest_target(g, "x", targets("s"), "INCOMING") == ["x", "y", "m", "s"]
