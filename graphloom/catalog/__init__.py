@@ -36,6 +36,6 @@ def query(name: str, sql: str | None = None):
 
 
 def load() -> tuple[dict, dict]:
-    from . import analytics, building, graphs, relational, reports, symbols  # noqa: F401
+    from . import analytics, building, graphs, lookups, relational, reports, symbols  # noqa: F401
 
     return QUERIES, ORACLES
