@@ -9,8 +9,11 @@ from ..operators import flows, indexes
 from ..plans import expressions as P
 from ..plans.query import Builder, Context
 from ..plans.verbs import GraphEngine
+from ..scratch import Scratch
+from ..sources.postings import TrigramIndex
 from ..sources.derived import order_graph, part_graph, part_nodes, table
 from . import ALL_EDGES, EDGES, GRAPH, NODES, WHOLE, query
+from .building import GRAMS
 from .graphs import OUTGOING, START, _reach, start
 
 C = F.col
@@ -131,3 +134,9 @@ def named_flow(spark, d):
     kind = F.element_at(F.create_map(*map(F.lit, ("CALLS", "calls", "USES", "uses_service", "INHERITS", "reads_table", "IMPORTS", "imports"))), C("type"))
     nodes, _ = flows.named_flow(Graph(g.nodes, g.edges.withColumn("type", kind)), start(g), "api_request")
     return nodes.select("node", "depth")
+
+
+@query("trigram_postings", f"WITH t AS (SELECT p_partkey AS id, {GRAMS.format('p_name')} AS a, {GRAMS.format(chr(39) + 'smal red ring' + chr(39))} AS b FROM part), s AS (SELECT id, len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) AS x FROM t) SELECT id, ROUND(x, 6) AS similarity FROM s WHERE x >= 0.3")
+def trigram_postings(spark, d):
+    index = TrigramIndex(spark, Scratch(spark, "postings").root, 16).build(part_nodes(spark, d))
+    return index.find("smal red ring", 0.3).select("id", F.round("similarity", 6).alias("similarity"))

@@ -20,7 +20,10 @@ def by_name(nodes: DataFrame, term: str, limit: int = 10) -> DataFrame:
     return found.withColumn("relevance", relevance(F.col("name"), F.col("file"), summary, term)).orderBy("relevance", "name", "id").limit(limit)
 
 
-def fuzzy(nodes: DataFrame, term: str, least: float = 0.2, column: str = "name") -> DataFrame:
+def fuzzy(nodes: DataFrame, term: str, least: float = 0.2, column: str = "name", index=None) -> DataFrame:
+    """Nodes whose text is alike by trigrams; with a ``TrigramIndex`` of them only its candidates are compared."""
+    if index is not None and (ids := index.candidates(term, least)) is not None:
+        nodes = nodes.join(ids, "id", "left_semi")
     return nodes.withColumn("similarity", similarity(F.col(column), F.lit(term))).where(F.col("similarity") >= least)
 
 
@@ -45,13 +48,13 @@ def nearest(rows: DataFrame, vector: Column, column: str = "embedding", least: f
     return found.where(F.col("cosine") > least).orderBy(F.desc("cosine"), rows.columns[0]).limit(limit)
 
 
-def resolve(graph: Graph, text: str, aliases: DataFrame | None = None, workflows: DataFrame | None = None, limit: int = 25) -> DataFrame:
+def resolve(graph: Graph, text: str, aliases: DataFrame | None = None, workflows: DataFrame | None = None, limit: int = 25, index=None) -> DataFrame:
     """(id, score, sources) of what a question may mean: points of several searches are added, 100 at most.
 
     Exact name 100; alias 25; a workflow of the node's alias or one that holds it 15; name 10; file 10; route 15;
     trigrams above 0.35 the best 20, 15 each; embedding above a cosine of 0.25 the best 15, up to 20 and at least 8; steps
     from the eight best of these 20. ``aliases(id, alias)``, ``workflows(id, workflow)``. ``sources`` are the names of the
-    searches that gave points. Nodes with a null name or file are found by what they have. A report of ``limit`` rows.
+    searches that gave points. ``index``: a ``TrigramIndex`` of the names. Nodes with a null name or file are found by what they have. A report of ``limit`` rows.
     """
     scratch = Scratch(graph.edges.sparkSession, "resolve")
     nodes = graph.nodes
@@ -59,7 +62,7 @@ def resolve(graph: Graph, text: str, aliases: DataFrame | None = None, workflows
     has = lambda c: F.coalesce(F.exists(words, lambda w: F.lower(c).contains(w)), F.lit(False))
     point = lambda df, n, source: df.select("id", F.lit(n).cast("double").alias("score"), F.lit(source).alias("source"))
     parts = [point(nodes.where(F.lower("name") == text.lower()), 100, "exact"), point(nodes.where(has(F.col("name"))), 10, "node"), point(nodes.where(has(F.col("file"))), 10, "file")]
-    alike = fuzzy(nodes.select("id", "name"), text.lower(), 0.35).where(F.round("similarity", 9) > 0.35)
+    alike = fuzzy(nodes.select("id", "name"), text.lower(), 0.35, index=index).where(F.round("similarity", 9) > 0.35)
     parts.append(point(alike.orderBy(F.desc(F.round("similarity", 9)), "id").limit(20), 15, "trigram"))
     if "route_path" in nodes.columns:
         parts.append(point(nodes.where(has(F.col("route_path"))), 15, "api"))

@@ -96,3 +96,24 @@ def test_buckets(spark, tmp_path):
     assert BucketTable(spark, f"file://{tmp_path}/none", ["id"]).versions() == []
     with pytest.raises(ValueError):
         BucketTable(spark, f"file://{tmp_path}/none", ["id"]).read()
+
+
+def test_trigram_index(spark, tmp_path):
+    import random
+
+    from graphloom.operators import search
+    from graphloom.sources.postings import TrigramIndex
+
+    rng = random.Random(6)
+    words = ["login", "logins", "handler", "session", "token", "tokens", "read", "reader", "a", "zz"]
+    rows = [(k, " ".join(rng.choice(words) for _ in range(rng.randrange(1, 5)))) for k in range(300)] + [(900, None), (901, ""), (902, "!!!")]
+    nodes = spark.createDataFrame(rows, "id long, name string")
+    index = TrigramIndex(spark, f"file://{tmp_path}/index", 4).build(nodes)
+    for term, least in (("login token", 0.3), ("session", 0.9), ("sesion handlr", 0.2), ("unknown", 0.1), ("reader reader", 1.0), ("a", 0.5)):
+        want = {r.id: r.similarity for r in search.fuzzy(nodes, term, least).collect()}
+        assert {r.id: r.similarity for r in index.find(term, least).collect()} == want
+        assert {r.id for r in search.fuzzy(nodes, term, least, index=index).collect()} == set(want)
+    assert index.candidates("login token", 0.6).count() < 300 and index.candidates("!!!", 0.5) is None
+    plan = index.candidates("session", 0.9)._jdf.queryExecution().toString()
+    pushed = plan[plan.rindex("PushedFilters") :]
+    assert "(gram" in pushed or "gram)" in pushed
