@@ -446,6 +446,67 @@ def test_classifier(spark):
     assert {round(r.score, 6) for r in nbsvm.score_quality(docs, nbsvm.fit_quality(docs, empty)).collect()} == {0.5}
 
 
+def dense_model(rows, labels, c=1.0, rounds=4000):
+    """The same model from a full matrix: smoothed log ratios of class counts, unit rows, and the dual by its Gram matrix."""
+    used = np.unique(np.concatenate(rows))
+    full = np.zeros((len(rows), len(used)))
+    for k, codes in enumerate(rows):
+        full[k, np.searchsorted(used, codes)] = 1
+    totals = [(full[labels == k].sum() + (1 << nbsvm.BUCKETS_LOG2)) for k in (0, 1)]
+    ratio = np.log((full[labels == 1].sum(0) + 1) / totals[1]) - np.log((full[labels == 0].sum(0) + 1) / totals[0])
+    scaled = full * ratio
+    norms = np.linalg.norm(scaled, axis=1)
+    scaled /= np.where(norms > 0, norms, 1)[:, None]
+    y = 2.0 * labels - 1
+    gram = (scaled @ scaled.T + 1) * np.outer(y, y)
+    most = np.where(labels == 1, len(labels) / (2 * (labels == 1).sum()), len(labels) / (2 * (labels == 0).sum())) * c
+    alpha, slope = np.zeros(len(rows)), -np.ones(len(rows))
+    for _ in range(rounds):
+        moved = 0.0
+        for k in range(len(rows)):
+            new = min(max(alpha[k] - slope[k] / gram[k, k], 0), most[k])
+            if new != alpha[k]:
+                slope += gram[:, k] * (new - alpha[k])
+                moved, alpha[k] = max(moved, abs(new - alpha[k])), new
+        if moved < 1e-10:
+            break
+    return (scaled @ scaled.T) @ (alpha * y) + (alpha * y).sum()
+
+
+def test_classifier_equals_a_dense_one(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    taken = docs.join(labels, "doc_id").orderBy("doc_id").limit(300).select("text", "quality").collect()
+    grams = nbsvm.Grams()
+    rows, y = [grams.of(r.text or "") for r in taken], np.array([r.quality for r in taken])
+    ratio = nbsvm.log_count_ratio(rows, y)
+    exact = dense_model(rows, y)
+    close = nbsvm.margins(rows, ratio, *nbsvm.dual_descent(rows, y, ratio, rounds=5000, tolerance=1e-9))
+    assert np.abs(close - exact).max() < 1e-3
+    # The tolerance of the query's fit leaves margins near the exact ones, and on the same side where they are clear.
+    fitted = nbsvm.margins(rows, ratio, *nbsvm.dual_descent(rows, y, ratio))
+    assert np.abs(fitted - exact).max() < 0.1 and (np.sign(fitted) == np.sign(exact))[np.abs(exact) > 0.1].all()
+
+
+def test_registered_queries_give_every_row(spark):
+    """Each query of this part that has no SQL, as it is registered, on the smallest tables."""
+    from graphloom.llm.queries import queries
+
+    n = spark.read.parquet(f"{SF}/documents.parquet").count()
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    plain = {i: library().encode(t, add_special_tokens=False).ids for i, t in texts.items()}
+    found = {name: queries()[name](spark, SF).collect() for name in ("op1_token_store", "op2_byte_bpe", "op4_token_counts", "op7_quality_classifier", "op10_substring_dedup")}
+    assert all(len(rows) == n and {r.doc_id for r in rows} == set(texts) for rows in found.values())
+    start = 0
+    for r in sorted(found["op1_token_store"], key=lambda r: r.doc_id):
+        ids = [*plain[r.doc_id], 2]
+        assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes()))
+        start += len(ids)
+    assert all(r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest() for r in found["op2_byte_bpe"])
+    assert all(r.n_tokens == len(plain[r.doc_id]) and r.n_bytes == len(texts[r.doc_id].encode()) and r.over_limit == (r.n_tokens > 512) for r in found["op4_token_counts"])
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in found["op7_quality_classifier"])
+    assert all(r.n_words - r.n_removed_words == len(low_words(r.text)) for r in found["op10_substring_dedup"])
+
+
 def test_classifier_sample_is_bounded(spark, monkeypatch):
     fitted = []
     monkeypatch.setattr(nbsvm.Model, "fit", classmethod(lambda cls, rows, labels: fitted.append((len(rows), sum(4 * len(r) for r in rows)))))
