@@ -58,10 +58,20 @@ def rebalance(partitions: DataFrame, high: float = 0.8, low: float = 0.4) -> Dat
 
 
 def evict(entries: DataFrame, need: int, now: float) -> DataFrame:
-    """(key) to remove from a cache: expired ones first, then by priority and last use until ``need`` bytes are free."""
+    """(key) to remove from a cache: expired ones first, then by priority and last use until ``need`` bytes are free.
+
+    Entries are dealt by ranges of that order; each range sums its own sizes behind the total of the ranges before it.
+    """
     from pyspark.sql import Window
 
+    from ..scratch import Scratch
+
     expired = F.col("last_access") + F.col("ttl") < F.lit(now)
-    order = Window.orderBy(F.when(expired, 0).otherwise(1), "priority", "last_access", "key")
-    before = F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return entries.select("key", expired.alias("e"), before.alias("b")).where(F.col("e") | (F.col("b") < F.lit(need))).select("key")
+    order = ["late", "priority", "last_access", "key"]
+    ranked = entries.select("key", "priority", "last_access", "size", F.when(expired, 0).otherwise(1).alias("late"))
+    held = Scratch(entries.sparkSession, "evict").save(ranked.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "dealt")
+    totals = held.groupBy("part").agg(F.sum("size").alias("total"))  # a row for each range
+    earlier = totals.select("part", F.coalesce(F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("earlier"))
+    here = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    before = held.withColumn("here", F.coalesce(F.sum("size").over(here), F.lit(0))).join(F.broadcast(earlier), "part")
+    return before.where((F.col("late") == 0) | (F.col("here") + F.col("earlier") < F.lit(need))).select("key")

@@ -81,11 +81,49 @@ class SnapshotStore:
 SKIPPED = ("node_modules", ".git", "__pycache__", "venv", ".venv", "dist", "build", ".next", "target", "vendor")
 
 
-def scan_files(spark: SparkSession, root: str, max_bytes: int = 500_000, skipped: tuple[str, ...] = SKIPPED) -> DataFrame:
-    """Files below a folder: path, size, extension, language, depth, line count, preview, hash; binaries have no text."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    pattern = "(^|/)(" + "|".join(s.replace(".", r"\.") for s in skipped) + ")/"
-    kept = files.where((F.col("length") <= max_bytes) & ~F.col("path").rlike(pattern))
+#: Top folders that a scan of a large tree goes into, and how many files make a tree large.
+SOURCE_FOLDERS = ("src", "app", "lib", "api", "services", "models", "server", "backend", "core", "internal", "pkg", "routes", "controllers", "handlers", "db", "database", "domain", "modules", "features", "components", "utils", "helpers", "middleware", "workers")
+LARGE_TREE = 3_000
+
+
+def list_folders(spark: SparkSession, root: str, skipped: tuple[str, ...] = SKIPPED, large: int = LARGE_TREE) -> tuple[list[str], list[str]]:
+    """The folders to scan below a root, itself included, and the top folders that are left out as the tree is large.
+
+    Level by level, one listing call for all folders of a level; folders named in ``skipped`` or beginning with a dot are
+    never entered. A tree with ``large`` files or more is scanned in SOURCE_FOLDERS only. Names go through the driver.
+    """
+    jvm = spark.sparkContext._jvm
+    top = jvm.org.apache.hadoop.fs.Path(root)
+    files = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    level, under, n = [(top, None)], {None: [top.toString()]}, {None: 0}
+    while level:
+        below = []
+        for folder, branch in level:
+            for status in files.listStatus(folder):
+                path = status.getPath()
+                if status.isDirectory():
+                    name = path.getName()
+                    if name in skipped or name.startswith("."):
+                        continue
+                    own = name if branch is None else branch
+                    below.append((path, own))
+                    under.setdefault(own, []).append(path.toString())
+                    n.setdefault(own, 0)
+                else:
+                    n[branch] += 1
+        level = below
+    left_out = [b for b in under if b is not None and b.lower() not in SOURCE_FOLDERS] if sum(n.values()) >= large else []
+    return [p for b, paths in under.items() if b not in left_out for p in paths], sorted(left_out)
+
+
+def scan_files(spark: SparkSession, root: str, max_bytes: int = 500_000, skipped: tuple[str, ...] = SKIPPED, large: int = LARGE_TREE) -> DataFrame:
+    """Files below a folder: path, size, extension, language, depth, line count, preview, hash; binaries have no text.
+
+    Folders as ``list_folders`` gives them; files are listed and read by tasks, those above ``max_bytes`` are not opened.
+    """
+    folders, _ = list_folders(spark, root, skipped, large)
+    files = spark.read.format("binaryFile").load(folders)
+    kept = files.where(F.col("length") <= max_bytes)
     path = F.substring_index("path", root.rstrip("/").removeprefix("file://") + "/", -1)
     binary = F.instr(F.decode(F.substring("content", 1, 1024), "ISO-8859-1"), "\x00") > 0
     text = F.when(~binary, F.decode("content", "UTF-8"))

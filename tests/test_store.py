@@ -5,7 +5,7 @@ import datetime
 import pytest
 
 from graphloom.graph import Graph
-from graphloom.sources.store import SnapshotStore, from_payload, read_json_graph, scan_files
+from graphloom.sources.store import SnapshotStore, from_payload, list_folders, read_json_graph, scan_files
 from graphloom.sources.buckets import BucketTable, Conflict
 from graphloom.streaming.edges import upsert_sink, windowed_weights
 
@@ -35,6 +35,23 @@ def test_scan(spark, tmp_path):
     assert got["src/b.bin"].preview is None
 
 
+def test_scan_prunes(spark, tmp_path):
+    for name in ("src/deep", "docs", ".hidden", "venv/lib", "App"):
+        (tmp_path / name).mkdir(parents=True)
+        for k in range(3):
+            (tmp_path / name / f"f{k}.py").write_text("x = 1\n")
+    (tmp_path / "top.py").write_text("y = 2\n")
+    (tmp_path / "venv" / "lib" / "f0.py").chmod(0)
+    root = f"file://{tmp_path}"
+    folders, left_out = list_folders(spark, root)
+    assert sorted(f.removeprefix("file:").removeprefix(str(tmp_path)) for f in folders) == ["", "/App", "/docs", "/src", "/src/deep"] and left_out == []
+    assert {r.path for r in scan_files(spark, root).collect()} == {"top.py", *(f"{d}/f{k}.py" for d in ("src/deep", "docs", "App") for k in range(3))}
+    folders, left_out = list_folders(spark, root, large=10)
+    assert left_out == ["docs"]
+    assert {r.path for r in scan_files(spark, root, large=10).collect()} == {"top.py", *(f"{d}/f{k}.py" for d in ("src/deep", "App") for k in range(3))}
+    assert list_folders(spark, root, large=11)[1] == []
+
+
 def test_payload(spark, tmp_path):
     g = from_payload(spark.createDataFrame([("1", "f", "function"), ("2", "g", None)], "id string, name string, kind string"), spark.createDataFrame([("1", "2", "call"), ("2", "1", "odd")], "source_id string, target_id string, kind string"))
     assert {(r.src, r.type) for r in g.edges.collect()} == {("1", "CALLS"), ("2", "USES")}
