@@ -37,6 +37,11 @@ def risk_level(fan_in: Column, blast: Column) -> Column:
     return F.when((fan_in >= 20) | (blast >= 50), "critical").when((fan_in >= 10) | (blast >= 20), "high").when((fan_in >= 3) | (blast >= 5), "medium").otherwise("low")
 
 
+def blast_or_fan_in(blast: Column, fan_in: Column) -> Column:
+    """The blast radius; where it has not been computed, the number of direct callers."""
+    return F.coalesce(blast, fan_in, F.lit(0))
+
+
 def band(score: Column) -> Column:
     """safe, low, medium, high, critical at 20, 40, 60, 80."""
     return F.when(score <= 20, "safe").when(score <= 40, "low").when(score <= 60, "medium").when(score <= 80, "high").otherwise("critical")

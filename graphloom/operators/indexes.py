@@ -129,6 +129,12 @@ def route_key(method: Column, path: Column) -> Column:
     return F.concat(F.upper(method), F.lit(":"), path)
 
 
+def routes(nodes: DataFrame, allow_duplicates: bool = False) -> DataFrame:
+    """(key, id) of interfaces by ``METHOD:path``; two of one key raise, or the last by id wins. Nodes without both are left out."""
+    keyed = nodes.where("http_method is not null and route_path is not null").withColumn("_route", route_key(F.col("http_method"), F.col("route_path")))
+    return unique_lookup(keyed, "_route", allow_duplicates)
+
+
 def referrers(edges: DataFrame) -> DataFrame:
     """(definition, n_referrers) over reference, call and use edges."""
     return edges.where(F.col("type").isin(*REFERENCES)).groupBy(F.col("dst").alias("definition")).agg(F.countDistinct("src").alias("n_referrers"))

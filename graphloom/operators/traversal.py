@@ -378,6 +378,20 @@ def both_ways(graph: Graph, start, max_depth: int = 5, types: list[str] | None =
     return best.select("node", F.col("b.depth").alias("depth"), F.when(F.col("b.rank") == 0, "downstream").otherwise("upstream").alias("direction"))
 
 
+def with_edge_types(graph: Graph, found: DataFrame, direction: str = OUTGOING, types: list[str] | None = None) -> DataFrame:
+    """``found(node, parent, ...)`` with ``edge_type``: of the step from the parent that comes first by ordinal, then by type; null at a start."""
+    steps = graph.directed(direction, types).groupBy(F.col("at").alias("parent"), F.col("to").alias("node")).agg(F.min(F.struct("ordinal", "type"))["type"].alias("edge_type"))
+    return found.join(steps, ["parent", "node"], "left").select(*found.columns, "edge_type")
+
+
+def counted(rows: DataFrame, name: str = "traversal"):
+    """The rows as they are, and an observation whose ``get["n"]`` is their number once an action has passed them on."""
+    from pyspark.sql import Observation
+
+    seen = Observation(name)
+    return rows.observe(seen, F.count("*").alias("n")), seen
+
+
 def reverse_pairs(edges: DataFrame, max_depth: int = 8) -> DataFrame:
     """(target, affected) for all nodes: who reaches whom in up to ``max_depth`` steps.
 

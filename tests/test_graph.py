@@ -461,3 +461,20 @@ def test_evidence_chains(spark):
     assert traversal.nearest_target(g, "s", targets("x", "y", "z")) == ["s", "m", "y"]
     assert traversal.nearest_target(g, "s", targets("z")) == [] and traversal.nearest_target(g, "s", targets("s", "x")) == ["s"]
     assert traversal.nearest_target(g, "x", targets("s"), "INCOMING") == ["x", "y", "m", "s"]
+
+
+def test_small_steps(spark, cyclic):
+    found = traversal.with_edge_types(cyclic, traversal.bfs(cyclic, "A"))
+    assert pairs(found, "node", "edge_type") == {("A", None), ("B", "CALLS"), ("E", "IMPORTS"), ("C", "CALLS"), ("F", "IMPORTS"), ("D", "CALLS")}
+    rows, seen = traversal.counted(found)
+    assert len(rows.collect()) == seen.get["n"] == 6
+    nodes = spark.createDataFrame([("a", "get", "/x"), ("b", "POST", "/x"), ("c", None, "/y")], "id string, http_method string, route_path string")
+    assert pairs(indexes.routes(nodes), "key", "id") == {("GET:/x", "a"), ("POST:/x", "b")}
+    twice = nodes.union(spark.createDataFrame([("d", "GET", "/x")], nodes.schema))
+    with pytest.raises(ValueError):
+        indexes.routes(twice)
+    assert ("GET:/x", "d") in pairs(indexes.routes(twice, True), "key", "id")
+    from graphloom.functions.scores import blast_or_fan_in
+
+    kept = spark.createDataFrame([(1, 5), (None, 3), (None, None)], "b int, f int").select(blast_or_fan_in(F.col("b"), F.col("f")).alias("x")).collect()
+    assert [r.x for r in kept] == [1, 3, 0]
