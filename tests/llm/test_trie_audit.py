@@ -181,7 +181,7 @@ def brute_audit(docs, labels):
     for doc_id, text, _ in docs:
         if doc_id is not None:
             first[text or ""] = min(doc_id, first.get(text or "", doc_id))
-    marks = {m: {i for i, *values in labels if values[k] == 1} for k, m in enumerate(("good", "toxic"))}
+    marks = {m: {i for i, *values in labels if i is not None and values[k] == 1} for k, m in enumerate(("good", "toxic"))}
     for doc_id, text, source in docs:
         text = text or ""
         words = re.findall(r"[^\x20\x09-\x0D]+", text)
