@@ -478,3 +478,27 @@ def test_small_steps(spark, cyclic):
 
     kept = spark.createDataFrame([(1, 5), (None, 3), (None, None)], "b int, f int").select(blast_or_fan_in(F.col("b"), F.col("f")).alias("x")).collect()
     assert [r.x for r in kept] == [1, 3, 0]
+
+
+def test_usage_search_as_far_as_its_sql(spark, tmp_path):
+    """A chain of 25 uses: the query goes 20 steps, as its SQL does, and the verb as far as it is asked to."""
+    import duckdb
+
+    from graphloom.catalog import load
+    from graphloom.plans.verbs import GraphEngine
+    from graphloom.sources.derived import part_graph
+
+    # Following parts 2k and 2k + 2 give a sum of 4k + 2, which is a use; part 100 uses the last one too.
+    pairs = [(2 * k, 2 * k + 2) for k in range(25)] + [(100, 50)]
+    spark.createDataFrame([(n, "x", "b", "t", 1, 1.0) for n in range(101)], "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    lines = [(o, n + 1, p) for o, pair in enumerate(pairs) for n, p in enumerate(pair)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    queries, oracles = load()
+    got = sorted(map(tuple, queries["usage_search"](spark, str(tmp_path)).collect()))
+    con = duckdb.connect()
+    for t in ("part", "lineitem"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    assert got == sorted(con.execute(oracles["usage_search"]).fetchall()) and max(d for _, d in got) == 20
+    engine = GraphEngine(part_graph(spark, str(tmp_path)))
+    assert engine.find_usages(50, True).agg({"depth": "max"}).first()[0] == 25
+    assert engine.find_usages(50).count() == 2
