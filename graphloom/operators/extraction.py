@@ -7,6 +7,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .skew import lookup
+
+#: Values of one name that stand in one row, about; pairs of one name that a task makes, about.
+PART, TASK = 4_000, 20_000_000
 #: Call names that say nothing about a target, bases that need no node, functions that check who asks.
 IGNORED_CALLS = ("get", "post", "put", "delete", "patch", "append", "extend", "add", "commit", "execute", "query", "update", "pop", "remove", "keys", "values", "items")
 PLAIN_BASES = ("BaseModel", "object")
@@ -80,7 +84,8 @@ def import_files(imports: DataFrame, files: DataFrame) -> DataFrame:
     no file.
     """
     said = F.regexp_replace(F.trim("said"), "/+$", "")
-    rows = imports.withColumn("_said", said).where("_said is not null and _said <> ''").withColumn("_row", F.monotonically_increasing_id())
+    # What a file says is looked for once, however many records say it.
+    rows = imports.select("file", "said").distinct().withColumn("_said", said).where("_said is not null and _said <> ''").withColumn("_row", F.monotonically_increasing_id())
     folder = F.slice(F.split("file", "/"), F.lit(1), F.size(F.split("file", "/")) - 1)
     raw = F.array_join(normal_path(F.concat(folder, F.split("_said", "/"))), "/")
     relative = F.array(*(F.concat(raw, F.lit(e)) for e in ("", ".ts", ".tsx", ".js", ".jsx", "/index.ts", "/index.js")))
@@ -97,7 +102,33 @@ def import_files(imports: DataFrame, files: DataFrame) -> DataFrame:
     first = begins.groupBy("_said").agg(F.min("target").alias("_partial"))
     out = exact.join(first, "_said", "left")
     target = F.coalesce("target", F.when(plain & ~F.col("_said").startswith("."), F.col("_partial")))
-    return out.select("id", "said", target.alias("target")).where("target is not null")
+    found = out.select("file", "said", target.alias("target")).where("target is not null")
+    return lookup(imports, found, ["file", "said"]).select("id", "said", "target").where("target is not null")
+
+
+def _dealt(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(*keys, values): the values of each key in rows of about PART."""
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("_n")).withColumn("_parts", F.ceil(F.col("_n") / PART))
+    dealt = lookup(rows, counts, keys, "_n").where("_parts is not null")
+    return dealt.groupBy(*keys, F.pmod(F.xxhash64(value), "_parts").alias("_part")).agg(F.collect_list(value).alias(f"{value}s")).drop("_part")
+
+
+def _pairs(said: DataFrame, names: DataFrame) -> DataFrame:
+    """(src, dst, type), each once, of ``said(src, said, type)`` with all of ``names(said, dst)`` of the name.
+
+    The result may grow with the square of the input, so it isn't shuffled: rows of many sources meet rows of many targets, are dealt over
+    the tasks, and only then made pairs. A pair comes up once where its target has one name; few have several.
+    """
+    said = said.where("src is not null").distinct()
+    of = names.where("dst is not null").groupBy("dst").agg(F.min("said").alias("said"), F.max("said").alias("_last"))
+    alone, several = of.where("said = _last").select("said", "dst"), names.join(of.where("said <> _last").select("dst"), "dst", "left_semi")
+    number = lambda rows: rows.groupBy("said").agg(F.count("*").cast("double").alias("n"))
+    total = number(said).join(number(alone).withColumnRenamed("n", "m"), "said").agg(F.sum(F.col("n") * F.col("m"))).first()[0] or 0
+    both = _dealt(said, ["said", "type"], "src").join(_dealt(alone, ["said"], "dst"), "said").select("srcs", "dsts", "type")
+    if total > TASK:
+        both = both.repartition(int(min(total / TASK, 20_000)) + 1)
+    pairs = both.select(F.explode("srcs").alias("src"), "dsts", "type").select("src", F.explode("dsts").alias("dst"), "type")
+    return pairs.union(said.join(several, "said").select("src", "dst", "type").distinct())
 
 
 def typed_edges(records: DataFrame, files: DataFrame, services=SERVICES, apis=EXTERNAL_APIS, middleware=MIDDLEWARE, models=MODEL_TABLES, auth=AUTH_FUNCTIONS) -> DataFrame:
@@ -114,16 +145,18 @@ def typed_edges(records: DataFrame, files: DataFrame, services=SERVICES, apis=EX
     edge = lambda df, kind: df.select("src", "dst", kind if isinstance(kind, Column) else F.lit(kind).alias("type"))
     each = lambda column, *more: records.select(F.col("id").alias("src"), F.explode(F.array_distinct(column)).alias("said"), *more)
     calls = each("calls", F.when(F.col("node_type") == "api_route", "api_calls").otherwise("calls").alias("type")).where(~F.col("said").isin(*IGNORED_CALLS))
-    out = [calls.join(names, "said").where("src <> dst").select("src", "dst", "type")]
+    made, out = [_pairs(calls.select("src", "said", "type"), names).where("src <> dst")], []
     said = records.select("id", "file", F.explode("imports").alias("said"))
     at = records.groupBy(F.col("file").alias("target")).agg(F.min("id").alias("dst"))
     out.append(edge(import_files(said, files).join(at, "target").withColumnRenamed("id", "src"), "imports"))
     methods = records.where((F.col("node_type") == "method") & F.col("name").contains("."))
     out.append(edge(methods.select(F.concat("file", F.lit(":"), F.substring_index("name", ".", 1)).alias("src"), F.col("id").alias("dst")), "class_contains"))
-    bases = each("bases", "node_type").where("node_type = 'class'").join(names, "said", "left").where(F.col("dst").isNotNull() | ~F.col("said").isin(*PLAIN_BASES))
-    out.append(edge(bases.withColumn("dst", F.coalesce("dst", F.concat(F.lit("_ext_"), "said"))), "inherits"))
+    bases = each("bases", "node_type").where("node_type = 'class'").select("src", "said", F.lit("inherits").alias("type"))
+    made.append(_pairs(bases, names))
+    lacking = lookup(bases, first, ["said"]).where(F.col("dst").isNull() & ~F.col("said").isin(*PLAIN_BASES))
+    out.append(edge(lacking.withColumn("dst", F.concat(F.lit("_ext_"), "said")), "inherits"))
     checks = F.col("said").isin(*auth)
-    depends = each("depends_on").join(first, "said", "left").withColumn("dst", F.coalesce("dst", F.concat(F.when(checks, "_auth_").otherwise("_di_"), "said")))
+    depends = lookup(each("depends_on"), first, ["said"]).withColumn("dst", F.coalesce("dst", F.concat(F.when(checks, "_auth_").otherwise("_di_"), "said")))
     out.append(edge(depends, F.when(checks, "auth_dependency").otherwise("dependency_injection").alias("type")))
     coded = records.where("code is not null and code <> ''").select(F.col("id").alias("src"), F.lower("code").alias("code"))
     for patterns, lead, kind in ((services, "__svc__", "uses_service"), (apis, "__api__", "external_api"), (middleware, "__mw__", "middleware_dependency")):
@@ -144,7 +177,7 @@ def typed_edges(records: DataFrame, files: DataFrame, services=SERVICES, apis=EX
     out.append(tables.select("src", F.concat(F.lit("__table__"), "o.t").alias("dst"), F.col("o.type").alias("type")))
     inside = records.where(F.col("node_type").isin(*CONTAINED)).join(files.select("file").distinct(), "file", "left_semi")
     out.append(edge(inside.select(F.col("file").alias("src"), F.col("id").alias("dst")), "contains"))
-    return reduce(DataFrame.union, out).distinct()
+    return reduce(DataFrame.union, made, reduce(DataFrame.union, out).distinct())
 
 
 #: Node types of what the records lack, by the beginning of its id.

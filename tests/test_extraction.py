@@ -47,3 +47,20 @@ def test_import_files(spark):
 def test_nothing(spark):
     assert edges_of(spark, [], ["a.py"]) == set()
     assert edges_of(spark, [dict(id="a", name="a", node_type="function", file="gone.py", calls=None, imports=None, bases=None, depends_on=None)], ["a.py"]) == set()
+
+
+def test_pairs_are_not_shuffled(spark, monkeypatch):
+    """Many callers of one name in rows of a few each, an id with two names, repeated records; only the small families are made distinct."""
+    monkeypatch.setattr(X, "PART", 3)
+    monkeypatch.setattr(X, "TASK", 10)
+    rows = [dict(id=f"f{k}", name="go", node_type="function", file="a.py", calls=["go", "run"]) for k in range(20)] * 2
+    rows += [dict(id="two", name=n, node_type="class", file="b.py", bases=["go", "Gone", "object"]) for n in ("go", "run")]
+    got = edges_of(spark, rows, [])
+    want = {(f"f{a}", f"f{b}", "calls") for a in range(20) for b in range(20) if a != b} | {(f"f{a}", "two", "calls") for a in range(20)}
+    assert got == want | {("two", f"f{a}", "inherits") for a in range(20)} | {("two", "two", "inherits"), ("two", "_ext_Gone", "inherits")}
+    base = dict(calls=[], imports=[], bases=[], depends_on=[], code=None)
+    frame = X.typed_edges(spark.createDataFrame([tuple((base | r)[c.split()[0]] for c in COLUMNS.split(", ")) for r in rows], COLUMNS), spark.createDataFrame([], "file string"))
+    assert frame.count() == len(got)
+    plan = frame._jdf.queryExecution().optimizedPlan()
+    # The calls and bases of names are beside, not under, the aggregation of the others.
+    assert plan.nodeName() == "Union"
