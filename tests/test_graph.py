@@ -502,3 +502,39 @@ def test_usage_search_as_far_as_its_sql(spark, tmp_path):
     engine = GraphEngine(part_graph(spark, str(tmp_path)))
     assert engine.find_usages(50, True).agg({"depth": "max"}).first()[0] == 25
     assert engine.find_usages(50).count() == 2
+
+
+def test_blast_radius_of_half_pairs(spark, monkeypatch):
+    """Counts equal the pairs' for all depths, with loops, hubs, packs of two and heavy targets; no table of pairs beyond half the depth."""
+    import random
+
+    from graphloom.operators import analytics, traversal
+    from graphloom.graph import Graph
+
+    draw = random.Random(5)
+    links = {(draw.randrange(60), draw.randrange(60)) for _ in range(110)} | {(k, 7) for k in range(60, 80)} | {(3, 3), (7, 7)}
+    edges = spark.createDataFrame(sorted(links), "src long, dst long")
+    asked, pairs = [], traversal.reverse_pairs
+
+    def spied(edges, depth=8):
+        asked.append(depth)
+        return pairs(edges, depth)
+
+    monkeypatch.setattr(traversal, "reverse_pairs", spied)
+    monkeypatch.setattr(traversal, "PACK", 2)
+    for depth, heavy in ((1, 50), (2, 50), (5, 0), (8, 50)):
+        monkeypatch.setattr(traversal, "HEAVY", heavy)
+        before, out = {}, {}
+        for a, b in links:
+            out.setdefault(b, set()).add(a)
+        for target in out:
+            seen, level = set(), {target}
+            for k in range(depth):
+                level = {a for t in level for a in out.get(t, ()) if a != target or k == 0} - seen
+                seen |= level
+            before[target] = len(seen)
+        assert {r.target: r.n for r in traversal.reverse_counts(edges, depth).collect()} == before
+    asked.clear()
+    nodes = spark.range(81)
+    assert {r.id: r.blast_radius for r in analytics.blast_radius(Graph(nodes, edges)).collect()} == {k: before.get(k, 0) for k in range(81)}
+    assert asked == [4]
