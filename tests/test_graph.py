@@ -538,3 +538,15 @@ def test_blast_radius_of_half_pairs(spark, monkeypatch):
     nodes = spark.range(81)
     assert {r.id: r.blast_radius for r in analytics.blast_radius(Graph(nodes, edges)).collect()} == {k: before.get(k, 0) for k in range(81)}
     assert asked == [4]
+
+
+def test_reachable_targets_as_a_table(spark):
+    """Targets of any number are a table that is joined; repeated and unknown ones and nulls add no rows."""
+    from graphloom.graph import Graph
+    from graphloom.plans.verbs import GraphEngine
+
+    g = Graph.from_lists(spark, {"A": ["B"], "B": ["C", "D"], "C": ["E"]})
+    targets = spark.createDataFrame([("A",), ("D",), ("D",), ("E",), ("Z",), (None,)], "node string")
+    found = GraphEngine(g).find_reachable_nodes("A", targets, 2)
+    assert {tuple(r) for r in found.collect()} == {("A", 0), ("D", 2)} and found.count() == 2
+    assert {tuple(r) for r in GraphEngine(g).find_reachable_nodes("A", ["D", "E"]).collect()} == {("D", 2), ("E", 3)}
