@@ -550,3 +550,20 @@ def test_reachable_targets_as_a_table(spark):
     found = GraphEngine(g).find_reachable_nodes("A", targets, 2)
     assert {tuple(r) for r in found.collect()} == {("A", 0), ("D", 2)} and found.count() == 2
     assert {tuple(r) for r in GraphEngine(g).find_reachable_nodes("A", ["D", "E"]).collect()} == {("D", 2), ("E", 3)}
+
+
+def test_cycle_rounds_send_no_table_to_the_driver(spark, monkeypatch):
+    """Joins of a round are shuffled: a broadcast would pass a table of the nodes through the driver, round after round."""
+    from graphloom.operators import structure
+    from graphloom.scratch import Scratch
+
+    plans, save = [], Scratch.save
+
+    def spied(self, df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return save(self, df, name)
+
+    monkeypatch.setattr(Scratch, "save", spied)
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (5, 4), (5, 6), (7, 7)], "src long, dst long")
+    assert {r.node for r in structure.cycle_nodes(edges).collect()} == {1, 2, 3, 4, 5, 7}
+    assert any("Join" in p for p in plans) and not any("BroadcastExchange" in p for p in plans)
