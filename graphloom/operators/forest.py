@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,18 +23,31 @@ def _sum(a, b):
 
 
 def _doubling(now: DataFrame, scratch: Scratch, name: str, climb, up: list[str]) -> DataFrame:
-    """Rounds over ``now(id, anc, ...)``: ``climb`` makes the next table from one with the columns of the ancestor."""
-    open_before = None
-    for k in range(64):
-        waiting = now.where("anc is not null")
+    """Rounds over ``now(id, anc, ...)``: ``climb`` makes the next table from one with the columns of the ancestor.
+
+    Only rows that another one points to take part in the rounds; all others climb once, from the final table of
+    these. A round writes the rows that still climb, those that have ended stay where they are.
+    """
+    held = scratch.save(now.where("anc is not null").groupBy(F.col("anc").alias("id")).agg(F.count("*").alias("_n")), f"{name}-held")
+    marked = scratch.save(now.join(held, "id", "left"), f"{name}-marked")
+    inner = scratch.save(marked.where("_n is not null").drop("_n"), f"{name}-0")
+    above_of = lambda rows, held: rows.join(held, "id").select(F.col("id").alias("anc"), F.col("anc").alias("_anc"), *(F.col(c).alias(f"_{c}") for c in up), "_n")
+    names, last, open_before = [f"{name}-0"], inner, None
+    for k in range(1, 64):
+        waiting = last.where("anc is not null")
         n = waiting.count()
         if n == 0 or n == open_before:
             break
         open_before = n
-        held = waiting.groupBy(F.col("anc").alias("id")).agg(F.count("*").alias("_n"))
-        above = now.join(held, "id").select(F.col("id").alias("anc"), F.col("anc").alias("_anc"), *(F.col(c).alias(f"_{c}") for c in up), "_n")
-        now = scratch.save(climb(lookup(waiting, above, ["anc"], "_n")).unionByName(now.where("anc is null")), f"{name}-{k}")
-    return now
+        now = scratch.together(names, last).where("anc is null").unionByName(waiting)
+        pointed = waiting.groupBy(F.col("anc").alias("id")).agg(F.count("*").alias("_n"))
+        last = scratch.save(climb(lookup(waiting, above_of(now, pointed), ["anc"], "_n")), f"{name}-{k}")
+        names.append(f"{name}-{k}")
+    done = scratch.together(names, inner).where("anc is null").unionByName(last.where("anc is not null"))
+    done = done.select(*inner.columns)
+    leaves = marked.where("_n is null").drop("_n")
+    below = climb(lookup(leaves.where("anc is not null"), above_of(done, held), ["anc"], "_n"))
+    return done.unionByName(scratch.save(below.select(*inner.columns), f"{name}-leaves")).unionByName(leaves.where("anc is null"))
 
 
 def path_sums(forest: DataFrame, values: list[str], scratch: Scratch) -> DataFrame:
@@ -91,23 +105,37 @@ def _earlier(rows: DataFrame, value: str, scratch: Scratch) -> DataFrame:
 
 
 def intervals(forest: DataFrame, scratch: Scratch) -> DataFrame:
-    """``forest(id, parent)``: id, parent, root, depth, start and stop, in the order of a walk that takes siblings by id.
+    """``forest(id, parent, ...)``: the same with root, depth, start and stop, in the order of a walk that takes siblings by id.
 
     A node is below another one exactly if its start lies after the other's and not after its stop. Nodes on or below
-    a ring of parents have nulls.
+    a ring of parents have nulls. A column ``_kids``, of how many nodes are children of each (null: none), is counted
+    where the forest lacks it. Nodes without children, most of a flat forest, take no part in the rounds.
     """
-    slim = scratch.save(forest.select("id", "parent", F.lit(1).cast("long").alias("size")), "forest")
-    sized = subtree_sums(slim, ["size"], scratch)
-    placed = _earlier(slim.select("id", "parent").join(sized, "id"), "size", scratch)
+    if "_kids" not in forest.columns:
+        forest = scratch.save(forest, "forest")
+        kids = forest.where("parent is not null").groupBy(F.col("parent").alias("id")).agg(F.count("*").alias("_kids"))
+        forest = scratch.save(forest.join(kids, "id", "left"), "marked")
+    leaf = F.col("_kids").isNull()
+    own = forest.where(leaf & F.col("parent").isNotNull()).groupBy(F.col("parent").alias("id")).agg(F.count("*").alias("_own"))
+    inner = scratch.save(forest.where(~leaf), "inner")
+    sized = subtree_sums(inner.select("id", "parent").join(own, "id", "left").select("id", "parent", _sum(F.lit(1), F.col("_own")).alias("size")), ["size"], scratch)
+    sized = scratch.save(inner.join(sized, "id"), "sized")
+    placed = _earlier(sized.unionByName(forest.where(leaf).withColumn("size", F.lit(1).cast("long"))), "size", scratch)
     # A child starts one after its parent, behind its earlier siblings.
-    steps = placed.select("id", "parent", "size", (F.col("earlier") + F.col("parent").isNotNull().cast("long")).alias("start"))
+    steps = placed.withColumn("start", F.col("earlier") + F.col("parent").isNotNull().cast("long")).drop("earlier")
     steps = scratch.save(steps, "steps")
-    ringed = slim.select("id", "parent").join(steps.select("id"), "id", "left_anti")
-    sums = path_sums(steps.select("id", "parent", "start"), ["start"], scratch)
-    done = steps.select("id", "parent", "size").join(sums, "id")
-    out = done.select("id", "parent", "root", F.col("hops").alias("depth"), "start", (F.col("start") + F.col("size") - 1).alias("stop"))
+    sums = path_sums(steps.where(~leaf).select("id", "parent", "start"), ["start"], scratch).select("id", "root", "hops", F.col("start").alias("_start"))
+    done = scratch.save(steps.where(~leaf).join(sums, "id"), "placed")
+    above = done.select(F.col("id").alias("parent"), F.col("root").alias("_root"), F.col("hops").alias("_hops"), F.col("_start").alias("_above"), F.col("_kids").alias("_weight"))
+    below = lookup(steps.where(leaf), above, ["parent"], "_weight")
+    top = F.col("parent").isNull()
+    below = below.select(*steps.columns, F.when(top, F.col("id")).otherwise(F.col("_root")).alias("root"), F.when(top, 0).otherwise(F.col("_hops") + 1).cast("long").alias("hops"), F.when(top, F.col("start")).otherwise(F.col("start") + F.col("_above")).alias("_start"))
+    stop = F.col("_start") + F.col("size") - 1
+    kept = [c for c in forest.columns if c != "_kids"]
+    out = done.unionByName(below).select(*kept, "root", F.col("hops").alias("depth"), F.col("_start").alias("start"), stop.alias("stop"))
+    ringed = inner.join(sized.select("id"), "id", "left_anti")
     none = [F.lit(None).cast(out.schema[c].dataType).alias(c) for c in ("root", "depth", "start", "stop")]
-    return scratch.save(out.unionByName(ringed.select("id", "parent", *none)), "labels")
+    return scratch.save(out.unionByName(ringed.select(*kept, *none)), "labels")
 
 
 def enclosing(outer: DataFrame, points: DataFrame, scratch: Scratch, innermost: bool = True, strict: bool = False) -> DataFrame:
@@ -132,21 +160,34 @@ def enclosing(outer: DataFrame, points: DataFrame, scratch: Scratch, innermost:
     opens = kinds[0]
 
     def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, stack = None, []
+        # Rows are walked by numbers alone; points and labels stay in Arrow and are taken by their places.
+        before, stack, open_labels = None, [], pa.nulls(0, schema.field("label").type)
         for batch in batches:
-            found = ([], [])
-            for shard, key, start, stop, kind, label, point in zip(*(c.to_pylist() for c in batch.columns)):
-                if (shard, key) != at:
-                    at, stack = (shard, key), []
+            shard, key, start, stop, kind, label, point = batch.columns
+            if not len(batch):
+                continue
+            new = pc.or_kleene(pc.not_equal(shard[1:], shard[:-1]), pc.not_equal(key[1:], key[:-1])).to_pylist()
+            new.insert(0, before != (shard[0], key[0]))
+            before = (shard[-1], key[-1])
+            held_labels = pa.concat_arrays([open_labels, label])
+            points, labels = [], []
+            at = len(open_labels)
+            for place, (fresh, start, stop, kind) in enumerate(zip(new, start.to_numpy().tolist(), stop.fill_null(-1).to_numpy().tolist(), kind.to_numpy().tolist())):
+                if fresh:
+                    stack.clear()
                 while stack and stack[-1][0] < start:
                     stack.pop()
                 if kind == opens:
-                    stack.append((stop, label))
+                    stack.append((stop, at + place))
+                elif stack and innermost:
+                    points.append(place)
+                    labels.append(stack[-1][1])
                 else:
-                    for _, inner in stack[-1:] if innermost else stack:
-                        found[0].append(point)
-                        found[1].append(inner)
-            yield pa.RecordBatch.from_arrays([pa.array(v, type=f.type) for v, f in zip(found, schema)], schema=schema)
+                    points += [place] * len(stack)
+                    labels += [k for _, k in stack]
+            yield pa.RecordBatch.from_arrays([point.take(pa.array(points, type=pa.int64())), held_labels.take(pa.array(labels, type=pa.int64()))], schema=schema)
+            open_labels = held_labels.take(pa.array([k for _, k in stack], type=pa.int64()))
+            stack = [(stop, k) for k, (stop, _) in enumerate(stack)]
 
     rows = held.unionByName(carried).repartition("shard").sortWithinPartitions("shard", "key", "start", "kind")
     out = f"point {points.schema['point'].dataType.simpleString()}, label {outer.schema['label'].dataType.simpleString()}"

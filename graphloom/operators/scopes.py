@@ -19,11 +19,13 @@ def scope_intervals(scopes: DataFrame) -> DataFrame:
     """
     scratch = Scratch(scopes.sparkSession, "scopes")
     ids = scratch.save(scopes.where("id is not null").groupBy("id").agg(F.min("parent").alias("parent")), "ids")
-    known = lookup(ids, ids.select(F.col("id").alias("parent"), F.lit(True).alias("_known")), ["parent"])
-    forest = scratch.save(known.select("id", F.col("parent").alias("said"), F.when(F.col("_known"), F.col("parent")).alias("parent")), "known")
-    labels = intervals(forest.select("id", "parent"), scratch).drop("parent")
+    kids = ids.where("parent is not null").groupBy(F.col("parent").alias("id")).agg(F.count("*").alias("_kids"))
+    marked = scratch.save(ids.join(kids, "id", "left"), "kids")
+    parents = marked.where("_kids is not null").select(F.col("id").alias("parent"), F.lit(True).alias("_known"), F.col("_kids").alias("_n"))
+    known = lookup(marked, parents, ["parent"], "_n")
+    forest = scratch.save(known.select("id", F.col("parent").alias("said"), F.when(F.col("_known"), F.col("parent")).alias("parent"), "_kids"), "known")
     state = F.when(F.col("start").isNull(), "ring").when(F.col("said").isNotNull() & F.col("parent").isNull(), "dangling").otherwise("ok")
-    return scratch.save(forest.join(labels, "id").withColumn("state", state).select("id", F.col("said").alias("parent"), "root", "depth", "start", "stop", "state"), "out")
+    return intervals(forest, scratch).select("id", F.col("said").alias("parent"), "root", "depth", "start", "stop", state.alias("state"))
 
 
 def children(labels: DataFrame, ids: DataFrame) -> DataFrame:
@@ -55,11 +57,11 @@ def descendants(labels: DataFrame, ids: DataFrame) -> DataFrame:
     return found.select(F.col("label.id").alias("id"), F.col("point.id").alias("descendant"), (F.col("point.depth") - F.col("label.depth")).alias("distance"))
 
 
-def _declared(labels: DataFrame, declarations: DataFrame) -> DataFrame:
+def _declared(labels: DataFrame, declarations: DataFrame, scratch: Scratch) -> DataFrame:
     """``declarations(scope, name, symbol, ordinal)``: the first of each name in a scope, with the scope's labels."""
     first = declarations.where("scope is not null and name is not null").groupBy("scope", "name").agg(F.min(F.struct("ordinal", "symbol")).alias("d"))
-    placed = lookup(first.select("scope", "name", F.col("d.symbol").alias("symbol")), labels.select(F.col("id").alias("scope"), "start", "stop"), ["scope"])
-    return placed
+    first = scratch.save(first.select("scope", "name", F.col("d.symbol").alias("symbol")), "first")
+    return lookup(first, labels.select(F.col("id").alias("scope"), "start", "stop"), ["scope"], among=first)
 
 
 def resolve_in_scope(labels: DataFrame, declarations: DataFrame, uses: DataFrame) -> DataFrame:
@@ -70,14 +72,14 @@ def resolve_in_scope(labels: DataFrame, declarations: DataFrame, uses: DataFrame
     gives one row.
     """
     scratch = Scratch(labels.sparkSession, "in-scope")
-    declared = scratch.save(_declared(labels, declarations), "declared")
-    asked = lookup(uses.select("scope", "name").where("scope is not null and name is not null").distinct(), labels.select(F.col("id").alias("scope"), "start"), ["scope"])
-    asked = scratch.save(asked, "asked")
+    declared = scratch.save(_declared(labels, declarations, scratch), "declared")
+    asked = scratch.save(uses.where("scope is not null and name is not null").groupBy("scope", "name").agg(F.count("*").alias("_n")), "pairs")
+    asked = scratch.save(lookup(asked, labels.select(F.col("id").alias("scope"), "start"), ["scope"], among=asked), "asked")
     outer = declared.where("start is not null").select(F.col("name").alias("key"), "start", "stop", F.struct("symbol", F.col("scope").alias("declared_in")).alias("label"))
-    points = asked.where("start is not null").select(F.col("name").alias("key"), "start", F.struct("scope", "name").alias("point"))
-    found = enclosing(outer, points, scratch).select("point.scope", "point.name", "label.symbol", "label.declared_in")
-    own = asked.where("start is null").join(declared.where("start is null").select("scope", "name", "symbol"), ["scope", "name"]).select("scope", "name", "symbol", F.col("scope").alias("declared_in"))
-    return lookup(uses, scratch.save(found.unionByName(own), "answers"), ["scope", "name"])
+    points = asked.where("start is not null").select(F.col("name").alias("key"), "start", F.struct("scope", "name", "_n").alias("point"))
+    found = enclosing(outer, points, scratch).select("point.scope", "point.name", "point._n", "label.symbol", "label.declared_in")
+    own = asked.where("start is null").join(declared.where("start is null").select("scope", "name", "symbol"), ["scope", "name"]).select("scope", "name", "_n", "symbol", F.col("scope").alias("declared_in"))
+    return lookup(uses, scratch.save(found.unionByName(own), "answers"), ["scope", "name"], "_n").drop("_n")
 
 
 def shadowed_names(labels: DataFrame, declarations: DataFrame) -> DataFrame:
@@ -86,7 +88,7 @@ def shadowed_names(labels: DataFrame, declarations: DataFrame) -> DataFrame:
     The outer scope is the nearest one around it that declares the name.
     """
     scratch = Scratch(labels.sparkSession, "shadowed")
-    declared = scratch.save(_declared(labels, declarations).where("start is not null"), "declared")
+    declared = scratch.save(_declared(labels, declarations, scratch).where("start is not null"), "declared")
     end = F.struct("scope", "symbol")
     outer = declared.select(F.col("name").alias("key"), "start", "stop", end.alias("label"))
     points = declared.select(F.col("name").alias("key"), "start", F.struct("name", "scope", "symbol").alias("point"))
@@ -100,7 +102,7 @@ def visible_symbols(labels: DataFrame, declarations: DataFrame, ids: DataFrame)
     above = ancestors(labels, ids).select("id", F.col("ancestor").alias("scope"), "distance")
     own = labels.join(ids.select("id").distinct(), "id", "left_semi").select("id", F.col("id").alias("scope"), F.lit(0).cast("long").alias("distance"))
     around = scratch.save(above.unionByName(own), "around")
-    declared = _declared(labels, declarations).select("scope", "name", "symbol")
+    declared = _declared(labels, declarations, scratch).select("scope", "name", "symbol")
     nearest = around.join(declared, "scope").groupBy("id", "name").agg(F.min(F.struct("distance", "symbol", "scope")).alias("d"))
     return nearest.select("id", "name", F.col("d.symbol").alias("symbol"), F.col("d.scope").alias("declared_in"))
 

@@ -145,3 +145,40 @@ def test_sums(spark, hot):
     assert {r.id: r.v for r in forest.subtree_sums(df, ["v"], Scratch(spark, "t")).collect()} == dict(below)
     got = {r.id: (r.v, r.hops) for r in forest.path_sums(df, ["v"], Scratch(spark, "t")).collect() if r.root}
     assert got == {i: (value[i] + sum(value[a] for a in around(parents, i)), len(around(parents, i))) for i in good}
+
+
+def test_nodes_without_children_take_no_part_in_rounds(spark):
+    from graphloom.scratch import Scratch
+
+    star = spark.createDataFrame([("a", None)] + [(f"x{k}", "a") for k in range(50)], "id string, parent string").selectExpr("id", "parent", "1 as v")
+    scratch = Scratch(spark, "t")
+    got = {r.id: (r.root, r.hops, r.v) for r in forest.path_sums(star, ["v"], scratch).collect()}
+    assert got == {"a": ("a", 0, 1)} | {f"x{k}": ("a", 1, 2) for k in range(50)}
+    assert spark.read.parquet(f"{scratch.root}/paths-0").count() == 1
+
+
+def test_resolve_in_scope_reads_its_uses_twice(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    uses = spark.createDataFrame([("b", "x"), ("b", "y"), ("a", "x"), ("b", "x")], "scope string, name string").mapInArrow(seen, "scope string, name string")
+    declarations = spark.createDataFrame([("a", "x", "s1", 0)], "scope string, name string, symbol string, ordinal int")
+    found = scopes.resolve_in_scope(labelled(spark, {"a": None, "b": "a"}), declarations, uses).collect()
+    assert sorted((r.scope, r.name, r.symbol or "") for r in found) == [("a", "x", "s1"), ("b", "x", "s1"), ("b", "x", "s1"), ("b", "y", "")]
+    assert read.value <= 8  # once for the distinct pairs and once for the answers, of four rows
+
+
+def test_enclosing_over_many_batches(spark):
+    from graphloom.scratch import Scratch
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    outer = [("k", s, e, f"l{s}-{e}") for s, e in ((0, 90), (1, 40), (2, 9), (12, 30), (50, 60))]
+    points = [("k", s, s) for s in range(100)] + [("other", 5, 500)]
+    a, b = spark.createDataFrame(outer, "key string, start long, stop long, label string"), spark.createDataFrame(points, "key string, start long, point long")
+    found = forest.enclosing(a, b, Scratch(spark, "t"), innermost=False).collect()
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(map(tuple, found)) == sorted((p, label) for _, at, p in points[:100] for _, s, e, label in outer if s <= at <= e)
