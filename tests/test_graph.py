@@ -567,3 +567,20 @@ def test_cycle_rounds_send_no_table_to_the_driver(spark, monkeypatch):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (5, 4), (5, 6), (7, 7)], "src long, dst long")
     assert {r.node for r in structure.cycle_nodes(edges).collect()} == {1, 2, 3, 4, 5, 7}
     assert any("Join" in p for p in plans) and not any("BroadcastExchange" in p for p in plans)
+
+
+def test_resolve_deals_nodes_of_one_split_over_tasks(spark, monkeypatch):
+    from graphloom.operators import search
+
+    tasks = {}
+
+    class Counting(search.Scratch):
+        def save(self, df, name):
+            tasks[name] = df.rdd.getNumPartitions()
+            return super().save(df, name)
+
+    monkeypatch.setattr(search, "Scratch", Counting)
+    nodes = spark.createDataFrame([(k, f"word{k} red", f"f{k}") for k in range(40)], "id long, name string, file string").coalesce(1)
+    edges = spark.createDataFrame([(0, 1, "CALLS")], "src long, dst long, type string")
+    assert search.resolve(Graph(nodes, edges), "red ring").count() == 25
+    assert tasks["embeddings"] > 1
