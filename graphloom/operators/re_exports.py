@@ -26,7 +26,7 @@ def _direct(ways: DataFrame, symbols: DataFrame, scratch: Scratch, name: str) ->
     own = symbols.where("kind <> 'module'")
     exact = own.groupBy(F.col("fqn").alias("_fqn")).agg(F.min("id").alias("_exact"))
     module = symbols.where("kind = 'module'").groupBy(F.col("fqn").alias("to_package")).agg(F.min(F.struct("id", "file"))["file"].alias("_file"))
-    inside = own.groupBy(F.col("file").alias("_file"), F.col("name").alias("to_name")).agg(F.min("id").alias("_inside"))
+    inside = own.where("file is not null").groupBy(F.col("file").alias("_file"), F.col("name").alias("to_name")).agg(F.min("id").alias("_inside"))
     held = scratch.save(ways.withColumn("_fqn", F.concat_ws(".", "to_package", "to_name")), f"{name}-asked")
     found = scratch.save(lookup(lookup(held, exact, ["_fqn"], among=held), module, ["to_package"], among=held), f"{name}-modules")
     found = lookup(found, inside, ["_file", "to_name"], among=found)
@@ -93,11 +93,13 @@ def re_exports(exports: DataFrame, symbols: DataFrame, asked: DataFrame | None =
     chosen = F.coalesce("symbol", "_given", F.when(F.col("fork").isNotNull(), F.col("fallback")))
     of_chains = settled.select("id", chosen.alias("symbol"), (F.col("ring") | F.coalesce("_ring", F.lit(False))).alias("ring"))
     values = scratch.save(of_chains.unionByName(forks.select("id", "symbol", "ring")), "values")
-    out = wanted.withColumn("id", _state("package", "name")).join(values, "id", "left")
+    out = wanted.withColumn("id", _state("package", "name")).join(values, "id", "left").select("package", "name", "symbol", "ring")
+    out = scratch.save(out, "reached")
     # A name that nothing exports may still be the package's own.
-    own = _direct(out.select("package", "name", "symbol", "ring", F.col("package").alias("to_package"), F.col("name").alias("to_name")), symbols, scratch, "own")
-    found = own.select("package", "name", F.coalesce("symbol", F.when(F.col("ring").isNull(), F.col("direct"))).alias("symbol"), F.coalesce("ring", F.lit(False)).alias("ring"))
-    titled = lookup(found, symbols.groupBy(F.col("id").alias("symbol")).agg(F.min("fqn").alias("fqn")), ["symbol"])
+    alone = out.where("ring is null").select("package", "name", F.col("package").alias("to_package"), F.col("name").alias("to_name"))
+    own = _direct(alone, symbols, scratch, "own").select("package", "name", F.col("direct").alias("symbol"), F.lit(False).alias("ring"))
+    found = scratch.save(out.where("ring is not null").unionByName(own), "found")
+    titled = lookup(found, symbols.groupBy(F.col("id").alias("symbol")).agg(F.min("fqn").alias("fqn")), ["symbol"], among=found)
     state = F.when(F.col("symbol").isNotNull(), "resolved").when(F.col("ring"), "ring").otherwise("unresolved")
     return titled.select("package", "name", "symbol", "fqn", state.alias("state"))
 

@@ -153,3 +153,21 @@ def test_export_violations(spark):
     exports = [("a", "X", "b", "X", 0), ("a", "X", "m", "X", 1), ("b", None, "a", None, 2), ("c", "Y", None, "Y", 3)]
     found = R.export_violations(spark.createDataFrame(exports, EXPORTS)).collect()
     assert sorted(((r.code, r.package, r.name) for r in found), key=str) == sorted([("DUPLICATE_EXPORT", "a", "X"), ("MISSING_SOURCE_MODULE", "c", "Y"), ("CYCLIC_EXPORT", "a", None), ("CYCLIC_EXPORT", "b", None)], key=str)
+
+
+def test_only_names_that_nothing_exports_are_looked_for_again(spark, monkeypatch):
+    rows = {}
+
+    class Counting(R.Scratch):
+        def save(self, df, name):
+            saved = super().save(df, name)
+            rows[name] = saved.count()
+            return saved
+
+    monkeypatch.setattr(R, "Scratch", Counting)
+    exports = spark.createDataFrame([("p", "A", "q", "A", 0), ("p", "B", "q", "B", 0)], "package string, name string, source string, original string, ordinal int")
+    symbols = spark.createDataFrame([("q.A", "q.A", "A", "class", None)], "id string, fqn string, name string, kind string, file string")
+    asked = spark.createDataFrame([("p", "A"), ("p", "B"), ("q", "A"), ("q", "C")], "package string, name string")
+    found = R.re_exports(exports, symbols, asked).collect()
+    assert {(r.package, r.name, r.fqn, r.state) for r in found} == {("p", "A", "q.A", "resolved"), ("p", "B", None, "unresolved"), ("q", "A", "q.A", "resolved"), ("q", "C", None, "unresolved")}
+    assert rows["own-asked"] == 2
