@@ -7,9 +7,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import Scratch
 from .skew import lookup
 
-#: Values of one name that stand in one row, about; pairs of one name that a task makes, about.
+#: Values of one name that stand in one row, about; pairs that a task makes, about.
 PART, TASK = 4_000, 20_000_000
 #: Call names that say nothing about a target, bases that need no node, functions that check who asks.
 IGNORED_CALLS = ("get", "post", "put", "delete", "patch", "append", "extend", "add", "commit", "execute", "query", "update", "pop", "remove", "keys", "values", "items")
@@ -106,28 +107,32 @@ def import_files(imports: DataFrame, files: DataFrame) -> DataFrame:
     return lookup(imports, found, ["file", "said"]).select("id", "said", "target").where("target is not null")
 
 
-def _dealt(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """(*keys, values): the values of each key in rows of about PART."""
-    counts = rows.groupBy(*keys).agg(F.count("*").alias("_n")).withColumn("_parts", F.ceil(F.col("_n") / PART))
-    dealt = lookup(rows, counts, keys, "_n").where("_parts is not null")
-    return dealt.groupBy(*keys, F.pmod(F.xxhash64(value), "_parts").alias("_part")).agg(F.collect_list(value).alias(f"{value}s")).drop("_part")
-
-
 def _pairs(said: DataFrame, names: DataFrame) -> DataFrame:
     """(src, dst, type), each once, of ``said(src, said, type)`` with all of ``names(said, dst)`` of the name.
 
-    The result may grow with the square of the input, so it isn't shuffled: rows of many sources meet rows of many targets, are dealt over
-    the tasks, and only then made pairs. A pair comes up once where its target has one name; few have several.
+    The result may grow with the square of the input, so it isn't shuffled: sources and targets of a name are dealt into parts of about
+    PART values, each part of the one meets each of the other in one task, and only there pairs are made. Spark holds what one row of a
+    join explodes into until all of it is made, so a row is one source and the array of one part of the targets, never a part of both.
+    A pair comes up once where its target has one name; few have several.
     """
     said = said.where("src is not null").distinct()
     of = names.where("dst is not null").groupBy("dst").agg(F.min("said").alias("said"), F.max("said").alias("_last"))
     alone, several = of.where("said = _last").select("said", "dst"), names.join(of.where("said <> _last").select("dst"), "dst", "left_semi")
-    number = lambda rows: rows.groupBy("said").agg(F.count("*").cast("double").alias("n"))
-    total = number(said).join(number(alone).withColumnRenamed("n", "m"), "said").agg(F.sum(F.col("n") * F.col("m"))).first()[0] or 0
-    both = _dealt(said, ["said", "type"], "src").join(_dealt(alone, ["said"], "dst"), "said").select("srcs", "dsts", "type")
+    number = lambda rows, n: rows.groupBy("said").agg(F.count("*").alias(n))
+    counts = Scratch(said.sparkSession, "pairs").save(number(said, "_n").join(number(alone, "_m"), "said"), "counts")
+    total = counts.agg(F.sum(F.col("_n").cast("double") * F.col("_m"))).first()[0] or 0
+    parts = counts.select("said", "_n", "_m", F.ceil(F.col("_n") / PART).alias("_srcs"), F.ceil(F.col("_m") / PART).alias("_dsts"))
+    part = lambda value, of: F.pmod(F.xxhash64(value), of)
+    every = lambda of: F.explode(F.sequence(F.lit(0).cast("long"), F.col(of) - 1))
+    keys = ["said", "_src", "_dst"]
+    sources = lookup(said, parts.drop("_m"), ["said"], "_n").where("_dsts is not null").select("src", "type", "said", part("src", "_srcs").alias("_src"), every("_dsts").alias("_dst"))
+    targets = lookup(alone, parts.drop("_n"), ["said"], "_m").where("_dsts is not null").select("dst", "said", part("dst", "_dsts").alias("_dst"), every("_srcs").alias("_src"))
     if total > TASK:
-        both = both.repartition(int(min(total / TASK, 20_000)) + 1)
-    pairs = both.select(F.explode("srcs").alias("src"), "dsts", "type").select("src", F.explode("dsts").alias("dst"), "type")
+        tasks = max(int(min(total / TASK, 20_000)) + 1, int(said.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        sources, targets = sources.repartition(tasks, *keys), targets.repartition(tasks, *keys)
+    # A merge join goes by the rows on its left; a hash join might go by the arrays, and hold the pairs of a whole part.
+    both = sources.join(targets.groupBy(*keys).agg(F.collect_list("dst").alias("dsts")).hint("merge"), keys)
+    pairs = both.select("src", F.explode("dsts").alias("dst"), "type")
     return pairs.union(said.join(several, "said").select("src", "dst", "type").distinct())
 
 

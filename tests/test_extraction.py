@@ -64,3 +64,19 @@ def test_pairs_are_not_shuffled(spark, monkeypatch):
     plan = frame._jdf.queryExecution().optimizedPlan()
     # The calls and bases of names are beside, not under, the aggregation of the others.
     assert plan.nodeName() == "Union"
+
+
+def test_a_row_makes_pairs_of_one_source(spark, monkeypatch):
+    """What a row explodes into is held at once, so sources are rows of their own; with and without dealt tasks the pairs are the same."""
+    monkeypatch.setattr(X, "PART", 3)
+    base = dict(calls=[], imports=[], bases=[], depends_on=[], code=None)
+    rows = [base | dict(id=f"f{k}", name="go" if k < 20 else "far", node_type="function", file="a.py", calls=["go", "far", "none", None]) for k in range(27)]
+    frame = spark.createDataFrame([tuple(r[c.split()[0]] for c in COLUMNS.split(", ")) for r in rows], COLUMNS)
+    for task in (10, 20_000_000):
+        monkeypatch.setattr(X, "TASK", task)
+        made = X.typed_edges(frame, spark.createDataFrame([], "file string"))
+        assert sorted(map(tuple, made.collect())) == sorted((f"f{a}", f"f{b}", "calls") for a in range(27) for b in range(27) if a != b)
+        steps = [line.lstrip("+-: ") for line in made._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].splitlines()]
+        steps = [s.partition(") ")[2] if s.startswith("*(") else s for s in steps]
+        of = [k for k, s in enumerate(steps) if s.startswith("Generate explode(dsts")]
+        assert of and all(next(s for s in steps[k + 1 :] if not s.startswith(("Project", "Filter"))).startswith("SortMergeJoin") for k in of)
